@@ -155,3 +155,49 @@ def without_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     flag = maybe(F.xxhash64("doc_id"))
     suspects = docs.filter(flag).join(dropped, F.col("doc_id") == F.col("__gone"), "left_anti")
     return docs.filter(~flag).unionByName(suspects)
+
+
+def summed(parts: DataFrame, size: int, slices: int = 16) -> np.ndarray:
+    """Sum of the int64 vectors of fixed length `size` in rows (slice int, counts binary), made by sliced().
+
+    The parts of all tasks meet slice by slice and are added one after the other, so a task holds its slices' sums
+    alone; the total of fixed size is what reaches the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for s, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total.setdefault(s, np.zeros(size // slices, np.int64)).__iadd__(np.frombuffer(zlib.decompress(c), np.uint32))
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in total.values()], pa.binary())], names=["slice", "counts"])
+
+    out = np.zeros((slices, size // slices), np.int64)
+    for s, counts in parts.repartition(max(1, slices // 4), "slice").mapInArrow(run, "slice int, counts binary").collect():
+        out[s] = np.frombuffer(zlib.decompress(counts), np.int64)
+    return out.ravel()
+
+
+def sliced(counts: np.ndarray, slices: int = 16) -> list[bytes]:
+    """A task's vector of counts as compressed slices of uint32."""
+    return [zlib.compress(c.tobytes(), 1) for c in counts.astype(np.uint32).reshape(slices, -1)]
+
+
+def score_texts(docs: DataFrame, scorer: Callable[[list[bytes]], np.ndarray], step: int = 1000) -> DataFrame:
+    """doc_id and score of every row; `scorer` gets whole texts as bytes, so many at a time."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [scorer(texts_of(batch.slice(at, step))) for at in range(0, batch.num_rows, step)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(found), pa.float64())], names=["doc_id", "score"])
+
+    return map_arrow(docs.select("doc_id", "text"), f"doc_id {kind}, score double", run)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, modulus: int = 3, remainder: int = 1) -> DataFrame:
+    """label and text of at most `rows` labelled documents outside the held-out part, the first by a hash of the id.
+    The ids are broadcast; their number is the bound."""
+    rows = max(1, rows)
+    usable = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), modulus, remainder))
+    chosen = usable.select(F.col("doc_id").alias("__id"), F.col(label).cast("double").alias("label")).orderBy(F.xxhash64("__id"), "__id").limit(rows)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("label", "text")

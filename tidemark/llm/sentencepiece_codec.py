@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 
 SPACE = "▁"
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Words remembered by a Python worker; beyond it the memory is emptied, so it stays bounded.
-MEMORY = 150_000
+#: Words remembered by a Python worker, twice: when as many new ones have come, those not met since are forgotten.
+MEMORY = 120_000
 
 
 class PieceModel:
@@ -57,9 +57,13 @@ class PieceModel:
         self._pairs: dict[tuple[str, str], bool] = {}
         self.automaton = ahocorasick.Automaton()
         for piece in self.ids:
-            if piece.strip(SPACE) or piece == SPACE:
+            if (piece.strip(SPACE) or piece == SPACE) and self.reachable(piece):
                 self.automaton.add_word(piece, piece)
         self.automaton.make_automaton()
+        #: Neighbouring characters inside pieces; no merge crosses any other seam.
+        self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        #: What a piece decodes to; None for byte pieces, which join to characters first.
+        self.surfaces = [self.unk_surface if k == 2 else "" if k == 3 else None if k == 6 else p.replace(SPACE, " ") for p, k in zip(self.pieces, self.kinds, strict=True)]
 
     def merged(self, text: str) -> list[str]:
         """Reference merging of a short text, the best pair first and the leftmost of equals: used for vocabulary splits only."""
@@ -119,38 +123,48 @@ class PieceModel:
                 last, marks = last[1:], marks + 1
         else:
             last = self._table(bare) if bare else []
-        out = []
+        out, ids = [], self.ids
         while marks:
             n = min(marks, self.run)
-            out.append(self.ids[SPACE * n])
+            out.append(ids[SPACE * n])
             marks -= n
         for piece in last:
-            if piece in self.ids:
-                out.append(self.ids[piece])
+            if (i := ids.get(piece)) is not None:
+                out.append(i)
             else:
                 out.extend(self.byte_ids[b] for b in piece.encode()) if self.byte_ids else out.append(self.unknown)
         return out
 
     def _table(self, text: str) -> list[str]:
-        if text in self.ids and self.reachable(text):
-            return [text]
-        ends: list[list[str]] = [[] for _ in text]
-        for end, piece in self.automaton.iter(text):
-            ends[end].append(piece)
-        last: list[str] = []
-        for end, found in enumerate(ends):
-            take = text[end]
-            for piece in sorted(found, key=len, reverse=True):
-                before = end - len(piece)
-                if self.reachable(piece) and (before < 0 or self.fits(last[before], piece)):
-                    take = piece
-                    break
-            last.append(take)
+        """Pieces of a text: the last piece of every prefix, longest candidate first, followed backwards from the end."""
+        last, settled, pairs = list(text), -1, self._pairs
+        for end, piece in self.automaton.iter(text):  # at each end from the longest to the shortest
+            if end == settled:
+                continue
+            before = end - len(piece)
+            if before >= 0:
+                left = last[before]
+                if (fit := pairs.get((left, piece))) is None:
+                    fit = self.fits(left, piece)
+                if not fit:
+                    continue
+            last[end], settled = piece, end
         out, at = [], len(text) - 1
         while at >= 0:
-            out.append(last[at])
-            at -= len(last[at])
-        return out[::-1]
+            out.append(piece := last[at])
+            at -= len(piece)
+        out.reverse()
+        return out
+
+    def seams(self, text: str) -> list[str]:
+        """The text cut where no merge crosses."""
+        inside, out, at = self.inside, [], 0
+        for i in range(1, len(text)):
+            if text[i - 1 : i + 1] not in inside:
+                out.append(text[at:i])
+                at = i
+        out.append(text[at:])
+        return out
 
 
 class Codec:
@@ -159,22 +173,31 @@ class Codec:
     def __init__(self, model: bytes):
         self.model = PieceModel(model)
         self.memory: dict[str, tuple[str, int, str]] = {}
+        self.older: dict[str, tuple[str, int, str]] = {}
 
     def _entry(self, word: str) -> tuple[str, int, str]:
         """Ids joined by commas, their number, and what the ids decode to (with the leading space still there)."""
-        if (known := self.memory.get(word)) is None:
-            ids = self.model.word(word)
-            if len(self.memory) >= MEMORY:
-                self.memory.clear()
-            known = self.memory[word] = (",".join(map(str, ids)), len(ids), self.surface(ids))
+        if (known := self.older.get(word)) is None:
+            parts = self.model.seams(word)
+            if len(parts) > 1:
+                found = [self.memory.get(p) or self._entry(p) for p in parts]
+                known = (",".join([f[0] for f in found]), sum([f[1] for f in found]), "".join([f[2] for f in found]))
+                if len(parts) > 2:  # as good as never seen again
+                    return known
+            else:
+                ids = self.model.word(word)
+                known = (",".join(map(str, ids)), len(ids), self.surface(ids))
+        if len(self.memory) >= MEMORY:
+            self.memory, self.older = {}, self.memory
+        self.memory[word] = known
         return known
 
     def entries(self, text: str) -> list[tuple[str, int, str]]:
         if not text:
             return []
         text = self.model.prefix + text.replace(" ", SPACE)
-        get, make = self.memory.get, self._entry
-        return [get(w) or make(w) for w in _WORDS.findall(text)]
+        make = self._entry
+        return [self.memory.get(w) or make(w) for w in _WORDS.findall(text)]
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for e in self.entries(text) for i in e[0].split(",")]
@@ -182,6 +205,10 @@ class Codec:
     def surface(self, ids: list[int]) -> str:
         """Text of ids; byte pieces join to characters, and bytes that don't form one become replacement characters."""
         m, out, run = self.model, [], bytearray()
+        try:
+            return "".join([m.surfaces[i] for i in ids])
+        except TypeError:  # there are byte pieces
+            pass
 
         def flush() -> None:
             while run:
@@ -201,10 +228,7 @@ class Codec:
                 run.append(m.bytes_of[i])
                 continue
             flush()
-            if m.kinds[i] == 2:
-                out.append(m.unk_surface)
-            elif m.kinds[i] != 3:
-                out.append(m.pieces[i].replace(SPACE, " "))
+            out.append(m.surfaces[i])
         flush()
         return "".join(out)
 
