@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language_id, quality, toxicity
+from tidemark.llm import chat_format, language_id, quality, toxicity
 from tidemark.llm.common import held_out, table
+from tidemark.llm.decontamination import build_index, contaminated
 from tidemark.llm.exact_dedup import exact_groups
+from tidemark.llm.license_scan import scan_documents
+from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.ngram_join import jaccard_components
 from tidemark.llm.sentencepiece_codec import digest_documents
 
@@ -35,10 +38,29 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_documents(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat_format.with_control_case(table(spark, sf_dir, "conversations"))
+    return chat_format.digests(chat_format.format_conversations(turns))
+
+
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and the test item found in it."""
+    return contaminated(table(spark, sf_dir, "documents"), build_index(table(spark, sf_dir, "benchmark")))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=5, percent=80)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_kept", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language_id.identify(docs, language_id.fit(docs, modulus=4, remainder=2))
@@ -50,7 +72,9 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_quality_classifier, op3_exact_dedup, op7_ngram_jaccard_join, op9_language_id, op10_sentencepiece)}
+    found = (op1_toxicity, op2_quality_classifier, op3_exact_dedup, op4_license_scan, op5_chat_format, op6_benchmark_decontamination)
+    found += (op7_ngram_jaccard_join, op8_line_dedup, op9_language_id, op10_sentencepiece)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
