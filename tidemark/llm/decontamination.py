@@ -114,13 +114,16 @@ class ItemIndex:
                 break
             while cursors and cursors[0][0] == pivot:
                 order.append(heapq.heappop(cursors))
-            if order[0][0] == pivot:
+            if full := order[0][0] == pivot:
                 score = sum(float(self.weights[c[1]][c[2]]) for c in order)
                 if score >= least:
                     found.append((pivot, score))
             for c in order:
                 numbers = self.numbers[c[1]]
-                c[2] = c[2] + 1 if c[0] == pivot else int(np.searchsorted(numbers, pivot))
+                if full:
+                    c[2] += 1
+                elif c[0] < pivot:
+                    c[2] = int(np.searchsorted(numbers, pivot))
                 if c[2] < c[3]:
                     c[0] = int(numbers[c[2]])
                     heapq.heappush(cursors, c)

@@ -54,12 +54,10 @@ def _variants(live: DataFrame) -> DataFrame:
     cut = base.select("h", "h2", "first", "n", "before", "after", "line", F.expr(f"explode(sequence(0, (n - 1) div {s}))").alias("c"))
     cut = cut.select(
         "h", "h2", "first", "n", "c",
-        F.expr(f"before[c] ^ after[greatest(0, size(after) - 2 - c)]").alias("rest"),  # noqa: F541
+        F.expr("before[c] ^ after[greatest(0, size(after) - 2 - c)]").alias("rest"),
         F.expr(f"substring(line, c * {s} + 1, {s + 1})").alias("w"),
-        F.expr(f"if(c = 0, '', substring(line, c * {s}, 1))").alias("previous"),
     )
     place = cut.withColumn("j", F.expr(f"explode(sequence(1, least({s}, n - c * {s})))"))
-    place = place.filter("substring(w, j, 1) <> if(j = 1, previous, substring(w, j - 1, 1))")  # of a run, its first character
     shorter = f"concat(left(w, j - 1), substring(w, j + 1, {s}))"
     own = place.select(F.expr(f"rest ^ if({shorter} = '', 0L, xxhash64(c, {shorter}))").alias("vh"), (F.col("n") - 1).alias("vn"), (F.col("c") * s + F.col("j")).alias("place"), "h", "h2", "first")
     return self_rows.unionByName(own)

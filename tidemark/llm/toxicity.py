@@ -77,7 +77,7 @@ def train(rows: list[tuple[float, float, bytes]]) -> ToxicityModel:
     used = [i for i, t in enumerate(tokens) if len(t)]
     y, weight = (np.array([rows[i][k] for i in used]) for k in (0, 1))
     if not used or y.min() == y.max():
-        return ToxicityModel(-40.0, {})
+        return ToxicityModel(float("-inf"), {})
     tokens = [tokens[i] for i in used]
     n = len(tokens)
     doc = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t in tokens])
