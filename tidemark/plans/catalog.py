@@ -236,9 +236,10 @@ for _how, _key in (("inner", "f.k"), ("left", "o.o_orderkey"), ("right", "f.k"))
 @query("""WITH l AS (SELECT user_id AS key, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) n FROM events WHERE event_type = 'purchase') WHERE n = 1),
       r AS (SELECT user_id AS key, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) n FROM events WHERE event_type = 'signup') WHERE n = 1),
       m AS (SELECT max(ts) - INTERVAL 5 SECOND AS mark FROM events),
-      j AS (SELECT coalesce(l.key, r.key) AS key, l.event_id AS le, r.event_id AS re, l.ts AS lt, r.ts AS rt FROM l FULL JOIN r ON l.key = r.key)
-      SELECT key, CASE WHEN le IS NULL THEN 'RIGHT_ORPHAN' WHEN re IS NULL THEN 'LEFT_ORPHAN' ELSE 'INNER' END AS join_kind, CAST(le AS VARCHAR) AS left_value, CAST(re AS VARCHAR) AS right_value
-      FROM j, m WHERE (le IS NOT NULL AND re IS NOT NULL) OR coalesce(lt, rt) + INTERVAL 1 HOUR <= mark""")
+      j AS (SELECT coalesce(l.key, r.key) AS key, l.event_id AS le, r.event_id AS re, l.ts AS lt, r.ts AS rt FROM l FULL JOIN r ON l.key = r.key),
+      k AS (SELECT *, CASE WHEN abs(epoch_us(lt) // 1000 - epoch_us(rt) // 1000) <= 3600000 THEN 'INNER' WHEN rt IS NULL OR lt < rt THEN 'LEFT_ORPHAN' ELSE 'RIGHT_ORPHAN' END AS join_kind FROM j)
+      SELECT key, join_kind, CASE WHEN join_kind <> 'RIGHT_ORPHAN' THEN CAST(le AS VARCHAR) END AS left_value, CASE WHEN join_kind <> 'LEFT_ORPHAN' THEN CAST(re AS VARCHAR) END AS right_value
+      FROM k, m WHERE join_kind = 'INNER' OR least(coalesce(lt, rt), coalesce(rt, lt)) + INTERVAL 1 HOUR <= mark""")
 def orphan_deadline_stream(spark, sf_dir):
     """One row a key: the first purchase met by the first sign-up, or an orphan an hour later."""
     stream = event_stream(spark, sf_dir)

@@ -63,18 +63,23 @@ def read_jdbc(spark: SparkSession, url: str, table: str, driver: str | None = No
     return reader.load()
 
 
-def insert_jdbc(df: DataFrame, url: str, table: str, driver: str | None = None) -> None:
-    """Plain insert: a replay repeats rows, or fails at a primary key."""
+def _jdbc_writer(df: DataFrame, keys: list[str], driver: str | None):
+    """Writer whose new tables have comparable text keys."""
     writer = df.write.option("driver", driver) if driver else df.write
-    writer.jdbc(url, table, mode="append")
+    texts = [f.name for f in df.schema if f.name in keys and f.dataType.simpleString() == "string"]
+    return writer.option("createTableColumnTypes", ", ".join(f"{c} VARCHAR(255)" for c in texts)) if texts else writer
+
+
+def insert_jdbc(df: DataFrame, url: str, table: str, driver: str | None = None, keys: list[str] | None = None) -> None:
+    """Plain insert: a replay repeats rows, or fails at a primary key."""
+    _jdbc_writer(df, keys or [], driver).jdbc(url, table, mode="append")
 
 
 def upsert_jdbc(df: DataFrame, url: str, table: str, keys: list[str], order: list[str], driver: str | None = None) -> None:
     """Idempotent write by key: the batch's latest rows go to a staging table in parallel, then one set-based MERGE."""
     spark, staging = df.sparkSession, f"{table}_STAGING"
     last = latest_by_key(df, keys, order)
-    writer = last.write.option("driver", driver) if driver else last.write
-    writer.jdbc(url, staging, mode="overwrite")
+    _jdbc_writer(last, keys, driver).jdbc(url, staging, mode="overwrite")
     other = [c for c in last.columns if c not in keys]
     q = lambda c: f'"{c}"'
     sql = (

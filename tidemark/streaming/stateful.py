@@ -79,6 +79,9 @@ class MatchOrOrphan(StatefulProcessor):
             if held is None:
                 held = (row["side"], row["ms"], row["value"])
                 self.handle.registerTimer(row["ms"] + self.timeout_ms)
+            elif row["ms"] - held[1] > self.timeout_ms:  # its deadline has passed, whether or not the watermark shows it yet
+                yield self._orphan(key, held)
+                return
             elif held[0] != row["side"]:
                 left, right = (held[2], row["value"]) if held[0] == "left" else (row["value"], held[2])
                 self._finish(max(held[1], row["ms"]))
@@ -86,6 +89,11 @@ class MatchOrOrphan(StatefulProcessor):
                 return
         self.waiting.update(held)
 
+    def _orphan(self, key, held) -> Row:
+        side, ms, value = held
+        self._finish(ms + self.timeout_ms)
+        return self._row(key, "LEFT_ORPHAN", value, None) if side == "left" else self._row(key, "RIGHT_ORPHAN", None, value)
+
     def _finish(self, ms: int) -> None:
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
@@ -98,9 +106,7 @@ class MatchOrOrphan(StatefulProcessor):
             self.done.clear()
             return
         if self.waiting.exists():
-            side, ms, value = self.waiting.get()
-            self._finish(ms + self.timeout_ms)
-            yield self._row(key, "LEFT_ORPHAN", value, None) if side == "left" else self._row(key, "RIGHT_ORPHAN", None, value)
+            yield self._orphan(key, tuple(self.waiting.get()))
 
     def close(self) -> None:
         pass
