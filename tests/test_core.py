@@ -61,6 +61,15 @@ def test_asof_known_answers(spark):
     assert rows(out.select("id", "rate"), "id") == [(1, 2.0), (2, None), (3, 3.0), (4, None)]
 
 
+def test_bucketed_asof_equals_plain(spark):
+    r = random.Random(4)
+    left = spark.createDataFrame([(i, f"k{r.randrange(3)}", r.randrange(1000)) for i in range(200)], "id int, k string, t int")
+    right = spark.createDataFrame([(f"k{r.randrange(3)}", r.randrange(1000), float(i)) for i in range(40)], "k string, rt int, v double")
+    plain = joins.asof_join(left, right, ["k"], "t", "rt", ["v"])
+    split = joins.asof_join(left, right, ["k"], "t", "rt", ["v"], bucket=F.floor(F.col("__ts") / 50))
+    assert rows(plain, "id") == rows(split, "id")
+
+
 def test_interval_bounds_are_inclusive(spark):
     left = spark.createDataFrame([("k", at(100))], "k string, lt timestamp")
     right = spark.createDataFrame([("k", at(s), s) for s in (94, 95, 100, 105, 106)], "k string, rt timestamp, s int")
@@ -284,6 +293,33 @@ def test_late_rows(spark):
     assert rows(got.select("i", "lateness_ms"), "i") == [(2, 20_000), (4, 90_000), (6, 190_000)]
 
 
+def test_late_side_channel(spark, tmp_path):
+    data = [(i, at(s)) for i, s in enumerate([100, 200, 120, 300, 150, 299, 50])]
+    stream = event_files(spark, str(tmp_path), data, "i int, ts timestamp", 7)
+    for state in ("one", "again"):
+        run.split_late(stream, "ts", 60_000, str(tmp_path / "split"), "late", str(tmp_path / state))
+        late = spark.read.parquet(str(tmp_path / "split" / "late"))
+        assert rows(late.select("i", "lateness_ms"), "i") == [(2, 20_000), (4, 90_000), (6, 190_000)]
+        assert spark.read.parquet(str(tmp_path / "split" / "on_time")).count() == 4
+
+
+def test_running_count_of_a_hot_key(spark):
+    df = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, F.col("id") % 50).otherwise(-1).alias("k")).repartition(6)
+    got = windows.running_count(df, "k", ["id"])
+    from pyspark.sql import Window
+
+    expected = df.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("id")).cast("bigint"))
+    assert rows(got, "id") == rows(expected, "id")
+
+
+def test_expired_snapshots(spark, tmp_path):
+    schema = "id string, v int, seq bigint"
+    t = keyed_table(spark, tmp_path, schema, "id", "last")
+    for i in range(3):
+        t.merge(spark.createDataFrame([("a", i, i)], schema), i, commit_time=i * 1000)
+    assert t.expire(2500) == 2 and [m["snapshot_id"] for m in t.manifests()] == [3] and rows(t.read()) == [("a", 2, 2)]
+
+
 def test_quality_reports(spark):
     df = quality.inject_duplicates(spark.range(100), "id", 10)
     assert rows(quality.duplicate_report(df, ["id"])) == [(109, 9, 9)]

@@ -55,17 +55,27 @@ def window_join(left: DataFrame, right: DataFrame, on: list[str], lts: str, rts:
     return counts.filter((F.col(names[0]) > 0) & (F.col(names[1]) > 0)).select(*on, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *names)
 
 
-def asof_join(left: DataFrame, right: DataFrame, on: list[str], lts: str, rts: str, cols: list[str], max_age: str | None = None) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, on: list[str], lts: str, rts: str, cols: list[str], max_age: str | None = None, bucket: Column | None = None) -> DataFrame:
     """Left rows with `cols` of the right row of the same key with the latest rts <= lts; null where there is none, or
     where it is older than max_age.
 
     One shuffle and one sort of the union of both sides. Right rows that tie on key and time: the largest values win.
+    For few or hot keys, `bucket` (an ascending function of the time, which it names __ts) splits a key into one task a
+    bucket: what was last before a bucket is carried over from one row for each key and bucket.
     """
     found = F.struct(F.col(rts).alias("__rts"), *cols)
     l = left.select(*on, F.col(lts).alias("__ts"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__row"), F.lit(None).cast(right.select(found.alias("x")).schema["x"].dataType).alias("__found"))  # noqa: E741
     r = right.select(*on, F.col(rts).alias("__ts"), F.lit(0).alias("__side"), F.lit(None).cast(l.schema["__row"].dataType).alias("__row"), found.alias("__found"))
-    w = Window.partitionBy(*on).orderBy("__ts", "__side", "__found").rowsBetween(Window.unboundedPreceding, 0)
-    out = l.unionByName(r).withColumn("__last", F.last("__found", ignorenulls=True).over(w)).filter("__side = 1")
+    rows, keys = l.unionByName(r), [*on]
+    if bucket is not None:
+        rows, keys = rows.withColumn("__bucket", bucket), [*on, "__bucket"]
+    w = Window.partitionBy(*keys).orderBy("__ts", "__side", "__found").rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumn("__last", F.last("__found", ignorenulls=True).over(w)).filter("__side = 1")
+    if bucket is not None:
+        ends = rows.groupBy(*keys).agg(F.max("__found").alias("__end"))  # __found begins with its time
+        earlier = Window.partitionBy(*on).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select(*keys, F.last("__end", ignorenulls=True).over(earlier).alias("__carried")).filter("__carried IS NOT NULL")
+        out = out.join(carried, keys, "left").withColumn("__last", F.coalesce("__last", "__carried"))
     fresh = F.lit(True) if max_age is None else F.col("__ts") - F.expr(f"interval {max_age}") <= F.col("__last.__rts")
     return out.select("__row.*", *(F.when(fresh, F.col("__last")[c]).alias(c) for c in cols))
 

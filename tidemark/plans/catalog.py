@@ -98,6 +98,16 @@ def late_rows(spark, sf_dir):
     return found.select("event_id", "user_id", "watermark_at_arrival_ms", "lateness_ms")
 
 
+@query("""WITH a AS (SELECT *, (event_id * 7919) % 1000003 AS k FROM events),
+      p AS (SELECT *, max(ts) OVER (ORDER BY k, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM a)
+      SELECT count(*) FILTER (epoch_us(ts) // 1000 < epoch_us(seen) // 1000 - 86400000) AS late, count(*) AS total FROM p""")
+def late_coverage(spark, sf_dir):
+    """How many events come more than a day late."""
+    shuffled = events(spark, sf_dir).withColumn("arrival", F.struct(((F.col("event_id") * 7919) % 1000003).alias("k"), "event_id"))
+    late = windows.late_rows(shuffled, "ts", "arrival", 86_400_000).agg(F.count(F.lit(1)).alias("late"))
+    return late.join(shuffled.agg(F.count(F.lit(1)).alias("total")))  # one row each
+
+
 @query("SELECT event_id, user_id, concat(user_id, '#', row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS tag FROM events")
 def running_count(spark, sf_dir):
     counted = windows.running_count(events(spark, sf_dir), "user_id", ["ts", "event_id"])
@@ -165,9 +175,9 @@ def window_join_counts(spark, sf_dir):
 _ASOF = "FROM (SELECT * FROM events WHERE event_type = 'purchase') t ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON t.user_id = v.user_id AND t.ts >= v.ts"
 
 
-def _asof(spark, sf_dir, max_age=None) -> DataFrame:
+def _asof(spark, sf_dir, max_age=None, bucket=None) -> DataFrame:
     trades, rates = _trades_quotes(events(spark, sf_dir))
-    return joins.asof_join(trades, rates.withColumnRenamed("quote", "rate"), ["user_id"], "trade_ts", "quote_ts", ["quote_id", "rate"], max_age)
+    return joins.asof_join(trades, rates.withColumnRenamed("quote", "rate"), ["user_id"], "trade_ts", "quote_ts", ["quote_id", "rate"], max_age, bucket)
 
 
 @query("SELECT t.event_id AS trade_id, v.event_id AS quote_id, round(v.value, 4) AS rate, floor(coalesce(t.value * v.value, 0) * 100 + 0.5) / 100 AS notional_usd " + _ASOF)
@@ -177,7 +187,8 @@ def asof_rate(spark, sf_dir):
 
 @query("SELECT t.event_id AS trade_id, CASE WHEN t.ts - INTERVAL 6 HOUR <= v.ts THEN round(v.value, 4) END AS rate " + _ASOF)
 def asof_rate_retained(spark, sf_dir):
-    return _asof(spark, sf_dir, "6 hours").select("trade_id", F.round("rate", 4).alias("rate"))
+    """Rates go stale after six hours; keys are split by day."""
+    return _asof(spark, sf_dir, "6 hours", F.to_date("__ts")).select("trade_id", F.round("rate", 4).alias("rate"))
 
 
 @query("SELECT t.event_id AS trade_id, t.user_id, round(v.value, 4) AS rate " + _ASOF + " WHERE t.ts <= (SELECT max(ts) - INTERVAL 5 SECOND FROM events)")
@@ -322,7 +333,7 @@ def notional_by_country(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), X.notional(F.col("l_quantity"), F.col("l_extendedprice")).alias("v"))
     by = lines.groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("c"), F.sum("v").alias("v"))  # one row a supplier before the joins
     out = joins.lookup_join(by, table(spark, sf_dir, "supplier"), ["s_suppkey"], ["s_nationkey"], "inner")
-    out = out.join(F.broadcast(table(spark, sf_dir, "nation").limit(1000)), F.col("s_nationkey") == F.col("n_nationkey"))
+    out = joins.lookup_join(out, table(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "s_nationkey"), ["s_nationkey"], ["n_name"], "inner")
     return out.groupBy("n_name").agg(F.sum("c").alias("trades"), F.round(F.sum("v"), 0).alias("notional")).orderBy(F.desc("notional"))
 
 

@@ -102,6 +102,16 @@ def to_key_value(df: DataFrame, key: str) -> DataFrame:
     return df.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct("*")).alias("value"))
 
 
+def write_messages(stream: DataFrame, key: str, servers: str, topic: str, checkpoint: str):
+    """Keyed JSON messages to a Kafka topic, at least once."""
+    return to_key_value(stream, key).writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("checkpointLocation", checkpoint).start()
+
+
+def discard(df: DataFrame) -> None:
+    """Run a plan for its effects; rows go nowhere."""
+    df.write.format("noop").mode("overwrite").save()
+
+
 def fan_out(batch: DataFrame, routes: dict[str, Column], write: Callable[[str, DataFrame], None]) -> None:
     """One input, many outputs: the batch is kept once and each route's rows are written."""
     kept = batch.persist()

@@ -159,6 +159,18 @@ class KeyedTable:
         if not fs.rename(self._path(f"{name}.tmp"), self._path(name)):
             raise RuntimeError(f"{name} is published already")
 
+    def expire(self, older_than_ms: int, keep: int = 1) -> int:
+        """Forget snapshots committed before a time, but for the last `keep`, and the files that only they hold. Applied
+        batch ids stay known through the snapshots that are left, so expire only what can't be replayed any more."""
+        all_, fs = self.manifests(), self._fs()
+        gone = [m for m in all_[: len(all_) - keep] if m["commit_time"] < older_than_ms]
+        held = {p for m in all_ if m not in gone for p in m["buckets"].values()}
+        for m in gone:
+            fs.delete(self._path(f"manifests/{m['snapshot_id']:012d}.json"), False)
+        for path in {p for m in gone for p in m["buckets"].values()} - held:
+            fs.delete(self._path(path), True)
+        return len(gone)
+
     def changes(self, since: int = 0) -> DataFrame:
         """op (+I, -U, +U) and rows that turn the snapshot `since` into the present table."""
         return changelog(self.read(snapshot=since) if since else self.spark.createDataFrame([], self.schema), self.read(), self.keys)

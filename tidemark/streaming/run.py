@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.workdir import scratch
 
@@ -36,3 +37,27 @@ def run_batches(plan: DataFrame, each: Callable[[DataFrame, int], None], name: s
     checkpoint = checkpoint or scratch(plan.sparkSession, f"{name}-state")
     query = plan.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def split_late(plan: DataFrame, ts: str, delay_ms: int, folder: str, name: str, checkpoint: str | None = None) -> None:
+    """Side channel for late rows of a stream without a watermark: each batch is measured against the largest time of the
+    batches before, less the delay; late rows go to folder/late with watermark_at_arrival_ms and lateness_ms, the others
+    to folder/on_time. The maximum of each batch is a committed row of its own, so a replayed batch is split the same way."""
+    spark = plan.sparkSession
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        kept = batch.withColumn("__ms", F.unix_millis(F.col(ts).cast("timestamp"))).persist()
+        try:
+            seen = None
+            if batch_id:
+                seen = spark.read.schema("top bigint, batch_id bigint").parquet(f"{folder}/max").filter(F.col("batch_id") < batch_id).agg(F.max("top")).first()[0]
+            mark = F.lit(None if seen is None else seen - delay_ms).cast("bigint")
+            late = F.coalesce(F.col("__ms") < mark, F.lit(False))
+            out = kept.filter(late).withColumns({"watermark_at_arrival_ms": mark, "lateness_ms": mark - F.col("__ms")}).drop("__ms")
+            out.write.mode("overwrite").parquet(f"{folder}/late/batch_id={batch_id}")
+            kept.filter(~late).drop("__ms").write.mode("overwrite").parquet(f"{folder}/on_time/batch_id={batch_id}")
+            kept.agg(F.max("__ms").alias("top")).write.mode("overwrite").parquet(f"{folder}/max/batch_id={batch_id}")
+        finally:
+            kept.unpersist()
+
+    run_batches(plan, each, name, checkpoint=checkpoint)
