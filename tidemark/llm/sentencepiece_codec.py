@@ -20,13 +20,14 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-_WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Words remembered by a Python worker, twice: when as many new ones have come, those not met since are forgotten.
-MEMORY = 120_000
+MEMORY = 250_000
 
 
 class PieceModel:
@@ -57,11 +58,17 @@ class PieceModel:
         self._pairs: dict[tuple[str, str], bool] = {}
         self.automaton = ahocorasick.Automaton()
         for piece in self.ids:
-            if (piece.strip(SPACE) or piece == SPACE) and self.reachable(piece):
+            if len(piece) > 1 and piece.strip(SPACE) and self.reachable(piece):  # a single character is what remains
                 self.automaton.add_word(piece, piece)
         self.automaton.make_automaton()
         #: Neighbouring characters inside pieces; no merge crosses any other seam.
         self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        #: ASCII marks that stand beside none but marks and spaces in pieces: a text is cut around their runs.
+        marks = {chr(c) for c in range(128) if not chr(c).isalnum()}
+        while alone := {c for a, b in self.inside for c, d in ((a, b), (b, a)) if c in marks and d not in marks and d != SPACE}:
+            marks -= alone
+        runs = f"[{re.escape(''.join(sorted(marks)))}]+" if marks else f"(?!){SPACE}"
+        self.words = re.compile(f"{SPACE}*(?:{runs}|[^{SPACE}{re.escape(''.join(sorted(marks)))}]+)|{SPACE}+")
         #: What a piece decodes to; None for byte pieces, which join to characters first.
         self.surfaces = [self.unk_surface if k == 2 else "" if k == 3 else None if k == 6 else p.replace(SPACE, " ") for p, k in zip(self.pieces, self.kinds, strict=True)]
 
@@ -192,12 +199,15 @@ class Codec:
         self.memory[word] = known
         return known
 
-    def entries(self, text: str) -> list[tuple[str, int, str]]:
+    def entries(self, text: str, prefix: str | None = None) -> list[tuple[str, int, str]]:
         if not text:
             return []
-        text = self.model.prefix + text.replace(" ", SPACE)
-        make = self._entry
-        return [self.memory.get(w) or make(w) for w in _WORDS.findall(text)]
+        text = (self.model.prefix if prefix is None else prefix) + text.replace(" ", SPACE)
+        make, out = self._entry, []
+        for at in range(0, len(words := self.model.words.findall(text)), 5000):
+            get = self.memory.get  # the memory changes hands when it is full
+            out += [get(w) or make(w) for w in words[at : at + 5000]]
+        return out
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for e in self.entries(text) for i in e[0].split(",")]
@@ -239,6 +249,39 @@ class Codec:
         return surface[1:] if self.model.prefix and surface.startswith(" ") else surface
 
 
+    def columns(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """Numbers of ids, ids joined by commas, and decoded texts of a column.
+
+        Texts are split at single spaces and words coded once for the column; the words' results are put together by
+        Arrow. Texts with runs of spaces, or space marks of their own, go one by one.
+        """
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        odd = pc.match_substring_regex(texts, f"^( |$)|  |{SPACE}") if self.model.prefix else pa.array([True] * len(texts), pa.bool_())
+        plain = pc.split_pattern(pc.if_else(odd, "", texts), " ")
+        words = plain.values.dictionary_encode()
+        memory, older = self.memory, self.older
+        found = [memory.get(w) or older.get(w) or self.join(self.entries(w, "")) for w in [SPACE + t for t in words.dictionary.to_pylist()]]
+        codes, offsets = words.indices, plain.offsets
+        joined = [pc.binary_join(pa.ListArray.from_arrays(offsets, pa.array([f[i] for f in found], pa.string()).take(codes)), sep) for i, sep in ((0, ","), (2, ""))]
+        sums = np.r_[0, np.cumsum(np.array([f[1] for f in found], np.int64)[codes.to_numpy()])]
+        at = offsets.to_numpy()
+        counts = sums[at[1:]] - sums[at[:-1]]
+        decoded = pc.utf8_slice_codeunits(joined[1], 1)  # without the first space
+        if (rest := np.flatnonzero(odd.to_numpy(zero_copy_only=False))).size:
+            own = [self.join(self.entries(t.as_py())) for t in texts.take(pa.array(rest))]
+            counts[rest] = [f[1] for f in own]
+            mask = odd
+            ids = pc.replace_with_mask(joined[0], mask, pa.array([f[0] for f in own], pa.string()))
+            return counts, ids, pc.replace_with_mask(decoded, mask, pa.array([self._strip(f[2]) for f in own], pa.string()))
+        return counts, joined[0], decoded
+
+    @staticmethod
+    def join(entries: list[tuple[str, int, str]]) -> tuple[str, int, str]:
+        if len(entries) == 1:
+            return entries[0]
+        return ",".join([e[0] for e in entries]), sum([e[1] for e in entries]), "".join([e[2] for e in entries])
+
+
 _codecs: dict[str, Codec] = {}
 
 
@@ -250,6 +293,11 @@ def _codec(path: str) -> Codec:
     return _codecs[path]
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for at in range(0, batch.num_rows, 4000):
+        yield batch.slice(at, 4000)
+
+
 def encode_documents(docs: DataFrame, model_path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` columns, n_tokens, ids (array<int>) and decoded (the ids' text) of every row; the whole texts stay in their tasks."""
     fields = [docs.schema[c] for c in keep]
@@ -257,29 +305,24 @@ def encode_documents(docs: DataFrame, model_path: str, keep: tuple[str, ...] = (
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model_path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids = [codec.encode(t) if t else [] for t in part.column("text").to_pylist()]
-                out = [pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([codec.decode(i) for i in ids], pa.string())]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *out], names=[*keep, "n_tokens", "ids", "decoded"])
+        for part in (p for b in batches for p in _slices(b)):
+            counts, ids, decoded = codec.columns(part.column("text"))
+            values = np.fromstring(",".join(filter(None, ids.to_pylist())), np.int32, sep=",")
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(values))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(counts), lists, decoded], names=[*keep, "n_tokens", "ids", "decoded"])
 
     return docs.select(*keep, *(["text"] if "text" not in keep else [])).mapInArrow(run, schema)
 
 
 def digest_documents(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row, from the same words as encode_documents()."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row, from the same columns as encode_documents()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model_path)
-        for batch in batches:
-            counts, of_ids, of_text = [], [], []
-            for text in batch.column("text").to_pylist():
-                found = codec.entries(text or "")
-                counts.append(sum([e[1] for e in found]))
-                of_ids.append(hashlib.sha256(",".join([e[0] for e in found]).encode()).hexdigest())
-                of_text.append(hashlib.sha256(codec._strip("".join([e[2] for e in found])).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for part in (p for b in batches for p in _slices(b)):
+            counts, ids, decoded = codec.columns(part.column("text"))
+            digests = [pa.array([hashlib.sha256(t or b"").hexdigest() for t in c.cast(pa.binary()).to_pylist()], pa.string()) for c in (ids, decoded)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts), *digests], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
