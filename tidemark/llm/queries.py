@@ -84,4 +84,13 @@ def oracle_sql() -> dict[str, str]:
                  g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
             SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256
             FROM d JOIN g USING (text_sha256)""",
+        "op5_chat_format": r"""
+            WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                       UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+                 e AS (SELECT *, length(regexp_replace(role || chr(0) || text, '([<\[])(\\*)(/?s>|/?INST\]|<SYS>>|</SYS>>)', '\1\\\2\3', 'g')) - 1 AS escaped FROM t)
+            SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+                   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+                   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+                   CAST(sum(escaped + 20) AS BIGINT) AS formatted_chars
+            FROM e GROUP BY conv_id""",
     }
