@@ -1,9 +1,11 @@
 """N-gram Jaccard join: documents whose sets of word 5-grams overlap by 80 % or more, and the groups they form.
 
-Rare-first prefix filtering: two sets that overlap enough share an n-gram among the rarest of either, its prefix. How
-often n-grams occur is counted over all documents in a sketch of fixed width; any counts give right results, good ones
-give short lists. Prefix n-grams are shuffled, documents that meet on one pass a length and a positional filter, and a
-pair's whole sets are compared once, behind a suffix filter.
+Rare-first prefix filtering: two sets that overlap enough share n-grams among the first of either in any order that
+holds for all. The first order puts n-grams last that a sketch of fixed width has counted often over all documents;
+a set's first fifth and sixteenth is shuffled, so how many sets share each of these n-grams is then known exactly.
+Similar sets share at least a twentieth of their n-grams there, so of the shuffled n-grams only a prefix in order of
+the exact counts has to meet: a set most of whose n-grams nobody shares is out. Pairs that meet pass length and
+positional filters, and their whole sets are compared once, behind a suffix filter.
 
 Equal sets are one class from the start, so copies cost nothing. To keep lists of thousands of near copies linear, each
 member is first compared with the one member of its lists that it meets most often. What is connected then needs no
@@ -23,18 +25,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import build_filter, checkpoint, filter_bits, in_filter, map_arrow, texts_of, without_ids
+from tidemark.llm.common import build_filter, checkpoint, filter_bits, in_filter, map_arrow, release, texts_of, without_ids
 from tidemark.llm.graph import attach, components
 
 #: Counters of the frequency sketch, and the slices in which they are summed: a fixed 2 MB is broadcast.
 SKETCH = 1 << 21
 SLICES = 64
 #: A list with more pairs than this for each of its members, over all lists, gets another linear round first.
-PAIRS_A_ROW = 20
-ROUNDS = 4
+PAIRS_A_ROW = 300
+ROUNDS = 3
 #: A pivot's comparisons are dealt over so many tasks.
 SALTS = 32
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -120,71 +122,53 @@ def _levels(parts: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+def extra(n):
+    """N-grams that the first prefix holds beyond the usual one, less one: so many, plus one, are shared by similar sets of n or more."""
+    return n // 16
+
+
+def prefix_length(n, percent: int):
+    return n - (n * percent + 99) // 100 + 1 + extra(n)
+
+
 def _prefixes(docs: DataFrame, n: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """sh, sid, n, pos: the rarest n-grams of every set, each set once a task."""
+    """sh, sid, n: the first n-grams of every set, each set once a task."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, seen = shared.value, set()
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
-                sh, sid, size, pos = [], [], [], []
+                sh, sid, size = [], [], []
                 for text in texts_of(batch.slice(at, 2000)):
                     s = shingle_set(text, n)
                     if not len(s) or (own := _set_id(s)) in seen:
                         continue
                     seen.add(own)
                     order = np.argsort((level[s & np.uint64(SKETCH - 1)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8)), kind="stable")
-                    first = s[order[: len(s) - (len(s) * percent + 99) // 100 + 1]]
+                    first = s[order[: prefix_length(len(s), percent)]]
                     sh.append(first)
                     sid.append(np.full(len(first), own, np.uint64))
                     size.append(np.full(len(first), len(s), np.int32))
-                    pos.append(np.arange(len(first), dtype=np.int32))
                 if sh:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sh).view(np.int64)), pa.array(np.concatenate(sid).view(np.int64)), pa.array(np.concatenate(size)), pa.array(np.concatenate(pos))], names=["sh", "sid", "n", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sh).view(np.int64)), pa.array(np.concatenate(sid).view(np.int64)), pa.array(np.concatenate(size))], names=["sh", "sid", "n"])
 
-    return docs.select("text").mapInArrow(run, "sh bigint, sid bigint, n int, pos int")
+    return docs.select("text").mapInArrow(run, "sh bigint, sid bigint, n int")
 
 
 def _lists(prefixes: DataFrame, percent: int) -> DataFrame:
-    """Members of lists with two sets or more: sh, sid, n, pos, and the smallest member as pivot where the filters pass.
-
-    A task reads its lists in order and keeps the pivot of the current one alone, so a list may have any length.
-    """
-    names = ["sh", "sid", "n", "pos"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None  # the current list's pivot
-        told = False  # has it been given out?
-        before = None  # the last row
-        for batch in batches:
-            cols = [batch.column(c).to_numpy() for c in names]
-            if held is not None:
-                cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
-            sh, sid, n, pos = cols
-            rows = np.arange(len(sh))
-            start = np.r_[True, sh[1:] != sh[:-1]]
-            pivot = np.maximum.accumulate(np.where(start, rows, 0))
-            copy = np.r_[False, (sid[1:] == sid[:-1]) & (sh[1:] == sh[:-1])] | (~start & (sid == sid[pivot]))
-            if held is not None and before is not None and len(sh) > 1 and (sh[1], sid[1]) == before:
-                copy[1] = True
-            follower = ~start & ~copy
-            live = np.zeros(len(sh), bool)
-            live[pivot[follower]] = True
-            if told:
-                live[0] = False
-            keep = follower | live
-            a, b = n[pivot].astype(np.int64), n.astype(np.int64)
-            need = (percent * (a + b) + 99 + percent) // (100 + percent)
-            near = follower & (100 * a >= percent * b) & (1 + np.minimum(a - pos[pivot] - 1, b - pos - 1) >= need)
-            last = pivot[-1]
-            told = bool(follower[last:].any()) or (told and last == 0)
-            held = [c[last : last + 1] for c in cols]
-            before = (sh[-1], sid[-1])
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([*(pa.array(c[keep]) for c in cols), pa.array(sid[pivot][keep], mask=~near[keep])], names=[*names, "pivot"])
-
-    return prefixes.repartition("sh").sortWithinPartitions("sh", "n", "sid").mapInArrow(run, "sh bigint, sid bigint, n int, pos int, pivot bigint")
+    """sh, sid, n, pos, own: members of lists with two sets or more, in the second prefix; pos is the place in the order of
+    exact counts, own the share of n-grams in the first prefix that no other set has there."""
+    by_list = Window.partitionBy("sh")
+    shared = prefixes.select("sh", "sid", "n", F.count(F.lit(1)).over(by_list).alias("g"), F.min("sid").over(by_list).alias("lo"), F.max("sid").over(by_list).alias("hi"))
+    shared = shared.filter("lo <> hi").select("sh", "sid", "n", "g").distinct()
+    by_set = Window.partitionBy("sid")
+    placed = shared.withColumn("rank", F.row_number().over(by_set.orderBy("g", "sh"))).withColumn("met", F.count(F.lit(1)).over(by_set))
+    length = F.expr(f"n - (n * {percent} + 99) div 100 + 1 + n div 16")
+    need = F.expr(f"((n * {percent} + 99) div 100) div 16 + 1")  # of the smallest partner
+    kept = placed.withColumn("pos", (length - F.col("met") + F.col("rank") - 1).cast("int")).filter(F.col("pos") <= length - need)
+    again = kept.select("sh", "sid", "n", "pos", ((length - F.col("met")) / F.col("n")).cast("float").alias("own"), F.min("sid").over(by_list).alias("lo"), F.max("sid").over(by_list).alias("hi"))
+    return again.filter("lo <> hi").select("sh", "sid", "n", "pos", "own")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -245,17 +229,21 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     classes = checkpoint(base.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")))
     levels = _levels(counted.filter("slice IS NOT NULL").select("slice", "counts"))
     live = checkpoint(_lists(_prefixes(docs, n, percent, levels), percent))
-    texts = _texts(docs, live.select("sid").distinct(), classes, n)
+    parts = 8 + live.count() // 100_000  # of the small tables that follow
+    texts = _texts(docs, live.select("sid").distinct().coalesce(parts), classes, n)
 
-    most = live.filter("pivot IS NOT NULL").groupBy("sid", "pivot").count().groupBy("sid").agg(F.max(F.struct("count", "pivot")).alias("m"))
-    tried = checkpoint(most.select(F.col("m.pivot").alias("a"), F.col("sid").alias("b")))
+    # The member with the least of its own is the most central one of a list.
+    pivots = live.groupBy("sh").agg(F.min(F.struct("own", "sid"))["sid"].alias("pivot"))
+    most = live.join(pivots, "sh").filter("sid <> pivot").groupBy("sid", "pivot").count().groupBy("sid").agg(F.max(F.struct("count", "pivot")).alias("m"))
+    tried = checkpoint(most.select(F.col("m.pivot").alias("a"), F.col("sid").alias("b")).coalesce(parts))
     links = checkpoint(_compare(tried, texts, n, percent))
+    comp = components(links, "a", "b", parts)
     for turn in range(ROUNDS):
-        comp = components(links, "a", "b")
-        named = live.drop("pivot").join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-        mixed = named.groupBy("sh").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("sh")
-        apart = checkpoint(named.join(mixed, "sh"))
-        sums = apart.groupBy("sh", "comp").count().groupBy("sh").agg(F.sum("count").alias("t"), F.sum(F.col("count") * F.col("count")).alias("s"))
+        release(docs.sparkSession)
+        named = live.join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid")).coalesce(parts)
+        mixed = named.groupBy("sh").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("sh").coalesce(parts)
+        apart = checkpoint(named.join(mixed, "sh").coalesce(parts))
+        sums = apart.groupBy("sh", "comp").count().coalesce(parts).groupBy("sh").agg(F.sum("count").alias("t"), F.sum(F.col("count") * F.col("count")).alias("s"))
         rows, pairs = sums.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum((F.col("t") * F.col("t") - F.col("s")) / 2), F.lit(0))).first()
         if not rows:
             break
@@ -265,19 +253,25 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
             chosen = left.groupBy("sh").agg(F.min_by(F.struct("a", "na", "pa", "ca"), F.xxhash64("a", F.lit(turn))).alias("m"))
             left = chosen.select("sh", "m.*")
         right = apart.select("sh", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"))
-        once = f"100 * least(na, nb) >= {percent} * greatest(na, nb) AND 1 + least(na - pa - 1, nb - pb - 1) >= ceil({percent} * (na + nb) / {100 + percent})"
+        # At their first common n-gram in the exact order, what may still follow in the first prefixes and after them must suffice.
+        size = lambda x: f"({x} - ({x} * {percent} + 99) div 100 + 1 + {x} div 16)"
+        once = f"100 * least(na, nb) >= {percent} * greatest(na, nb) AND least({size('na')} - pa, {size('nb')} - pb) + greatest(na - {size('na')}, nb - {size('nb')}) >= ceil({percent} * (na + nb) / {100 + percent})"
         new = left.join(right, "sh").filter(F.expr(f"ca <> cb AND {'(na, a) < (nb, b)' if last else 'true'} AND {once}".replace("(na, a) < (nb, b)", "(na < nb OR (na = nb AND a < b))"))).select("a", "b").distinct()
         done = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        new = checkpoint(new.join(done, ["a", "b"], "left_anti"))
-        links = checkpoint(links.unionByName(_compare(new, texts, n, percent)))
+        new = checkpoint(new.coalesce(parts).join(done, ["a", "b"], "left_anti").coalesce(parts))
+        more = checkpoint(_compare(new, texts, n, percent))
+        if more.limit(1).count():
+            links = checkpoint(links.unionByName(more).coalesce(parts))
+            comp = components(links, "a", "b", parts)
         if last:
             break
-        tried = checkpoint(tried.unionByName(new))
+        tried = checkpoint(tried.unionByName(new).coalesce(parts))
 
-    comp = components(links, "a", "b")
+    release(docs.sparkSession)
     joined = classes.join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    joined = joined.coalesce(parts + classes.count() // 100_000)
     least = joined.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = joined.join(least, "comp").select("sid", "component_id", "size")
+    named = checkpoint(joined.join(least, "comp").select("sid", "component_id", "size"))
     full = base.filter("sid IS NOT NULL")
     found = attach(full, named, "sid", "size", base.count())
     blank = base.filter("sid IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
