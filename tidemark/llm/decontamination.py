@@ -29,7 +29,7 @@ from tidemark.llm.common import map_arrow, texts_of, without_ids
 #: The index is broadcast; a benchmark of more characters than this is refused and has to be searched in parts.
 MAX_BENCHMARK_CHARS = 200_000_000
 K1, B = 1.2, 0.75
-BLOCK = 32
+BLOCK = 4
 _TABLE = bytes(c + 32 if 65 <= c < 91 else c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else 32 for c in range(256))
 _ANSWER = re.compile(rb"(?im)^(?:answer|a)\s*:")
 
@@ -141,23 +141,24 @@ class ItemIndex:
         get, hits = self.terms.get, []
         words = [words_of(t) for t in texts]
         ids = [np.array([get(w, -1) for w in ws], np.int64) for ws in words]
-        # Distinct known terms of every half window, their block maxima, and the bound of two halves side by side.
+        # Distinct known terms of every passage (a half window and the next), and the sums of their block maxima.
         doc = np.repeat(np.arange(len(texts)), [len(i) for i in ids])
         flat = np.concatenate(ids) if ids else np.empty(0, np.int64)
         half = np.concatenate([np.arange(len(i)) // self.half for i in ids]) if ids else flat
         halves, slot = np.unique(doc * np.int64(1 << 32) + half, return_inverse=True)
         known = flat >= 0
-        pairs = np.unique(slot[known] * np.int64(len(self.terms)) + flat[known])
-        own_slot, own_term = pairs // len(self.terms), pairs % len(self.terms)
+        key, term = slot[known], flat[known]
+        follows = np.r_[False, halves[1:] >> 32 == halves[:-1] >> 32]  # a half that also belongs to the passage before
+        second = follows[key]
+        pairs = np.unique(np.r_[key, key[second] - 1] * np.int64(len(self.terms)) + np.r_[term, term[second]])
         if not len(pairs):
             return []
-        bound = np.zeros((len(halves) + 1, self.blocks), np.float32)
+        own_slot, own_term = pairs // len(self.terms), pairs % len(self.terms)
+        bound = np.zeros((len(halves), self.blocks), np.float32)
         starts = np.flatnonzero(np.r_[True, own_slot[1:] != own_slot[:-1]])
         for b in range(0, self.blocks, 256):  # so many columns at a time
             bound[own_slot[starts], b : b + 256] = np.add.reduceat(self.block_max[own_term, b : b + 256], starts, axis=0)
-        next_same = np.r_[(halves[1:] >> 32 == halves[:-1] >> 32), False]
-        both = bound[:-1] + np.where(next_same[:, None], bound[1:], 0)
-        for s, block in zip(*np.nonzero(both >= self.threshold - 1e-4), strict=True):
+        for s, block in zip(*np.nonzero(bound >= self.threshold - 1e-4), strict=True):
             d, h = int(halves[s] >> 32), int(halves[s] & 0xFFFFFFFF)
             span = slice(h * self.half, (h + 2) * self.half)
             found = self.wand(np.unique(ids[d][span][ids[d][span] >= 0]).tolist(), int(block))
