@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 
 SPACE = "▁"
 #: Words remembered by a Python worker, twice: when as many new ones have come, those not met since are forgotten.
-MEMORY = 250_000
+MEMORY = 150_000
 
 
 class PieceModel:
@@ -293,9 +293,9 @@ def _codec(path: str) -> Codec:
     return _codecs[path]
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, 4000):
-        yield batch.slice(at, 4000)
+def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
 
 
 def encode_documents(docs: DataFrame, model_path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -305,7 +305,7 @@ def encode_documents(docs: DataFrame, model_path: str, keep: tuple[str, ...] = (
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model_path)
-        for part in (p for b in batches for p in _slices(b)):
+        for part in (p for b in batches for p in _slices(b, 500)):  # ids and texts of a slice are held at once
             counts, ids, decoded = codec.columns(part.column("text"))
             values = np.fromstring(",".join(filter(None, ids.to_pylist())), np.int32, sep=",")
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(values))
@@ -319,7 +319,7 @@ def digest_documents(docs: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model_path)
-        for part in (p for b in batches for p in _slices(b)):
+        for part in (p for b in batches for p in _slices(b, 2000)):
             counts, ids, decoded = codec.columns(part.column("text"))
             digests = [pa.array([hashlib.sha256(t or b"").hexdigest() for t in c.cast(pa.binary()).to_pylist()], pa.string()) for c in (ids, decoded)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts), *digests], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
