@@ -259,6 +259,58 @@ def test_license_rules(text, labels):
     assert license_scan.scan(text.encode())[5] == labels
 
 
+@pytest.mark.parametrize(("text", "labels"), [
+    ("This product includes software developed by the Apache\nSoftware Foundation", "apache-1.1"), ("includes: This product includes software developed by the OpenSSL Project", "openssl"),
+    ("To the extent possible under law, X has waived all copyright", "cc0-1.0"), ("Do what the fuck you want to public license", "wtfpl"), ("Gemma Terms of Use", "gemma"),
+    ("in the public\ndomain", "public-domain"), ("Creative\nCommons Zero", "cc0-1.0"), ("All advertising materials mentioning features or use of this software must display", "bsd-4-clause"),
+])
+def test_license_rules_without_other_words(text, labels):
+    assert license_scan.scan(text.encode())[5] == labels
+
+
+def written(parsed, r):
+    """A text that a parsed expression matches, wrapped at some of its gaps."""
+    from re import _parser as p
+
+    out = b""
+    for op, value in parsed:
+        if op is p.LITERAL:
+            out += bytes([value])
+        elif op is p.ANY:
+            out += b"\n"
+        elif op is p.IN:
+            kinds = [v for _, v in value]
+            gap = p.CATEGORY_SPACE in kinds or (0, 0x2F) in kinds
+            out += r.choice([b" ", b"\n"]) if gap else b"x" if value[0][0] is p.NEGATE else bytes([r.choice(kinds)])
+        elif op in (p.MAX_REPEAT, p.MIN_REPEAT):
+            out += b"".join(written(value[2], r) for _ in range(r.randint(value[0], min(value[1], value[0] + 1))))
+        elif op is p.SUBPATTERN:
+            out += written(value[-1], r)
+        elif op is p.BRANCH:
+            out += written(r.choice(value[1]), r)
+    return out
+
+
+def test_license_gate_loses_nothing():
+    """Every rule matches the same with and without the gate, on texts made of its expression."""
+    from re import _parser
+
+    from tidemark.llm.license_rules import RULES
+
+    r = random.Random(4)
+    for rule in RULES:
+        parsed = _parser.parse(rule.pattern.pattern, rule.pattern.flags)
+        for _ in range(25):
+            low = written(parsed, r)
+            assert rule.pattern.search(low), (rule, low)
+            ungated = []
+            for x in RULES:
+                for b, e in (m.span() for m in x.pattern.finditer(low)):
+                    if not any(kb < e and b < ke and (kb <= b and e <= ke or e - b <= ke - kb) for kb, ke, _, _ in ungated):
+                        ungated.append((b, e, x.label, x.weight))
+            assert license_scan.detections(low) == sorted(ungated), (rule, low)
+
+
 # chat format
 
 

@@ -1,7 +1,7 @@
 """Licence scans: ordered signature rules, gated by keywords; priority and containment resolve overlaps.
 
 Every whole text is put in lower case (A-Z). The base phrases are counted wherever their words stand one after the
-other. Rules run only where their keyword occurs; a detection that lies inside one of a rule of higher priority is
+other. Rules run only where a keyword that their matches contain occurs; a detection that lies inside one of a rule of higher priority is
 dropped, and so is one that overlaps such a detection and is not longer. Labels of what is left join the base labels;
 the score is the weight of the best statement found.
 
@@ -18,25 +18,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidemark.llm.common import map_arrow, texts_of
-from tidemark.llm.license_rules import _GAP, RULES
+from tidemark.llm.license_rules import _GAP, RULES, Rule
 
 #: Base phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 _WORD = np.zeros(256, bool)
 _WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _PHRASES = [(label, phrase.split()[0].encode(), re.compile(rb"(?<![0-9a-z\x80-\xff])" + _GAP.encode().join(w.encode() for w in phrase.split()) + rb"(?![0-9a-z\x80-\xff])")) for phrase, label in BASE.items()]
-_KEYWORDS = sorted({r.keyword for r in RULES}, key=lambda k: (len(k), k))
+#: Rules by keyword; those without one are always tried.
+_BY_KEYWORD = {k: [i for i, r in enumerate(RULES) if k in r.keywords] for k in sorted({k for r in RULES for k in r.keywords})}
+_ALWAYS = [i for i, r in enumerate(RULES) if not r.keywords]
+
+
+def candidates(low: bytes) -> list[Rule]:
+    """The rules that may match a text in lower case, from the highest priority."""
+    return [RULES[i] for i in sorted({*_ALWAYS, *(i for k, own in _BY_KEYWORD.items() if k in low for i in own)})]
 
 
 def detections(low: bytes) -> list[tuple[int, int, str, float]]:
     """begin, end, label, weight of what is left after suppression, of a text in lower case."""
-    present = {k for k in _KEYWORDS if k in low}
     kept: list[tuple[int, int, str, float]] = []
-    if not present:
-        return kept
-    for rule in RULES:  # from the highest priority
-        if rule.keyword not in present:
-            continue
+    for rule in candidates(low):
         for m in rule.pattern.finditer(low):
             b, e = m.span()
             if not any(kb < e and b < ke and (kb <= b and e <= ke or e - b <= ke - kb) for kb, ke, _, _ in kept):
