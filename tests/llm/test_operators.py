@@ -370,6 +370,35 @@ def test_contaminated_documents(spark, sf_dir):
     assert decontamination.contaminated(docs, decontamination.build_index(benchmark.limit(0))).count() == 0
 
 
+def test_large_benchmark_is_searched_in_shards(spark, sf_dir):
+    """Shards find what one index finds, with the scores of the whole benchmark."""
+    benchmark, docs = spark.read.parquet(f"{sf_dir}/benchmark.parquet"), documents(spark, sf_dir)
+    benchmark = benchmark.unionByName(spark.createDataFrame([(-1, "word " * 3000), (-2, "..."), (None, None)], benchmark.select("item_id", "text").schema), allowMissingColumns=True)
+    whole, parts = (decontamination.build_index(benchmark, **size, threshold=0.5, question_share=0.3, answer_share=0.3) for size in ({}, {"shard_bytes": 1000}))
+    assert len(whole.shards) == 1 and len(parts.shards) > 4
+    sizes = [sum(len(x.text) for x in i.items) for i in parts.indexes()]
+    assert sorted(sizes)[-2] <= 1000 and max(sizes) == 15000
+    a, b = ({(r.doc_id, r.item_id): (r.passage, r.n_passages, round(r.score, 9)) for r in decontamination.contaminated(docs, x).collect()} for x in (whole, parts))
+    assert a == b and len(a) >= 3
+
+
+def test_index_grows_with_its_words():
+    """Not with terms x blocks, nor a search with passages x blocks."""
+    import pickle
+    import tracemalloc
+
+    r = random.Random(6)
+    items = [(i, " ".join(f"t{r.randrange(60_000)}" for _ in range(12)).encode()) for i in range(6000)]
+    index = decontamination.ItemIndex(items)
+    assert len(pickle.dumps(index)) < 8_000_000
+    texts = [" ".join(f"t{r.randrange(60_000)}" for _ in range(4000)).encode() for _ in range(50)] + [b"x " + items[7][1]]
+    tracemalloc.start()
+    found = index.search(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {index.items[n].item_id for d, n, _, _ in found if d == 50} == {7} and peak < 60_000_000
+
+
 # SentencePiece
 
 

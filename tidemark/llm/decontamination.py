@@ -2,11 +2,14 @@
 
 Test items form an inverted index whose lists hold each item's BM25 weight as a share of the item's own full score, so
 one threshold serves short and long items. Items are numbered by length and grouped in blocks with a maximum weight for
-each term (block-max). Passages are windows of words that overlap so far that an item lies whole in one of them. For a
+each term (block-max), kept for the terms that occur in it. Passages are windows of words that overlap so far that an item lies whole in one of them. For a
 batch of passages the block maxima of their distinct terms bound every item's score at once; only blocks that may reach
 the threshold are entered, by WAND over their lists, and all items above the threshold come back. A hit counts if the
 word trigrams of both the item's question and its answer lie in the passage to a given share.
 
+A benchmark of any size is searched whole: it is cut into shards of bounded bytes, whose indexes are made, broadcast and
+searched one after the other. Weights come from the item counts of the whole benchmark, so shards don't change results.
+
 An item's answer is what follows a line start `Answer:` or `A:`; without one, the last third of its words.
 
 Defined cases: null and empty texts have no hits, nor have items without words; items are told apart by item_id, and of
@@ -17,17 +20,25 @@ from __future__ import annotations
 
 import heapq
 import re
-from dataclasses import dataclass
+from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_arrow, texts_of, without_ids
+from tidemark.llm.common import checkpoint, map_arrow, texts_of, without_ids
 
-#: The index is broadcast; a benchmark of more characters than this is refused and has to be searched in parts.
-MAX_BENCHMARK_CHARS = 200_000_000
+#: Text of a shard at most, of which the index is broadcast at once; an item that is longer is a shard of its own.
+SHARD_BYTES = 4_000_000
+#: Text of the documents that a task searches together; a document that is longer is searched alone.
+SLICE_BYTES = 400_000
+#: Block maxima that are summed at once, and sums held at once (of one passage at least).
+ENTRIES = 1 << 18
 K1, B = 1.2, 0.75
 BLOCK = 4
 _TABLE = bytes(c + 32 if 65 <= c < 91 else c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else 32 for c in range(256))
@@ -44,61 +55,83 @@ def _trigrams(words: list[bytes]) -> set[tuple[bytes, ...]]:
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
 
 
+@dataclass
+class Corpus:
+    """What the weights of an item need to know of the whole benchmark; df may be of the shard's terms alone."""
+
+    items: int
+    words: int
+    longest: int
+    df: dict[bytes, int]
+
+
 @dataclass
 class Item:
     item_id: int
-    n_words: int
-    question: set[tuple[bytes, ...]]
-    answer: set[tuple[bytes, ...]]
+    text: bytes
+
+    def parts(self) -> tuple[set[tuple[bytes, ...]], set[tuple[bytes, ...]]]:
+        """Trigrams of the question and of the answer."""
+        split = _ANSWER.split(self.text, maxsplit=1)
+        if len(split) == 2:
+            return _trigrams(words_of(split[0])), _trigrams(words_of(split[1]))
+        w = words_of(self.text)
+        cut = -(-2 * len(w) // 3)
+        return _trigrams(w[:cut]), _trigrams(w[cut:])
 
 
 class ItemIndex:
-    """Inverted index of test items, lists by term in order of item number."""
+    """Inverted index of test items, lists by term in order of item number. Its size grows with the items' words."""
 
-    def __init__(self, items: list[tuple[int, bytes]], threshold: float = 0.6, question_share: float = 0.6, answer_share: float = 0.6):
+    def __init__(self, items: list[tuple[int, bytes]], threshold: float = 0.6, question_share: float = 0.6, answer_share: float = 0.6, corpus: Corpus | None = None):
         self.threshold, self.question_share, self.answer_share = threshold, question_share, answer_share
-        split = sorted(((len(w), i, w, t) for i, t in items if (w := words_of(t))), key=lambda x: x[:2])
-        n = len(split)
-        self.items: list[Item] = []
-        df: dict[bytes, int] = {}
-        for _, _, w, _ in split:
-            for t in set(w):
-                df[t] = df.get(t, 0) + 1
-        self.terms = {t: k for k, t in enumerate(sorted(df))}
-        idf = {t: np.log(1 + (n - d + 0.5) / (d + 0.5)) for t, d in df.items()}
-        mean = sum(x[0] for x in split) / max(1, n)
-        lists: list[list[tuple[int, float]]] = [[] for _ in self.terms]
-        self.blocks = -(-n // BLOCK)
-        self.block_max = np.zeros((len(self.terms), self.blocks), np.float32)
-        for number, (size, item_id, w, text) in enumerate(split):
-            own: dict[bytes, float] = {}
-            for t in w:
-                own[t] = own.get(t, 0) + 1
-            weight = {t: idf[t] * c * (K1 + 1) / (c + K1 * (1 - B + B * size / mean)) for t, c in own.items()}
-            full = sum(weight.values())
-            for t, v in weight.items():
-                k = self.terms[t]
-                lists[k].append((number, v / full))
-                self.block_max[k, number // BLOCK] = max(self.block_max[k, number // BLOCK], np.nextafter(np.float32(v / full), np.float32(2)))
-            parts = _ANSWER.split(text, maxsplit=1)
-            q, a = (words_of(parts[0]), words_of(parts[1])) if len(parts) == 2 else (w[: -(-2 * len(w) // 3)], w[-(-2 * len(w) // 3) :])
-            self.items.append(Item(item_id, size, _trigrams(q), _trigrams(a)))
-        self.numbers = [np.array([x[0] for x in v], np.int32) for v in lists]
-        self.weights = [np.array([x[1] for x in v]) for v in lists]
+        split = sorted(((len(w), i, t, Counter(w)) for i, t in items if (w := words_of(t))), key=lambda x: x[:2])
+        self.items = [Item(i, t) for _, i, t, _ in split]
+        if corpus is None:
+            corpus = Corpus(len(split), sum(x[0] for x in split), max((x[0] for x in split), default=1), Counter(t for x in split for t in x[3]))
+        self.terms = {t: k for k, t in enumerate(sorted({t for x in split for t in x[3]}))}
+        d = np.array([corpus.df[t] for t in self.terms], float)
+        idf = np.log(1 + (corpus.items - d + 0.5) / (d + 0.5))
+        mean = corpus.words / max(1, corpus.items)
+        term = np.array([self.terms[t] for x in split for t in x[3]], np.int64)
+        count = np.array([c for x in split for c in x[3].values()], float)
+        size = np.array([x[0] for x in split], float)
+        number = np.repeat(np.arange(len(split), dtype=np.int32), [len(x[3]) for x in split])
+        weight = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * size[number] / mean))
+        weight /= np.bincount(number, weight, minlength=len(split))[number]
+        order = np.argsort(term, kind="stable")
+        term, self.number, self.weight = term[order], number[order], weight[order]
+        self.blocks = -(-len(split) // BLOCK)
+        #: Entries: the parts of the lists in a block. Their keys (term x blocks + block), places in the lists, and maxima.
+        keys = term * self.blocks + self.number // BLOCK
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+        self.entry = keys[starts]
+        self.at = np.r_[starts, len(keys)]
+        self.block_max = np.nextafter(np.maximum.reduceat(self.weight, starts).astype(np.float32), np.float32(2)) if len(keys) else np.empty(0, np.float32)
+        self.block = (self.entry % max(1, self.blocks)).astype(np.int32)
+        self.first = np.searchsorted(self.entry, np.arange(len(self.terms) + 1) * self.blocks)  # entry of each term
         #: Half a window: the longest item fits into any two halves side by side that it starts in the first of.
-        self.half = max((x[0] for x in split), default=1)
+        self.half = corpus.longest
+        self._parts: dict[int, tuple[set[tuple[bytes, ...]], set[tuple[bytes, ...]]]] = {}
+        self._kept = 0
 
-    def wand(self, terms: list[int], block: int) -> list[tuple[int, float]]:
+    @property
+    def numbers(self) -> list[np.ndarray]:
+        """Item numbers of each list."""
+        return np.split(self.number, self.at[self.first[1:-1]])
+
+    @property
+    def weights(self) -> list[np.ndarray]:
+        """Weights of each list."""
+        return np.split(self.weight, self.at[self.first[1:-1]])
+
+    def wand(self, terms: np.ndarray, block: int) -> list[tuple[int, float]]:
         """Items of a block that score the threshold or more: lists ordered by their current item; the pivot is the
         first list at which the maxima add up to the threshold, and lists before it skip to the pivot's item."""
-        low, high = block * BLOCK, (block + 1) * BLOCK
-        cursors = []
-        for t in terms:
-            numbers = self.numbers[t]
-            at = int(np.searchsorted(numbers, low))
-            end = int(np.searchsorted(numbers, high))
-            if at < end:
-                cursors.append([int(numbers[at]), t, at, end])
+        wanted = terms * self.blocks + block
+        entries = np.searchsorted(self.entry, wanted)
+        entries = entries[self.entry[np.minimum(entries, len(self.entry) - 1)] == wanted]
+        cursors = [[int(self.number[self.at[e]]), e, int(self.at[e]), int(self.at[e + 1])] for e in entries.tolist()]
         heapq.heapify(cursors)
         found, least = [], self.threshold - 1e-9
         while cursors:
@@ -106,7 +139,7 @@ class ItemIndex:
             while cursors:
                 c = heapq.heappop(cursors)
                 order.append(c)
-                bound += float(self.block_max[c[1], block])
+                bound += float(self.block_max[c[1]])
                 if bound >= least:
                     pivot = c[0]
                     break
@@ -115,24 +148,28 @@ class ItemIndex:
             while cursors and cursors[0][0] == pivot:
                 order.append(heapq.heappop(cursors))
             if full := order[0][0] == pivot:
-                score = sum(float(self.weights[c[1]][c[2]]) for c in order)
+                score = sum(float(self.weight[c[2]]) for c in order)
                 if score >= least:
                     found.append((pivot, score))
             for c in order:
-                numbers = self.numbers[c[1]]
                 if full:
                     c[2] += 1
                 elif c[0] < pivot:
-                    c[2] = int(np.searchsorted(numbers, pivot))
+                    c[2] += int(np.searchsorted(self.number[c[2] : c[3]], pivot))
                 if c[2] < c[3]:
-                    c[0] = int(numbers[c[2]])
+                    c[0] = int(self.number[c[2]])
                     heapq.heappush(cursors, c)
         return found
 
     def verified(self, number: int, passage: set[tuple[bytes, ...]]) -> bool:
-        item = self.items[number]
+        if number not in self._parts:
+            if self._kept > 50_000:  # trigrams
+                self._parts, self._kept = {}, 0
+            self._parts[number] = self.items[number].parts()
+            self._kept += sum(map(len, self._parts[number]))
+        question, answer = self._parts[number]
         share = lambda part: len(part & passage) / len(part) if part else 1.0
-        return share(item.question) >= self.question_share and share(item.answer) >= self.answer_share
+        return share(question) >= self.question_share and share(answer) >= self.answer_share
 
     def search(self, texts: list[bytes]) -> list[tuple[int, int, int, float]]:
         """(text, item number, passage, score) of all verified hits."""
@@ -153,47 +190,128 @@ class ItemIndex:
         pairs = np.unique(np.r_[key, key[second] - 1] * np.int64(len(self.terms)) + np.r_[term, term[second]])
         if not len(pairs):
             return []
-        own_slot, own_term = pairs // len(self.terms), pairs % len(self.terms)
-        bound = np.zeros((len(halves), self.blocks), np.float32)
-        starts = np.flatnonzero(np.r_[True, own_slot[1:] != own_slot[:-1]])
-        for b in range(0, self.blocks, 256):  # so many columns at a time
-            bound[own_slot[starts], b : b + 256] = np.add.reduceat(self.block_max[own_term, b : b + 256], starts, axis=0)
-        for s, block in zip(*np.nonzero(bound >= self.threshold - 1e-4), strict=True):
+        for s, block in self._promising(pairs // len(self.terms), pairs % len(self.terms), len(halves)):
             d, h = int(halves[s] >> 32), int(halves[s] & 0xFFFFFFFF)
             span = slice(h * self.half, (h + 2) * self.half)
-            found = self.wand(np.unique(ids[d][span][ids[d][span] >= 0]).tolist(), int(block))
+            found = self.wand(np.unique(ids[d][span][ids[d][span] >= 0]), block)
             if found:
                 passage = _trigrams(words[d][span]) | ({(w,) for w in words[d][span]} | set(zip(words[d][span], words[d][span][1:], strict=False)))
                 hits += [(d, number, h, score) for number, score in found if self.verified(number, passage)]
         return hits
 
+    def _promising(self, slot: np.ndarray, term: np.ndarray, slots: int) -> Iterator[tuple[int, int]]:
+        """(slot, block) where the block maxima of a slot's terms add up to the threshold; pairs are sorted by slot."""
+        size = self.first[term + 1] - self.first[term]
+        pairs = np.searchsorted(slot, np.arange(slots + 1))
+        before = np.r_[0, np.cumsum(size)]
+        low = 0
+        while low < slots:
+            high = int(np.searchsorted(before[pairs], before[pairs[low]] + ENTRIES, "right")) - 1
+            high = min(slots, max(low + 1, min(high, low + ENTRIES // self.blocks)))
+            own = slice(pairs[low], pairs[high])
+            at = np.repeat(self.first[term[own]] - (before[own] - before[own.start]), size[own]) + np.arange(before[own.stop] - before[own.start])
+            sums = np.bincount(np.repeat((slot[own] - low) * self.blocks, size[own]) + self.block[at], self.block_max[at])
+            for x in np.flatnonzero(sums >= self.threshold - 1e-4).tolist():
+                yield low + x // self.blocks, x % self.blocks
+            low = high
+
 
-def build_index(benchmark: DataFrame, **thresholds: float) -> ItemIndex:
-    """Index of a benchmark whose size is checked before it is gathered."""
-    chars = benchmark.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    if chars > MAX_BENCHMARK_CHARS:
-        raise ValueError(f"the benchmark has {chars} characters; at most {MAX_BENCHMARK_CHARS} can be searched at once")
-    rows = benchmark.filter("text IS NOT NULL AND item_id IS NOT NULL").select("item_id", "text").collect()
-    return ItemIndex([(r[0], r[1].encode()) for r in rows], **thresholds)
+@dataclass
+class Benchmark:
+    """The shards of a benchmark (rows: shard, item_id, text) and what its weights need (dfs: shard, term, df)."""
 
+    rows: DataFrame
+    shards: list[str]
+    corpus: Corpus
+    dfs: DataFrame | None
+    thresholds: dict[str, float] = field(default_factory=dict)
+
+    def indexes(self) -> Iterator[ItemIndex]:
+        """The index of each shard, one at a time."""
+        for shard in self.shards:
+            items = [(r[0], r[1].encode()) for r in self.rows.filter(F.col("shard") == shard).select("item_id", "text").collect()]
+            corpus = None
+            if self.dfs is not None:
+                df = {bytes(r[0]): r[1] for r in self.dfs.filter(F.col("shard") == shard).select("term", "df").collect()}
+                corpus = Corpus(self.corpus.items, self.corpus.words, self.corpus.longest, df)
+            yield ItemIndex(items, **self.thresholds, corpus=corpus)
 
-def contaminated(docs: DataFrame, index: ItemIndex) -> DataFrame:
-    """doc_id, item_id, passage (its first one), n_passages, score (the highest) of every item found in a document."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(index)
 
+def _terms(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """shard and the distinct terms of each item."""
+    found = [(s, t) for s, text in zip(batch.column("shard").to_pylist(), texts_of(batch), strict=True) for t in set(words_of(text))]
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.binary())], names=["shard", "term"])
+
+
+def build_index(benchmark: DataFrame, shard_bytes: int = SHARD_BYTES, **thresholds: float) -> Benchmark:
+    """Cut a benchmark into shards in the order of its partitions, and count its words and in how many items each is."""
+    items = benchmark.filter("text IS NOT NULL AND item_id IS NOT NULL").select("item_id", "text")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, part = 0, 0, TaskContext.get().partitionId()
+        for batch in batches:
+            shards, words = [], []
+            for text in texts_of(batch):
+                if held and held + len(text) > shard_bytes:
+                    number, held = number + 1, 0
+                held += len(text)
+                shards.append(f"{part}-{number}")
+                words.append(len(words_of(text)))
+            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.string()), *batch.columns, pa.array(words, pa.int64())], names=["shard", *batch.schema.names, "n_words"])
+
+    kind = benchmark.schema["item_id"].dataType.simpleString()
+    cut_rows = items.coalesce(int(1 + size // (8 * shard_bytes))).mapInArrow(cut, f"shard string, item_id {kind}, text string, n_words bigint")
+    rows = checkpoint(cut_rows.filter("n_words > 0"))
+    found = rows.groupBy("shard").agg(F.count(F.lit(1)), F.sum("n_words"), F.max("n_words")).collect()
+    corpus = Corpus(sum(r[1] for r in found), sum(r[2] for r in found), max((r[3] for r in found), default=1), {})
+    dfs = None
+    if len(found) > 1:
+        own = checkpoint(map_arrow(rows.select("shard", "text"), "shard string, term binary", _terms).groupBy("shard", "term").agg(F.count(F.lit(1)).alias("n")))
+        dfs = checkpoint(own.join(own.groupBy("term").agg(F.sum("n").alias("df")), "term").select("shard", "term", "df"))
+    return Benchmark(rows, sorted(r[0] for r in found), corpus, dfs, thresholds)
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+    """First row and number of rows of slices of at most SLICE_BYTES of text, or of one row."""
+    low, held = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()):
+        if i > low and held + n > SLICE_BYTES:
+            yield low, i - low
+            low, held = i, 0
+        held += n
+    yield low, batch.num_rows - low
+
+
+def _search(docs: DataFrame, shared: Broadcast, schema: str) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = shared.value
         best: dict[tuple[int, int], list] = {}
-        for at in range(0, batch.num_rows, 200):
-            for d, number, passage, score in own.search(texts_of(batch.slice(at, 200))):
+        for at, n in _slices(batch):
+            for d, number, passage, score in own.search(texts_of(batch.slice(at, n))):
                 had = best.setdefault((at + d, number), [passage, 0, 0.0])
                 had[0], had[1], had[2] = min(had[0], passage), had[1] + 1, max(had[2], score)
         take = pa.array([k[0] for k in best], pa.int64())
         cols = [pa.array([own.items[k[1]].item_id for k in best], pa.int64()), pa.array([v[0] for v in best.values()], pa.int64()), pa.array([v[1] for v in best.values()], pa.int64()), pa.array([v[2] for v in best.values()], pa.float64())]
         return pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), *cols], names=["doc_id", "item_id", "passage", "n_passages", "score"])
 
-    return map_arrow(docs.select("doc_id", "text"), f"doc_id {kind}, item_id bigint, passage bigint, n_passages bigint, score double", run)
+    return map_arrow(docs.select("doc_id", "text"), schema, run)
+
+
+def contaminated(docs: DataFrame, benchmark: Benchmark) -> DataFrame:
+    """doc_id, item_id, passage (its first one), n_passages, score (the highest) of every item found in a document.
+    Shards of a larger benchmark are searched in turn, and an index goes before the next is made."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, item_id bigint, passage bigint, n_passages bigint, score double"
+    found = docs.sparkSession.createDataFrame([], schema)
+    for index in benchmark.indexes():
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+        hits = _search(docs, shared, schema)
+        if len(benchmark.shards) == 1:
+            return hits
+        found = found.unionByName(checkpoint(hits).coalesce(64))
+        shared.destroy()
+    return found
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
