@@ -399,6 +399,22 @@ def test_index_grows_with_its_words():
     assert {index.items[n].item_id for d, n, _, _ in found if d == 50} == {7} and peak < 60_000_000
 
 
+def test_stages_drop_by_id_and_text(spark):
+    """Null and repeated ids: rows go by their own texts, and a null-id group keeps one document."""
+    r = random.Random(8)
+    some = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    item, a, b, c = some(20), some(60), some(60), some(60)
+    leak = lambda: " ".join(some(10) + item + some(10))
+    rows = [(None, leak()), (None, " ".join(a)), (None, " ".join([*a, "end"])), (None, " ".join([*a, "last"])), (1, leak()), (1, " ".join(some(50))), (2, " ".join(b)), (3, " ".join([*b, "x"])), (3, " ".join(some(40))), (None, " ".join([*b, "y"])), (None, None), (5, " ".join(c)), (5, " ".join([*c, "z"]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    kept = collections.Counter(map(tuple, ngram_join.drop_near_copies(docs).collect()))
+    assert sum(kept[x] for x in rows[1:4]) == 1 and sum(kept[x] for x in rows[11:]) == 1
+    assert set(kept) - {*rows[1:4], *rows[11:]} == {rows[i] for i in (0, 4, 5, 6, 8, 10)} and max(kept.values()) == 1
+    benchmark = spark.createDataFrame([(None, " ".join(item)), (None, " ".join(some(30))), (4, " ".join(some(20)))], "item_id bigint, text string")
+    kept = collections.Counter(map(tuple, decontamination.drop_contaminated(docs, benchmark).collect()))
+    assert kept == collections.Counter(x for i, x in enumerate(rows) if i not in (0, 4))
+
+
 # SentencePiece
 
 

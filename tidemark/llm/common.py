@@ -150,18 +150,23 @@ def in_filter(spark: SparkSession, packed: np.ndarray) -> Callable[[Column], Col
     return lambda c: c.isNotNull() & test(F.coalesce(c, F.lit(0)))
 
 
-def without_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id isn't in dropped (one bigint column doc_id). A Bloom filter of the dropped ids routes
-    the few rows that may go through an anti join; all other rows, whole texts with them, aren't shuffled."""
+def row_key() -> Column:
+    """What tells rows apart: the id (null is an id, the largest) and two hashes of the text."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("h2"))
+
+
+def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Rows of docs whose row_key() isn't in dropped (one column). A Bloom filter of the dropped keys routes the few rows
+    that may go through an anti join; all other rows, whole texts with them, aren't shuffled."""
     spark = docs.sparkSession
-    dropped = checkpoint(dropped.select(F.col("doc_id").alias("__gone")).distinct())
+    dropped = checkpoint(dropped.select(F.col(dropped.columns[0]).alias("__gone")).distinct())
     n = dropped.count()
     if not n:
         return docs
     maybe = in_filter(spark, build_filter(dropped.select(F.xxhash64("__gone").alias("__h")), filter_bits(n), False))
-    flag = maybe(F.xxhash64("doc_id"))
-    suspects = docs.filter(flag).join(dropped, F.col("doc_id") == F.col("__gone"), "left_anti")
-    return docs.filter(~flag).unionByName(suspects)
+    flag, own = maybe(F.xxhash64(row_key())), row_key()
+    same = F.col("doc_id").eqNullSafe(F.col("__gone.id")) & (own["h"] == F.col("__gone.h")) & (own["h2"] == F.col("__gone.h2"))
+    return docs.filter(~flag).unionByName(docs.filter(flag).join(dropped, same, "left_anti"))
 
 
 def summed(parts: DataFrame, size: int, slices: int = 16) -> np.ndarray:

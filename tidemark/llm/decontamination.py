@@ -13,7 +13,8 @@ searched one after the other. Weights come from the item counts of the whole ben
 An item's answer is what follows a line start `Answer:` or `A:`; without one, the last third of its words.
 
 Defined cases: null and empty texts have no hits, nor have items without words; items are told apart by item_id, and of
-rows that repeat each is searched; an empty corpus or benchmark gives no hits; other columns don't matter.
+rows that repeat each is searched, and so are those of null ids; documents may have null or repeated ids, and go by their
+own texts; an empty corpus or benchmark gives no hits; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint, map_arrow, texts_of, without_ids
+from tidemark.llm.common import checkpoint, map_arrow, row_key, texts_of, without_rows
 
 #: Text of a shard at most, of which the index is broadcast at once; an item that is longer is a shard of its own.
 SHARD_BYTES = 4_000_000
@@ -67,7 +68,7 @@ class Corpus:
 
 @dataclass
 class Item:
-    item_id: int
+    item_id: int | None
     text: bytes
 
     def parts(self) -> tuple[set[tuple[bytes, ...]], set[tuple[bytes, ...]]]:
@@ -83,9 +84,9 @@ class Item:
 class ItemIndex:
     """Inverted index of test items, lists by term in order of item number. Its size grows with the items' words."""
 
-    def __init__(self, items: list[tuple[int, bytes]], threshold: float = 0.6, question_share: float = 0.6, answer_share: float = 0.6, corpus: Corpus | None = None):
+    def __init__(self, items: list[tuple[int | None, bytes]], threshold: float = 0.6, question_share: float = 0.6, answer_share: float = 0.6, corpus: Corpus | None = None):
         self.threshold, self.question_share, self.answer_share = threshold, question_share, answer_share
-        split = sorted(((len(w), i, t, Counter(w)) for i, t in items if (w := words_of(t))), key=lambda x: x[:2])
+        split = sorted(((len(w), i, t, Counter(w)) for i, t in items if (w := words_of(t))), key=lambda x: (x[0], x[1] is None, x[1] or 0))
         self.items = [Item(i, t) for _, i, t, _ in split]
         if corpus is None:
             corpus = Corpus(len(split), sum(x[0] for x in split), max((x[0] for x in split), default=1), Counter(t for x in split for t in x[3]))
@@ -245,7 +246,7 @@ def _terms(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def build_index(benchmark: DataFrame, shard_bytes: int = SHARD_BYTES, **thresholds: float) -> Benchmark:
     """Cut a benchmark into shards in the order of its partitions, and count its words and in how many items each is."""
-    items = benchmark.filter("text IS NOT NULL AND item_id IS NOT NULL").select("item_id", "text")
+    items = benchmark.filter("text IS NOT NULL").select("item_id", "text")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,4 +317,5 @@ def contaminated(docs: DataFrame, benchmark: Benchmark) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows in which no test item is found."""
-    return without_ids(docs, contaminated(docs, build_index(benchmark)).select("doc_id"))
+    keyed = docs.select(row_key().alias("doc_id"), "text")
+    return without_rows(docs, contaminated(keyed, build_index(benchmark)).select("doc_id"))

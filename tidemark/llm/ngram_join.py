@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import build_filter, checkpoint, filter_bits, in_filter, map_arrow, release, texts_of, without_ids
+from tidemark.llm.common import build_filter, checkpoint, filter_bits, in_filter, map_arrow, release, row_key, texts_of, without_rows
 from tidemark.llm.graph import attach, components
 
 #: Counters of the frequency sketch, and the slices in which they are summed: a fixed 2 MB is broadcast.
@@ -279,6 +279,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
 
 
 def drop_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group stays, the one of the smallest doc_id; all rows with an empty set stay."""
-    groups = jaccard_components(docs, n, percent)
-    return without_ids(docs, groups.filter("doc_id <> component_id").select("doc_id"))
+    """One document of each group stays, the one of the smallest doc_id (null after all others, then by the text's hash);
+    all rows with an empty set stay. Rows of one id with different texts are documents of their own; rows that repeat with
+    id and text are one, which stays or goes with all its rows."""
+    groups = jaccard_components(docs.select(row_key().alias("doc_id"), "text"), n, percent)
+    return without_rows(docs, groups.filter("doc_id <> component_id").select("doc_id"))
