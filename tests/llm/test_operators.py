@@ -167,6 +167,13 @@ def test_lines(spark):
     assert all(r.n_lines == (len(r.text.split("\n")) if r.text else 0) for r in found)
 
 
+def test_lines_of_null_ids(spark):
+    rows = [(None, "same line\nonly here"), (1, "same line\nsame lines"), (2, "Same line\nonly there\nquite another"), (3, "sane line")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    found = {r.doc_id: r.kept_text for r in line_dedup.dedup_lines(docs).collect()}
+    assert found == {None: "same line\nonly here", 1: "", 2: "quite another", 3: ""}
+
+
 def test_lines_plan_has_no_python(spark):
     docs = spark.createDataFrame([(1, "a\nb")], "doc_id bigint, text string")
     plan = line_dedup.dedup_lines(docs)._jdf.queryExecution().toString()

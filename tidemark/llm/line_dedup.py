@@ -11,7 +11,8 @@ Variants of a long line are hashed in chunks of which only one differs, so the w
 a chunk. Lists of equal variants are bounded by the alphabet and the line's length, because lines in them are distinct.
 
 Defined cases: blank lines always stay and are never compared; null and empty texts have no lines; rows that repeat with
-the same id and text count as one document; an empty table gives an empty result; the other columns don't matter.
+the same id and text count as one document; null ids are one id, before all others; lines at one place (of rows of one id
+with other texts) are neither earlier; an empty table gives an empty result; the other columns don't matter.
 """
 
 from __future__ import annotations
@@ -70,10 +71,11 @@ def near_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     halves = distinct.select("h", "h2", "first", F.explode(F.array("k0", "k1", "k2", "k3")).alias("k"))
     shared = halves.groupBy("k").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("k")
     live = checkpoint(halves.join(shared, "k", "left_semi").select("h", "h2", "first").distinct())
-    some = live.select(F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), "h", "h2", "first")
+    some = live.select(F.col("h").alias("__h"), F.col("h2").alias("__h2"), "first")
     if live.count() <= BROADCAST_LINES:
         some = F.broadcast(some)
-    texts = checkpoint(_ids(_lines(docs)).join(some, ["doc_id", "line_no", "h", "h2"]).select("h", "h2", "first", "line").dropDuplicates(["h", "h2"]))
+    place = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))
+    texts = checkpoint(_ids(_lines(docs)).join(some, place & (F.col("h") == F.col("__h")) & (F.col("h2") == F.col("__h2"))).select("h", "h2", "first", "line").dropDuplicates(["h", "h2"]))
 
     rows = _variants(texts)
     met = rows.withColumns({
