@@ -219,6 +219,13 @@ def test_offending_sentences(spark):
     assert {(r.doc_id, r.sentence) for r in toxicity.offending_sentences(docs, model).collect()} == {(i, 1) for i in range(0, 400, 4)}
 
 
+def test_held_out_labels_do_not_train(spark):
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    docs = spark.createDataFrame([(i, "You utter moron!" if i % 4 == 0 else "You fine friend!") for i in range(60)], "doc_id bigint, text string").coalesce(1)
+    fits = [toxicity.fit(docs, spark.createDataFrame([(i, flip if held(i) else int(i % 4 == 0)) for i in range(60)], "doc_id bigint, toxic int").coalesce(1), (3, 9)) for flip in (0, 1)]
+    assert fits[0].weights and fits[0] == fits[1]
+
+
 def test_forest_walk_equals_plain_walk(spark):
     import numpy as np
 

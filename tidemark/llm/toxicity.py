@@ -132,10 +132,10 @@ def _instances(sample: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = SAMPLE) -> ToxicityModel:
-    """Learn from at most so many documents of each label; weights restore the labels' shares."""
+    """Learn from at most so many documents of each label; weights restore the labels' shares, outside the held-out part."""
     found = []
     for label, most in ((1, rows[0]), (0, rows[1])):
-        own = labels.filter(F.col("toxic") == label)
+        own = labels.filter((F.col("toxic") == label) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 3, 1))
         got = [bytes(r[1]) for r in _instances(labelled_sample(docs, own, "toxic", most)).collect()]
         found += [(float(label), own.count() / max(1, len(got)), t) for t in got]
     return train(found)
