@@ -6,6 +6,7 @@ import gc
 import tempfile
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -206,10 +207,16 @@ def score_texts(docs: DataFrame, scorer: Callable[[list[bytes]], np.ndarray], st
     return map_arrow(docs.select("doc_id", "text"), f"doc_id {kind}, score double", run)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, modulus: int = 3, remainder: int = 1) -> DataFrame:
-    """label and text of at most `rows` labelled documents outside the held-out part, the first by a hash of the id.
-    The ids are broadcast; their number is the bound."""
-    rows = max(1, rows)
-    usable = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), modulus, remainder))
-    chosen = usable.select(F.col("doc_id").alias("__id"), F.col(label).cast("double").alias("label")).orderBy(F.xxhash64("__id"), "__id").limit(rows)
+def learnable(labels: DataFrame, label: str, modulus: int = 3, remainder: int = 1) -> DataFrame:
+    """The label rows outside the held-out part."""
+    return labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), modulus, remainder))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int | dict[int, int]) -> DataFrame:
+    """label and text of at most `rows` labelled documents (or so many of each label) outside the held-out part, the first
+    by a hash of the id. The ids are broadcast; their number is the bound."""
+    ranked = learnable(labels, label).select(F.col("doc_id").alias("__id"), F.col(label).cast("double").alias("label"))
+    first = lambda df, n: df.orderBy(F.xxhash64("__id"), "__id").limit(max(1, n))
+    parts = [first(ranked.filter(F.col("label") == k), n) for k, n in rows.items()] if isinstance(rows, dict) else [first(ranked, rows)]
+    chosen = reduce(DataFrame.unionByName, parts)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("label", "text")

@@ -11,6 +11,7 @@ alike; without labels every score is 0.0; an empty table gives an empty result;
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held_out, labelled_sample, map_arrow, score_texts, texts_of
+from tidemark.llm.common import held_out, labelled_sample, learnable, map_arrow, score_texts, texts_of
 
 #: Labelled documents read for training at most: of label 1, and of label 0.
 SAMPLE = (1500, 3000)
@@ -133,12 +134,11 @@ def _instances(sample: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = SAMPLE) -> ToxicityModel:
     """Learn from at most so many documents of each label; weights restore the labels' shares, outside the held-out part."""
-    found = []
-    for label, most in ((1, rows[0]), (0, rows[1])):
-        own = labels.filter((F.col("toxic") == label) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 3, 1))
-        got = [bytes(r[1]) for r in _instances(labelled_sample(docs, own, "toxic", most)).collect()]
-        found += [(float(label), own.count() / max(1, len(got)), t) for t in got]
-    return train(found)
+    sizes = {r[0]: r[1] for r in learnable(labels, "toxic").groupBy("toxic").count().collect()}
+    sample = labelled_sample(docs, labels, "toxic", {1: rows[0], 0: rows[1]})
+    got = [(r[0], bytes(r[1])) for r in _instances(sample).collect()]
+    taken = Counter(y for y, _ in got)
+    return train([(y, sizes[int(y)] / taken[y], t) for y, t in sorted(got, key=lambda x: -x[0])])
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
