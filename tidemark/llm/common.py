@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
-import tempfile
 import zlib
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -11,28 +11,22 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from tidemark.workdir import checkpoint
 
 #: Bits of a Bloom filter at most (64 MB when packed), so what is broadcast has a fixed bound. A fuller filter only
 #: lets more rows through to the exact step that follows; results stay the same.
 MAX_FILTER_BITS = 1 << 29
 FILTER_HASHES = 4
 _SEGMENT_BITS = 1 << 17
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the folder that the cluster names in spark.checkpoint.dir; only where none is set (tests) use an own one."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, which survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Slices in which vectors of counts are added up.
+SLICES = 16
+#: Text that a Python task holds as Python objects at once; a text that is longer is held alone.
+SLICE_BYTES = 4_000_000
 
 
 def release(spark: SparkSession) -> None:
@@ -50,15 +44,48 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus == remainder, F.lit(False))
 
 
-def map_arrow(df: DataFrame, schema: str, batch_to_batch: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
-    """Apply a function to each Arrow batch; None gives no rows."""
+def rest() -> None:
+    """Give what a task has freed back to the system: Python workers are used again, and would keep it for other tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow, after which a task's memory is given back."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        rest()
+
+    return df.mapInArrow(task, schema)
+
+
+def map_arrow(df: DataFrame, schema: str | StructType, batch_to_batch: Callable[[pa.RecordBatch], pa.RecordBatch | None], most: int = SLICE_BYTES) -> DataFrame:
+    """Apply a function to slices of Arrow batches, of at most `most` bytes of text or of one row; None gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := batch_to_batch(batch)) is not None:
-                yield out
+            for part in slices(batch, most):
+                if part.num_rows and (out := batch_to_batch(part)) is not None:
+                    yield out
+
+    return map_batches(df, run, schema)
+
 
-    return df.mapInArrow(run, schema)
+def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES, columns: tuple[str, ...] = ("text",)) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most so many bytes in these columns, or of one row."""
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for c in set(columns) & set(batch.schema.names):
+        sizes += pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False)
+    ends, low = np.cumsum(sizes), 0
+    while low < batch.num_rows:
+        high = int(np.searchsorted(ends, ends[low] - sizes[low] + most, "right"))
+        high = max(low + 1, high)
+        yield batch.slice(low, high - low)
+        low = high
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
@@ -130,10 +157,10 @@ def build_filter(hashes: DataFrame, bits: int, repeated_only: bool) -> np.ndarra
         if met:
             yield pa.RecordBatch.from_arrays([pa.array(list(met), pa.int64()), pa.array([zlib.compress(v[repeated_only].tobytes(), 1) for v in met.values()], pa.binary())], names=["segment", "bits"])
 
-    parts = hashes.mapInArrow(part, "segment bigint, once binary, twice binary")
+    parts = map_batches(hashes, part, "segment bigint, once binary, twice binary")
     tasks = int(max(1, min(bits // _SEGMENT_BITS, 64)))
     out = np.zeros(bits // 8, np.uint8)
-    for seg, packed in parts.repartition(tasks, "segment").mapInArrow(merge, "segment bigint, bits binary").collect():
+    for seg, packed in map_batches(parts.repartition(tasks, "segment"), merge, "segment bigint, bits binary").collect():
         out[seg * _SEGMENT_BITS // 8 : (seg + 1) * _SEGMENT_BITS // 8] = np.frombuffer(zlib.decompress(packed), np.uint8)
     return out
 
@@ -170,7 +197,7 @@ def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return docs.filter(~flag).unionByName(docs.filter(flag).join(dropped, same, "left_anti"))
 
 
-def summed(parts: DataFrame, size: int, slices: int = 16) -> np.ndarray:
+def summed(parts: DataFrame, size: int, number: int = SLICES) -> np.ndarray:
     """Sum of the int64 vectors of fixed length `size` in rows (slice int, counts binary), made by sliced().
 
     The parts of all tasks meet slice by slice and are added one after the other, so a task holds its slices' sums
@@ -181,28 +208,27 @@ def summed(parts: DataFrame, size: int, slices: int = 16) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for s, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total.setdefault(s, np.zeros(size // slices, np.int64)).__iadd__(np.frombuffer(zlib.decompress(c), np.uint32))
+                total.setdefault(s, np.zeros(size // number, np.int64)).__iadd__(np.frombuffer(zlib.decompress(c), np.uint32))
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in total.values()], pa.binary())], names=["slice", "counts"])
 
-    out = np.zeros((slices, size // slices), np.int64)
-    for s, counts in parts.repartition(max(1, slices // 4), "slice").mapInArrow(run, "slice int, counts binary").collect():
+    out = np.zeros((number, size // number), np.int64)
+    for s, counts in map_batches(parts.repartition(max(1, number // 4), "slice"), run, "slice int, counts binary").collect():
         out[s] = np.frombuffer(zlib.decompress(counts), np.int64)
     return out.ravel()
 
 
-def sliced(counts: np.ndarray, slices: int = 16) -> list[bytes]:
+def sliced(counts: np.ndarray, number: int = SLICES) -> list[bytes]:
     """A task's vector of counts as compressed slices of uint32."""
-    return [zlib.compress(c.tobytes(), 1) for c in counts.astype(np.uint32).reshape(slices, -1)]
+    return [zlib.compress(c.tobytes(), 1) for c in counts.astype(np.uint32).reshape(number, -1)]
 
 
-def score_texts(docs: DataFrame, scorer: Callable[[list[bytes]], np.ndarray], step: int = 1000) -> DataFrame:
-    """doc_id and score of every row; `scorer` gets whole texts as bytes, so many at a time."""
+def score_texts(docs: DataFrame, scorer: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
+    """doc_id and score of every row; `scorer` gets whole texts as bytes, a slice at a time."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [scorer(texts_of(batch.slice(at, step))) for at in range(0, batch.num_rows, step)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(found), pa.float64())], names=["doc_id", "score"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scorer(texts_of(batch)), pa.float64())], names=["doc_id", "score"])
 
     return map_arrow(docs.select("doc_id", "text"), f"doc_id {kind}, score double", run)
 

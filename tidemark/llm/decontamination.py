@@ -27,12 +27,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint, map_arrow, row_key, texts_of, without_rows
+from tidemark.llm.common import checkpoint, map_arrow, map_batches, row_key, texts_of, without_rows
 
 #: Text of a shard at most, of which the index is broadcast at once; an item that is longer is a shard of its own.
 SHARD_BYTES = 4_000_000
@@ -262,7 +261,7 @@ def build_index(benchmark: DataFrame, shard_bytes: int = SHARD_BYTES, **threshol
             yield pa.RecordBatch.from_arrays([pa.array(shards, pa.string()), *batch.columns, pa.array(words, pa.int64())], names=["shard", *batch.schema.names, "n_words"])
 
     kind = benchmark.schema["item_id"].dataType.simpleString()
-    cut_rows = items.coalesce(int(1 + size // (8 * shard_bytes))).mapInArrow(cut, f"shard string, item_id {kind}, text string, n_words bigint")
+    cut_rows = map_batches(items.coalesce(int(1 + size // (8 * shard_bytes))), cut, f"shard string, item_id {kind}, text string, n_words bigint")
     rows = checkpoint(cut_rows.filter("n_words > 0"))
     found = rows.groupBy("shard").agg(F.count(F.lit(1)), F.sum("n_words"), F.max("n_words")).collect()
     corpus = Corpus(sum(r[1] for r in found), sum(r[2] for r in found), max((r[3] for r in found), default=1), {})
@@ -273,30 +272,18 @@ def build_index(benchmark: DataFrame, shard_bytes: int = SHARD_BYTES, **threshol
     return Benchmark(rows, sorted(r[0] for r in found), corpus, dfs, thresholds)
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
-    """First row and number of rows of slices of at most SLICE_BYTES of text, or of one row."""
-    low, held = 0, 0
-    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()):
-        if i > low and held + n > SLICE_BYTES:
-            yield low, i - low
-            low, held = i, 0
-        held += n
-    yield low, batch.num_rows - low
-
-
 def _search(docs: DataFrame, shared: Broadcast, schema: str) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = shared.value
         best: dict[tuple[int, int], list] = {}
-        for at, n in _slices(batch):
-            for d, number, passage, score in own.search(texts_of(batch.slice(at, n))):
-                had = best.setdefault((at + d, number), [passage, 0, 0.0])
-                had[0], had[1], had[2] = min(had[0], passage), had[1] + 1, max(had[2], score)
+        for d, number, passage, score in own.search(texts_of(batch)):
+            had = best.setdefault((d, number), [passage, 0, 0.0])
+            had[0], had[1], had[2] = min(had[0], passage), had[1] + 1, max(had[2], score)
         take = pa.array([k[0] for k in best], pa.int64())
         cols = [pa.array([own.items[k[1]].item_id for k in best], pa.int64()), pa.array([v[0] for v in best.values()], pa.int64()), pa.array([v[1] for v in best.values()], pa.int64()), pa.array([v[2] for v in best.values()], pa.float64())]
         return pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), *cols], names=["doc_id", "item_id", "passage", "n_passages", "score"])
 
-    return map_arrow(docs.select("doc_id", "text"), schema, run)
+    return map_arrow(docs.select("doc_id", "text"), schema, run, SLICE_BYTES)
 
 
 def contaminated(docs: DataFrame, benchmark: Benchmark) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held_out, map_arrow, sliced, summed
+from tidemark.llm.common import held_out, map_arrow, map_batches, slices, sliced, summed
 
 WIDTH = 1 << 16
 ORDERS = 3
@@ -117,15 +117,15 @@ def _frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, has = np.zeros(WIDTH, np.int64), np.zeros(WIDTH, bool)
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
+        for part in (p for b in batches for p in slices(b)):
+            for text in part.column("text").to_pylist():
                 has[:] = False
                 has[ngrams(text or "")] = True
                 df += has
         parts = sliced(df)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "counts"])
 
-    return summed(docs.select("text").mapInArrow(run, "slice int, counts binary"), WIDTH), docs.count()
+    return summed(map_batches(docs.select("text"), run, "slice int, counts binary"), WIDTH), docs.count()
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE, modulus: int = 4, remainder: int = 2) -> LanguageModel:
@@ -137,7 +137,7 @@ def fit(docs: DataFrame, rows: int = SAMPLE, modulus: int = 4, remainder: int =
         return train([], idf)
     quota = max(1, rows // len(sizes))
     share = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(min(1.0, quota / v)))])
-    chosen = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows + rows // 2)
+    chosen = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         grams, shares = [], []
@@ -170,13 +170,10 @@ def _with_language(docs: DataFrame, keep: list[str], kinds: str, model: Language
 
 def keep_identified(docs: DataFrame, least: float = 0.35) -> DataFrame:
     """The rows whose language is found with such a score; `und` rows go. All columns stay as they are."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
-    @F.pandas_udf("boolean")
-    def found(texts):
-        import pandas as pd
-
-        names, scores = model.value.predict([t if isinstance(t, str) else None for t in texts])
-        return pd.Series((np.array(names, object) != "und") & (scores >= least))
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        names, scores = shared.value.predict(batch.column("text").to_pylist())
+        return batch.filter(pa.array((np.array(names, object) != "und") & (scores >= least)))
 
-    return docs.filter(found("text"))
+    return map_arrow(docs, docs.schema, run)

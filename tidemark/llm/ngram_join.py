@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import build_filter, checkpoint, filter_bits, in_filter, map_arrow, release, row_key, texts_of, without_rows
+from tidemark.llm.common import build_filter, checkpoint, filter_bits, in_filter, map_arrow, map_batches, release, row_key, slices, texts_of, without_rows
 from tidemark.llm.graph import attach, components
 
 #: Counters of the frequency sketch, and the slices in which they are summed: a fixed 2 MB is broadcast.
@@ -43,24 +43,21 @@ _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E377
 
 
 class _WordHashes(dict):
-    """64-bit hashes of words; remembers a bounded number."""
+    """64-bit hashes of words; a task remembers a bounded number."""
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word)
-        if len(self) < 150_000:
+        if len(self) < 50_000:
             self[word] = h
         return h
 
 
-_words = _WordHashes()
-
-
-def shingle_set(text: bytes, n: int = 5) -> np.ndarray:
+def shingle_set(text: bytes, n: int = 5, hashes: _WordHashes | None = None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word n-grams; A-Z count as a-z and ASCII white space parts words."""
     words = text.lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map((_WordHashes() if hashes is None else hashes).__getitem__, words), np.uint64, len(words))
     width = min(n, len(words))
     m = len(words) - width + 1
     out = np.full(m, width, np.uint64)
@@ -84,13 +81,13 @@ def _count(docs: DataFrame, n: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SKETCH, np.uint32)
+        counts, hashes = np.zeros(SKETCH, np.uint32), _WordHashes()
         id_type = None
         for batch in batches:
             id_type = batch.column("doc_id").type
             sizes, sids = [], []
-            for at in range(0, batch.num_rows, 2000):
-                sets = [shingle_set(t, n) for t in texts_of(batch.slice(at, 2000))]
+            for part in slices(batch):
+                sets = [shingle_set(t, n, hashes) for t in texts_of(part)]
                 counts += np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
                 sizes += [len(s) for s in sets]
                 sids += [_set_id(s) if len(s) else 0 for s in sets]
@@ -101,7 +98,7 @@ def _count(docs: DataFrame, n: int) -> DataFrame:
             parts = [zlib.compress(c.tobytes(), 1) for c in counts.reshape(SLICES, -1)]
             yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, id_type), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["doc_id", "n", "sid", "slice", "counts"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, sid bigint, slice int, counts binary")
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, n bigint, sid bigint, slice int, counts binary")
 
 
 def _levels(parts: DataFrame) -> np.ndarray:
@@ -117,7 +114,7 @@ def _levels(parts: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(level, pa.binary())], names=["slice", "level"])
 
     out = np.zeros((SLICES, SKETCH // SLICES), np.uint8)
-    for s, level in parts.repartition(SLICES // 4, "slice").mapInArrow(run, "slice int, level binary").collect():
+    for s, level in map_batches(parts.repartition(SLICES // 4, "slice"), run, "slice int, level binary").collect():
         out[s] = np.frombuffer(level, np.uint8)
     return out.ravel()
 
@@ -136,12 +133,12 @@ def _prefixes(docs: DataFrame, n: int, percent: int, levels: np.ndarray) -> Data
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, seen = shared.value, set()
+        level, seen, hashes = shared.value, set(), _WordHashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
+            for part in slices(batch):
                 sh, sid, size = [], [], []
-                for text in texts_of(batch.slice(at, 2000)):
-                    s = shingle_set(text, n)
+                for text in texts_of(part):
+                    s = shingle_set(text, n, hashes)
                     if not len(s) or (own := _set_id(s)) in seen:
                         continue
                     seen.add(own)
@@ -153,7 +150,7 @@ def _prefixes(docs: DataFrame, n: int, percent: int, levels: np.ndarray) -> Data
                 if sh:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sh).view(np.int64)), pa.array(np.concatenate(sid).view(np.int64)), pa.array(np.concatenate(size))], names=["sh", "sid", "n"])
 
-    return docs.select("text").mapInArrow(run, "sh bigint, sid bigint, n int")
+    return map_batches(docs.select("text"), run, "sh bigint, sid bigint, n int")
 
 
 def _lists(prefixes: DataFrame, percent: int) -> DataFrame:
@@ -193,19 +190,19 @@ def _compare(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     heads = pairs.select("a", salt.alias("salt")).distinct().join(texts.withColumnRenamed("sid", "a"), "a").select("a", "salt", F.lit(None).cast("bigint").alias("b"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, own = None, None
-        for batch in batches:
+        head, own, hashes = None, None, _WordHashes()
+        for part in (p for batch in batches for p in slices(batch)):
             found = []
-            for a, b, text in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), texts_of(batch), strict=True):
+            for a, b, text in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), texts_of(part), strict=True):
                 if b is None:
-                    head, own = a, shingle_set(text, n)
-                elif head == a and similar(own, shingle_set(text, n), percent):
+                    head, own = a, shingle_set(text, n, hashes)
+                elif head == a and similar(own, shingle_set(text, n, hashes), percent):
                     found.append((a, b))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     dealt = heads.unionByName(rows).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    return map_batches(dealt, run, "a bigint, b bigint")
 
 
 def _texts(docs: DataFrame, sids: DataFrame, classes: DataFrame, n: int) -> DataFrame:
@@ -215,7 +212,8 @@ def _texts(docs: DataFrame, sids: DataFrame, classes: DataFrame, n: int) -> Data
     near = docs.select("doc_id", "text").filter("text IS NOT NULL").filter(F.col("doc_id").isNull() | maybe(F.xxhash64("doc_id")))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sids = [_set_id(s) if len(s := shingle_set(t, n)) else 0 for t in texts_of(batch)]
+        hashes = _WordHashes()
+        sids = [_set_id(s) if len(s := shingle_set(t, n, hashes)) else 0 for t in texts_of(batch)]
         return pa.RecordBatch.from_arrays([_signed(sids), batch.column("text")], names=["sid", "text"])
 
     found = map_arrow(near.select("text"), "sid bigint, text string", run)

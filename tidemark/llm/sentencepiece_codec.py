@@ -17,17 +17,23 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import ahocorasick
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from tidemark.llm.common import map_batches, slices
+
 SPACE = "▁"
-#: Words remembered by a Python worker, twice: when as many new ones have come, those not met since are forgotten.
-MEMORY = 150_000
+#: Words remembered by a task, twice: when as many new ones have come, those not met since are forgotten.
+MEMORY = 100_000
+#: Pairs of pieces whose test a worker remembers.
+PAIRS = 150_000
+#: Text that is coded at once.
+SLICE_BYTES = 1_000_000
 
 
 class PieceModel:
@@ -114,7 +120,7 @@ class PieceModel:
                 limit, seam_first, a = self.score[a], False, undo_a[1]
             else:
                 limit, seam_first, b = self.score[b], True, undo_b[0]
-        if len(self._pairs) > MEMORY:
+        if len(self._pairs) > PAIRS:
             self._pairs.clear()
         self._pairs[key] = fit
         return fit
@@ -175,42 +181,60 @@ class PieceModel:
 
 
 class Codec:
-    """Encoder and decoder with a bounded memory of words."""
+    """Encoder and decoder with a bounded memory of words: a word's ids joined by commas, and what they decode to (with the
+    leading space still there) only where that isn't the word itself."""
 
     def __init__(self, model: bytes):
         self.model = PieceModel(model)
-        self.memory: dict[str, tuple[str, int, str]] = {}
-        self.older: dict[str, tuple[str, int, str]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop what was remembered of the texts."""
+        self.memory: dict[str, str | tuple[str, str]] = {}
+        self.older: dict[str, str | tuple[str, str]] = {}
 
-    def _entry(self, word: str) -> tuple[str, int, str]:
-        """Ids joined by commas, their number, and what the ids decode to (with the leading space still there)."""
+    def _entry(self, word: str) -> str | tuple[str, str]:
+        """Ids of a word, with their text where it isn't the word."""
         if (known := self.older.get(word)) is None:
             parts = self.model.seams(word)
             if len(parts) > 1:
-                found = [self.memory.get(p) or self._entry(p) for p in parts]
-                known = (",".join([f[0] for f in found]), sum([f[1] for f in found]), "".join([f[2] for f in found]))
+                known = self.join(parts, [self.memory.get(p) or self._entry(p) for p in parts])
                 if len(parts) > 2:  # as good as never seen again
                     return known
             else:
                 ids = self.model.word(word)
-                known = (",".join(map(str, ids)), len(ids), self.surface(ids))
+                known, surface = ",".join(map(str, ids)), self.surface(ids)
+                if surface != word.replace(SPACE, " "):
+                    known = known, surface
         if len(self.memory) >= MEMORY:
             self.memory, self.older = {}, self.memory
         self.memory[word] = known
         return known
 
-    def entries(self, text: str, prefix: str | None = None) -> list[tuple[str, int, str]]:
+    def entry(self, text: str, prefix: str | None = None) -> str | tuple[str, str]:
+        """Ids of a text, with what they decode to where that isn't the text behind its prefix."""
         if not text:
-            return []
+            return ""
         text = (self.model.prefix if prefix is None else prefix) + text.replace(" ", SPACE)
+        words = self.model.words.findall(text)
+        if len(words) == 1:
+            return self.memory.get(words[0]) or self._entry(words[0])
         make, out = self._entry, []
-        for at in range(0, len(words := self.model.words.findall(text)), 5000):
+        for at in range(0, len(words), 5000):
             get = self.memory.get  # the memory changes hands when it is full
             out += [get(w) or make(w) for w in words[at : at + 5000]]
-        return out
+        return self.join(words, out)
+
+    @staticmethod
+    def join(words: list[str], found: list[str | tuple[str, str]]) -> str | tuple[str, str]:
+        if not any(type(f) is tuple for f in found):
+            return ",".join(found)
+        pairs = [f if type(f) is tuple else (f, w.replace(SPACE, " ")) for w, f in zip(words, found, strict=True)]
+        return ",".join([p[0] for p in pairs]), "".join([p[1] for p in pairs])
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for e in self.entries(text) for i in e[0].split(",")]
+        found = self.entry(text)
+        return [int(i) for i in (found if type(found) is str else found[0]).split(",") if i]
 
     def surface(self, ids: list[int]) -> str:
         """Text of ids; byte pieces join to characters, and bytes that don't form one become replacement characters."""
@@ -248,8 +272,7 @@ class Codec:
     def _strip(self, surface: str) -> str:
         return surface[1:] if self.model.prefix and surface.startswith(" ") else surface
 
-
-    def columns(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    def columns(self, texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
         """Numbers of ids, ids joined by commas, and decoded texts of a column.
 
         Texts are split at single spaces and words coded once for the column; the words' results are put together by
@@ -259,43 +282,44 @@ class Codec:
         odd = pc.match_substring_regex(texts, f"^( |$)|  |{SPACE}") if self.model.prefix else pa.array([True] * len(texts), pa.bool_())
         plain = pc.split_pattern(pc.if_else(odd, "", texts), " ")
         words = plain.values.dictionary_encode()
+        own = words.dictionary.to_pylist()
         memory, older = self.memory, self.older
-        found = [memory.get(w) or older.get(w) or self.join(self.entries(w, "")) for w in [SPACE + t for t in words.dictionary.to_pylist()]]
-        codes, offsets = words.indices, plain.offsets
-        joined = [pc.binary_join(pa.ListArray.from_arrays(offsets, pa.array([f[i] for f in found], pa.string()).take(codes)), sep) for i, sep in ((0, ","), (2, ""))]
-        sums = np.r_[0, np.cumsum(np.array([f[1] for f in found], np.int64)[codes.to_numpy()])]
-        at = offsets.to_numpy()
-        counts = sums[at[1:]] - sums[at[:-1]]
-        decoded = pc.utf8_slice_codeunits(joined[1], 1)  # without the first space
-        if (rest := np.flatnonzero(odd.to_numpy(zero_copy_only=False))).size:
-            own = [self.join(self.entries(t.as_py())) for t in texts.take(pa.array(rest))]
-            counts[rest] = [f[1] for f in own]
-            mask = odd
-            ids = pc.replace_with_mask(joined[0], mask, pa.array([f[0] for f in own], pa.string()))
-            return counts, ids, pc.replace_with_mask(decoded, mask, pa.array([self._strip(f[2]) for f in own], pa.string()))
-        return counts, joined[0], decoded
-
-    @staticmethod
-    def join(entries: list[tuple[str, int, str]]) -> tuple[str, int, str]:
-        if len(entries) == 1:
-            return entries[0]
-        return ",".join([e[0] for e in entries]), sum([e[1] for e in entries]), "".join([e[2] for e in entries])
-
-
-_codecs: dict[str, Codec] = {}
-
-
-def _codec(path: str) -> Codec:
-    """One codec for each Python worker."""
-    if path not in _codecs:
-        with open(path, "rb") as f:
-            _codecs[path] = Codec(f.read())
-    return _codecs[path]
+        found = [memory.get(w) or older.get(w) or self.entry(w, "") for w in [SPACE + t for t in own]]
+        surfaces = [" " + t if type(f) is str else f[1] for t, f in zip(own, found, strict=True)]
+        together = lambda values, sep: pc.binary_join(pa.ListArray.from_arrays(plain.offsets, pa.array(values, pa.string()).take(words.indices)), sep)
+        ids = together([f if type(f) is str else f[0] for f in found], ",")
+        decoded = pc.utf8_slice_codeunits(together(surfaces, ""), 1)  # without the first space
+        if pc.any(odd).as_py():
+            rest = texts.filter(odd).to_pylist()
+            found = [self.entry(t) for t in rest]
+            ids = pc.replace_with_mask(ids, odd, pa.array([f if type(f) is str else f[0] for f in found], pa.string()))
+            surfaces = [(self.model.prefix.replace(SPACE, " ") + t).replace(SPACE, " ") if type(f) is str and t else f[1] if f else "" for t, f in zip(rest, found, strict=True)]
+            decoded = pc.replace_with_mask(decoded, odd, pa.array([self._strip(t) for t in surfaces], pa.string()))
+        counts = pc.if_else(pc.equal(ids, ""), 0, pc.add(pc.count_substring(ids, ","), 1)).cast(pa.int64())
+        return counts, ids, decoded
+
+
+_codecs: dict[int, Codec] = {}
+
+
+def _coded(docs: DataFrame, model_path: str, keep: list[str], schema: str, to_columns: Callable[[pa.Array, pa.Array], list[pa.Array]], names: list[str]) -> DataFrame:
+    """mapInArrow over slices: kept columns, numbers of ids, and what to_columns makes of ids and decoded texts. The model's
+    bytes are broadcast; a worker builds its tables once, and a task forgets its words at its end."""
+    with open(model_path, "rb") as f:
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = zlib.crc32(shared.value)
+        if key not in _codecs:
+            _codecs.clear()
+            _codecs[key] = Codec(shared.value)
+        codec = _codecs[key]
+        for part in (p for b in batches for p in slices(b, SLICE_BYTES)):
+            counts, ids, decoded = codec.columns(part.column("text"))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), counts, *to_columns(ids, decoded)], names=[*keep, "n_tokens", *names])
+        codec.forget()
 
-def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+    return map_batches(docs.select(*keep, *(["text"] if "text" not in keep else [])), run, schema)
 
 
 def encode_documents(docs: DataFrame, model_path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -303,26 +327,17 @@ def encode_documents(docs: DataFrame, model_path: str, keep: tuple[str, ...] = (
     fields = [docs.schema[c] for c in keep]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_tokens bigint, ids array<int>, decoded string"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(model_path)
-        for part in (p for b in batches for p in _slices(b, 500)):  # ids and texts of a slice are held at once
-            counts, ids, decoded = codec.columns(part.column("text"))
-            values = np.fromstring(",".join(filter(None, ids.to_pylist())), np.int32, sep=",")
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(values))
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(counts), lists, decoded], names=[*keep, "n_tokens", "ids", "decoded"])
+    def lists(ids: pa.Array, decoded: pa.Array) -> list[pa.Array]:
+        return [pc.if_else(pc.equal(ids, ""), pa.scalar([], pa.list_(pa.string())), pc.split_pattern(ids, ",")).cast(pa.list_(pa.int32())), decoded]
 
-    return docs.select(*keep, *(["text"] if "text" not in keep else [])).mapInArrow(run, schema)
+    return _coded(docs, model_path, list(keep), schema, lists, ["ids", "decoded"])
 
 
 def digest_documents(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row, from the same columns as encode_documents()."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(model_path)
-        for part in (p for b in batches for p in _slices(b, 2000)):
-            counts, ids, decoded = codec.columns(part.column("text"))
-            digests = [pa.array([hashlib.sha256(t or b"").hexdigest() for t in c.cast(pa.binary()).to_pylist()], pa.string()) for c in (ids, decoded)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts), *digests], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    def digests(*columns: pa.Array) -> list[pa.Array]:
+        return [pa.array([hashlib.sha256(t).hexdigest() for t in c.cast(pa.binary()).to_pylist()], pa.string()) for c in columns]
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return _coded(docs, model_path, ["doc_id"], f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", digests, ["ids_sha256", "decoded_sha256"])
