@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.common import ensure_checkpoint_dir, table
+from tidemark.llm.common import table
 from tidemark.llm.decontamination import drop_contaminated
 from tidemark.llm.exact_dedup import drop_exact_copies
 from tidemark.llm.language_id import keep_identified
 from tidemark.llm.ngram_join import drop_near_copies
 from tidemark.llm.queries import tokenizer_path
 from tidemark.llm.sentencepiece_codec import encode_documents
+from tidemark.workdir import delete, scratch
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,11 +54,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared checkpoint folder and read again."""
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each written to the shared checkpoint folder and read again. What a stage has read goes
+    when its own rows are written; the last intermediate table stays, for the result is read from it."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        out = scratch(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(out)
+        docs = spark.read.parquet(out)
+        if last:
+            delete(spark, last)
+        last = out
     return STAGES[-1][1](spark, docs, sf_dir)
