@@ -21,7 +21,6 @@ def spark():
         .config("spark.driver.memory", "4g")
         .config("spark.sql.warehouse.dir", f"{folder}/warehouse")
         .config("spark.checkpoint.dir", f"{folder}/checkpoint")
-        .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

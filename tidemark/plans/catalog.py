@@ -196,7 +196,7 @@ def asof_rate_stream(spark, sf_dir):
     """As-of join with state: trades that the watermark has passed."""
     stream = event_stream(spark, sf_dir)
     trades = stream.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
-    plan = stateful.asof_stream(trades, stream.filter("event_type = 'view'"), "user_id", "ts", "value", 86_400_000, "5 seconds")
+    plan = stateful.asof_stream(trades, stream.filter("event_type = 'view'"), "user_id", "ts", "value", 3_600_000, "5 seconds")
     return run.run_to_parquet(plan, "asof").select(F.get_json_object("row", "$.event_id").cast("bigint").alias("trade_id"), F.col("key").alias("user_id"), F.round("value", 4).alias("rate"))
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from tidemark.workdir import scratch
 
@@ -23,20 +25,56 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger:
     return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def run_to_parquet(plan: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None, out: str | None = None) -> DataFrame:
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def settings(spark: SparkSession, policy: str | None = None) -> Iterator[None]:
+    """Session settings that a query takes over when it starts, put back afterwards: the state store that processors with
+    several states and timers need, unless the session names one of its own; and whether the slowest (min) or the fastest
+    (max) of several sources moves the watermark. A restarted query keeps what its checkpoint says."""
+    wanted = {"spark.sql.streaming.multipleWatermarkPolicy": policy} if policy else {}
+    if spark.conf.get(PROVIDER, "").endswith("HDFSBackedStateStoreProvider") or not spark.conf.get(PROVIDER, ""):
+        wanted[PROVIDER] = ROCKS
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def start(writer: DataStreamWriter, spark: SparkSession, policy: str | None = None) -> StreamingQuery:
+    with settings(spark, policy):
+        return writer.start()
+
+
+def run_to_parquet(plan: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None, out: str | None = None, policy: str | None = None) -> DataFrame:
     """Run a stream over all available input into parquet (exactly once, by its metadata log) and read the result."""
     spark = plan.sparkSession
     out, checkpoint = out or scratch(spark, f"{name}-out"), checkpoint or scratch(spark, f"{name}-state")
-    query = plan.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    writer = plan.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    start(writer, spark, policy).awaitTermination()
     return spark.read.schema(plan.schema).parquet(out)
 
 
-def run_batches(plan: DataFrame, each: Callable[[DataFrame, int], None], name: str, mode: str = "append", checkpoint: str | None = None) -> None:
+def run_batches(plan: DataFrame, each: Callable[[DataFrame, int], None], name: str, mode: str = "append", checkpoint: str | None = None, policy: str | None = None) -> None:
     """Run a stream over all available input through a function of (batch, batch id)."""
     checkpoint = checkpoint or scratch(plan.sparkSession, f"{name}-state")
-    query = plan.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    writer = plan.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    start(writer, plan.sparkSession, policy).awaitTermination()
+
+
+def feed(rows: DataFrame, part: str, parts: int, name: str, run_once: Callable[[DataFrame], None]) -> None:
+    """Let rows arrive in `parts` parts (numbered by the column `part`): each is written, and run_once gets the stream of
+    what has arrived. A run_once with a checkpoint of its own goes on where it ended, so every part is a restart."""
+    folder, data = scratch(rows.sparkSession, name), rows.drop(part)
+    for k in range(parts):
+        rows.filter(F.col(part) == k).drop(part).write.parquet(f"{folder}/{k:04d}")
+        run_once(rows.sparkSession.readStream.schema(data.schema).parquet(f"{folder}/*"))
 
 
 def split_late(plan: DataFrame, ts: str, delay_ms: int, folder: str, name: str, checkpoint: str | None = None) -> None:

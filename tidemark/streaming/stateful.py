@@ -1,11 +1,15 @@
 """Stateful processors for what native streaming joins and dedup can't say: exact TTL, one row a key, as-of history.
 
-All work in event time, so a run over bounded input ends and a replay gives the same rows. State is kept by key; what
-a key holds is bounded by its TTL, by one match, or by the retained history.
+In event time a run over bounded input ends and a replay gives the same rows. State is kept by key and ends by timers:
+what a key holds is bounded by its TTL, by one match, or by what the watermark hasn't passed yet. A key's rows of one
+micro-batch are held at once, so bound micro-batches (maxFilesPerTrigger) where keys are hot. Rows without a time take
+no part. run.start() sets the state store that these processors need.
 """
 
 from __future__ import annotations
 
+import json
+from collections import defaultdict
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
@@ -15,22 +19,31 @@ from pyspark.sql.types import LongType, StructType
 
 
 class FirstWithinTtl(StatefulProcessor):
-    """Passes a key's first row; repeats go until ttl_ms after the row that was passed, and are passed then."""
+    """Passes a key's first row; repeats go until ttl_ms after the row that was passed, and are passed then. A key's state
+    ends when the watermark is so far."""
 
     def __init__(self, time: str, ttl_ms: int):
         self.time, self.ttl_ms = time, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.passed = handle.getValueState("passed", "ms bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        last = self.passed.get()[0] if self.passed.exists() else None
+        before = last = self.passed.get()[0] if self.passed.exists() else None
         for row in sorted(rows, key=lambda r: r[self.time]):
             if last is None or row[self.time] - last >= self.ttl_ms:
                 last = row[self.time]
                 yield row
-        if last is not None:
+        if last != before:
+            if before is not None:
+                self.handle.deleteTimer(before + self.ttl_ms)
             self.passed.update((last,))
+            self.handle.registerTimer(last + self.ttl_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.passed.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -58,10 +71,11 @@ class RunningCount(StatefulProcessor):
 
 class MatchOrOrphan(StatefulProcessor):
     """One row a key of a left and a right stream: INNER on the first match, else LEFT_ORPHAN or RIGHT_ORPHAN once the
-    watermark is timeout_ms past the row. Later rows of a finished key give nothing until ttl_ms has passed."""
+    clock is timeout_ms past the row. Later rows of a finished key give nothing until ttl_ms has passed. The clock is the
+    watermark, or the processing time; then rows count from their arrival."""
 
-    def __init__(self, timeout_ms: int, ttl_ms: int):
-        self.timeout_ms, self.ttl_ms = timeout_ms, ttl_ms
+    def __init__(self, timeout_ms: int, ttl_ms: int, processing_time: bool = False):
+        self.timeout_ms, self.ttl_ms, self.processing_time = timeout_ms, ttl_ms, processing_time
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -76,15 +90,16 @@ class MatchOrOrphan(StatefulProcessor):
             return
         held = tuple(self.waiting.get()) if self.waiting.exists() else None
         for row in sorted(rows, key=lambda r: (r["ms"], r["side"])):
+            ms = timerValues.getCurrentProcessingTimeInMs() if self.processing_time else row["ms"]
             if held is None:
-                held = (row["side"], row["ms"], row["value"])
-                self.handle.registerTimer(row["ms"] + self.timeout_ms)
-            elif row["ms"] - held[1] > self.timeout_ms:  # its deadline has passed, whether or not the watermark shows it yet
+                held = (row["side"], ms, row["value"])
+                self.handle.registerTimer(ms + self.timeout_ms)
+            elif ms - held[1] > self.timeout_ms:  # its deadline has passed, whether or not the watermark shows it yet
                 yield self._orphan(key, held)
                 return
             elif held[0] != row["side"]:
                 left, right = (held[2], row["value"]) if held[0] == "left" else (row["value"], held[2])
-                self._finish(max(held[1], row["ms"]))
+                self._finish(max(held[1], ms))
                 yield self._row(key, "INNER", left, right)
                 return
         self.waiting.update(held)
@@ -113,41 +128,55 @@ class MatchOrOrphan(StatefulProcessor):
 
 
 class AsOf(StatefulProcessor):
-    """Joins each left row with the latest right value at or before its time, once the watermark has passed that time,
-    so a late right row can't change the answer and no row waits longer than the watermark's delay. Rights older than
-    retain_ms before the watermark go, but for the youngest of them."""
+    """Joins each left row with the latest right value at or before its time (the largest of equals), once the watermark
+    has passed that time, so a late right row can't change the answer and no row waits longer than the watermark's delay.
+
+    Left rows wait by their time, right values by time buckets. A timer reads the rows of its own time and one bucket; at
+    a bucket's end its youngest value is carried over and the bucket goes. So a key holds one value and what the watermark
+    hasn't passed, with or without left rows.
+    """
 
-    def __init__(self, retain_ms: int):
-        self.retain_ms = retain_ms
+    def __init__(self, bucket_ms: int):
+        self.bucket_ms = bucket_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.history = handle.getListState("history", "ms bigint, value double")
-        self.pending = handle.getListState("pending", "ms bigint, row string")
+        self.carried = handle.getValueState("carried", "value double")
+        self.rights = handle.getMapState("rights", "bucket bigint", "items string")
+        self.lefts = handle.getMapState("lefts", "ms bigint", "items string")
+
+    def _add(self, state, key: int, items: list) -> None:
+        held = json.loads(state.getValue((key,))[0]) if state.containsKey((key,)) else []
+        state.updateValue((key,), (json.dumps(held + items),))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        lefts, rights = defaultdict(list), defaultdict(list)
         for row in rows:
             if row["side"] == "right":
-                self.history.appendValue((row["ms"], row["value"]))
+                rights[row["ms"] // self.bucket_ms].append((row["ms"], row["value"]))
             else:
-                self.pending.appendValue((row["ms"], row["row"]))
-                self.handle.registerTimer(row["ms"])
+                lefts[row["ms"]].append(row["row"])
+        for bucket, items in rights.items():
+            self._add(self.rights, bucket, items)
+            self.handle.registerTimer((bucket + 1) * self.bucket_ms - 1)
+        for ms, items in lefts.items():
+            self._add(self.lefts, ms, items)
+            self.handle.registerTimer(ms)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = expiredTimerInfo.getExpiryTimeInMs()
-        past = sorted(tuple(x) for x in self.history.get()) if self.history.exists() else []
-        waiting = [tuple(x) for x in self.pending.get()] if self.pending.exists() else []
-        for ms, row in (w for w in waiting if w[0] <= now):
-            found = [v for t, v in past if t <= ms]
-            yield Row(key=key[0], row=row, ms=ms, value=found[-1] if found else None)
-        rest = [w for w in waiting if w[0] > now]
-        self.pending.put(rest) if rest else self.pending.clear()
-        mark = timerValues.getCurrentWatermarkInMs()
-        cutoff = min([mark, *(w[0] for w in rest)]) - self.retain_ms
-        old = [x for x in past if x[0] <= cutoff]
-        kept = old[-1:] + [x for x in past if x[0] > cutoff]
-        self.history.put(kept) if kept else self.history.clear()
+        bucket = now // self.bucket_ms
+        own = sorted(map(tuple, json.loads(self.rights.getValue((bucket,))[0]))) if self.rights.containsKey((bucket,)) else []
+        past = [v for t, v in own if t <= now]
+        value = past[-1] if past else self.carried.get()[0] if self.carried.exists() else None
+        if self.lefts.containsKey((now,)):
+            for row in json.loads(self.lefts.getValue((now,))[0]):
+                yield Row(key=key[0], row=row, ms=now, value=value)
+            self.lefts.removeKey((now,))
+        if own and now == (bucket + 1) * self.bucket_ms - 1:
+            self.carried.update((own[-1][1],))
+            self.rights.removeKey((bucket,))
 
     def close(self) -> None:
         pass
@@ -155,7 +184,7 @@ class AsOf(StatefulProcessor):
 
 def dedup_stream(stream: DataFrame, key: str, time_ms: str, ts: str, ttl_ms: int, delay: str) -> DataFrame:
     """First rows of each key, with an exact TTL. time_ms is the event time in milliseconds, ts the same as a timestamp."""
-    watermarked = stream.withWatermark(ts, delay)
+    watermarked = stream.filter(F.col(time_ms).isNotNull()).withWatermark(ts, delay)
     return watermarked.groupBy(key).transformWithState(FirstWithinTtl(time_ms, ttl_ms), stream.schema, "Append", "EventTime")
 
 
@@ -164,18 +193,23 @@ def running_count_stream(stream: DataFrame, key: str, time: str) -> DataFrame:
     return stream.groupBy(key).transformWithState(RunningCount(time), schema, "Append", "None")
 
 
-def match_or_orphan_stream(left: DataFrame, right: DataFrame, key: str, ts: str, value: str, timeout_ms: int, ttl_ms: int, delay: str) -> DataFrame:
-    """key, join_kind, left_value, right_value: one row for each key of either stream."""
-    side = lambda df, name: df.select(F.col(key).alias("key"), F.col(ts).alias("ts"), F.unix_millis(ts).alias("ms"), F.lit(name).alias("side"), F.col(value).cast("string").alias("value"))
-    both = side(left, "left").unionByName(side(right, "right")).withWatermark("ts", delay)
+def match_or_orphan_stream(left: DataFrame, right: DataFrame, key: str, ts: str, value: str, timeout_ms: int, ttl_ms: int, delay: str | None) -> DataFrame:
+    """key, join_kind, left_value, right_value: one row for each key of either stream. Without delay, deadlines are of
+    processing time."""
+    side = lambda df, name: df.filter(F.col(ts).isNotNull()).select(F.col(key).alias("key"), F.col(ts).alias("ts"), F.unix_millis(ts).alias("ms"), F.lit(name).alias("side"), F.col(value).cast("string").alias("value"))
+    both = side(left, "left").unionByName(side(right, "right"))
+    both = both.withWatermark("ts", delay) if delay else both
     kind = left.schema[key].dataType.simpleString()
-    return both.groupBy("key").transformWithState(MatchOrOrphan(timeout_ms, ttl_ms), f"key {kind}, join_kind string, left_value string, right_value string", "Append", "EventTime")
+    processor = MatchOrOrphan(timeout_ms, ttl_ms, delay is None)
+    return both.groupBy("key").transformWithState(processor, f"key {kind}, join_kind string, left_value string, right_value string", "Append", "EventTime" if delay else "ProcessingTime")
 
 
-def asof_stream(left: DataFrame, right: DataFrame, key: str, ts: str, value: str, retain_ms: int, delay: str) -> DataFrame:
-    """key, row (the left row as JSON), ms, value: the right value as of each left row's time."""
-    l = left.select(F.col(key).alias("key"), F.col(ts).alias("ts"), F.unix_millis(ts).alias("ms"), F.lit("left").alias("side"), F.to_json(F.struct("*")).alias("row"), F.lit(None).cast("double").alias("value"))  # noqa: E741
-    r = right.select(F.col(key).alias("key"), F.col(ts).alias("ts"), F.unix_millis(ts).alias("ms"), F.lit("right").alias("side"), F.lit(None).cast("string").alias("row"), F.col(value).cast("double").alias("value"))
+def asof_stream(left: DataFrame, right: DataFrame, key: str, ts: str, value: str, bucket_ms: int, delay: str) -> DataFrame:
+    """key, row (the left row as JSON), ms, value: the right value as of each left row's time. bucket_ms: width of the time
+    buckets in which right values are held, a part of the delay at best."""
+    timed = lambda df: df.filter(F.col(ts).isNotNull())
+    l = timed(left).select(F.col(key).alias("key"), F.col(ts).alias("ts"), F.unix_millis(ts).alias("ms"), F.lit("left").alias("side"), F.to_json(F.struct("*")).alias("row"), F.lit(None).cast("double").alias("value"))  # noqa: E741
+    r = timed(right.filter(F.col(value).isNotNull())).select(F.col(key).alias("key"), F.col(ts).alias("ts"), F.unix_millis(ts).alias("ms"), F.lit("right").alias("side"), F.lit(None).cast("string").alias("row"), F.col(value).cast("double").alias("value"))
     kind = left.schema[key].dataType.simpleString()
     both = l.unionByName(r).withWatermark("ts", delay)
-    return both.groupBy("key").transformWithState(AsOf(retain_ms), f"key {kind}, row string, ms bigint, value double", "Append", "EventTime")
+    return both.groupBy("key").transformWithState(AsOf(bucket_ms), f"key {kind}, row string, ms bigint, value double", "Append", "EventTime")
