@@ -328,3 +328,73 @@ def test_quality_reports(spark):
     orders, fills = quality.split_orders_fills(spark.range(2000).select(F.col("id").cast("string").alias("k")), "k")
     kinds = {r.join_kind: r["count"] for r in joins.tagged_full_join(orders, fills, ["k"]).groupBy("join_kind").count().collect()}
     assert kinds["INNER"] > 1300 and 300 < kinds["LEFT_ORPHAN"] < 600 and 20 < kinds["RIGHT_ORPHAN"] < 200
+
+
+def test_first_write_stays(spark, tmp_path):
+    schema = "id string, source string, seq bigint"
+    t = keyed_table(spark, tmp_path, schema, "id", "first")
+    t.merge(spark.createDataFrame([("EVT-001", "router-a", 5), (None, "x", 1)], schema), 0)
+    t.merge(spark.createDataFrame([("EVT-001", "router-b", 3), (None, "y", 0), ("EVT-002", "router-b", None)], schema), 1)
+    assert rows(t.read(), "id") == [(None, "x", 1), ("EVT-001", "router-a", 5), ("EVT-002", "router-b", None)]
+
+
+def test_null_orders_and_keys(spark, tmp_path):
+    schema = "id string, v string, w string, seq bigint"
+    t = keyed_table(spark, tmp_path, schema, "id", "last")
+    t.merge(spark.createDataFrame([("a", "x", None, None), ("b", "x", None, None), ("b", "y", None, 1)], schema), 0)
+    assert rows(t.read(), "id") == [("a", "x", None, None), ("b", "y", None, 1)]
+    p = keyed.KeyedTable(spark, str(tmp_path / "p"), t.schema, ["id"], "partial", buckets=2)
+    p.merge(spark.createDataFrame([(None, "x", "not listed", None)], schema), 0, ["v"])
+    p.merge(spark.createDataFrame([(None, "not listed", "w", None)], schema), 1, ["w"])
+    assert rows(p.read().drop("seq")) == [(None, "x", "w")] and p.lookup(spark.createDataFrame([(None,)], "id string")).count() == 1
+    assert [(r.op, r.w) for r in p.changes(1).orderBy(F.desc("op")).collect()] == [("-U", None), ("+U", "w")]
+
+
+def test_many_files_a_bucket_and_applied_ids(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(keyed, "ROWS_A_FILE", 100)
+    t = keyed_table(spark, tmp_path, "id bigint, seq bigint", "id", "last")
+    for i in (0, 1, 3):
+        t.merge(spark.range(1000).selectExpr("id", f"{i}L seq"), i)
+    assert t.last()["applied"] == [[0, 1], [3, 3]] and sum(t.last()["rows"].values()) == 1000
+    assert len(t.read().inputFiles()) > 2 and not t.merge(spark.range(1).selectExpr("id", "9L seq"), 1)
+
+
+def test_dedup_state_ends(spark, tmp_path):
+    data = [(f"k{i}", at(i), i * 1000) for i in range(50)] + [("end", at(5000), 5_000_000), ("end2", at(9000), 9_000_000)]
+    stream = event_files(spark, str(tmp_path), data, "k string, ts timestamp, ms bigint", 4)
+    writer = stateful.dedup_stream(stream, "k", "ms", "ts", 10_000, "5 seconds").writeStream.format("noop").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True)
+    query = run.start(writer, spark)
+    query.awaitTermination()
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2 and spark.conf.get(run.PROVIDER, "") != run.ROCKS
+
+
+def test_orphans_by_processing_time(spark, tmp_path):
+    import time
+
+    schema, source = "side string, k string, ts timestamp, v string", str(tmp_path / "in")
+    add = lambda *r: spark.createDataFrame(r, schema).coalesce(1).write.mode("append").parquet(source)
+    add(("left", "a", at(0), "L1"), ("left", "b", at(0), "L2"))
+    stream = spark.readStream.schema(schema).parquet(source)
+    plan = stateful.match_or_orphan_stream(stream.filter("side = 'left'"), stream.filter("side = 'right'"), "k", "ts", "v", 6000, 600_000, None)
+    out = str(tmp_path / "out")
+    query = run.start(plan.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="200 milliseconds"), spark)
+    try:
+        until, got, fed = time.time() + 60, [], False
+        while time.time() < until and len(got) < 2:
+            time.sleep(0.2)
+            if not fed and any(p["numInputRows"] for p in query.recentProgress):
+                add(("right", "a", at(90), "R1"))
+                fed = True
+            got = spark.read.schema(plan.schema).parquet(out).collect() if os.path.isdir(out) else []
+    finally:
+        query.stop()
+    got = {tuple(r) for r in got}
+    assert ("b", "LEFT_ORPHAN", "L2", None) in got and len(got) == 2
+    assert ("a", "INNER", "L1", "R1") in got or ("a", "LEFT_ORPHAN", "L1", None) in got  # the machine may be slower than the deadline
+
+
+def test_counts_by_processing_time(spark, tmp_path):
+    stream = event_files(spark, str(tmp_path), [("a", at(0)), ("a", at(1)), ("b", at(2))], "k string, ts timestamp", 1)
+    found = []
+    run.run_batches(stream, lambda b, i: found.extend(windows.count_report(b, "k", "10 seconds").collect()), "report")
+    assert sorted((r.k, r.quantity) for r in found) == [("a", 2), ("b", 1)]

@@ -87,6 +87,42 @@ def late_revised_counts(spark, sf_dir):
     return ntz(revised.read().drop("seq"), "window_start", "window_end")
 
 
+_PARTS = "SELECT *, least(3, CAST(4 * (epoch_us(ts) // 1000 - lo) // (hi - lo + 1) AS BIGINT) + CASE WHEN event_id % 10 = 3 THEN 1 ELSE 0 END) AS part FROM events, (SELECT min(epoch_us(ts) // 1000) AS lo, max(epoch_us(ts) // 1000) AS hi FROM events)"
+
+
+def in_parts(rows: DataFrame, late: Column | None = None) -> DataFrame:
+    """Rows with the number of the part, of four by time, in which they arrive; late ones come a part later."""
+    lo, hi = rows.agg(F.unix_millis(F.min("ts")), F.unix_millis(F.max("ts"))).first()
+    own = F.floor(4 * (F.unix_millis("ts") - F.lit(lo)) / F.lit(1 if lo is None else hi - lo + 1))
+    return rows.withColumn("part", own if late is None else F.least(F.lit(3), own + F.when(late, 1).otherwise(0)))
+
+
+@query(f"SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, count(*) AS n, count(DISTINCT part) AS revisions FROM ({_PARTS}) GROUP BY ALL")
+def late_revisions(spark, sf_dir):
+    """A tenth of the events arrives a part late, within the allowed lateness: counts are revised, and how often is counted."""
+    schema = "user_id bigint, window_start timestamp, window_end timestamp, n bigint, revisions bigint"
+    out = keyed.KeyedTable(spark, run.scratch(spark, "revisions"), spark.createDataFrame([], schema).schema, ["user_id", "window_start", "window_end"], "aggregate", buckets=4, rules={"n": "max", "revisions": "sum"})
+    state = run.scratch(spark, "revisions-state")
+
+    def once(stream: DataFrame) -> None:
+        plan = windows.tumbling(stream, ["user_id"], "ts", "1 hour", [F.count(F.lit(1)).alias("n")], "400 days")
+        run.run_batches(plan, lambda batch, i: out.merge(batch.withColumn("revisions", F.lit(1).cast("bigint")), i), "revisions", "update", state)
+
+    run.feed(in_parts(events(spark, sf_dir).select("event_id", "user_id", "ts"), F.col("event_id") % 10 == 3).drop("event_id"), "part", 4, "revisions-in", once)
+    return ntz(out.read(), "window_start", "window_end")
+
+
+@query("WITH s AS (SELECT * FROM events WHERE event_type = 'purchase' OR event_type = 'signup' AND ts <= (SELECT min(ts) + INTERVAL 1 DAY FROM events)), w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, count(*) AS n FROM s GROUP BY ALL) SELECT * FROM w WHERE window_end <= (SELECT max(ts) - INTERVAL 5 SECOND FROM events WHERE event_type = 'purchase')")
+def idle_source_counts(spark, sf_dir):
+    """Two sources with watermarks of their own, one of which falls idle after a day: the other one closes the windows."""
+    first = events(spark, sf_dir).agg(F.min("ts")).first()[0]
+    stream = event_stream(spark, sf_dir).select("event_type", "ts")
+    busy = stream.filter("event_type = 'purchase'").withWatermark("ts", "5 seconds")
+    idle = stream.filter((F.col("event_type") == "signup") & (F.col("ts") <= F.lit(first) + F.expr("interval 1 day"))).withWatermark("ts", "5 seconds")
+    plan = windows.tumbling(busy.unionByName(idle), [], "ts", "1 hour", [F.count(F.lit(1)).alias("n")])
+    return ntz(run.run_to_parquet(plan, "idle", policy="max"), "window_start", "window_end")
+
+
 @query("""WITH a AS (SELECT *, hash_key FROM (SELECT *, (event_id * 7919) % 1000003 AS hash_key FROM events)),
       p AS (SELECT *, max(ts) OVER (ORDER BY hash_key, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM a)
       SELECT event_id, user_id, epoch_us(seen) // 1000 - 86400000 AS watermark_at_arrival_ms, epoch_us(seen) // 1000 - 86400000 - epoch_us(ts) // 1000 AS lateness_ms
@@ -156,11 +192,11 @@ def interval_join_stream(spark, sf_dir):
     return _lag(run.run_to_parquet(joins.interval_join(trades, quotes, ["user_id"], "trade_ts", "quote_ts", "-1 hours", "1 hours"), "interval"))
 
 
-@query("SELECT a.event_id AS trade_id, max_by(b.event_id, b.ts) AS quote_id, round(max_by(b.value, b.ts), 4) AS quote " + _PAIRS.format(1, 0) + " GROUP BY a.event_id")
+@query("SELECT a.event_id AS trade_id, max_by(b.event_id, (b.ts, b.event_id)) AS quote_id, round(max_by(b.value, (b.ts, b.event_id)), 4) AS quote " + _PAIRS.format(1, 0) + " GROUP BY a.event_id")
 def prevailing_quote(spark, sf_dir):
     trades, quotes = _trades_quotes(events(spark, sf_dir))
-    pairs = joins.interval_join(trades, quotes, ["user_id"], "trade_ts", "quote_ts", "-1 hours", "0 hours")
-    best = pairs.groupBy("trade_id").agg(F.max_by(F.struct("quote_id", "quote"), "quote_ts").alias("q"))
+    pairs = joins.bucketed_interval_join(trades, quotes, ["user_id"], "trade_ts", "quote_ts", 3600, 0)
+    best = pairs.groupBy("trade_id").agg(F.max_by(F.struct("quote_id", "quote"), F.struct("quote_ts", "quote_id")).alias("q"))
     return best.select("trade_id", "q.quote_id", F.round("q.quote", 4).alias("quote"))
 
 
@@ -207,7 +243,7 @@ def asof_rate_stream(spark, sf_dir):
 def multiway_enrich(spark, sf_dir):
     """Interval join with quotes, as-of join with rates, lookup of the account."""
     trades, quotes = _trades_quotes(events(spark, sf_dir))
-    pairs = joins.interval_join(trades, quotes, ["user_id"], "trade_ts", "quote_ts", "-24 hours", "0 hours")
+    pairs = joins.bucketed_interval_join(trades, quotes, ["user_id"], "trade_ts", "quote_ts", 86_400, 0)
     rates = events(spark, sf_dir, "signup").select("user_id", F.col("ts").alias("rate_ts"), F.col("value").alias("rate"))
     rated = joins.asof_join(pairs, rates, ["user_id"], "trade_ts", "rate_ts", ["rate"])
     accounts = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("tier"))
@@ -244,6 +280,26 @@ for _how, _key in (("inner", "f.k"), ("left", "o.o_orderkey"), ("right", "f.k"))
     _plain_join(_how, _key)
 
 
+@query("""SELECT t.event_id AS trade_id, q.event_id AS quote_id, f.event_id AS rate_id, c.c_mktsegment AS tier FROM events t
+      JOIN events q ON q.event_type = 'view' AND q.user_id = t.user_id AND q.ts BETWEEN t.ts - INTERVAL 24 HOUR AND t.ts
+      JOIN events f ON f.event_type = 'signup' AND f.user_id = t.user_id AND f.ts BETWEEN t.ts - INTERVAL 72 HOUR AND t.ts
+      LEFT JOIN customer c ON c.c_custkey = t.user_id WHERE t.event_type = 'purchase'""")
+def multiway_stream(spark, sf_dir):
+    """Chained stateful joins: trades with quotes, what comes out with rates, then the account; fed in four parts, each a
+    restart from the checkpoint."""
+    accounts = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("tier"))
+    state, out = run.scratch(spark, "multiway-state"), run.scratch(spark, "multiway-out")
+
+    def once(stream: DataFrame) -> None:
+        side = lambda kind, name: stream.filter(F.col("event_type") == kind).select("user_id", F.col("event_id").alias(f"{name}_id"), F.col("ts").alias(f"{name}_ts")).withWatermark(f"{name}_ts", "5 seconds")
+        pairs = joins.interval_join(side("purchase", "trade"), side("view", "quote"), ["user_id"], "trade_ts", "quote_ts", "-24 hours", "0 hours").drop("quote_ts")
+        rated = joins.interval_join(pairs, side("signup", "rate"), ["user_id"], "trade_ts", "rate_ts", "-72 hours", "0 hours").drop("rate_ts")
+        run.run_to_parquet(joins.lookup_join(rated, accounts, ["user_id"], ["tier"]), "multiway", checkpoint=state, out=out)
+
+    run.feed(in_parts(events(spark, sf_dir).select("event_id", "user_id", "event_type", "ts")), "part", 4, "multiway-in", once)
+    return spark.read.parquet(out).select("trade_id", "quote_id", "rate_id", "tier")
+
+
 @query("""WITH l AS (SELECT user_id AS key, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) n FROM events WHERE event_type = 'purchase') WHERE n = 1),
       r AS (SELECT user_id AS key, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) n FROM events WHERE event_type = 'signup') WHERE n = 1),
       m AS (SELECT max(ts) - INTERVAL 5 SECOND AS mark FROM events),
@@ -477,9 +533,7 @@ def merge_first_row(spark, sf_dir):
     writes = _writes(spark, sf_dir)
     out = keyed.KeyedTable(spark, run.scratch(spark, "first"), writes.schema, ["user_id"], "first", buckets=4)
     for i, part in enumerate((0, 1)):
-        batch = writes.filter(F.col("seq") % 2 == part)
-        new = batch.join(out.read().select("user_id"), "user_id", "left_anti") if i else batch
-        out.merge(new.select(*writes.columns), i)
+        out.merge(writes.filter(F.col("seq") % 2 == part), i)
     return out.read()
 
 
@@ -503,8 +557,11 @@ def merge_aggregate(spark, sf_dir):
 def merge_partial(spark, sf_dir):
     """Three sources own a column each of one row."""
     kinds = ("click", "view", "purchase")
-    writes = events(spark, sf_dir).filter(F.col("event_type").isin(*kinds)).select("user_id", F.array("event_type").alias("listed"), F.col("event_id").alias("seq"), *(F.col("value").alias(k) for k in kinds))
-    return keyed.merge_partial(writes, ["user_id"], "seq", list(kinds), "listed")
+    writes = events(spark, sf_dir).filter(F.col("event_type").isin(*kinds)).select("user_id", "event_type", *(F.col("value").alias(k) for k in kinds), F.col("event_id").alias("seq"))
+    out = keyed.KeyedTable(spark, run.scratch(spark, "partial"), writes.drop("event_type").schema, ["user_id"], "partial", buckets=4)
+    for i, kind in enumerate(kinds):
+        out.merge(writes.filter(F.col("event_type") == kind), i, [kind])
+    return out.read().drop("seq")
 
 
 _V1, _V2 = "(SELECT c_custkey, c_mktsegment, c_acctbal FROM customer WHERE c_custkey % 7 <> 0)", "(SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'VIP' ELSE c_mktsegment END AS c_mktsegment, c_acctbal FROM customer WHERE c_custkey % 11 <> 0)"
@@ -568,6 +625,16 @@ def tier_buckets(spark, sf_dir):
     return tier.bucket_report(log)
 
 
+@query("SELECT CAST(user_id % 4 AS INT) AS __bucket, count(*) AS n, CAST(0 AS BIGINT) AS min_offset, count(*) - 1 AS max_offset, min(c) AS min_timestamp, max(c) AS max_timestamp FROM (SELECT *, CASE WHEN event_id <= (SELECT max(event_id) // 2 FROM events) THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '2024-01-02' END AS c FROM events) GROUP BY 1")
+def tier_copy_job(spark, sf_dir):
+    """Two runs of the tiering job: the first when half of the events are there, the second copies only what has come since."""
+    rows, cold = events(spark, sf_dir).select("event_id", "user_id", "value"), run.scratch(spark, "cold")
+    half = rows.agg(F.expr("max(event_id) div 2")).first()[0]
+    for day, hot in ((1, rows.filter(F.col("event_id") <= half)), (2, rows)):
+        tier.copy_fresh(hot, cold, (F.col("user_id") % 4).cast("int"), ["event_id"], "event_id", F.lit(f"2024-01-0{day}").cast("timestamp"))
+    return ntz(tier.bucket_report(spark.read.parquet(cold)), "min_timestamp", "max_timestamp")
+
+
 @query("SELECT user_id, max(event_id) AS event_id, max_by(value, event_id) AS value FROM events GROUP BY 1")
 def tier_keyed(spark, sf_dir):
     rows = events(spark, sf_dir).select("user_id", "event_id", "value")

@@ -2,14 +2,19 @@
 
 A table is a folder of bucket folders, one for each snapshot that rewrote the bucket, and of small manifests. A merge
 reads and rewrites the buckets that its batch touches, then publishes one manifest as its last step, so readers see all
-of a batch or nothing. The batch's id is stored in the manifest: a batch that was applied already is skipped, whatever
-the merge rule, so replays change nothing.
+of a batch or nothing. The ids of applied batches are in the last manifest: a batch that was applied already is skipped,
+whatever the merge rule, so replays change nothing.
+
+Defined cases, for all merge rules: a null key is a key of its own; a row whose order is null counts as the earliest;
+rows that tie in their order are decided by their other columns, the greatest winning (the least where the first row
+stays), so a merge gives the same table however its rows are dealt.
 """
 
 from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,22 +23,27 @@ from pyspark.sql.types import StructType
 from tidemark.functions.expressions import key_bucket
 
 
+def _by(*order: str) -> Column:
+    """An order that is never null, so rows with null in it aren't lost by max_by and min_by."""
+    return F.struct(*order)
+
+
 def merge_last(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Last write wins."""
     others = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), order).alias("v")).select(*keys, "v.*")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), _by(order, *others)).alias("v")).select(*keys, "v.*")
 
 
 def merge_first(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """First write is kept."""
     others = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.min_by(F.struct(*others), order).alias("v")).select(*keys, "v.*")
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*others), _by(order, *others)).alias("v")).select(*keys, "v.*")
 
 
 def merge_versioned(rows: DataFrame, keys: list[str], order: str, version: str) -> DataFrame:
     """The highest version wins, the later write among equals."""
     others = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct(version, order)).alias("v")).select(*keys, "v.*")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), _by(version, order, *others)).alias("v")).select(*keys, "v.*")
 
 
 def merge_aggregate(rows: DataFrame, keys: list[str], rules: dict[str, str]) -> DataFrame:
@@ -41,13 +51,33 @@ def merge_aggregate(rows: DataFrame, keys: list[str], rules: dict[str, str]) ->
     return rows.groupBy(*keys).agg(*(getattr(F, rule)(c).alias(c) for c, rule in rules.items()))
 
 
-def merge_partial(rows: DataFrame, keys: list[str], order: str, columns: list[str], listed: str) -> DataFrame:
+def merge_partial(rows: DataFrame, keys: list[str], order: list[str], columns: list[str], listed: str) -> DataFrame:
     """Each column takes the value of the last write that lists it (`listed`: array of column names), a null included;
     columns that no write lists stay null."""
-    value = lambda c: F.max_by(F.struct(F.col(c)), F.when(F.array_contains(listed, c), F.col(order)))[c].alias(c)
+    value = lambda c: F.max_by(F.struct(F.col(c)), F.when(F.array_contains(listed, c), _by(*order, c)))[c].alias(c)
     return rows.groupBy(*keys).agg(*(value(c) for c in columns))
 
 
+def same_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
+    """Join condition in which null keys are equal."""
+    return reduce(lambda x, y: x & y, (a[k].eqNullSafe(b[k]) for k in keys))
+
+
+def _with(ranges: list[list[int]], number: int) -> list[list[int]]:
+    """Ranges of applied batch ids with one more."""
+    out: list[list[int]] = []
+    for low, high in sorted([*ranges, [number, number]]):
+        if out and low <= out[-1][1] + 1:
+            out[-1][1] = max(out[-1][1], high)
+        else:
+            out.append([low, high])
+    return out
+
+
+#: Rows of a bucket that one task writes, into one file.
+ROWS_A_FILE = 2_000_000
+
+
 @dataclass
 class KeyedTable:
     """engine: last, first, versioned, aggregate or partial."""
@@ -69,23 +99,31 @@ class KeyedTable:
     def _path(self, name: str):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
-    def manifests(self) -> list[dict]:
-        """All published snapshots in order; one small file each."""
+    def _names(self) -> list[str]:
         fs = self._fs()
         if not fs.exists(self._path("manifests")):
             return []
-        names = sorted(s.getPath().getName() for s in fs.listStatus(self._path("manifests")) if s.getPath().getName().endswith(".json"))
-        jvm = self.spark.sparkContext._jvm
-        out = []
-        for name in names:
-            stream = fs.open(self._path(f"manifests/{name}"))
-            out.append(json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+        return sorted(s.getPath().getName() for s in fs.listStatus(self._path("manifests")) if s.getPath().getName().endswith(".json"))
+
+    def _load(self, name: str) -> dict:
+        stream = self._fs().open(self._path(f"manifests/{name}"))
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
             stream.close()
-        return out
+
+    def manifests(self) -> list[dict]:
+        """All published snapshots in order; one small file each."""
+        return [self._load(name) for name in self._names()]
+
+    def last(self) -> dict | None:
+        """The last snapshot's manifest, the only one that reads and merges of the present table open."""
+        names = self._names()
+        return self._load(names[-1]) if names else None
 
     def snapshots(self) -> DataFrame:
         """snapshot_id, batch_id, commit_time (epoch ms), total_record_count."""
-        rows = [(m["snapshot_id"], m["batch_id"], m["commit_time"], m["rows"]) for m in self.manifests()]
+        rows = [(m["snapshot_id"], m["batch_id"], m["commit_time"], sum(m["rows"].values())) for m in self.manifests()]
         return self.spark.createDataFrame(rows, "snapshot_id bigint, batch_id bigint, commit_time bigint, total_record_count bigint")
 
     def _files(self, manifest: dict | None, buckets: set[int] | None = None) -> DataFrame:
@@ -95,6 +133,8 @@ class KeyedTable:
         return self.spark.read.schema(self.schema).parquet(*(f"{self.path}/{p}" for p in paths))
 
     def _at(self, snapshot: int | None = None, as_of_ms: int | None = None) -> dict | None:
+        if snapshot is None and as_of_ms is None:
+            return self.last()
         fit = [m for m in self.manifests() if (snapshot is None or m["snapshot_id"] <= snapshot) and (as_of_ms is None or m["commit_time"] <= as_of_ms)]
         return fit[-1] if fit else None
 
@@ -105,14 +145,24 @@ class KeyedTable:
     def lookup(self, keys: DataFrame) -> DataFrame:
         """Rows of the given keys; only buckets that hold one of them are read."""
         wanted = {r[0] for r in keys.select(key_bucket(self._key(), self.buckets).alias("b")).distinct().collect()}
-        return self._files(self._at(), wanted).join(keys.select(*self.keys).distinct(), self.keys, "left_semi")
+        found, given = self._files(self.last(), wanted), keys.select(*self.keys).distinct()
+        return found.join(given, same_keys(found, given, self.keys), "left_semi")
 
     def _key(self) -> Column:
         return F.struct(*self.keys) if len(self.keys) > 1 else F.col(self.keys[0])
 
-    def _merged(self, rows: DataFrame) -> DataFrame:
-        if self.engine == "first":
-            return merge_first(rows, self.keys, self.order)
+    def _merged(self, current: DataFrame, new: DataFrame, columns: list[str]) -> DataFrame:
+        """Stored rows and a batch's rows by the table's rule."""
+        if self.engine == "first":  # what is stored stays, whatever its order
+            first = merge_first(new, self.keys, self.order)
+            return current.unionByName(first.join(current, same_keys(first, current, self.keys), "left_anti"))
+        if self.engine == "partial":
+            names = self.schema.names
+            others = [c for c in names if c not in self.keys]
+            listed = lambda df, fresh, cols: df.select(*names, F.lit(fresh).alias("__fresh"), F.col(self.order).alias("__order"), F.array(*map(F.lit, cols)).cast("array<string>").alias("__listed"))
+            writes = listed(current, 0, others).unionByName(listed(new, 1, [c for c in columns if c not in self.keys]))
+            return merge_partial(writes, self.keys, ["__fresh", "__order"], others, "__listed")
+        rows = current.unionByName(new)
         if self.engine == "versioned":
             return merge_versioned(rows, self.keys, self.order, self.version)
         if self.engine == "aggregate":
@@ -120,35 +170,36 @@ class KeyedTable:
         return merge_last(rows, self.keys, self.order)
 
     def merge(self, batch: DataFrame, batch_id: int, columns: list[str] | None = None, commit_time: int | None = None) -> bool:
-        """Apply a batch; False if it was applied before. For partial updates, `columns` are those that the batch writes."""
-        manifests = self.manifests()
-        if any(m["batch_id"] == batch_id for m in manifests):
+        """Apply a batch; False if it was applied before. For partial updates, `columns` are those that the batch writes.
+        A bucket's rows are dealt to as many tasks, and files, as their number asks for."""
+        last = self.last()
+        applied = (last or {}).get("applied", [])
+        if any(low <= batch_id <= high for low, high in applied):
             return False
-        last = manifests[-1] if manifests else None
         number = 1 + (last["snapshot_id"] if last else 0)
         names = self.schema.names
-        new = batch.withColumn("__b", key_bucket(self._key(), self.buckets)).persist()
+        new = batch.select(*names).withColumn("__b", key_bucket(self._key(), self.buckets)).persist()
         try:
-            touched = {r[0] for r in new.select("__b").distinct().collect()}
-            current = self._files(last, touched)
-            if self.engine == "partial":
-                written = [c for c in (columns or []) if c not in self.keys]
-                listed = new.groupBy(*self.keys).agg(F.max_by(F.struct(*written), self.order).alias("__new"))
-                both = current.join(listed, self.keys, "full_outer")
-                out = both.select(*(F.when(F.col("__new").isNotNull(), F.col("__new")[c]).otherwise(F.col(c)).alias(c) if c in written else F.col(c) for c in names))
-            else:
-                out = self._merged(current.unionByName(new.select(*names)))
+            sizes = {str(r[0]): r[1] for r in new.groupBy("__b").count().collect()}
+            held = (last or {}).get("rows", {})
+            share = max([1, *(1 + (n + held.get(b, 0)) // ROWS_A_FILE for b, n in sizes.items())])
+            out = self._merged(self._files(last, set(map(int, sizes))), new.select(*names), columns or [])
             folder = f"data/{number:012d}"
-            out.select(*names).withColumn("bucket", key_bucket(self._key(), self.buckets)).repartition("bucket").sortWithinPartitions(*self.keys).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{folder}")
+            dealt = out.select(*names).withColumn("bucket", key_bucket(self._key(), self.buckets)).repartition(max(1, len(sizes) * share), "bucket", F.pmod(F.xxhash64(F.lit(7), *self.keys), F.lit(share)))
+            dealt.sortWithinPartitions("bucket", *self.keys).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{folder}")
         finally:
             new.unpersist()
-        buckets = {**(last["buckets"] if last else {}), **{str(b): f"{folder}/bucket={b}" for b in sorted(touched)}}
+        buckets = {**(last["buckets"] if last else {}), **{b: f"{folder}/bucket={b}" for b in sorted(sizes)}}
+        written = self._counts(folder) if sizes else {}
         now = commit_time if commit_time is not None else self.spark.sql("SELECT unix_millis(current_timestamp())").first()[0]
-        manifest = {"snapshot_id": number, "batch_id": batch_id, "commit_time": now, "buckets": buckets}
-        manifest["rows"] = self._files(manifest).count()
+        manifest = {"snapshot_id": number, "batch_id": batch_id, "commit_time": now, "buckets": buckets, "rows": {**held, **written}, "applied": _with(applied, batch_id)}
         self._publish(f"manifests/{number:012d}.json", json.dumps(manifest))
         return True
 
+    def _counts(self, folder: str) -> dict[str, int]:
+        """Rows of each bucket that a snapshot has written."""
+        return {str(r[0]): r[1] for r in self.spark.read.parquet(f"{self.path}/{folder}").groupBy("bucket").count().collect()}
+
     def _publish(self, name: str, text: str) -> None:
         """Write aside, then rename: the manifest is there whole or not at all."""
         fs = self._fs()
@@ -160,8 +211,8 @@ class KeyedTable:
             raise RuntimeError(f"{name} is published already")
 
     def expire(self, older_than_ms: int, keep: int = 1) -> int:
-        """Forget snapshots committed before a time, but for the last `keep`, and the files that only they hold. Applied
-        batch ids stay known through the snapshots that are left, so expire only what can't be replayed any more."""
+        """Forget snapshots committed before a time, but for the last `keep`, and the files that only they hold. The ids of
+        all applied batches stay known."""
         all_, fs = self.manifests(), self._fs()
         gone = [m for m in all_[: len(all_) - keep] if m["commit_time"] < older_than_ms]
         held = {p for m in all_ if m not in gone for p in m["buckets"].values()}
@@ -180,7 +231,8 @@ def changelog(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame
     """op and the row: +I for new keys, -U with the old and +U with the new row of changed ones, -D for gone keys."""
     others = [c for c in after.columns if c not in keys]
     b, a = before.select(*keys, F.struct(*others).alias("old")), after.select(*keys, F.struct(*others).alias("new"))
-    both = b.join(a, keys, "full_outer").filter(~F.col("old").eqNullSafe(F.col("new")))
+    both = b.join(a, same_keys(b, a, keys), "full_outer").filter(~F.col("old").eqNullSafe(F.col("new")))
+    both = both.select(*(F.coalesce(b[k], a[k]).alias(k) for k in keys), "old", "new")
     ops = F.when(F.col("old").isNull(), F.array(F.struct(F.lit("+I").alias("op"), F.col("new").alias("v"))))
     ops = ops.when(F.col("new").isNull(), F.array(F.struct(F.lit("-D").alias("op"), F.col("old").alias("v"))))
     ops = ops.otherwise(F.array(F.struct(F.lit("-U").alias("op"), F.col("old").alias("v")), F.struct(F.lit("+U").alias("op"), F.col("new").alias("v"))))

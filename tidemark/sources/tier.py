@@ -2,20 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.windows import running_count
+from tidemark.sources.keyed import merge_last
 
-def tiered(hot: DataFrame, bucket: Column, order: list[str], start: DataFrame | None = None) -> DataFrame:
+
+def tiered(hot: DataFrame, bucket: Column, order: list[str], start: DataFrame | None = None, commit_time: Column | None = None) -> DataFrame:
     """Hot rows with __bucket and __offset: their number in the bucket, after the offsets that `start` (__bucket,
-    __next) says are taken."""
+    __next) says are taken; with commit_time also __timestamp. Offsets are counted over ranges of bucket and order, so a
+    bucket lies in many tasks."""
     rows = hot.withColumn("__bucket", bucket)
-    numbered = rows.withColumn("__offset", F.row_number().over(Window.partitionBy("__bucket").orderBy(*order)).cast("bigint") - 1)
+    if commit_time is not None:
+        rows = rows.withColumn("__timestamp", commit_time)
+    numbered = running_count(rows, "__bucket", order, "__offset").withColumn("__offset", F.col("__offset") - 1)
     if start is None:
         return numbered
     return numbered.join(F.broadcast(start), "__bucket", "left").withColumn("__offset", F.col("__offset") + F.coalesce("__next", F.lit(0))).drop("__next")
 
 
+def copy_fresh(hot: DataFrame, cold_path: str, bucket: Column, order: list[str], offset_of: str, now: Column) -> int:
+    """One run of the tiering job: hot rows whose position (`offset_of`, ascending in arrival) lies beyond what the cold
+    table holds are appended to it with bucket, offset and commit time. Returns how many; run it as often as the cold tier's
+    freshness asks for."""
+    spark = hot.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cold_path)
+    start = None
+    if path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
+        cold = spark.read.parquet(cold_path)
+        hot = hot.filter(F.col(offset_of) > cold.agg(F.max(offset_of)).first()[0])
+        start = watermarks(cold)
+    rows = tiered(hot, bucket, order, start, now).persist()
+    try:
+        n = rows.count()
+        if n:
+            rows.write.mode("append").parquet(cold_path)
+        return n
+    finally:
+        rows.unpersist()
+
+
 def watermarks(cold: DataFrame) -> DataFrame:
     """__bucket and __next: the first offset that isn't in the cold tier; a row for each bucket."""
     return cold.groupBy("__bucket").agg((F.max("__offset") + 1).alias("__next"))
@@ -28,12 +55,13 @@ def unified_log(hot: DataFrame, cold: DataFrame) -> DataFrame:
 
 
 def unified_keyed(hot: DataFrame, cold: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The latest row of each key over both tiers."""
-    both = hot.unionByName(cold.select(*hot.columns))
-    others = [c for c in both.columns if c not in keys]
-    return both.groupBy(*keys).agg(F.max_by(F.struct(*others), order).alias("v")).select(*keys, "v.*")
+    """The latest row of each key over both tiers; null orders come first, and ties are decided by the other columns."""
+    return merge_last(hot.unionByName(cold.select(*hot.columns)), keys, order)
 
 
 def bucket_report(log: DataFrame) -> DataFrame:
-    """Rows and the span of offsets of each bucket."""
-    return log.groupBy("__bucket").agg(F.count(F.lit(1)).alias("n"), F.min("__offset").alias("min_offset"), F.max("__offset").alias("max_offset"))
+    """Rows and the span of offsets, and of commit times where the log has them, of each bucket."""
+    spans = [f("__offset").alias(f"{n}_offset") for n, f in (("min", F.min), ("max", F.max))]
+    if "__timestamp" in log.columns:
+        spans += [f("__timestamp").alias(f"{n}_timestamp") for n, f in (("min", F.min), ("max", F.max))]
+    return log.groupBy("__bucket").agg(F.count(F.lit(1)).alias("n"), *spans)
