@@ -36,12 +36,21 @@ def candidates(low: bytes) -> list[Rule]:
 
 
 def detections(low: bytes) -> list[tuple[int, int, str, float]]:
-    """begin, end, label, weight of what is left after suppression, of a text in lower case."""
+    """begin, end, label, weight of what is left after suppression, of a text in lower case.
+
+    A detection goes if a kept one that it overlaps is as long or longer, which includes all that contain it. `longest` has
+    for each byte the length of the longest kept detection there, so a detection looks at its own bytes alone.
+    """
     kept: list[tuple[int, int, str, float]] = []
+    longest = None
     for rule in candidates(low):
         for m in rule.pattern.finditer(low):
             b, e = m.span()
-            if not any(kb < e and b < ke and (kb <= b and e <= ke or e - b <= ke - kb) for kb, ke, _, _ in kept):
+            if longest is None:
+                longest = np.zeros(len(low), np.int32)
+            own = longest[b:e]
+            if e > b and own.max() < e - b:
+                own[:] = e - b  # all of it was less
                 kept.append((b, e, rule.label, rule.weight))
     return sorted(kept)
 
