@@ -93,10 +93,16 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text, n_lines, n_kept, kept_text of every row: the lines that stay, in order, blank ones included."""
     distinct, gone = near_lines(docs)
     stay = distinct.join(gone, ["h", "h2"], "left_anti")
-    by_doc = stay.groupBy(F.col("first.doc_id").alias("__id")).agg(F.collect_set(F.xxhash64("first.line_no", "h")).alias("__stay"))
+    # The staying lines' hashes by position, so that a document finds each of its lines at once. Positions that rows of one
+    # id with different texts share are looked up in the set.
+    places = F.sort_array(F.collect_set(F.struct(F.col("first.line_no").alias("line_no"), "h"))).alias("__stay")
+    by_doc = stay.groupBy(F.col("first.doc_id").alias("__id")).agg(places, (F.count(F.lit(1)) > F.count_distinct("first.line_no")).alias("__shared"))
+    gap = "x.line_no - if(j = 0, -1, get(__stay, j - 1).line_no) - 1"
+    by_doc = by_doc.withColumn("__at", F.expr(f"if(__shared, array(), flatten(transform(__stay, (x, j) -> concat(array_repeat(cast(null as bigint), {gap}), array(x.h)))))"))
+    by_doc = by_doc.withColumn("__stay", F.expr("if(__shared, __stay, null)"))
     joined = docs.select("doc_id", "text").join(by_doc, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    kept = F.filter(lines, lambda x, i: (F.length(F.trim(x)) == 0) | F.coalesce(F.array_contains(F.col("__stay"), F.xxhash64(i, F.xxhash64(x))), F.lit(False)))
+    kept = F.filter(lines, lambda x, i: (F.length(F.trim(x)) == 0) | F.coalesce(F.when(F.col("__shared"), F.array_contains(F.col("__stay"), F.struct(i.alias("line_no"), F.xxhash64(x).alias("h")))).otherwise(F.get(F.col("__at"), i) == F.xxhash64(x)), F.lit(False)))
     out = joined.withColumn("__kept", kept).withColumn("__lines", lines)
     size = lambda c: F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, F.lit(0)).otherwise(F.size(c)).cast("bigint")
     return out.select("doc_id", "text", size("__lines").alias("n_lines"), size("__kept").alias("n_kept"), F.concat_ws("\n", "__kept").alias("kept_text"))
