@@ -8,7 +8,8 @@ the byte span of each assistant text.
 
 Defined cases: a null text or role counts as empty; turns that tie are ordered by role and text; rows that repeat are
 turns that repeat; a null conv_id is one conversation; an empty table gives an empty result; other columns don't matter.
-A conversation is one cell, so its own turns are held together by the task that writes it, whatever else is there.
+A conversation is one cell, so its own turns are held together by the task that writes it, whatever else is there; one of
+more than 2 GiB is an error.
 """
 
 from __future__ import annotations
@@ -23,10 +24,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_arrow
+from tidemark.llm.common import map_arrow, map_batches, slices
 
 #: Control strings of the template and of its family, without their first character.
 CONTROL = r"/?s>|/?INST\]|<SYS>>|</SYS>>"
+#: Bytes that scatter indices are made for at once (eight bytes each), text that is assembled at once, and what a cell can hold.
+INDEXED, SLICE_BYTES, MOST_BYTES = 1 << 20, 4_000_000, (1 << 31) - 1
 _ESCAPE = r"([<\[])(\\*)(" + CONTROL + ")"
 _UNESCAPE = re.compile(rb"([<\[])\\(\\*)(" + CONTROL.encode() + rb")")
 _HEAD, _AFTER_ROLE, _FOOT = b"<s>[INST]", b"[/INST]", b"</s>"
@@ -50,9 +53,19 @@ def _raw(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scatter(out: np.ndarray, at: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> None:
-    """Put segment i of data at out[at[i]:]."""
+    """Put segment i of data at out[at[i]:]. Scatter indices are made for INDEXED bytes at once; a longer segment is one
+    copy of its own."""
     lengths = np.diff(offsets)
-    out[np.repeat(at - offsets[:-1], lengths) + np.arange(offsets[0], offsets[-1])] = data[offsets[0] : offsets[-1]]
+    for i in np.flatnonzero(lengths > INDEXED):
+        out[at[i] : at[i] + lengths[i]] = data[offsets[i] : offsets[i + 1]]
+    short = np.flatnonzero(lengths <= INDEXED)
+    groups = np.r_[0, np.cumsum(lengths[short])] // INDEXED
+    cuts = np.r_[np.flatnonzero(np.diff(groups[:-1], prepend=-1)), len(short)] if len(short) else np.zeros(1, np.int64)
+    for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+        own = short[low:high]
+        n = lengths[own]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(at[own], n) + step] = data[np.repeat(offsets[own], n) + step]
 
 
 def assemble(conv: np.ndarray, roles: pa.Array, texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
@@ -64,6 +77,8 @@ def assemble(conv: np.ndarray, roles: pa.Array, texts: pa.Array) -> tuple[pa.Arr
     head_len, text_len = np.diff(head_off), np.diff(text_off)
     ends = np.cumsum(head_len + text_len + len(_FOOT))
     starts = ends - head_len - text_len - len(_FOOT)
+    if ends[-1] > MOST_BYTES:
+        raise ValueError(f"conversations of {ends[-1]} bytes don't fit into one cell")
     out = np.empty(int(ends[-1]), np.uint8)
     _scatter(out, starts, head_data, head_off)
     _scatter(out, starts + head_len, text_data, text_off)
@@ -93,8 +108,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # turns of the conversation that goes on
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
+            for batch in slices(whole, SLICE_BYTES, ("role", "text")):
                 ids = batch.column("conv_id").to_pylist()
                 cut = next((i for i in range(len(ids) - 1, 0, -1) if ids[i] != ids[i - 1]), 0)
                 if held and ids[0] != held[-1].column("conv_id")[-1].as_py():
@@ -109,7 +123,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
             yield ready(pa.Table.from_batches(held))
 
     rows = turns.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return rows.select("conv_id", "role", "text").mapInArrow(run, f"conv_id {kind}, n_turns bigint, formatted binary, loss_begin array<bigint>, loss_end array<bigint>")
+    return map_batches(rows.select("conv_id", "role", "text"), run, f"conv_id {kind}, n_turns bigint, formatted binary, loss_begin array<bigint>, loss_end array<bigint>")
 
 
 def parse(formatted: bytes) -> list[tuple[bytes, bytes]]:
