@@ -54,11 +54,21 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with all their columns. Only rows that may repeat are shuffled."""
+    """The rows that stay, with all their columns. Which rows go is decided on ids and hashes; of the texts, only those of
+    rows that may go, or that repeat with their id, are shuffled."""
     marked = docs.withColumn("__sha", _sha(F.col("text")))
     hashed = checkpoint(marked.select("doc_id", "__sha"))
     maybe, _ = _repeated(hashed)
-    keepers = hashed.filter(maybe(_hash_key(F.col("__sha")))).groupBy(F.col("__sha").alias("__key")).agg(F.max("doc_id").alias("__keep"))
-    flag = maybe(_hash_key(F.col("__sha")))
-    stay = marked.filter(flag).join(keepers, (F.col("__sha") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi").dropDuplicates(["__sha"])
-    return marked.filter(~flag).unionByName(stay).drop("__sha")
+    suspects = hashed.filter(maybe(_hash_key(F.col("__sha")))).groupBy("__sha", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    keepers = suspects.groupBy(F.col("__sha").alias("__key")).agg(F.max("doc_id").alias("keep"), F.sum("n").alias("size")).filter("size > 1")
+    found = checkpoint(suspects.join(keepers, F.col("__sha") == F.col("__key")).select(F.col("doc_id").alias("__id"), "__key", F.col("doc_id").eqNullSafe(F.col("keep")).alias("stays"), "n").filter("n > 1 OR NOT stays"))
+    n = found.count()
+    if not n:
+        return docs
+    own = F.xxhash64(F.struct("doc_id", "__sha"))
+    routed = in_filter(docs.sparkSession, build_filter(found.select(F.xxhash64(F.struct(F.col("__id").alias("doc_id"), F.col("__key").alias("__sha"))).alias("__h")), filter_bits(n), False))
+    flag, same = routed(own), (F.col("__sha") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    tried = marked.filter(flag).join(found, same, "left")
+    once = tried.filter("__key IS NULL").select(*marked.columns)
+    twice = tried.filter("__key IS NOT NULL AND stays").select(*marked.columns).dropDuplicates(["__sha"])
+    return marked.filter(~flag).unionByName(once).unionByName(twice).drop("__sha")
