@@ -93,4 +93,28 @@ def oracle_sql() -> dict[str, str]:
                    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                    CAST(sum(escaped + 20) AS BIGINT) AS formatted_chars
             FROM e GROUP BY conv_id""",
+        "op7_ngram_jaccard_join": r"""
+            WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+                 g AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                                      ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w),
+                 n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles FROM g),
+                 s AS MATERIALIZED (SELECT doc_id, hash(unnest(sh)) AS h FROM g),
+                 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY ALL),
+                 l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n_shingles + y.n_shingles - k)),
+                 r AS (SELECT doc_id AS id, doc_id AS c FROM n UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id)
+            SELECT doc_id, n_shingles, (SELECT min(c) FROM r WHERE r.id = doc_id) AS component_id FROM n""",
+        "op8_line_dedup": r"""
+            WITH t AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+                 o AS MATERIALIZED (SELECT doc_id, unnest(range(len(ls))) AS k, unnest(ls) AS line FROM t),
+                 d AS MATERIALIZED (SELECT line, min((doc_id, k)) AS first FROM o WHERE length(trim(line, ' ')) > 0 GROUP BY line),
+                 e AS MATERIALIZED (SELECT DISTINCT line, first, unnest([(1, n, left(line, n // 2)), (2, n, right(line, n - n // 2)), (1, n - 1, left(line, (n - 1) // 2)), (2, n - 1, right(line, n - 1 - (n - 1) // 2))]) AS key FROM (SELECT *, length(line) AS n FROM d)),
+                 c AS (SELECT DISTINCT a.line AS x, b.line AS y FROM e a JOIN e b ON a.key = b.key AND a.first > b.first AND abs(length(a.line) - length(b.line)) <= 1),
+                 f AS (SELECT DISTINCT x FROM c WHERE
+                       CASE WHEN length(x) = length(y) THEN len(list_filter(range(1, length(x) + 1), lambda i: substr(x, i, 1) <> substr(y, i, 1))) = 1
+                            WHEN length(x) > length(y) THEN list_contains(list_transform(range(0, length(x)), lambda i: left(x, i) || substr(x, i + 2)), y)
+                            ELSE list_contains(list_transform(range(0, length(y)), lambda i: left(y, i) || substr(y, i + 2)), x) END),
+                 s AS (SELECT o.doc_id, o.k, o.line FROM o LEFT JOIN d ON o.line = d.line LEFT JOIN f ON o.line = f.x WHERE d.line IS NULL OR d.first = (o.doc_id, o.k) AND f.x IS NULL),
+                 m AS (SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY k) AS kept FROM s GROUP BY doc_id)
+            SELECT t.doc_id, CAST(CASE WHEN t.text = '' THEN 0 ELSE len(t.ls) END AS BIGINT) AS n_lines, CAST(CASE WHEN t.text = '' THEN 0 ELSE coalesce(m.n, 0) END AS BIGINT) AS n_kept, sha256(coalesce(m.kept, '')) AS kept_sha256
+            FROM t LEFT JOIN m USING (doc_id)""",
     }
