@@ -174,6 +174,15 @@ def test_lines_of_null_ids(spark):
     assert found == {None: "same line\nonly here", 1: "", 2: "quite another", 3: ""}
 
 
+def test_lines_of_many_lines_and_shared_ids(spark):
+    """A document of many lines, rows of one id with other texts, and columns of other meaning."""
+    rows = [(1, "\n".join(f"line {i:07d} of {i * 7919 % 100003}" for i in range(20_000)), 3), (2, "here\nhere", 3), (2, "there are\nlines", 3), (3, "lines\nthere are\nmore of them", 3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_lines int")
+    found = {(r.doc_id, r.text[:5]): r for r in line_dedup.dedup_lines(docs).collect()}
+    assert found[2, "here\n"].kept_text == "here" and found[2, "there"].kept_text == "there are\nlines" and found[3, "lines"].kept_text == "more of them"
+    assert found[1, "line "].n_lines == 20_000
+
+
 def test_lines_plan_has_no_python(spark):
     docs = spark.createDataFrame([(1, "a\nb")], "doc_id bigint, text string")
     plan = line_dedup.dedup_lines(docs)._jdf.queryExecution().toString()
@@ -219,6 +228,60 @@ def test_offending_sentences(spark):
     assert {(r.doc_id, r.sentence) for r in toxicity.offending_sentences(docs, model).collect()} == {(i, 1) for i in range(0, 400, 4)}
 
 
+def test_noisy_or_gradient():
+    """Against the product over sentences, and against finite differences."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    doc_of, y, weight = np.array([0, 0, 0, 1, 2, 2, 3, 3]), np.array([1.0, 0.0, 1.0, 0.0]), np.array([0.1, 0.2, 0.3, 0.4])
+    z = rng.normal(size=8)
+    p = 1 - np.array([np.prod(1 - 1 / (1 + np.exp(-z[doc_of == d]))) for d in range(4)])
+    loss, gradient = toxicity.noisy_or(z, doc_of, y, weight)
+    assert np.isclose(loss, -(weight * np.where(y > 0.5, np.log(p), np.log(1 - p))).sum())
+    eye = np.eye(8) * 1e-6
+    assert np.allclose(gradient, [(toxicity.noisy_or(z + e, doc_of, y, weight)[0] - toxicity.noisy_or(z - e, doc_of, y, weight)[0]) / 2e-6 for e in eye], atol=1e-6)
+    model = toxicity.ToxicityModel(-1.0, {toxicity._features(b"moron")[0]: 3.0, toxicity._features(b"moro")[1]: 0.5})
+    text = b"Nice. You moron! Moron, moron."
+    logits = model.sentence_logits(text)
+    assert np.allclose(logits, [-1, 2.5, 6])
+    assert np.isclose(model.score([text])[0], 1 - np.prod(1 - 1 / (1 + np.exp(-logits))))
+
+
+def test_regularised_leader_equals_plain_steps():
+    import math
+
+    import numpy as np
+
+    r = random.Random(2)
+    rows = [(r.choice("ab"), np.array(sorted(r.sample(range(12), 4))), np.full(4, 0.25)) for _ in range(20)]
+    idf = np.linspace(1, 2, language_id.WIDTH)
+    model = language_id.train(rows, idf)
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(f, k):
+        if abs(z[f, k]) <= language_id.L1:
+            return 0.0
+        return -(z[f, k] - math.copysign(language_id.L1, z[f, k])) / ((language_id.BETA + math.sqrt(n[f, k])) / language_id.ALPHA + language_id.L2)
+
+    learn, rng = [x for i, x in enumerate(rows) if i % 5 != 4], np.random.default_rng(7)
+    for _ in range(language_id.EPOCHS):
+        for i in rng.permutation(len(learn)):
+            lang, grams, tf = learn[i]
+            x = {**{int(g): language_id.SCALE * t * idf[g] for g, t in zip(grams, tf)}, "bias": 1.0}
+            own = {(f, k): weight(f, k) for f in x for k in range(2)}
+            logits = [sum(v * own[f, k] for f, v in x.items()) for k in range(2)]
+            top = [math.exp(v - max(logits)) for v in logits]
+            for k in range(2):
+                error = top[k] / sum(top) - ("ab"[k] == lang)
+                for f, v in x.items():
+                    g = v * error
+                    z[f, k] += g - (math.sqrt(n[f, k] + g * g) - math.sqrt(n[f, k])) / language_id.ALPHA * own[f, k]
+                    n[f, k] += g * g
+    assert np.allclose(model.bias, [weight("bias", k) for k in range(2)])
+    assert np.allclose(model.weights[:12], [[language_id.SCALE * idf[f] * weight(f, k) for k in range(2)] for f in range(12)], rtol=1e-5, atol=1e-6)
+    assert not model.weights[12:].any()
+
+
 def test_held_out_labels_do_not_train(spark):
     held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
     docs = spark.createDataFrame([(i, "You utter moron!" if i % 4 == 0 else "You fine friend!") for i in range(60)], "doc_id bigint, text string").coalesce(1)
@@ -282,6 +345,30 @@ def test_license_rules_without_other_words(text, labels):
     assert license_scan.scan(text.encode())[5] == labels
 
 
+def test_license_long_text():
+    """A long text of mentions takes time in proportion, and suppression equals comparing with all that was kept."""
+    import time
+
+    from tidemark.llm.license_rules import RULES
+
+    r = random.Random(3)
+    said = ["mit license", "licensed under the apache license, version 2.0", "gnu general public license v3", "cc by-nc 4.0", "all rights reserved", "or later", "bsd 3-clause", "lgpl-2.1-only", "word " * 9]
+    low = " ".join(r.choice(said) for _ in range(150)).encode()
+    plain = []
+    for x in RULES:
+        for b, e in (m.span() for m in x.pattern.finditer(low)):
+            if not any(kb < e and b < ke and (kb <= b and e <= ke or e - b <= ke - kb) for kb, ke, _, _ in plain):
+                plain.append((b, e, x.label, x.weight))
+    assert license_scan.detections(low) == sorted(plain) and len(plain) > 100
+    seconds = []
+    for n in (2_000, 16_000):
+        text = " ".join(r.choice(said) for _ in range(n)).encode()
+        began = time.thread_time()
+        assert license_scan.scan(text)[1] > n // 20
+        seconds.append(time.thread_time() - began)
+    assert seconds[1] < 20 * seconds[0]  # eight times the text
+
+
 def written(parsed, r):
     """A text that a parsed expression matches, wrapped at some of its gaps."""
     from re import _parser as p
@@ -345,6 +432,18 @@ def test_chat_round_trip(spark, sf_dir):
     assert len(found) == len(expected) and -1 in expected
 
 
+def test_chat_long_texts_and_clashing_columns(spark):
+    """Long texts and many turns in one conversation, with columns of other meaning beside them."""
+    long = "<s>é" * 700_000
+    rows = [(1, 0, "user", long, 7, "x"), (1, 1, "assistant", long + "end", 7, "x"), (2, 0, "assistant", "", 7, "x")] + [(3, k, "assistant" if k % 2 else "user", f"t{k}" * (k % 50), 7, "x") for k in range(5000)]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, n_turns int, formatted string").repartition(3)
+    found = {r.conv_id: r for r in chat_format.digests(chat_format.format_conversations(turns)).collect()}
+    learnt = "".join(r[3] for r in rows if r[0] == 3 and r[2] == "assistant")
+    assert {k: v.n_turns for k, v in found.items()} == {1: 2, 2: 1, 3: 5000} and found[1].loss_chars == len(long) + 3
+    assert found[3].loss_sha256 == hashlib.sha256(learnt.encode()).hexdigest()
+    assert found[1].turns_sha256 == hashlib.sha256(f"user\n{long}\nassistant\n{long}end\n".encode()).hexdigest()
+
+
 # benchmark decontamination
 
 

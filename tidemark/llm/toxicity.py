@@ -72,6 +72,15 @@ class ToxicityModel:
         return np.array([-np.expm1(-np.logaddexp(0, self.sentence_logits(t)).sum()) if t else 0.0 for t in texts])
 
 
+def noisy_or(z: np.ndarray, doc_of: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray]:
+    """Negative log-likelihood of the documents' labels y, and its gradient by the sentences' logits z: a document is toxic
+    with probability 1 - prod(1 - p_s) over its sentences."""
+    a = np.bincount(doc_of, np.logaddexp(0, z), minlength=len(y))
+    loss = float((weight * np.where(y > 0.5, -np.log(-np.expm1(-np.maximum(a, 1e-6))), a)).sum())
+    slope = np.where(y > 0.5, -1 / np.expm1(np.clip(a, 1e-6, 50)), 1.0) * weight
+    return loss, slope[doc_of] / (1 + np.exp(-z))
+
+
 def train(rows: list[tuple[float, float, bytes]]) -> ToxicityModel:
     """rows: label, weight, and the tokens of a document as _instances() packs them."""
     tokens = [np.frombuffer(t, np.uint32).reshape(-1, 4) for _, _, t in rows]
@@ -101,9 +110,7 @@ def train(rows: list[tuple[float, float, bytes]]) -> ToxicityModel:
     weight = weight / weight.sum()
     for _ in range(STEPS):
         z = bias + np.bincount(at, theta[feature], minlength=m)
-        a = np.bincount(doc_of, np.logaddexp(0, z), minlength=n)
-        slope = np.where(y > 0.5, -1 / np.expm1(np.clip(a, 1e-6, 50)), 1.0) * weight
-        g = slope[doc_of] / (1 + np.exp(-z))
+        g = noisy_or(z, doc_of, y, weight)[1]
         grad, grad_b = np.bincount(feature, g[at], minlength=d), g.sum()
         square, square_b = square + grad**2, square_b + grad_b**2
         rate = 0.5 / np.sqrt(square)
