@@ -60,8 +60,10 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     hashed = checkpoint(marked.select("doc_id", "__sha"))
     maybe, _ = _repeated(hashed)
     suspects = hashed.filter(maybe(_hash_key(F.col("__sha")))).groupBy("__sha", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    keepers = suspects.groupBy(F.col("__sha").alias("__key")).agg(F.max("doc_id").alias("keep"), F.sum("n").alias("size")).filter("size > 1")
-    found = checkpoint(suspects.join(keepers, F.col("__sha") == F.col("__key")).select(F.col("doc_id").alias("__id"), "__key", F.col("doc_id").eqNullSafe(F.col("keep")).alias("stays"), "n").filter("n > 1 OR NOT stays"))
+    keepers = suspects.groupBy(F.col("__sha").alias("__key")).agg(F.max("doc_id").alias("keep"))
+    # Joined by hash and id together, so the rows of a hot group lie in many tasks.
+    kept = suspects.join(keepers, (F.col("__sha") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("keep")), "left")
+    found = checkpoint(kept.select(F.col("doc_id").alias("__id"), F.col("__sha").alias("__key"), F.col("__key").isNotNull().alias("stays"), "n").filter("n > 1 OR NOT stays"))
     n = found.count()
     if not n:
         return docs
