@@ -121,6 +121,15 @@ def test_components(spark, seed, bases, copies, words):
     assert found == brute_components(docs.collect())
 
 
+def test_components_of_hot_lists(spark, monkeypatch):
+    """Lists that are dealt over tasks give the same components: a passage that all share, and large families."""
+    monkeypatch.setattr(ngram_join, "HOT_ROWS", 16)
+    monkeypatch.setattr(ngram_join, "HOT_TIMES", 0)
+    docs = spark.createDataFrame(near_copies(6, 4, 60, 50), "doc_id bigint, text string").repartition(5)
+    found = {r.doc_id: tuple(r) for r in ngram_join.jaccard_components(docs).collect()}
+    assert found == brute_components(docs.collect())
+
+
 def test_components_of_documents(spark, sf_dir):
     docs = documents(spark, sf_dir)
     assert {r.doc_id: tuple(r) for r in ngram_join.jaccard_components(docs).collect()} == brute_components(docs.collect())

@@ -34,6 +34,9 @@ from tidemark.llm.graph import attach, components
 #: Counters of the frequency sketch, and the slices in which they are summed: a fixed 2 MB is broadcast.
 SKETCH = 1 << 21
 SLICES = 64
+#: A list is hot if its n-gram's counter is so high, and so many times the mean counter; its rows are dealt over tasks of
+#: half as many.
+HOT_ROWS, HOT_TIMES = 1024, 16
 #: A list with more pairs than this for each of its members, over all lists, gets another linear round first.
 PAIRS_A_ROW = 300
 ROUNDS = 3
@@ -129,7 +132,10 @@ def prefix_length(n, percent: int):
 
 
 def _prefixes(docs: DataFrame, n: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """sh, sid, n: the first n-grams of every set, each set once a task."""
+    """sh, sid, n, part, level: the first n-grams of every set, each set once a task. part is 0, or from 1 on for the rows
+    of a hot list; level is the counter's, which all rows of an n-gram have in common."""
+    mean = float(np.exp2(levels / 4.0).mean())
+    hot = int(np.ceil(4 * np.log2(max(HOT_ROWS, HOT_TIMES * mean))))
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,24 +154,33 @@ def _prefixes(docs: DataFrame, n: int, percent: int, levels: np.ndarray) -> Data
                     sid.append(np.full(len(first), own, np.uint64))
                     size.append(np.full(len(first), len(s), np.int32))
                 if sh:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sh).view(np.int64)), pa.array(np.concatenate(sid).view(np.int64)), pa.array(np.concatenate(size))], names=["sh", "sid", "n"])
+                    sh, sid = np.concatenate(sh), np.concatenate(sid)
+                    own = level[sh & np.uint64(SKETCH - 1)].astype(np.int64)
+                    parts = np.maximum(2, np.exp2(own / 4.0) / (HOT_ROWS / 2)).astype(np.uint64)
+                    dealt = np.where(own >= hot, 1 + (sid % parts).astype(np.int64), 0)
+                    yield pa.RecordBatch.from_arrays([pa.array(sh.view(np.int64)), pa.array(sid.view(np.int64)), pa.array(np.concatenate(size)), pa.array(dealt.astype(np.int32)), pa.array(own.astype(np.int32))], names=["sh", "sid", "n", "part", "level"])
 
-    return map_batches(docs.select("text"), run, "sh bigint, sid bigint, n int")
+    return map_batches(docs.select("text"), run, "sh bigint, sid bigint, n int, part int, level int")
 
 
 def _lists(prefixes: DataFrame, percent: int) -> DataFrame:
     """sh, sid, n, pos, own: members of lists with two sets or more, in the second prefix; pos is the place in the order of
-    exact counts, own the share of n-grams in the first prefix that no other set has there."""
-    by_list = Window.partitionBy("sh")
-    shared = prefixes.select("sh", "sid", "n", F.count(F.lit(1)).over(by_list).alias("g"), F.min("sid").over(by_list).alias("lo"), F.max("sid").over(by_list).alias("hi"))
-    shared = shared.filter("lo <> hi").select("sh", "sid", "n", "g").distinct()
+    exact counts, own the share of n-grams in the first prefix that no other set has there.
+
+    A hot list isn't counted in one task: its counter's level stands for its count, behind all exact ones. That is as good
+    an order, for all its rows have it; and hot rows stay without a look at whether another set has them.
+    """
+    by_list = Window.partitionBy("sh", "part")
+    count = F.when(F.col("part") == 0, F.count(F.lit(1)).over(by_list)).otherwise((1 << 40) + F.col("level"))
+    shared = prefixes.select("sh", "sid", "n", "part", count.alias("g"), F.min("sid").over(by_list).alias("lo"), F.max("sid").over(by_list).alias("hi"))
+    shared = shared.filter("part > 0 OR lo <> hi").select("sh", "sid", "n", "part", "g").distinct()
     by_set = Window.partitionBy("sid")
     placed = shared.withColumn("rank", F.row_number().over(by_set.orderBy("g", "sh"))).withColumn("met", F.count(F.lit(1)).over(by_set))
     length = F.expr(f"n - (n * {percent} + 99) div 100 + 1 + n div 16")
     need = F.expr(f"((n * {percent} + 99) div 100) div 16 + 1")  # of the smallest partner
     kept = placed.withColumn("pos", (length - F.col("met") + F.col("rank") - 1).cast("int")).filter(F.col("pos") <= length - need)
-    again = kept.select("sh", "sid", "n", "pos", ((length - F.col("met")) / F.col("n")).cast("float").alias("own"), F.min("sid").over(by_list).alias("lo"), F.max("sid").over(by_list).alias("hi"))
-    return again.filter("lo <> hi").select("sh", "sid", "n", "pos", "own")
+    again = kept.select("sh", "sid", "n", "part", "pos", ((length - F.col("met")) / F.col("n")).cast("float").alias("own"), F.min("sid").over(by_list).alias("lo"), F.max("sid").over(by_list).alias("hi"))
+    return again.filter("part > 0 OR lo <> hi").select("sh", "sid", "n", "pos", "own")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
