@@ -96,7 +96,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     # The staying lines' hashes by position, so that a document finds each of its lines at once. Positions that rows of one
     # id with different texts share are looked up in the set.
     places = F.sort_array(F.collect_set(F.struct(F.col("first.line_no").alias("line_no"), "h"))).alias("__stay")
-    by_doc = stay.groupBy(F.col("first.doc_id").alias("__id")).agg(places, (F.count(F.lit(1)) > F.count_distinct("first.line_no")).alias("__shared"))
+    by_doc = stay.groupBy(F.col("first.doc_id").alias("__id")).agg(places)
+    by_doc = by_doc.withColumn("__shared", F.expr("size(array_distinct(__stay.line_no)) < size(__stay)"))
     gap = "x.line_no - if(j = 0, -1, get(__stay, j - 1).line_no) - 1"
     by_doc = by_doc.withColumn("__at", F.expr(f"if(__shared, array(), flatten(transform(__stay, (x, j) -> concat(array_repeat(cast(null as bigint), {gap}), array(x.h)))))"))
     by_doc = by_doc.withColumn("__stay", F.expr("if(__shared, __stay, null)"))
