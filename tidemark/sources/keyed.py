@@ -58,9 +58,10 @@ def merge_partial(rows: DataFrame, keys: list[str], order: list[str], columns: l
     return rows.groupBy(*keys).agg(*(value(c) for c in columns))
 
 
-def same_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
-    """Join condition in which null keys are equal."""
-    return reduce(lambda x, y: x & y, (a[k].eqNullSafe(b[k]) for k in keys))
+def join_keys(a: DataFrame, b: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join in which null keys are equal; b's keys get other names, so both may stem from one table."""
+    other = b.withColumnsRenamed({k: f"__other_{k}" for k in keys})
+    return a.join(other, reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"__other_{k}")) for k in keys)), how)
 
 
 def _with(ranges: list[list[int]], number: int) -> list[list[int]]:
@@ -145,8 +146,7 @@ class KeyedTable:
     def lookup(self, keys: DataFrame) -> DataFrame:
         """Rows of the given keys; only buckets that hold one of them are read."""
         wanted = {r[0] for r in keys.select(key_bucket(self._key(), self.buckets).alias("b")).distinct().collect()}
-        found, given = self._files(self.last(), wanted), keys.select(*self.keys).distinct()
-        return found.join(given, same_keys(found, given, self.keys), "left_semi")
+        return join_keys(self._files(self.last(), wanted), keys.select(*self.keys).distinct(), self.keys, "left_semi")
 
     def _key(self) -> Column:
         return F.struct(*self.keys) if len(self.keys) > 1 else F.col(self.keys[0])
@@ -154,8 +154,7 @@ class KeyedTable:
     def _merged(self, current: DataFrame, new: DataFrame, columns: list[str]) -> DataFrame:
         """Stored rows and a batch's rows by the table's rule."""
         if self.engine == "first":  # what is stored stays, whatever its order
-            first = merge_first(new, self.keys, self.order)
-            return current.unionByName(first.join(current, same_keys(first, current, self.keys), "left_anti"))
+            return current.unionByName(join_keys(merge_first(new, self.keys, self.order), current, self.keys, "left_anti"))
         if self.engine == "partial":
             names = self.schema.names
             others = [c for c in names if c not in self.keys]
@@ -231,8 +230,8 @@ def changelog(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame
     """op and the row: +I for new keys, -U with the old and +U with the new row of changed ones, -D for gone keys."""
     others = [c for c in after.columns if c not in keys]
     b, a = before.select(*keys, F.struct(*others).alias("old")), after.select(*keys, F.struct(*others).alias("new"))
-    both = b.join(a, same_keys(b, a, keys), "full_outer").filter(~F.col("old").eqNullSafe(F.col("new")))
-    both = both.select(*(F.coalesce(b[k], a[k]).alias(k) for k in keys), "old", "new")
+    both = join_keys(b, a, keys, "full_outer").filter(~F.col("old").eqNullSafe(F.col("new")))
+    both = both.select(*(F.coalesce(k, f"__other_{k}").alias(k) for k in keys), "old", "new")
     ops = F.when(F.col("old").isNull(), F.array(F.struct(F.lit("+I").alias("op"), F.col("new").alias("v"))))
     ops = ops.when(F.col("new").isNull(), F.array(F.struct(F.lit("-D").alias("op"), F.col("old").alias("v"))))
     ops = ops.otherwise(F.array(F.struct(F.lit("-U").alias("op"), F.col("old").alias("v")), F.struct(F.lit("+U").alias("op"), F.col("new").alias("v"))))
