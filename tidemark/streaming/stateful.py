@@ -9,15 +9,21 @@ no part. run.start() sets the state store that these processors need.
 from __future__ import annotations
 
 import json
+import sys
 from collections import defaultdict
 from collections.abc import Iterator
 
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructType
 
 
+# Processors travel with their code, so Python workers needn't be able to import this package.
+register_pickle_by_value(sys.modules[__name__])
+
+
 class FirstWithinTtl(StatefulProcessor):
     """Passes a key's first row; repeats go until ttl_ms after the row that was passed, and are passed then. A key's state
     ends when the watermark is so far."""
