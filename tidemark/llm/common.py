@@ -165,15 +165,19 @@ def build_filter(hashes: DataFrame, bits: int, repeated_only: bool) -> np.ndarra
     return out
 
 
+def may_hold(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes might be in the filter."""
+    slots = _slots(hashes, len(packed) * 8)
+    return ((packed[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1).all(axis=1)
+
+
 def in_filter(spark: SparkSession, packed: np.ndarray) -> Callable[[Column], Column]:
     """A column function: might the hash be in the filter? Null never is."""
-    shared, bits = spark.sparkContext.broadcast(packed), len(packed) * 8
+    shared = spark.sparkContext.broadcast(packed)
 
     @F.pandas_udf("boolean")
     def test(h: pd.Series) -> pd.Series:
-        slots = _slots(h.fillna(0).to_numpy(np.int64), bits)
-        hit = ((shared.value[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1).all(axis=1)
-        return pd.Series(hit)
+        return pd.Series(may_hold(shared.value, h.fillna(0).to_numpy(np.int64)))
 
     return lambda c: c.isNotNull() & test(F.coalesce(c, F.lit(0)))
 

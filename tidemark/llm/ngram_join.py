@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import build_filter, checkpoint, filter_bits, in_filter, map_arrow, map_batches, release, row_key, slices, texts_of, without_rows
+from tidemark.llm.common import build_filter, checkpoint, filter_bits, map_arrow, map_batches, may_hold, release, row_key, slices, texts_of, without_rows
 from tidemark.llm.graph import attach, components
 
 #: Counters of the frequency sketch, and the slices in which they are summed: a fixed 2 MB is broadcast.
@@ -221,17 +221,20 @@ def _compare(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
 
 
 def _texts(docs: DataFrame, sids: DataFrame, classes: DataFrame, n: int) -> DataFrame:
-    """sid and text of one document of each set in `sids`; only documents behind a Bloom filter of their ids are read by Python."""
+    """sid and text of one document of each set in `sids`; only documents behind a Bloom filter of their ids, and those
+    without one, are cut into n-grams. One pass in Python tests and cuts, so a task needs one worker."""
     wanted = checkpoint(sids.join(classes, "sid").select("sid", "rep"))
-    maybe = in_filter(docs.sparkSession, build_filter(wanted.select(F.xxhash64("rep").alias("__h")), filter_bits(wanted.count()), False))
-    near = docs.select("doc_id", "text").filter("text IS NOT NULL").filter(F.col("doc_id").isNull() | maybe(F.xxhash64("doc_id")))
+    shared = docs.sparkSession.sparkContext.broadcast(build_filter(wanted.select(F.xxhash64("rep").alias("__h")), filter_bits(wanted.count()), False))
+    near = docs.filter("text IS NOT NULL").select("text", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).alias("h"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashes = _WordHashes()
-        sids = [_set_id(s) if len(s := shingle_set(t, n, hashes)) else 0 for t in texts_of(batch)]
-        return pa.RecordBatch.from_arrays([_signed(sids), batch.column("text")], names=["sid", "text"])
+        h = batch.column("h")
+        tried = h.is_null().to_numpy(zero_copy_only=False) | may_hold(shared.value, h.fill_null(0).to_numpy())
+        texts, hashes = batch.column("text").filter(pa.array(tried)), _WordHashes()
+        sids = [_set_id(s) if len(s := shingle_set(t, n, hashes)) else 0 for t in texts.cast(pa.binary()).to_pylist()]
+        return pa.RecordBatch.from_arrays([_signed(sids), texts], names=["sid", "text"])
 
-    found = map_arrow(near.select("text"), "sid bigint, text string", run)
+    found = map_arrow(near, "sid bigint, text string", run)
     return checkpoint(found.join(wanted.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]))
 
 
