@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
@@ -335,6 +335,13 @@ def lookup_inner(spark, sf_dir):
     return _lookup(spark, sf_dir, "inner")
 
 
+@query("SELECT l_orderkey, l_linenumber, p_brand FROM (SELECT * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey LIMIT 1) JOIN part ON l_partkey = p_partkey")
+def lookup_probe(spark, sf_dir):
+    """The log's first row looked up, as a probe of the dimension; the limit is the feature."""
+    first = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey")).orderBy("l_orderkey", "l_linenumber", "p_partkey").limit(1)
+    return joins.lookup_join(first, table(spark, sf_dir, "part"), ["p_partkey"], ["p_brand"], "inner").select("l_orderkey", "l_linenumber", "p_brand")
+
+
 @query("SELECT a.event_id AS event_id, a.user_id, c.c_name AS account_name, c.c_custkey IS NULL AS missing FROM events a LEFT JOIN customer c ON a.user_id = c.c_custkey WHERE a.event_type = 'purchase'")
 def lookup_stream(spark, sf_dir):
     """Stream-static lookup: the dimension is read again for each micro-batch, nothing is kept in state."""
@@ -577,6 +584,16 @@ def changelog_diff(spark, sf_dir):
     return keyed.changelog(before, after, ["c_custkey"])
 
 
+@query("""WITH v AS (SELECT user_id, max(event_id) AS seq, max_by(value, event_id) AS value FROM events WHERE event_id % 2 = 0 GROUP BY 1),
+      w AS (SELECT user_id, max(event_id) AS seq, max_by(value, event_id) AS value FROM events GROUP BY 1)
+      SELECT '+I' AS op, v.*, CAST(0 AS BIGINT) AS batch_id FROM v UNION ALL SELECT '+I', w.*, 1 FROM w WHERE user_id NOT IN (SELECT user_id FROM v)
+      UNION ALL SELECT '-U', v.*, 1 FROM v JOIN w ON v.user_id = w.user_id AND v.seq <> w.seq UNION ALL SELECT '+U', w.*, 1 FROM v JOIN w ON v.user_id = w.user_id AND v.seq <> w.seq""")
+def change_feed_stream(spark, sf_dir):
+    """Change rows that merges write, read as a stream; the replayed batch adds none."""
+    out = _keyed(spark, "feed", _writes(spark, sf_dir).drop("event_type"), feed=True)
+    return run.run_to_parquet(out.change_stream(), "feed")
+
+
 @query("SELECT user_id, max(event_id) AS seq, max_by(event_type, event_id) AS event_type, max_by(value, event_id) AS value FROM events WHERE event_id % 2 = 0 GROUP BY 1")
 def snapshot_as_of(spark, sf_dir):
     """Time travel to the table's first snapshot."""

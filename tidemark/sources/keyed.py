@@ -18,7 +18,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tidemark.functions.expressions import key_bucket
 
@@ -81,7 +81,7 @@ ROWS_A_FILE = 2_000_000
 
 @dataclass
 class KeyedTable:
-    """engine: last, first, versioned, aggregate or partial."""
+    """engine: last, first, versioned, aggregate or partial. With feed, each merge also writes its change rows."""
 
     spark: SparkSession
     path: str
@@ -92,6 +92,7 @@ class KeyedTable:
     order: str = "seq"
     version: str = "version"
     rules: dict[str, str] = field(default_factory=dict)
+    feed: bool = False
 
     def _fs(self):
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -174,6 +175,7 @@ class KeyedTable:
         last = self.last()
         applied = (last or {}).get("applied", [])
         if any(low <= batch_id <= high for low, high in applied):
+            self._show_changes(batch_id)
             return False
         number = 1 + (last["snapshot_id"] if last else 0)
         names = self.schema.names
@@ -186,6 +188,9 @@ class KeyedTable:
             folder = f"data/{number:012d}"
             dealt = out.select(*names).withColumn("bucket", key_bucket(self._key(), self.buckets)).repartition(max(1, len(sizes) * share), "bucket", F.pmod(F.xxhash64(F.lit(7), *self.keys), F.lit(share)))
             dealt.sortWithinPartitions("bucket", *self.keys).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{folder}")
+            if self.feed and sizes:  # only the buckets that the batch touched are compared
+                after = self.spark.read.schema(self.schema).parquet(f"{self.path}/{folder}").select(*names)
+                changelog(self._files(last, set(map(int, sizes))), after, self.keys).write.mode("overwrite").parquet(f"{self.path}/staged/batch_id={batch_id}")
         finally:
             new.unpersist()
         buckets = {**(last["buckets"] if last else {}), **{b: f"{folder}/bucket={b}" for b in sorted(sizes)}}
@@ -193,8 +198,24 @@ class KeyedTable:
         now = commit_time if commit_time is not None else self.spark.sql("SELECT unix_millis(current_timestamp())").first()[0]
         manifest = {"snapshot_id": number, "batch_id": batch_id, "commit_time": now, "buckets": buckets, "rows": {**held, **written}, "applied": _with(applied, batch_id)}
         self._publish(f"manifests/{number:012d}.json", json.dumps(manifest))
+        self._show_changes(batch_id)
         return True
 
+    def _show_changes(self, batch_id: int) -> None:
+        """Rename the change rows of a published batch to where streams look. Where a driver is lost before that, the
+        batch's replay does it, so a stream meets each batch's changes once."""
+        fs, staged = self._fs(), self._path(f"staged/batch_id={batch_id}")
+        if self.feed and fs.exists(staged):
+            fs.mkdirs(self._path("changes"))
+            if not fs.rename(staged, self._path(f"changes/batch_id={batch_id}")):
+                raise RuntimeError(f"changes of batch {batch_id} can't be moved")
+
+    def change_stream(self) -> DataFrame:
+        """op, the table's columns and batch_id of the change rows of all merges, as a stream."""
+        self._fs().mkdirs(self._path("changes"))
+        schema = StructType([StructField("op", StringType()), *self.schema, StructField("batch_id", LongType())])
+        return self.spark.readStream.schema(schema).parquet(f"{self.path}/changes")
+
     def _counts(self, folder: str) -> dict[str, int]:
         """Rows of each bucket that a snapshot has written."""
         return {str(r[0]): r[1] for r in self.spark.read.parquet(f"{self.path}/{folder}").groupBy("bucket").count().collect()}
