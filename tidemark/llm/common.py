@@ -23,6 +23,8 @@ from tidemark.workdir import checkpoint
 MAX_FILTER_BITS = 1 << 29
 FILTER_HASHES = 4
 _SEGMENT_BITS = 1 << 17
+#: Slots that a task of a filter gathers at least before it sorts them into those it had.
+_FOLD = 1 << 18
 #: Slices in which vectors of counts are added up.
 SLICES = 16
 #: Text that a Python task holds as Python objects at once; a text that is longer is held alone.
@@ -134,12 +136,21 @@ def build_filter(hashes: DataFrame, bits: int, repeated_only: bool) -> np.ndarra
     name = hashes.columns[0]
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.empty(0, np.int64), np.empty(0, np.int64)
-        for batch in batches:
-            values = batch.column(name).drop_null().to_numpy(zero_copy_only=False)
-            slots, n = np.unique(_slots(values, bits), return_counts=True)
+        once, twice, fresh, held = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
+
+        def fold() -> None:
+            nonlocal once, twice, fresh, held
+            slots, n = np.unique(np.concatenate(fresh), return_counts=True)
             twice = np.unique(np.concatenate([twice, slots[n > 1], np.intersect1d(once, slots, assume_unique=True)]))
-            once = np.union1d(once, slots)
+            once, fresh, held = np.union1d(once, slots), [], 0
+
+        for batch in batches:
+            fresh.append(_slots(batch.column(name).drop_null().to_numpy(zero_copy_only=False), bits).ravel())
+            held += len(fresh[-1])
+            if held > max(_FOLD, len(once)):  # so each slot is sorted a few times at most
+                fold()
+        if held:
+            fold()
         if len(once):
             yield _segments(once, twice)
 
