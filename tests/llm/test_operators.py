@@ -6,9 +6,11 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, decontamination, language_id, license_scan, line_dedup, ngram_join, quality, toxicity
+from tidemark.llm import chat_format, common, decontamination, language_id, license_scan, line_dedup, ngram_join, quality, toxicity
 from tidemark.llm.exact_dedup import drop_exact_copies, exact_groups
 from tidemark.llm.queries import queries, tokenizer_path
 from tidemark.llm.sentencepiece_codec import Codec, digest_documents, encode_documents
@@ -130,6 +132,38 @@ def test_components_of_hot_lists(spark, monkeypatch):
     assert found == brute_components(docs.collect())
 
 
+@pytest.mark.parametrize("pairs_a_row", [0, 10**9])
+def test_components_of_lists_in_cells(spark, monkeypatch, pairs_a_row):
+    """Lists that are cut into cells give the same components, with rounds of one member against the rest and without."""
+    monkeypatch.setattr(ngram_join, "CELL", 3)
+    monkeypatch.setattr(ngram_join, "PAIRS_A_ROW", pairs_a_row)
+    docs = spark.createDataFrame(near_copies(7, 3, 14, 60), "doc_id bigint, text string").repartition(3)
+    found = {r.doc_id: tuple(r) for r in ngram_join.jaccard_components(docs).collect()}
+    assert found == brute_components(docs.collect())
+
+
+def test_cells_give_each_pair_once(spark):
+    sizes = {1: 1, 2: 512, 3: 513, 4: 1500}
+    members = spark.createDataFrame([(k, n, i) for k, n in sizes.items() for i in range(n)], "sh bigint, t bigint, x bigint")
+    left, right = members.withColumnRenamed("x", "a"), members.withColumnRenamed("x", "b")
+    met = ngram_join._met(left, right, False).groupBy("sh").agg(F.count("a").alias("n"), F.count_distinct("a", "b").alias("m"), F.count_distinct("row", "col").alias("cells"))
+    assert {r.sh: tuple(r)[1:] for r in met.collect()} == {1: (1, 1, 1), 2: (512**2, 512**2, 1), 3: (513**2, 513**2, 4), 4: (1500**2, 1500**2, 9)}
+    one = ngram_join._met(left.filter("a = 0"), right, True).groupBy("sh").count()
+    assert {r.sh: r["count"] for r in one.collect()} == sizes
+
+
+@pytest.mark.parametrize("fold", [1, 1 << 18])
+def test_filter_of_repeated_hashes(spark, monkeypatch, fold):
+    """A hash that occurs twice, in one task or in two, is in the filter; few others are."""
+    monkeypatch.setattr(common, "_FOLD", fold)
+    hashes = spark.range(3000).selectExpr("xxhash64(id) AS h").unionByName(spark.range(100).selectExpr("xxhash64(id * 7) AS h")).repartition(4)
+    packed = common.build_filter(hashes, common.filter_bits(3100), True)
+    rows = [r.h for r in hashes.collect()]
+    twice = {h for h, n in collections.Counter(rows).items() if n > 1}
+    held = {h for h in rows if common.may_hold(packed, np.array([h], np.int64))[0]}
+    assert len(twice) == 100 and twice <= held and len(held) < 200
+
+
 def test_components_of_documents(spark, sf_dir):
     docs = documents(spark, sf_dir)
     assert {r.doc_id: tuple(r) for r in ngram_join.jaccard_components(docs).collect()} == brute_components(docs.collect())

@@ -40,8 +40,10 @@ HOT_ROWS, HOT_TIMES = 1024, 16
 #: A list with more pairs than this for each of its members, over all lists, gets another linear round first.
 PAIRS_A_ROW = 300
 ROUNDS = 3
-#: A pivot's comparisons are dealt over so many tasks.
-SALTS = 32
+#: Members of a list that meet in one task; a longer list is cut, and each two of its parts meet in a task of their own.
+CELL = 512
+#: A pivot's comparisons are dealt over so many tasks, or more where there are more than so many pairs for each of them.
+SALTS, PAIRS_A_SALT = 32, 10_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -199,8 +201,8 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _compare(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar. b's text travels to a's tasks; a hot a has many of them."""
-    salt = F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")
+    """The checkpointed pairs (a, b) whose whole sets are similar. b's text travels to a's tasks; a hot a has many of them."""
+    salt = F.pmod(F.xxhash64("b"), F.lit(max(SALTS, pairs.count() // PAIRS_A_SALT))).cast("int")
     rows = pairs.join(texts.withColumnRenamed("sid", "b"), "b").select("a", salt.alias("salt"), F.col("b"), "text")
     heads = pairs.select("a", salt.alias("salt")).distinct().join(texts.withColumnRenamed("sid", "a"), "a").select("a", "salt", F.lit(None).cast("bigint").alias("b"), "text")
 
@@ -220,6 +222,16 @@ def _compare(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     return map_batches(dealt, run, "a bigint, b bigint")
 
 
+def _met(left: DataFrame, right: DataFrame, one: bool) -> DataFrame:
+    """Join on sh. A list of t members is cut into parts of about CELL; each part of its left side (one row if `one`) meets
+    each part of its right side under a key of its own, so no task forms all pairs of a long list."""
+    parts = F.expr(f"(t + {CELL - 1}) div {CELL}")
+    every, own = F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)), lambda c: F.pmod(F.xxhash64(c), parts)
+    l = left.withColumn("row", F.lit(0).cast("bigint") if one else own("a")).withColumn("col", every).drop("t")  # noqa: E741
+    r = right.withColumn("col", own("b")).withColumn("row", F.lit(0).cast("bigint") if one else every).drop("t")
+    return l.join(r, ["sh", "row", "col"])
+
+
 def _texts(docs: DataFrame, sids: DataFrame, classes: DataFrame, n: int) -> DataFrame:
     """sid and text of one document of each set in `sids`; only documents behind a Bloom filter of their ids, and those
     without one, are cut into n-grams. One pass in Python tests and cuts, so a task needs one worker."""
@@ -257,22 +269,22 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     for turn in range(ROUNDS):
         release(docs.sparkSession)
         named = live.join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid")).coalesce(parts)
-        mixed = named.groupBy("sh").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("sh").coalesce(parts)
+        mixed = named.groupBy("sh").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("t")).filter("x <> y").select("sh", "t").coalesce(parts)
         apart = checkpoint(named.join(mixed, "sh").coalesce(parts))
         sums = apart.groupBy("sh", "comp").count().coalesce(parts).groupBy("sh").agg(F.sum("count").alias("t"), F.sum(F.col("count") * F.col("count")).alias("s"))
         rows, pairs = sums.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum((F.col("t") * F.col("t") - F.col("s")) / 2), F.lit(0))).first()
         if not rows:
             break
         last = turn == ROUNDS - 1 or pairs <= PAIRS_A_ROW * rows
-        left = apart.select("sh", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
+        left = apart.select("sh", "t", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
         if not last:  # one member of each list against the rest of it
-            chosen = left.groupBy("sh").agg(F.min_by(F.struct("a", "na", "pa", "ca"), F.xxhash64("a", F.lit(turn))).alias("m"))
+            chosen = left.groupBy("sh").agg(F.min_by(F.struct("t", "a", "na", "pa", "ca"), F.xxhash64("a", F.lit(turn))).alias("m"))
             left = chosen.select("sh", "m.*")
-        right = apart.select("sh", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"))
+        right = apart.select("sh", "t", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"))
         # At their first common n-gram in the exact order, what may still follow in the first prefixes and after them must suffice.
         size = lambda x: f"({x} - ({x} * {percent} + 99) div 100 + 1 + {x} div 16)"
         once = f"100 * least(na, nb) >= {percent} * greatest(na, nb) AND least({size('na')} - pa, {size('nb')} - pb) + greatest(na - {size('na')}, nb - {size('nb')}) >= ceil({percent} * (na + nb) / {100 + percent})"
-        new = left.join(right, "sh").filter(F.expr(f"ca <> cb AND {'(na, a) < (nb, b)' if last else 'true'} AND {once}".replace("(na, a) < (nb, b)", "(na < nb OR (na = nb AND a < b))"))).select("a", "b").distinct()
+        new = _met(left, right, not last).filter(F.expr(f"ca <> cb AND {'(na, a) < (nb, b)' if last else 'true'} AND {once}".replace("(na, a) < (nb, b)", "(na < nb OR (na = nb AND a < b))"))).select("a", "b").distinct()
         done = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
         new = checkpoint(new.coalesce(parts).join(done, ["a", "b"], "left_anti").coalesce(parts))
         more = checkpoint(_compare(new, texts, n, percent))
