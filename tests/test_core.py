@@ -70,6 +70,13 @@ def test_bucketed_asof_equals_plain(spark):
     assert rows(plain, "id") == rows(split, "id")
 
 
+def test_asof_of_null_keys(spark):
+    left = spark.createDataFrame([(1, None, 5), (2, "k", 5), (3, "k", None)], "id int, k string, t int")
+    right = spark.createDataFrame([(None, 1, 1.0), ("k", 1, 2.0), ("k", None, 3.0)], "k string, rt int, v double")
+    for bucket in (None, F.floor(F.col("__ts") / 2)):
+        assert rows(joins.asof_join(left, right, ["k"], "t", "rt", ["v"], bucket=bucket).select("id", "v").filter("id < 3"), "id") == [(1, None), (2, 2.0)]
+
+
 def test_interval_bounds_are_inclusive(spark):
     left = spark.createDataFrame([("k", at(100))], "k string, lt timestamp")
     right = spark.createDataFrame([("k", at(s), s) for s in (94, 95, 100, 105, 106)], "k string, rt timestamp, s int")
@@ -98,6 +105,18 @@ def test_lookup_reads_few_columns(spark, sf_dir):
     assert "ReadSchema: struct<p_partkey:bigint,p_brand:string>" in plan and "BroadcastHashJoin" in plan
 
 
+def test_lookup_broadcasts_by_rows_and_bytes(spark, monkeypatch):
+    dim = spark.createDataFrame([(1, "a" * 100, [1, 2]), (2, None, None)], "k bigint, v string, w array<int>")
+    facts = spark.createDataFrame([(1,), (3,)], "k bigint")
+    plan = lambda: joins.lookup_join(facts, dim, ["k"], ["v", "w"])._jdf.queryExecution().optimizedPlan().toString()
+    assert joins.small(dim) and joins.small(dim.limit(0)) and "broadcast" in plan()
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 99)
+    assert not joins.small(dim) and "broadcast" not in plan()
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 1000)
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 1)
+    assert not joins.small(dim)
+
+
 def test_top_k_plan(spark, sf_dir):
     from tidemark.plans import catalog
 

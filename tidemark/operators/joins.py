@@ -6,9 +6,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
-#: A dimension is broadcast up to so many rows of a checked count; beyond, the join shuffles and AQE splits hot keys.
+#: A dimension is broadcast up to so many rows and bytes of checked numbers; beyond, the join shuffles and AQE splits hot keys.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64_000_000
 
 
 def _on(left: DataFrame, right: DataFrame, on: list[str]) -> Column:
@@ -56,8 +58,8 @@ def window_join(left: DataFrame, right: DataFrame, on: list[str], lts: str, rts:
 
 
 def asof_join(left: DataFrame, right: DataFrame, on: list[str], lts: str, rts: str, cols: list[str], max_age: str | None = None, bucket: Column | None = None) -> DataFrame:
-    """Left rows with `cols` of the right row of the same key with the latest rts <= lts; null where there is none, or
-    where it is older than max_age.
+    """Left rows with `cols` of the right row of the same key with the latest rts <= lts; null where there is none, where
+    it is older than max_age, or where the key is null.
 
     One shuffle and one sort of the union of both sides. Right rows that tie on key and time: the largest values win.
     For few or hot keys, `bucket` (an ascending function of the time, which it names __ts) splits a key into one task a
@@ -76,15 +78,24 @@ def asof_join(left: DataFrame, right: DataFrame, on: list[str], lts: str, rts: s
         earlier = Window.partitionBy(*on).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
         carried = ends.select(*keys, F.last("__end", ignorenulls=True).over(earlier).alias("__carried")).filter("__carried IS NOT NULL")
         out = out.join(carried, keys, "left").withColumn("__last", F.coalesce("__last", "__carried"))
-    fresh = F.lit(True) if max_age is None else F.col("__ts") - F.expr(f"interval {max_age}") <= F.col("__last.__rts")
+    fresh = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in on))
+    if max_age is not None:
+        fresh &= F.col("__ts") - F.expr(f"interval {max_age}") <= F.col("__last.__rts")
     return out.select("__row.*", *(F.when(fresh, F.col("__last")[c]).alias(c) for c in cols))
 
 
+def small(df: DataFrame) -> bool:
+    """May the rows be broadcast? Counts them and the bytes of their values (texts as they are, other values as text)."""
+    size = lambda c: F.coalesce(F.octet_length(F.to_json(F.struct(c)) if isinstance(df.schema[c].dataType, (ArrayType, MapType, StructType)) else F.col(c).cast("string")), F.lit(0))
+    rows, width = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(reduce(lambda a, b: a + b, map(size, df.columns))), F.lit(0))).first()
+    return rows <= BROADCAST_ROWS and width <= BROADCAST_BYTES
+
+
 def lookup_join(facts: DataFrame, dim: DataFrame, on: list[str], cols: list[str], how: str = "left") -> DataFrame:
     """Facts with columns of the current dimension row. Of the dimension only keys and `cols` are read; it is broadcast
-    if its checked number of rows is small, and shuffled with the facts' keys otherwise."""
+    if its checked rows and bytes are few, and shuffled with the facts' keys otherwise."""
     narrow = dim.select(*on, *cols)
-    if not facts.isStreaming and narrow.count() <= BROADCAST_ROWS:
+    if not facts.isStreaming and small(narrow):
         narrow = F.broadcast(narrow)
     return facts.join(narrow, on, how)
 

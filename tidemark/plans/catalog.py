@@ -211,9 +211,10 @@ def window_join_counts(spark, sf_dir):
 _ASOF = "FROM (SELECT * FROM events WHERE event_type = 'purchase') t ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON t.user_id = v.user_id AND t.ts >= v.ts"
 
 
-def _asof(spark, sf_dir, max_age=None, bucket=None) -> DataFrame:
+def _asof(spark, sf_dir, max_age=None) -> DataFrame:
+    """As-of join of trades and rates; keys are split by day."""
     trades, rates = _trades_quotes(events(spark, sf_dir))
-    return joins.asof_join(trades, rates.withColumnRenamed("quote", "rate"), ["user_id"], "trade_ts", "quote_ts", ["quote_id", "rate"], max_age, bucket)
+    return joins.asof_join(trades, rates.withColumnRenamed("quote", "rate"), ["user_id"], "trade_ts", "quote_ts", ["quote_id", "rate"], max_age, F.to_date("__ts"))
 
 
 @query("SELECT t.event_id AS trade_id, v.event_id AS quote_id, round(v.value, 4) AS rate, floor(coalesce(t.value * v.value, 0) * 100 + 0.5) / 100 AS notional_usd " + _ASOF)
@@ -223,8 +224,8 @@ def asof_rate(spark, sf_dir):
 
 @query("SELECT t.event_id AS trade_id, CASE WHEN t.ts - INTERVAL 6 HOUR <= v.ts THEN round(v.value, 4) END AS rate " + _ASOF)
 def asof_rate_retained(spark, sf_dir):
-    """Rates go stale after six hours; keys are split by day."""
-    return _asof(spark, sf_dir, "6 hours", F.to_date("__ts")).select("trade_id", F.round("rate", 4).alias("rate"))
+    """Rates go stale after six hours."""
+    return _asof(spark, sf_dir, "6 hours").select("trade_id", F.round("rate", 4).alias("rate"))
 
 
 @query("SELECT t.event_id AS trade_id, t.user_id, round(v.value, 4) AS rate " + _ASOF + " WHERE t.ts <= (SELECT max(ts) - INTERVAL 5 SECOND FROM events)")
@@ -245,7 +246,7 @@ def multiway_enrich(spark, sf_dir):
     trades, quotes = _trades_quotes(events(spark, sf_dir))
     pairs = joins.bucketed_interval_join(trades, quotes, ["user_id"], "trade_ts", "quote_ts", 86_400, 0)
     rates = events(spark, sf_dir, "signup").select("user_id", F.col("ts").alias("rate_ts"), F.col("value").alias("rate"))
-    rated = joins.asof_join(pairs, rates, ["user_id"], "trade_ts", "rate_ts", ["rate"])
+    rated = joins.asof_join(pairs, rates, ["user_id"], "trade_ts", "rate_ts", ["rate"], bucket=F.to_date("__ts"))
     accounts = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("tier"))
     out = joins.lookup_join(rated, accounts, ["user_id"], ["tier"])
     return out.select("trade_id", "quote_id", F.round("rate", 4).alias("rate"), "tier", X.half_up(X.notional_usd(F.lit(1), F.col("price"), F.col("rate")), 2).alias("notional_usd"))
@@ -611,6 +612,13 @@ def keyed_lookup(spark, sf_dir):
     return _keyed(spark, "lookup", _writes(spark, sf_dir)).lookup(keys)
 
 
+@query("SELECT user_id, max(event_id) AS seq, max_by(event_type, event_id) AS event_type, max_by(value, event_id) AS value FROM events WHERE user_id IN (SELECT o_custkey FROM orders) GROUP BY 1")
+def keyed_lookup_accounts(spark, sf_dir):
+    """All accounts with orders looked up by key; the first batch's snapshot is overlaid by the second."""
+    keys = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"))
+    return _keyed(spark, "accounts", _writes(spark, sf_dir)).lookup(keys)
+
+
 @query("SELECT event_id, user_id, date_trunc('millisecond', ts) AS trade_time, value FROM events WHERE event_type = 'purchase'")
 def stream_to_keyed_table(spark, sf_dir):
     """Stream ingest into a keyed table, epoch milliseconds turned to timestamps."""
