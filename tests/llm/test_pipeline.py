@@ -31,3 +31,10 @@ def test_stages_keep_columns(spark, sf_dir):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf_dir).schema.names == docs.schema.names, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == docs.count()
+
+
+def test_pipeline_of_no_documents(spark, sf_dir, tmp_path):
+    documents(spark, sf_dir).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "n_tokens", "ids", "decoded"] and out.count() == 0
