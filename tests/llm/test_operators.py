@@ -526,6 +526,14 @@ def test_contaminated_documents(spark, sf_dir):
     assert decontamination.contaminated(docs, decontamination.build_index(benchmark.limit(0))).count() == 0
 
 
+def test_text_item_ids(spark, sf_dir):
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.concat(F.lit("item-"), F.col("item_id").cast("string")).alias("item_id"), "text")
+    docs = documents(spark, sf_dir)
+    found = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, decontamination.build_index(items)).collect()}
+    plain = decontamination.contaminated(docs, decontamination.build_index(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))).collect()
+    assert found == {(r.doc_id, f"item-{r.item_id}") for r in plain} and found
+
+
 def test_large_benchmark_is_searched_in_shards(spark, sf_dir):
     """Shards find what one index finds, with the scores of the whole benchmark."""
     benchmark, docs = spark.read.parquet(f"{sf_dir}/benchmark.parquet"), documents(spark, sf_dir)

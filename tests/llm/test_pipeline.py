@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 import sentencepiece
+from pyspark.sql import functions as F
 
 from tests.llm.test_operators import brute_components, documents, odd
 from tidemark.llm import language_id
@@ -38,3 +39,19 @@ def test_pipeline_of_no_documents(spark, sf_dir, tmp_path):
     spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.columns == ["doc_id", "n_tokens", "ids", "decoded"] and out.count() == 0
+
+
+CLASHING = ["n", "stays", "h", "id", "__sha", "bucket", "row", "gone", "own", "key", "met", "keep", "sid", "slice", "a b.c"]
+
+
+def test_stages_survive_any_column_name(spark, sf_dir):
+    docs = documents(spark, sf_dir).limit(60)
+    docs = docs.unionByName(docs.filter("doc_id % 5 = 0").withColumn("doc_id", docs["doc_id"] + 100_000)).select("*", *(F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in CLASHING))
+    docs = docs.unionByName(docs.filter("doc_id % 7 = 0"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain = sorted(r.doc_id for r in stage(spark, docs.select("doc_id", "text", "lang", "source", "n_chars"), sf_dir).collect())
+        out = stage(spark, docs, sf_dir)
+        assert out.schema == docs.schema, name
+        rows = out.collect()
+        assert sorted(r.doc_id for r in rows) == plain, name
+        assert all(r[c] == f"{c}{r.doc_id}" for r in rows for c in CLASHING), name

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -14,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from tidemark.workdir import checkpoint
 
@@ -56,13 +57,19 @@ def rest() -> None:
 
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """mapInArrow, after which a task's memory is given back."""
+    """mapInArrow, after which a task's memory is given back. Names with dots or backticks, which it can't take, are
+    others meanwhile."""
+    safe = lambda names: [f"{re.sub('[.`]', '_', c)}#{i}" if re.search("[.`]", c) else c for i, c in enumerate(names)]
+    df, names = df.toDF(*safe(df.columns)), None
+    if isinstance(schema, StructType) and safe(schema.names) != schema.names:
+        names, schema = schema.names, StructType([StructField(c, f.dataType, f.nullable) for c, f in zip(safe(schema.names), schema, strict=True)])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
         rest()
 
-    return df.mapInArrow(task, schema)
+    out = df.mapInArrow(task, schema)
+    return out.toDF(*names) if names else out
 
 
 def map_arrow(df: DataFrame, schema: str | StructType, batch_to_batch: Callable[[pa.RecordBatch], pa.RecordBatch | None], most: int = SLICE_BYTES) -> DataFrame:
@@ -193,23 +200,26 @@ def in_filter(spark: SparkSession, packed: np.ndarray) -> Callable[[Column], Col
     return lambda c: c.isNotNull() & test(F.coalesce(c, F.lit(0)))
 
 
-def row_key() -> Column:
-    """What tells rows apart: the id (null is an id, the largest) and two hashes of the text."""
-    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("h2"))
+def row_key(of: str = "") -> Column:
+    """What tells rows apart: the id (null is an id, the largest) and two hashes of the text. of: prefix of the columns."""
+    id_, text = F.col(f"{of}doc_id"), F.col(f"{of}text")
+    return F.struct(id_.isNull().alias("none"), id_.alias("id"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("h2"))
 
 
 def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """Rows of docs whose row_key() isn't in dropped (one column). A Bloom filter of the dropped keys routes the few rows
-    that may go through an anti join; all other rows, whole texts with them, aren't shuffled."""
+    that may go through an anti join; all other rows, whole texts with them, aren't shuffled. The table's columns are held
+    in one struct meanwhile, so none of their names can clash."""
     spark = docs.sparkSession
-    dropped = checkpoint(dropped.select(F.col(dropped.columns[0]).alias("__gone")).distinct())
+    dropped = checkpoint(dropped.select(F.col(dropped.columns[0]).alias("gone")).distinct())
     n = dropped.count()
     if not n:
         return docs
-    maybe = in_filter(spark, build_filter(dropped.select(F.xxhash64("__gone").alias("__h")), filter_bits(n), False))
-    flag, own = maybe(F.xxhash64(row_key())), row_key()
-    same = F.col("doc_id").eqNullSafe(F.col("__gone.id")) & (own["h"] == F.col("__gone.h")) & (own["h2"] == F.col("__gone.h2"))
-    return docs.filter(~flag).unionByName(docs.filter(flag).join(dropped, same, "left_anti"))
+    maybe = in_filter(spark, build_filter(dropped.select(F.xxhash64("gone").alias("h")), filter_bits(n), False))
+    rows = docs.select(F.struct("*").alias("row")).select("row", row_key("row.").alias("own"))
+    flag = maybe(F.xxhash64("own"))
+    same = F.col("own.id").eqNullSafe(F.col("gone.id")) & (F.col("own.h") == F.col("gone.h")) & (F.col("own.h2") == F.col("gone.h2"))
+    return rows.filter(~flag).unionByName(rows.filter(flag).join(dropped, same, "left_anti")).select("row.*")
 
 
 def summed(parts: DataFrame, size: int, number: int = SLICES) -> np.ndarray:

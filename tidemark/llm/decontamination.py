@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.llm.common import checkpoint, map_arrow, map_batches, row_key, texts_of, without_rows
 
@@ -272,7 +273,7 @@ def build_index(benchmark: DataFrame, shard_bytes: int = SHARD_BYTES, **threshol
     return Benchmark(rows, sorted(r[0] for r in found), corpus, dfs, thresholds)
 
 
-def _search(docs: DataFrame, shared: Broadcast, schema: str) -> DataFrame:
+def _search(docs: DataFrame, shared: Broadcast, schema: str, id_type: pa.DataType) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = shared.value
         best: dict[tuple[int, int], list] = {}
@@ -280,7 +281,7 @@ def _search(docs: DataFrame, shared: Broadcast, schema: str) -> DataFrame:
             had = best.setdefault((d, number), [passage, 0, 0.0])
             had[0], had[1], had[2] = min(had[0], passage), had[1] + 1, max(had[2], score)
         take = pa.array([k[0] for k in best], pa.int64())
-        cols = [pa.array([own.items[k[1]].item_id for k in best], pa.int64()), pa.array([v[0] for v in best.values()], pa.int64()), pa.array([v[1] for v in best.values()], pa.int64()), pa.array([v[2] for v in best.values()], pa.float64())]
+        cols = [pa.array([own.items[k[1]].item_id for k in best], id_type), pa.array([v[0] for v in best.values()], pa.int64()), pa.array([v[1] for v in best.values()], pa.int64()), pa.array([v[2] for v in best.values()], pa.float64())]
         return pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), *cols], names=["doc_id", "item_id", "passage", "n_passages", "score"])
 
     return map_arrow(docs.select("doc_id", "text"), schema, run, SLICE_BYTES)
@@ -290,11 +291,12 @@ def contaminated(docs: DataFrame, benchmark: Benchmark) -> DataFrame:
     """doc_id, item_id, passage (its first one), n_passages, score (the highest) of every item found in a document.
     Shards of a larger benchmark are searched in turn, and an index goes before the next is made."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id bigint, passage bigint, n_passages bigint, score double"
+    item = benchmark.rows.schema["item_id"].dataType
+    schema = f"doc_id {kind}, item_id {item.simpleString()}, passage bigint, n_passages bigint, score double"
     found = docs.sparkSession.createDataFrame([], schema)
     for index in benchmark.indexes():
         shared = docs.sparkSession.sparkContext.broadcast(index)
-        hits = _search(docs, shared, schema)
+        hits = _search(docs, shared, schema, to_arrow_type(item))
         if len(benchmark.shards) == 1:
             return hits
         found = found.unionByName(checkpoint(hits).coalesce(64))

@@ -54,23 +54,23 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with all their columns. Which rows go is decided on ids and hashes; of the texts, only those of
-    rows that may go, or that repeat with their id, are shuffled."""
-    marked = docs.withColumn("__sha", _sha(F.col("text")))
-    hashed = checkpoint(marked.select("doc_id", "__sha"))
+    """The rows that stay, with all their columns, which are held in one struct meanwhile, so none of their names can
+    clash. Which rows go is decided on ids and hashes; of the texts, only those of rows that may go, or that repeat with
+    their id, are shuffled."""
+    marked = docs.select(F.struct("*").alias("row")).select("row", F.col("row.doc_id").alias("id"), _sha(F.col("row.text")).alias("__sha"))
+    hashed = checkpoint(marked.select("id", "__sha"))
     maybe, _ = _repeated(hashed)
-    suspects = hashed.filter(maybe(_hash_key(F.col("__sha")))).groupBy("__sha", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    keepers = suspects.groupBy(F.col("__sha").alias("__key")).agg(F.max("doc_id").alias("keep"))
+    suspects = hashed.filter(maybe(_hash_key(F.col("__sha")))).groupBy("__sha", "id").agg(F.count(F.lit(1)).alias("n"))
+    keepers = suspects.groupBy(F.col("__sha").alias("key")).agg(F.max("id").alias("keep"))
     # Joined by hash and id together, so the rows of a hot group lie in many tasks.
-    kept = suspects.join(keepers, (F.col("__sha") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("keep")), "left")
-    found = checkpoint(kept.select(F.col("doc_id").alias("__id"), F.col("__sha").alias("__key"), F.col("__key").isNotNull().alias("stays"), "n").filter("n > 1 OR NOT stays"))
+    kept = suspects.join(keepers, (F.col("__sha") == F.col("key")) & F.col("id").eqNullSafe(F.col("keep")), "left")
+    found = checkpoint(kept.select(F.col("id").alias("met"), F.col("__sha").alias("key"), F.col("key").isNotNull().alias("stays"), "n").filter("n > 1 OR NOT stays"))
     n = found.count()
     if not n:
         return docs
-    own = F.xxhash64(F.struct("doc_id", "__sha"))
-    routed = in_filter(docs.sparkSession, build_filter(found.select(F.xxhash64(F.struct(F.col("__id").alias("doc_id"), F.col("__key").alias("__sha"))).alias("__h")), filter_bits(n), False))
-    flag, same = routed(own), (F.col("__sha") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    routed = in_filter(docs.sparkSession, build_filter(found.select(F.xxhash64("met", "key").alias("h")), filter_bits(n), False))
+    flag, same = routed(F.xxhash64("id", "__sha")), (F.col("__sha") == F.col("key")) & F.col("id").eqNullSafe(F.col("met"))
     tried = marked.filter(flag).join(found, same, "left")
-    once = tried.filter("__key IS NULL").select(*marked.columns)
-    twice = tried.filter("__key IS NOT NULL AND stays").select(*marked.columns).dropDuplicates(["__sha"])
-    return marked.filter(~flag).unionByName(once).unionByName(twice).drop("__sha")
+    once = tried.filter("key IS NULL").select("row")
+    twice = tried.filter("key IS NOT NULL AND stays").dropDuplicates(["__sha"]).select("row")
+    return marked.filter(~flag).select("row").unionByName(once).unionByName(twice).select("row.*")
