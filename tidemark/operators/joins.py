@@ -59,12 +59,13 @@ def window_join(left: DataFrame, right: DataFrame, on: list[str], lts: str, rts:
 
 def asof_join(left: DataFrame, right: DataFrame, on: list[str], lts: str, rts: str, cols: list[str], max_age: str | None = None, bucket: Column | None = None) -> DataFrame:
     """Left rows with `cols` of the right row of the same key with the latest rts <= lts; null where there is none, where
-    it is older than max_age, or where the key is null.
+    it is older than max_age, or where the key or lts is null. Right rows without a time match nothing.
 
     One shuffle and one sort of the union of both sides. Right rows that tie on key and time: the largest values win.
     For few or hot keys, `bucket` (an ascending function of the time, which it names __ts) splits a key into one task a
     bucket: what was last before a bucket is carried over from one row for each key and bucket.
     """
+    right = right.filter(F.col(rts).isNotNull())
     found = F.struct(F.col(rts).alias("__rts"), *cols)
     l = left.select(*on, F.col(lts).alias("__ts"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__row"), F.lit(None).cast(right.select(found.alias("x")).schema["x"].dataType).alias("__found"))  # noqa: E741
     r = right.select(*on, F.col(rts).alias("__ts"), F.lit(0).alias("__side"), F.lit(None).cast(l.schema["__row"].dataType).alias("__row"), found.alias("__found"))
@@ -78,7 +79,7 @@ def asof_join(left: DataFrame, right: DataFrame, on: list[str], lts: str, rts: s
         earlier = Window.partitionBy(*on).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
         carried = ends.select(*keys, F.last("__end", ignorenulls=True).over(earlier).alias("__carried")).filter("__carried IS NOT NULL")
         out = out.join(carried, keys, "left").withColumn("__last", F.coalesce("__last", "__carried"))
-    fresh = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in on))
+    fresh = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in [*on, "__ts"]))
     if max_age is not None:
         fresh &= F.col("__ts") - F.expr(f"interval {max_age}") <= F.col("__last.__rts")
     return out.select("__row.*", *(F.when(fresh, F.col("__last")[c]).alias(c) for c in cols))
@@ -87,6 +88,8 @@ def asof_join(left: DataFrame, right: DataFrame, on: list[str], lts: str, rts: s
 def small(df: DataFrame) -> bool:
     """May the rows be broadcast? Counts them and the bytes of their values (texts as they are, other values as text)."""
     size = lambda c: F.coalesce(F.octet_length(F.to_json(F.struct(c)) if isinstance(df.schema[c].dataType, (ArrayType, MapType, StructType)) else F.col(c).cast("string")), F.lit(0))
+    if len(df.limit(BROADCAST_ROWS + 1).select(F.lit(1)).groupBy().count().filter(F.col("count") > BROADCAST_ROWS).head(1)):
+        return False  # a larger table isn't read to its end
     rows, width = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(reduce(lambda a, b: a + b, map(size, df.columns))), F.lit(0))).first()
     return rows <= BROADCAST_ROWS and width <= BROADCAST_BYTES
 

@@ -7,6 +7,7 @@ value: price), `lineitem` the wide trade log, `part` the instruments, `customer`
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from tidemark.functions import expressions as X
 from tidemark.operators import joins, quality, windows
 from tidemark.sources import io, keyed, tier
-from tidemark.streaming import run, stateful
+from tidemark.streaming import refresh, revise, run, stateful
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -90,9 +91,10 @@ def late_revised_counts(spark, sf_dir):
 _PARTS = "SELECT *, least(3, CAST(4 * (epoch_us(ts) // 1000 - lo) // (hi - lo + 1) AS BIGINT) + CASE WHEN event_id % 10 = 3 THEN 1 ELSE 0 END) AS part FROM events, (SELECT min(epoch_us(ts) // 1000) AS lo, max(epoch_us(ts) // 1000) AS hi FROM events)"
 
 
-def in_parts(rows: DataFrame, late: Column | None = None) -> DataFrame:
-    """Rows with the number of the part, of four by time, in which they arrive; late ones come a part later."""
-    lo, hi = rows.agg(F.unix_millis(F.min("ts")), F.unix_millis(F.max("ts"))).first()
+def in_parts(rows: DataFrame, late: Column | None = None, every: DataFrame | None = None) -> DataFrame:
+    """Rows with the number of the part, of four by time (of all rows, or of `every`), in which they arrive; late ones come a
+    part later."""
+    lo, hi = (rows if every is None else every).agg(F.unix_millis(F.min("ts")), F.unix_millis(F.max("ts"))).first()
     own = F.floor(4 * (F.unix_millis("ts") - F.lit(lo)) / F.lit(1 if lo is None else hi - lo + 1))
     return rows.withColumn("part", own if late is None else F.least(F.lit(3), own + F.when(late, 1).otherwise(0)))
 
@@ -156,6 +158,20 @@ def running_count_stream(spark, sf_dir):
     return run.run_to_parquet(plan, "running").select("event_id", "user_id", "n")
 
 
+@query("SELECT user_id, count(*) AS n FROM events GROUP BY 1")
+def arrival_count_stream(spark, sf_dir):
+    """Counts by two-second windows of arrival, over two batches each a restart; how events split into windows depends on
+    the clock, their sums don't."""
+    state, out, rows = run.scratch(spark, "arrival-state"), run.scratch(spark, "arrival-out"), in_parts(events(spark, sf_dir).select("event_id", "user_id", "ts"))
+    sizes = {r[0]: r[1] for r in rows.groupBy(F.floor(F.col("part") / 2)).count().collect()}
+    left = [sizes.get(0, 0), sizes.get(1, 0)]
+    total = sum(left)
+    full = lambda done: (done.agg(F.sum("n")).first()[0] or 0) == total
+    once = lambda stream: run.run_for(stateful.arrival_count_stream(stream, "user_id", 2000), "arrival", left.pop(0), out, state, None if left else full)
+    run.feed(rows.withColumn("part", F.floor(F.col("part") / 2)), "part", 2, "arrival-in", once)
+    return spark.read.parquet(out).groupBy(F.col("key").alias("user_id")).agg(F.sum("n").alias("n"))
+
+
 @query("SELECT user_id, 'COUNT' AS ticker, 'REPORT' AS side, count(*) AS quantity, CAST(0 AS DOUBLE) AS price, epoch_ms(time_bucket(INTERVAL 10 SECOND, ts) + INTERVAL 10 SECOND) AS trade_time FROM events GROUP BY user_id, time_bucket(INTERVAL 10 SECOND, ts)")
 def count_report(spark, sf_dir):
     return windows.count_report(events(spark, sf_dir), "user_id", "10 seconds", "ts").drop("event_id")
@@ -237,10 +253,41 @@ def asof_rate_stream(spark, sf_dir):
     return run.run_to_parquet(plan, "asof").select(F.get_json_object("row", "$.event_id").cast("bigint").alias("trade_id"), F.col("key").alias("user_id"), F.round("value", 4).alias("rate"))
 
 
-@query(f"""WITH p AS (SELECT a.event_id AS trade_id, b.event_id AS quote_id, a.user_id, a.ts, a.value AS price {_PAIRS.format(24, 0)}),
+_HOUR = 3_600_000
+
+
+@query(f"""WITH e AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) // 1000 AS ms, part FROM ({_PARTS}) WHERE event_type IN ('purchase', 'view')),
+      k AS (SELECT user_id, part AS q, max(max(ms)) OVER (PARTITION BY user_id ORDER BY part) - {_HOUR} AS clock FROM e GROUP BY user_id, part),
+      h AS (SELECT *, CAST(floor((lag(clock) OVER (PARTITION BY user_id ORDER BY q) - {48 * _HOUR}) / {6 * _HOUR}) AS BIGINT) * {6 * _HOUR} AS least FROM k),
+      o AS (SELECT h.user_id, h.q, max((r.ms, r.value)) AS older FROM h JOIN e r ON r.event_type = 'view' AND r.user_id = h.user_id AND r.part < h.q AND r.ms < h.least GROUP BY ALL),
+      t AS (SELECT t.event_id, t.user_id, t.ms, h.q, h.clock, max((r.ms, r.value)) AS best
+            FROM e t JOIN h ON h.user_id = t.user_id AND h.q >= t.part AND t.ms <= h.clock LEFT JOIN o ON o.user_id = h.user_id AND o.q = h.q
+            LEFT JOIN e r ON r.event_type = 'view' AND r.user_id = t.user_id AND r.part <= h.q AND r.ms <= t.ms AND (r.part = h.q OR h.least IS NULL OR r.ms >= h.least OR (r.ms, r.value) = o.older)
+            WHERE t.event_type = 'purchase' GROUP BY ALL),
+      n AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY q) AS n FROM t WHERE best IS NOT NULL OR clock >= ms + {24 * _HOUR})
+      SELECT event_id AS trade_id, user_id, best[1] AS rate_ms, round(best[2], 4) AS rate FROM n WHERE n = 1""")
+def asof_late_stream(spark, sf_dir):
+    """As-of join over four micro-batches in which a tenth of trades and rates comes a part late, days behind the others:
+    late trades are answered from two days of history and the youngest rate before; trades without a rate wait for a day."""
+    state, out = run.scratch(spark, "asof-late-state"), run.scratch(spark, "asof-late-out")
+
+    def once(stream: DataFrame) -> None:
+        trades = stream.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
+        plan = stateful.asof_history_stream(trades, stream.filter("event_type = 'view'"), "user_id", "ts", "value", _HOUR, 48 * _HOUR, 24 * _HOUR, 6 * _HOUR)
+        run.run_to_parquet(plan, "asof-late", checkpoint=state, out=out)
+
+    rows = events(spark, sf_dir).select("event_id", "user_id", "event_type", "ts", "value").filter("event_type IN ('purchase', 'view')")
+    run.feed(in_parts(rows, F.col("event_id") % 10 == 3, events(spark, sf_dir)), "part", 4, "asof-late-in", once)
+    return spark.read.parquet(out).select(F.get_json_object("row", "$.event_id").cast("bigint").alias("trade_id"), F.col("key").alias("user_id"), F.col("value_ms").alias("rate_ms"), F.round("value", 4).alias("rate"))
+
+
+_ENRICHED = f"""WITH p AS (SELECT a.event_id AS trade_id, b.event_id AS quote_id, a.user_id, a.ts, a.value AS price {_PAIRS.format(24, 0)}),
       r AS (SELECT * FROM events WHERE event_type = 'signup')
       SELECT p.trade_id, p.quote_id, round(r.value, 4) AS rate, c.c_mktsegment AS tier, floor(coalesce(p.price * r.value, 0) * 100 + 0.5) / 100 AS notional_usd
-      FROM p ASOF LEFT JOIN r ON p.user_id = r.user_id AND p.ts >= r.ts LEFT JOIN customer c ON c.c_custkey = p.user_id""")
+      FROM p ASOF LEFT JOIN r ON p.user_id = r.user_id AND p.ts >= r.ts LEFT JOIN customer c ON c.c_custkey = p.user_id"""
+
+
+@query(_ENRICHED)
 def multiway_enrich(spark, sf_dir):
     """Interval join with quotes, as-of join with rates, lookup of the account."""
     trades, quotes = _trades_quotes(events(spark, sf_dir))
@@ -252,6 +299,30 @@ def multiway_enrich(spark, sf_dir):
     return out.select("trade_id", "quote_id", F.round("rate", 4).alias("rate"), "tier", X.half_up(X.notional_usd(F.lit(1), F.col("price"), F.col("rate")), 2).alias("notional_usd"))
 
 
+@query(_ENRICHED)
+def multiway_asof_stream(spark, sf_dir):
+    """The same as a stream over four micro-batches: interval join, as-of join with state on what it gives, lookup. Marks
+    a month and two months behind the last event close the sources (the first one the join, the second one what follows it),
+    so all rows come out."""
+    accounts = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("tier"))
+    state, out = run.scratch(spark, "multiway-asof-state"), run.scratch(spark, "multiway-asof-out")
+    rows = events(spark, sf_dir).select("event_id", "user_id", "event_type", "ts", "value").filter("event_type IN ('purchase', 'view', 'signup')")
+    marks = rows.agg(F.max("ts").alias("ts")).select(F.lit(None).cast("bigint").alias("event_id"), F.lit(-1).cast("bigint").alias("user_id"), F.explode(F.array(*map(F.lit, ("purchase", "view", "signup")))).alias("event_type"), "ts", F.lit(0.0).alias("value"))
+    marks = [marks.withColumns({"ts": F.col("ts") + F.expr(f"interval {30 * k} days"), "part": F.lit(2 + k).cast("bigint")}) for k in (1, 2)]
+
+    def once(stream: DataFrame) -> None:
+        side = lambda kind, name, value: stream.filter(F.col("event_type") == kind).select("user_id", F.col("event_id").alias(f"{name}_id"), F.col("ts").alias(f"{name}_ts"), F.col("value").alias(value)).withWatermark(f"{name}_ts", "5 seconds")
+        pairs = joins.interval_join(side("purchase", "trade", "price"), side("view", "quote", "quote").drop("quote"), ["user_id"], "trade_ts", "quote_ts", "-24 hours", "0 hours").drop("quote_ts")
+        rated = stateful.asof_stream(pairs.withColumnRenamed("trade_ts", "ts"), side("signup", "rate", "rate").withColumnRenamed("rate_ts", "ts"), "user_id", "ts", "rate", 6 * _HOUR, None)
+        row = F.from_json("row", "trade_id bigint, quote_id bigint, price double").alias("r")
+        found = joins.lookup_join(rated.select(F.col("key").alias("user_id"), row, F.col("value").alias("rate")), accounts, ["user_id"], ["tier"])
+        run.run_to_parquet(found.select("r.*", "rate", "tier"), "multiway-asof", checkpoint=state, out=out)
+
+    run.feed(in_parts(rows).unionByName(marks[0]).unionByName(marks[1]), "part", 5, "multiway-asof-in", once)
+    kept = spark.read.parquet(out).filter("trade_id IS NOT NULL")
+    return kept.select("trade_id", "quote_id", F.round("rate", 4).alias("rate"), "tier", X.half_up(X.notional_usd(F.lit(1), F.col("price"), F.col("rate")), 2).alias("notional_usd"))
+
+
 _FILLS = "(SELECT CASE WHEN l_orderkey % 20 = 0 THEN -l_orderkey ELSE l_orderkey END AS k, sum(l_quantity) AS filled FROM lineitem WHERE l_orderkey % 5 <> 1 GROUP BY 1)"
 
 
@@ -345,10 +416,37 @@ def lookup_probe(spark, sf_dir):
 
 @query("SELECT a.event_id AS event_id, a.user_id, c.c_name AS account_name, c.c_custkey IS NULL AS missing FROM events a LEFT JOIN customer c ON a.user_id = c.c_custkey WHERE a.event_type = 'purchase'")
 def lookup_stream(spark, sf_dir):
-    """Stream-static lookup: the dimension is read again for each micro-batch, nothing is kept in state."""
-    accounts = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("account_name"))
-    plan = joins.lookup_join(event_stream(spark, sf_dir).filter("event_type = 'purchase'"), accounts, ["user_id"], ["account_name"])
-    return run.run_to_parquet(plan.select("event_id", "user_id", "account_name"), "lookup").withColumn("missing", F.col("account_name").isNull())
+    """Stream lookup: the dimension is read again for each of four micro-batches, nothing is kept in state."""
+    accounts = refresh.RefreshedDimension(spark, lambda: table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("account_name")))
+    out, state = run.scratch(spark, "lookup"), run.scratch(spark, "lookup-state")
+    rows = in_parts(events(spark, sf_dir).select("event_id", "user_id", "event_type", "ts"))
+    once = lambda stream: refresh.refreshed_lookup(stream.filter("event_type = 'purchase'").select("event_id", "user_id"), accounts, ["user_id"], ["account_name"], out, "lookup", checkpoint=state)
+    run.feed(rows, "part", 4, "lookup-in", once)
+    accounts.release()
+    return spark.read.parquet(out).select("event_id", "user_id", "account_name", F.col("account_name").isNull().alias("missing"))
+
+
+@query(f"""SELECT e.event_id AS event_id, e.user_id, CASE WHEN part >= 2 THEN c_mktsegment || CASE WHEN c_custkey % 5 = 0 THEN '-VIP' ELSE '' END WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS tier
+      FROM ({_PARTS}) e LEFT JOIN customer c ON e.user_id = c.c_custkey""")
+def lookup_refreshed_stream(spark, sf_dir):
+    """A dimension that changes after the first of four micro-batches (new accounts, new tiers of a fifth) and is read again
+    a minute after it was read; batches come half a minute apart, so the second one still sees what the first one saw."""
+    folder, out, state, now = run.scratch(spark, "accounts"), run.scratch(spark, "refreshed"), run.scratch(spark, "refreshed-state"), [0.0]
+    customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("tier"))
+    load = lambda: io.latest_by_key(spark.read.parquet(folder), ["user_id"], ["version"]).select("user_id", "tier")
+    accounts = refresh.RefreshedDimension(spark, load, every_s=60, clock=lambda: now[0])
+    customer.filter("user_id % 3 <> 0").withColumn("version", F.lit(1)).write.parquet(folder)
+
+    def once(stream: DataFrame) -> None:
+        refresh.refreshed_lookup(stream.select("event_id", "user_id"), accounts, ["user_id"], ["tier"], out, "refreshed", checkpoint=state)
+        if now[0] == 0:
+            tier = F.concat("tier", F.when(F.col("user_id") % 5 == 0, "-VIP").otherwise(""))
+            customer.withColumns({"tier": tier, "version": F.lit(2)}).write.mode("append").parquet(folder)
+        now[0] += 30
+
+    run.feed(in_parts(events(spark, sf_dir).select("event_id", "user_id", "ts"), F.col("event_id") % 10 == 3), "part", 4, "refreshed-in", once)
+    accounts.release()
+    return spark.read.parquet(out).select("event_id", "user_id", "tier")
 
 
 @query("SELECT c_mktsegment, count(*) AS customers, count(o.k) AS with_orders, count(*) - count(o.k) AS without_orders FROM customer LEFT JOIN (SELECT DISTINCT o_custkey AS k FROM orders) o ON c_custkey = o.k GROUP BY 1")
@@ -378,6 +476,35 @@ def changelog_join_final(spark, sf_dir):
     return io.latest_by_key(log, ["o_orderkey"], ["seq"]).select("o_orderkey", "c_custkey", "tier")
 
 
+_TIERS = "SELECT 0 AS version, c_custkey, c_mktsegment AS tier FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT 1, c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'VIP' ELSE c_mktsegment END FROM customer"
+
+
+@query(f"SELECT b AS batch, o_orderkey, o_custkey AS c_custkey, tier FROM range(4) r(b) JOIN orders ON o_orderkey % 4 <= b JOIN ({_TIERS}) c ON c.c_custkey = o_custkey AND version = CASE WHEN b < 2 THEN 0 ELSE 1 END")
+def revised_join_stream(spark, sf_dir):
+    """Orders in four micro-batches joined with accounts whose change feed comes along; before the third one a fifth of the
+    accounts gets a new tier and a third comes in anew. The log of results folded after each batch."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("tier"))
+    path = run.scratch(spark, "revised-join")
+    schema = StructType(list(rows.schema)).add("seq", LongType())
+    accounts = keyed.KeyedTable(spark, f"{path}/accounts", schema, ["c_custkey"], buckets=4, feed=True)
+    join = revise.RevisedJoin(spark, f"{path}/join", orders.schema, rows.schema, ["c_custkey"], buckets=4)
+    accounts.merge(rows.filter("c_custkey % 3 <> 0").withColumn("seq", F.lit(0).cast("bigint")), 0)
+    taken = []
+
+    def once(stream: DataFrame) -> None:
+        if len(taken) == 2:
+            tier = F.when(F.col("c_custkey") % 5 == 0, "VIP").otherwise(F.col("tier"))
+            accounts.merge(rows.withColumns({"tier": tier, "seq": F.lit(1).cast("bigint")}), 1)
+        join.run(stream, accounts.change_stream())
+        taken.append(1)
+
+    run.feed(orders.withColumn("part", F.pmod("o_orderkey", F.lit(4))), "part", 4, "revised-in", once)
+    log = join.log()
+    after = [revise.folded(log, b).withColumn("batch", F.lit(b).cast("bigint")) for b in range(4)]
+    return reduce(DataFrame.unionByName, after).select("batch", "o_orderkey", "c_custkey", "tier")
+
+
 # aggregations
 
 

@@ -7,7 +7,8 @@ whatever the merge rule, so replays change nothing.
 
 Defined cases, for all merge rules: a null key is a key of its own; a row whose order is null counts as the earliest;
 rows that tie in their order are decided by their other columns, the greatest winning (the least where the first row
-stays), so a merge gives the same table however its rows are dealt.
+stays), so a merge gives the same table however its rows are dealt. A table may have keys alone, and columns of any name but
+the reserved __bucket and __value, and with a feed but op and batch_id, which its change rows have.
 """
 
 from __future__ import annotations
@@ -22,28 +23,36 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tidemark.functions.expressions import key_bucket
 
+#: Names that a table's columns can't have.
+BUCKET, VALUE = "__bucket", "__value"
+
 
 def _by(*order: str) -> Column:
     """An order that is never null, so rows with null in it aren't lost by max_by and min_by."""
     return F.struct(*order)
 
 
+def _picked(rows: DataFrame, keys: list[str], value: Column) -> DataFrame:
+    """Keys and the columns of one struct a key."""
+    return rows.groupBy(*keys).agg(value.alias(VALUE)).select(*keys, f"{VALUE}.*")
+
+
 def merge_last(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Last write wins."""
     others = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), _by(order, *others)).alias("v")).select(*keys, "v.*")
+    return _picked(rows, keys, F.max_by(F.struct(*others), _by(order, *others))) if others else rows.select(*keys).distinct()
 
 
 def merge_first(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """First write is kept."""
     others = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.min_by(F.struct(*others), _by(order, *others)).alias("v")).select(*keys, "v.*")
+    return _picked(rows, keys, F.min_by(F.struct(*others), _by(order, *others))) if others else rows.select(*keys).distinct()
 
 
 def merge_versioned(rows: DataFrame, keys: list[str], order: str, version: str) -> DataFrame:
     """The highest version wins, the later write among equals."""
     others = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), _by(version, order, *others)).alias("v")).select(*keys, "v.*")
+    return _picked(rows, keys, F.max_by(F.struct(*others), _by(version, order, *others))) if others else rows.select(*keys).distinct()
 
 
 def merge_aggregate(rows: DataFrame, keys: list[str], rules: dict[str, str]) -> DataFrame:
@@ -94,6 +103,10 @@ class KeyedTable:
     rules: dict[str, str] = field(default_factory=dict)
     feed: bool = False
 
+    def __post_init__(self) -> None:
+        if clash := ({BUCKET, VALUE} | ({"op", "batch_id"} if self.feed else set())) & set(self.schema.names):
+            raise ValueError(f"reserved column names: {', '.join(sorted(clash))}")
+
     def _fs(self):
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
         return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
@@ -179,21 +192,22 @@ class KeyedTable:
             return False
         number = 1 + (last["snapshot_id"] if last else 0)
         names = self.schema.names
-        new = batch.select(*names).withColumn("__b", key_bucket(self._key(), self.buckets)).persist()
+        new = batch.select(*names).withColumn(BUCKET, key_bucket(self._key(), self.buckets)).persist()
         try:
-            sizes = {str(r[0]): r[1] for r in new.groupBy("__b").count().collect()}
+            sizes = {str(r[0]): r[1] for r in new.groupBy(BUCKET).count().collect()}
             held = (last or {}).get("rows", {})
             share = max([1, *(1 + (n + held.get(b, 0)) // ROWS_A_FILE for b, n in sizes.items())])
             out = self._merged(self._files(last, set(map(int, sizes))), new.select(*names), columns or [])
             folder = f"data/{number:012d}"
-            dealt = out.select(*names).withColumn("bucket", key_bucket(self._key(), self.buckets)).repartition(max(1, len(sizes) * share), "bucket", F.pmod(F.xxhash64(F.lit(7), *self.keys), F.lit(share)))
-            dealt.sortWithinPartitions("bucket", *self.keys).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{folder}")
-            if self.feed and sizes:  # only the buckets that the batch touched are compared
-                after = self.spark.read.schema(self.schema).parquet(f"{self.path}/{folder}").select(*names)
-                changelog(self._files(last, set(map(int, sizes))), after, self.keys).write.mode("overwrite").parquet(f"{self.path}/staged/batch_id={batch_id}")
+            dealt = out.select(*names).withColumn(BUCKET, key_bucket(self._key(), self.buckets)).repartition(max(1, len(sizes) * share), BUCKET, F.pmod(F.xxhash64(F.lit(7), *self.keys), F.lit(share)))
+            dealt.sortWithinPartitions(BUCKET, *self.keys).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.path}/{folder}")
+            if self.feed and sizes:  # only rows of the batch's keys are compared
+                after, touched = self.spark.read.schema(self.schema).parquet(f"{self.path}/{folder}").select(*names), new.select(*self.keys).distinct()
+                own = lambda rows: join_keys(rows, touched, self.keys, "left_semi")
+                changelog(own(self._files(last, set(map(int, sizes)))), own(after), self.keys).write.mode("overwrite").parquet(f"{self.path}/staged/batch_id={batch_id}")
         finally:
             new.unpersist()
-        buckets = {**(last["buckets"] if last else {}), **{b: f"{folder}/bucket={b}" for b in sorted(sizes)}}
+        buckets = {**(last["buckets"] if last else {}), **{b: f"{folder}/{BUCKET}={b}" for b in sorted(sizes)}}
         written = self._counts(folder) if sizes else {}
         now = commit_time if commit_time is not None else self.spark.sql("SELECT unix_millis(current_timestamp())").first()[0]
         manifest = {"snapshot_id": number, "batch_id": batch_id, "commit_time": now, "buckets": buckets, "rows": {**held, **written}, "applied": _with(applied, batch_id)}
@@ -218,7 +232,7 @@ class KeyedTable:
 
     def _counts(self, folder: str) -> dict[str, int]:
         """Rows of each bucket that a snapshot has written."""
-        return {str(r[0]): r[1] for r in self.spark.read.parquet(f"{self.path}/{folder}").groupBy("bucket").count().collect()}
+        return {str(r[0]): r[1] for r in self.spark.read.parquet(f"{self.path}/{folder}").groupBy(BUCKET).count().collect()}
 
     def _publish(self, name: str, text: str) -> None:
         """Write aside, then rename: the manifest is there whole or not at all."""
@@ -250,10 +264,11 @@ class KeyedTable:
 def changelog(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     """op and the row: +I for new keys, -U with the old and +U with the new row of changed ones, -D for gone keys."""
     others = [c for c in after.columns if c not in keys]
-    b, a = before.select(*keys, F.struct(*others).alias("old")), after.select(*keys, F.struct(*others).alias("new"))
-    both = join_keys(b, a, keys, "full_outer").filter(~F.col("old").eqNullSafe(F.col("new")))
-    both = both.select(*(F.coalesce(k, f"__other_{k}").alias(k) for k in keys), "old", "new")
-    ops = F.when(F.col("old").isNull(), F.array(F.struct(F.lit("+I").alias("op"), F.col("new").alias("v"))))
-    ops = ops.when(F.col("new").isNull(), F.array(F.struct(F.lit("-D").alias("op"), F.col("old").alias("v"))))
-    ops = ops.otherwise(F.array(F.struct(F.lit("-U").alias("op"), F.col("old").alias("v")), F.struct(F.lit("+U").alias("op"), F.col("new").alias("v"))))
-    return both.select(*keys, F.explode(ops).alias("x")).select("x.op", *keys, "x.v.*")
+    row = lambda name: F.struct(F.lit(True).alias(VALUE), *others).alias(name)
+    b, a = before.select(*keys, row("__old")), after.select(*keys, row("__new"))
+    both = join_keys(b, a, keys, "full_outer").filter(~F.col("__old").eqNullSafe(F.col("__new")))
+    both = both.select(*(F.coalesce(k, f"__other_{k}").alias(k) for k in keys), "__old", "__new")
+    change = lambda op, v: F.struct(F.lit(op).alias("op"), F.col(v).alias("v"))
+    ops = F.when(F.col("__old").isNull(), F.array(change("+I", "__new"))).when(F.col("__new").isNull(), F.array(change("-D", "__old")))
+    ops = ops.otherwise(F.array(change("-U", "__old"), change("+U", "__new")))
+    return both.select(*keys, F.explode(ops).alias("__change")).select("__change.op", *keys, "__change.v.*").drop(VALUE)

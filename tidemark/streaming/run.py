@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -68,6 +69,25 @@ def run_batches(plan: DataFrame, each: Callable[[DataFrame, int], None], name: s
     start(writer, plan.sparkSession, policy).awaitTermination()
 
 
+def run_for(plan: DataFrame, name: str, rows: int, out: str, checkpoint: str, until: Callable[[DataFrame], bool] | None = None, most_s: float = 300) -> None:
+    """Run a stream that goes by the clock, and so doesn't end by itself, into parquet until it has taken in so many rows
+    and its results satisfy `until`."""
+    spark, met, seen, began = plan.sparkSession, 0, -1, time.monotonic()
+    writer = plan.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint).trigger(processingTime="200 milliseconds")
+    query = start(writer, spark)
+    try:
+        while met < rows or (until is not None and not until(spark.read.schema(plan.schema).parquet(out))):
+            if query.exception() or time.monotonic() - began > most_s:
+                raise RuntimeError(f"{name}: {query.exception() or f'not done after {most_s} s'}")
+            time.sleep(0.2)
+            for p in query.recentProgress:
+                if p["batchId"] > seen:
+                    met, seen = met + p["numInputRows"], p["batchId"]
+    finally:
+        query.stop()
+        query.awaitTermination()
+
+
 def feed(rows: DataFrame, part: str, parts: int, name: str, run_once: Callable[[DataFrame], None]) -> None:
     """Let rows arrive in `parts` parts (numbered by the column `part`): each is written, and run_once gets the stream of
     what has arrived. A run_once with a checkpoint of its own goes on where it ended, so every part is a restart."""

@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import json
 import sys
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, Row
@@ -178,7 +180,7 @@ class AsOf(StatefulProcessor):
         value = past[-1] if past else self.carried.get()[0] if self.carried.exists() else None
         if self.lefts.containsKey((now,)):
             for row in json.loads(self.lefts.getValue((now,))[0]):
-                yield Row(key=key[0], row=row, ms=now, value=value)
+                yield Row(key=key[0], row=row, ms=now, value=value, ts=datetime.fromtimestamp(now / 1000, UTC))
             self.lefts.removeKey((now,))
         if own and now == (bucket + 1) * self.bucket_ms - 1:
             self.carried.update((own[-1][1],))
@@ -188,6 +190,143 @@ class AsOf(StatefulProcessor):
         pass
 
 
+class AsOfHistory(StatefulProcessor):
+    """Joins each left row with the latest right value at or before its time, late rows included.
+
+    A key has a clock of its own: the largest time it has met, less delay_ms. A left row is answered once the clock has
+    passed it; one that comes behind the clock, however late, at once. If there is no value at or before its time, it waits
+    for a late one until the clock is wait_ms past it, and then comes out with null. With wait_clock_ms it also comes out
+    so long after its arrival by the processing time, with what is known then, even if its key gets no more rows.
+
+    Right values are held in time buckets, back to retain_ms before the clock, and of older ones the youngest. So a key
+    holds what came within the horizon and what waits. Rows without a time are answered with null at once.
+    """
+
+    def __init__(self, delay_ms: int, retain_ms: int, wait_ms: int, bucket_ms: int, wait_clock_ms: int | None = None):
+        self.delay_ms, self.retain_ms, self.wait_ms, self.bucket_ms, self.wait_clock_ms = delay_ms, retain_ms, wait_ms, bucket_ms, wait_clock_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.top = handle.getValueState("top", "ms bigint")
+        self.older = handle.getValueState("older", "ms bigint, value double")
+        self.rights = handle.getMapState("rights", "bucket bigint", "items string")
+        self.lefts = handle.getMapState("lefts", "bucket bigint", "items string")
+
+    def _value(self, ms: int, buckets: list[int], read: dict[int, list]) -> tuple[int | None, float | None]:
+        """Time and value of the youngest right row at or before a time. buckets: those held, in order."""
+        for bucket in reversed(buckets[: bisect_right(buckets, ms // self.bucket_ms)]):
+            if bucket not in read:
+                read[bucket] = sorted(map(tuple, json.loads(self.rights.getValue((bucket,))[0])))
+            at = bisect_right(read[bucket], (ms, float("inf")))
+            if at:
+                return read[bucket][at - 1]
+        older = tuple(self.older.get()) if self.older.exists() else None
+        return older if older and older[0] <= ms else (None, None)
+
+    def _answered(self, key, clock: int | None, now: int | None) -> Iterator[Row]:
+        """Rows that wait, as far as the clock or the processing time lets them out."""
+        buckets, read = sorted(k[0] for k in self.rights.keys()), {}
+        for bucket in sorted(k[0] for k in self.lefts.keys()):
+            passed = clock is not None and bucket * self.bucket_ms <= clock
+            if not passed and now is None:
+                break
+            stay, items = [], json.loads(self.lefts.getValue((bucket,))[0])
+            for ms, arrived, row in items:
+                over = now is not None and self.wait_clock_ms is not None and now >= arrived + self.wait_clock_ms
+                if not over and (clock is None or ms > clock):
+                    stay.append((ms, arrived, row))
+                    continue
+                at, value = self._value(ms, buckets, read)
+                if at is None and not over and clock < ms + self.wait_ms:
+                    stay.append((ms, arrived, row))
+                    continue
+                yield Row(key=key[0], row=row, ms=ms, value_ms=at, value=value)
+            if len(stay) < len(items):
+                self.lefts.updateValue((bucket,), (json.dumps(stay),)) if stay else self.lefts.removeKey((bucket,))
+
+    def _add(self, state, items: dict[int, list]) -> None:
+        for bucket, new in items.items():
+            held = json.loads(state.getValue((bucket,))[0]) if state.containsKey((bucket,)) else []
+            state.updateValue((bucket,), (json.dumps(held + new),))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        now = timerValues.getCurrentProcessingTimeInMs() if self.wait_clock_ms is not None else None
+        lefts, rights, top = defaultdict(list), defaultdict(list), self.top.get()[0] if self.top.exists() else None
+        for row in rows:
+            ms = row["ms"]
+            if ms is None:
+                if row["side"] == "left":
+                    yield Row(key=key[0], row=row["row"], ms=None, value_ms=None, value=None)
+                continue
+            top = ms if top is None else max(top, ms)
+            if row["side"] == "right":
+                rights[ms // self.bucket_ms].append((ms, row["value"]))
+            else:
+                lefts[ms // self.bucket_ms].append((ms, now, row["row"]))
+        if top is None:
+            return
+        self.top.update((top,))
+        self._add(self.rights, rights)
+        self._add(self.lefts, lefts)
+        if lefts and now is not None:
+            self.handle.registerTimer(now + self.wait_clock_ms)
+        clock = top - self.delay_ms
+        yield from self._answered(key, clock, None)
+        least = (clock - self.retain_ms) // self.bucket_ms
+        gone = [k[0] for k in self.rights.keys() if k[0] < least]
+        if gone:
+            youngest = max(tuple(x) for x in json.loads(self.rights.getValue((max(gone),))[0]))
+            if not self.older.exists() or tuple(self.older.get()) < youngest:
+                self.older.update(youngest)
+            for bucket in gone:
+                self.rights.removeKey((bucket,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        clock = self.top.get()[0] - self.delay_ms if self.top.exists() else None
+        yield from self._answered(key, clock, timerValues.getCurrentProcessingTimeInMs())
+
+    def close(self) -> None:
+        pass
+
+
+class ArrivalCount(StatefulProcessor):
+    """Counts a key's rows in windows of the processing time at which they arrive, whatever the micro-batch; a window's
+    count comes out once the clock has passed its end. What a key holds is one window and its count."""
+
+    def __init__(self, size_ms: int):
+        self.size_ms = size_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "start bigint, n bigint")
+
+    def _row(self, key, start: int, n: int) -> Row:
+        return Row(key=key[0], start_ms=start, end_ms=start + self.size_ms, n=n)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        now = timerValues.getCurrentProcessingTimeInMs()
+        start, n = now - now % self.size_ms, sum(1 for _ in rows)
+        if self.open.exists():
+            before, had = self.open.get()
+            if before == start:
+                n += had
+            else:  # its timer hasn't fired yet
+                self.handle.deleteTimer(before + self.size_ms)
+                yield self._row(key, before, had)
+        self.open.update((start, n))
+        self.handle.registerTimer(start + self.size_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if self.open.exists():
+            start, n = self.open.get()
+            if start + self.size_ms <= expiredTimerInfo.getExpiryTimeInMs():
+                self.open.clear()
+                yield self._row(key, start, n)
+
+    def close(self) -> None:
+        pass
+
+
 def dedup_stream(stream: DataFrame, key: str, time_ms: str, ts: str, ttl_ms: int, delay: str) -> DataFrame:
     """First rows of each key, with an exact TTL. time_ms is the event time in milliseconds, ts the same as a timestamp."""
     watermarked = stream.filter(F.col(time_ms).isNotNull()).withWatermark(ts, delay)
@@ -210,12 +349,37 @@ def match_or_orphan_stream(left: DataFrame, right: DataFrame, key: str, ts: str,
     return both.groupBy("key").transformWithState(processor, f"key {kind}, join_kind string, left_value string, right_value string", "Append", "EventTime" if delay else "ProcessingTime")
 
 
-def asof_stream(left: DataFrame, right: DataFrame, key: str, ts: str, value: str, bucket_ms: int, delay: str) -> DataFrame:
-    """key, row (the left row as JSON), ms, value: the right value as of each left row's time. bucket_ms: width of the time
-    buckets in which right values are held, a part of the delay at best."""
-    timed = lambda df: df.filter(F.col(ts).isNotNull())
-    l = timed(left).select(F.col(key).alias("key"), F.col(ts).alias("ts"), F.unix_millis(ts).alias("ms"), F.lit("left").alias("side"), F.to_json(F.struct("*")).alias("row"), F.lit(None).cast("double").alias("value"))  # noqa: E741
-    r = timed(right.filter(F.col(value).isNotNull())).select(F.col(key).alias("key"), F.col(ts).alias("ts"), F.unix_millis(ts).alias("ms"), F.lit("right").alias("side"), F.lit(None).cast("string").alias("row"), F.col(value).cast("double").alias("value"))
+def _sides(left: DataFrame, right: DataFrame, key: str, ts: str, value: str) -> DataFrame:
+    """Left rows as JSON and right values in one stream."""
+    l = left.select(F.col(key).alias("key"), F.col(ts).alias("ts"), F.unix_millis(ts).alias("ms"), F.lit("left").alias("side"), F.to_json(F.struct("*")).alias("row"), F.lit(None).cast("double").alias("value"))  # noqa: E741
+    known = right.filter(F.col(value).isNotNull() & F.col(ts).isNotNull())
+    r = known.select(F.col(key).alias("key"), F.col(ts).alias("ts"), F.unix_millis(ts).alias("ms"), F.lit("right").alias("side"), F.lit(None).cast("string").alias("row"), F.col(value).cast("double").alias("value"))
+    return l.unionByName(r)
+
+
+def asof_stream(left: DataFrame, right: DataFrame, key: str, ts: str, value: str, bucket_ms: int, delay: str | None) -> DataFrame:
+    """key, row (the left row as JSON), ms, value, ts: the right value as of each left row's time. bucket_ms: width of the
+    time buckets in which right values are held, a part of the delay at best. Rows behind the watermark don't take part;
+    asof_history_stream answers those too. Without delay both inputs have watermarks already, as what a join gives. ts is
+    the result's event time, so another stateful operator can follow."""
+    kind = left.schema[key].dataType.simpleString()
+    both = _sides(left.filter(F.col(ts).isNotNull()), right, key, ts, value)
+    both = both.withWatermark("ts", delay) if delay else both
+    return both.groupBy("key").transformWithState(AsOf(bucket_ms), f"key {kind}, row string, ms bigint, value double, ts timestamp", "Append", "EventTime", eventTimeColumnName="ts")
+
+
+def asof_history_stream(left: DataFrame, right: DataFrame, key: str, ts: str, value: str, delay_ms: int, retain_ms: int, wait_ms: int, bucket_ms: int, wait_clock_ms: int | None = None) -> DataFrame:
+    """key, row (the left row as JSON), ms, value_ms, value: as asof_stream, but for every left row, late ones from what is
+    retained. With wait_clock_ms the stream goes by the processing time too, and ends only when it is stopped."""
     kind = left.schema[key].dataType.simpleString()
-    both = l.unionByName(r).withWatermark("ts", delay)
-    return both.groupBy("key").transformWithState(AsOf(bucket_ms), f"key {kind}, row string, ms bigint, value double", "Append", "EventTime")
+    processor = AsOfHistory(delay_ms, retain_ms, wait_ms, bucket_ms, wait_clock_ms)
+    schema = f"key {kind}, row string, ms bigint, value_ms bigint, value double"
+    return _sides(left, right, key, ts, value).groupBy("key").transformWithState(processor, schema, "Append", "None" if wait_clock_ms is None else "ProcessingTime")
+
+
+def arrival_count_stream(stream: DataFrame, key: str, size_ms: int) -> DataFrame:
+    """key, start_ms, end_ms, n: rows of each key in each window of their arrival. A window that several micro-batches meet
+    gives one row. The stream ends only when it is stopped."""
+    kind = stream.schema[key].dataType.simpleString()
+    named = stream.select(F.col(key).alias("key"))
+    return named.groupBy("key").transformWithState(ArrivalCount(size_ms), f"key {kind}, start_ms bigint, end_ms bigint, n bigint", "Append", "ProcessingTime")
