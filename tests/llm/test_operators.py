@@ -226,6 +226,14 @@ def test_lines_of_many_lines_and_shared_ids(spark):
     assert found[1, "line "].n_lines == 20_000
 
 
+def test_lines_of_many_characters(spark):
+    """Work grows with a line's length, not with its square: an edit in the middle, one near the end, and two edits."""
+    base = "".join(chr(97 + i * i % 26) for i in range(300_000)) + "𝄞ü"
+    texts = [base, base[:150_000] + "é" + base[150_001:], base[:-7] + base[-6:], "x" + base + "x", base[:9] + "+" + base[9:]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(2)
+    assert {r.doc_id: r.n_kept for r in line_dedup.dedup_lines(docs).collect()} == {0: 1, 1: 0, 2: 0, 3: 1, 4: 0}
+
+
 def test_lines_plan_has_no_python(spark):
     docs = spark.createDataFrame([(1, "a\nb")], "doc_id bigint, text string")
     plan = line_dedup.dedup_lines(docs)._jdf.queryExecution().toString()

@@ -5,10 +5,10 @@ or replaced. Equal lines collapse first. Two lines one edit apart agree in their
 share a half with another line stand for the join ("live" lines); this gate loses nothing. A live line emits all its
 variants with one character deleted as hashed keys. Lines with an equal variant from the same place differ by one
 replaced character; a line that equals a variant lacks one character of the variant's line. Each line takes the earliest
-line that it meets so, the two texts' edit distance is verified, and the earlier one stays.
+line that it meets so; that both texts are equal but for the character at that place is verified, and the earlier one stays.
 
-Variants of a long line are hashed in chunks of which only one differs, so the work grows with the line's length times
-a chunk. Lists of equal variants are bounded by the alphabet and the line's length, because lines in them are distinct.
+Variants of a long line are hashed in chunks of which only one differs, and a line's chunks travel as rows of their own,
+so the work grows with the line's length times a chunk, whatever the length. Lists of equal variants are bounded by the alphabet and the line's length, because lines in them are distinct.
 
 Defined cases: blank lines always stay and are never compared; null and empty texts have no lines; rows that repeat with
 the same id and text count as one document; null ids are one id, before all others; lines at one place (of rows of one id
@@ -44,21 +44,25 @@ def _halves() -> Column:
     return F.expr(f"array({part('length(line)')}, {part('length(line) - 1')})")
 
 
+def _chunks(live: DataFrame) -> DataFrame:
+    """h, h2, first, n, c, w: a line's chunks and the character behind each, cut in one pass over the line."""
+    parts = F.expr(f"regexp_extract_all(line, '(?s).{{1,{CHUNK}}}', 0)")
+    cut = live.select("h", "h2", "first", F.length("line").alias("n"), parts.alias("parts"))
+    return cut.select("h", "h2", "first", "n", F.posexplode(F.expr("transform(parts, (x, i) -> concat(x, left(coalesce(get(parts, i + 1), ''), 1)))")).alias("c", "w"))
+
+
 def _variants(live: DataFrame) -> DataFrame:
-    """vh, vn, place (0: the line itself), h, h2, first."""
-    n, s = "length(line)", CHUNK
-    chunks = f"transform(sequence(0, ({n} - 1) div {s}), c -> xxhash64(c, substring(line, c * {s} + 1, {s})))"
-    moved = f"transform(filter(sequence(0, ({n} - 1) div {s}), c -> c * {s} + 1 < {n}), c -> xxhash64(c, substring(line, c * {s} + 2, {s})))"
-    running = lambda a: f"aggregate({a}, array(0L), (acc, x) -> concat(acc, array(element_at(acc, -1) ^ x)))"
-    base = live.select("h", "h2", "first", "line", F.expr(n).alias("n"), F.expr(running(chunks)).alias("before"), F.expr(running(f"reverse({moved})")).alias("after"))
-    self_rows = base.select(F.expr("element_at(before, -1)").alias("vh"), F.col("n").alias("vn"), F.lit(0).alias("place"), "h", "h2", "first")
-    cut = base.select("h", "h2", "first", "n", "before", "after", "line", F.expr(f"explode(sequence(0, (n - 1) div {s}))").alias("c"))
-    cut = cut.select(
-        "h", "h2", "first", "n", "c",
-        F.expr("before[c] ^ after[greatest(0, size(after) - 2 - c)]").alias("rest"),
-        F.expr(f"substring(line, c * {s} + 1, {s + 1})").alias("w"),
-    )
-    place = cut.withColumn("j", F.expr(f"explode(sequence(1, least({s}, n - c * {s})))"))
+    """vh, vn, place (0: the line itself), h, h2, first. A variant's hash is that of the chunks before the place, of the
+    chunk without the character, and of the chunks behind it, each a character further; the sums over the others are
+    running ones, so a row carries one chunk of its line."""
+    s = CHUNK
+    hashed = _chunks(live).withColumns({"a": F.expr(f"xxhash64(c, left(w, {s}))"), "b": F.expr(f"if(length(w) > 1, xxhash64(c, substring(w, 2, {s})), 0L)")})
+    summed = hashed.withColumns({
+        "all": F.expr("bit_xor(a) over (partition by h, h2)"),
+        "rest": F.expr("a ^ bit_xor(a) over (partition by h, h2 order by c) ^ bit_xor(b) over (partition by h, h2) ^ bit_xor(b) over (partition by h, h2 order by c)"),
+    })
+    self_rows = summed.filter("c = 0").select(F.col("all").alias("vh"), F.col("n").alias("vn"), F.lit(0).alias("place"), "h", "h2", "first")
+    place = summed.withColumn("j", F.expr(f"explode(sequence(1, least({s}, n - c * {s})))"))
     shorter = f"concat(left(w, j - 1), substring(w, j + 1, {s}))"
     own = place.select(F.expr(f"rest ^ if({shorter} = '', 0L, xxhash64(c, {shorter}))").alias("vh"), (F.col("n") - 1).alias("vn"), (F.col("c") * s + F.col("j")).alias("place"), "h", "h2", "first")
     return self_rows.unionByName(own)
@@ -77,15 +81,17 @@ def near_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     place = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))
     texts = checkpoint(_ids(_lines(docs)).join(some, place & (F.col("h") == F.col("__h")) & (F.col("h2") == F.col("__h2"))).select("h", "h2", "first", "line").dropDuplicates(["h", "h2"]))
 
-    rows = _variants(texts)
+    rows = _variants(texts).withColumn("self", F.struct("first", "place"))
     met = rows.withColumns({
-        "replaced": F.expr("if(place = 0, null, min(first) over (partition by vh, vn, place))"),
-        "longer": F.expr("if(place = 0, min(if(place = 0, null, first)) over (partition by vh, vn), null)"),
-        "shorter": F.expr("if(place = 0, null, min(if(place = 0, first, null)) over (partition by vh, vn))"),
-    })
-    earliest = met.select("h", "h2", "first", F.least("replaced", "longer", "shorter").alias("kept")).filter("kept < first").groupBy("h", "h2").agg(F.min("kept").alias("kept"))
-    pairs = earliest.join(texts.select("h", "h2", "line"), ["h", "h2"]).join(texts.select(F.col("first").alias("kept"), F.col("line").alias("other")), "kept")
-    gone = pairs.filter(F.levenshtein("line", "other", 1) >= 0).select("h", "h2", "kept").distinct()
+        "replaced": F.expr("if(place = 0, null, named_struct('kept', min(first) over (partition by vh, vn, place), 'place', place, 'kind', 1))"),
+        "longer": F.expr("if(place = 0, min(if(place = 0, null, self)) over (partition by vh, vn), null)"),
+        "shorter": F.expr("if(place = 0, null, named_struct('kept', min(if(place = 0, first, null)) over (partition by vh, vn), 'place', place, 'kind', 3))"),
+    }).withColumns({"longer": F.expr("if(longer is null, null, named_struct('kept', longer.first, 'place', longer.place, 'kind', 2))"), "shorter": F.expr("if(shorter.kept is null, null, shorter)")})
+    earliest = met.select("h", "h2", "first", F.least("replaced", "longer", "shorter").alias("m")).filter("m.kept < first").groupBy("h", "h2").agg(F.min("m").alias("m"))
+    pairs = earliest.select("h", "h2", "m.*").join(texts.select("h", "h2", "line"), ["h", "h2"]).join(texts.select(F.col("first").alias("kept"), F.col("line").alias("other")), "kept")
+    without = lambda c: f"concat(left({c}, place - 1), substring({c}, place + 1))"
+    one_edit = F.expr(f"case kind when 1 then {without('line')} = {without('other')} when 2 then line = {without('other')} else {without('line')} = other end")
+    gone = pairs.filter(one_edit).select("h", "h2", "kept").distinct()
     return distinct.select("h", "h2", "first"), checkpoint(gone)
 
 
