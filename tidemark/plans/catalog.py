@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from tidemark.functions import expressions as X
-from tidemark.operators import joins, quality, windows
+from tidemark.operators import accumulators, joins, quality, windows
 from tidemark.sources import io, keyed, tier
-from tidemark.streaming import refresh, revise, run, stateful
+from tidemark.streaming import refresh, rejects, revise, run, stateful
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -91,12 +91,12 @@ def late_revised_counts(spark, sf_dir):
 _PARTS = "SELECT *, least(3, CAST(4 * (epoch_us(ts) // 1000 - lo) // (hi - lo + 1) AS BIGINT) + CASE WHEN event_id % 10 = 3 THEN 1 ELSE 0 END) AS part FROM events, (SELECT min(epoch_us(ts) // 1000) AS lo, max(epoch_us(ts) // 1000) AS hi FROM events)"
 
 
-def in_parts(rows: DataFrame, late: Column | None = None, every: DataFrame | None = None) -> DataFrame:
-    """Rows with the number of the part, of four by time (of all rows, or of `every`), in which they arrive; late ones come a
+def in_parts(rows: DataFrame, late: Column | None = None, every: DataFrame | None = None, count: int = 4) -> DataFrame:
+    """Rows with the number of the part, of four (or `count`) by time (of all rows, or of `every`), in which they arrive; late ones come a
     part later."""
     lo, hi = (rows if every is None else every).agg(F.unix_millis(F.min("ts")), F.unix_millis(F.max("ts"))).first()
-    own = F.floor(4 * (F.unix_millis("ts") - F.lit(lo)) / F.lit(1 if lo is None else hi - lo + 1))
-    return rows.withColumn("part", own if late is None else F.least(F.lit(3), own + F.when(late, 1).otherwise(0)))
+    own = F.floor(count * (F.unix_millis("ts") - F.lit(lo)) / F.lit(1 if lo is None else hi - lo + 1))
+    return rows.withColumn("part", own if late is None else F.least(F.lit(count - 1), own + F.when(late, 1).otherwise(0)))
 
 
 @query(f"SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, count(*) AS n, count(DISTINCT part) AS revisions FROM ({_PARTS}) GROUP BY ALL")
@@ -641,6 +641,70 @@ def tolerant_json(spark, sf_dir):
     return io.parse_events(sent, StructType([StructField("event_id", LongType()), StructField("user_id", LongType()), StructField("value", DoubleType())]))
 
 
+_REJECTS = "SELECT CASE WHEN event_id % 7 = 0 THEN 'empty' WHEN event_id % 3 = 0 THEN 'malformed' WHEN event_id % 5 = 0 THEN 'no_key' ELSE 'good' END AS reason, count(*) AS n FROM events GROUP BY 1"
+
+
+def _messages(rows: DataFrame) -> DataFrame:
+    """Events as JSON messages: a seventh without text, a third cut off, a fifth without its key."""
+    sent = F.to_json(F.struct(F.when(F.col("event_id") % 5 != 0, F.col("event_id")).alias("eventId"), F.col("user_id").alias("userId"), "value"))
+    cut = F.when(F.col("event_id") % 7 == 0, F.when(F.col("event_id") % 2 == 0, " ")).when(F.col("event_id") % 3 == 0, F.substring(sent, 1, 9)).otherwise(sent)
+    return rows.select(cut.alias("value"))
+
+
+_MESSAGE = StructType([StructField("event_id", LongType()), StructField("user_id", LongType()), StructField("value", DoubleType())])
+
+
+def _reasons(spark, counts) -> DataFrame:
+    return spark.createDataFrame([(k, int(v)) for k, v in sorted(counts.items()) if v], "reason string, n bigint")
+
+
+@query(_REJECTS)
+def rejects_counted(spark, sf_dir):
+    """Rejected messages by reason, observed while the good ones are written."""
+    good, seen = rejects.parse_counted(_messages(events(spark, sf_dir)), _MESSAGE, "messages")
+    io.discard(good)
+    return _reasons(spark, seen.get)
+
+
+@query(_REJECTS)
+def rejects_counted_stream(spark, sf_dir):
+    """The same over four micro-batches, told to a listener."""
+    told, state, out = rejects.RejectCounts("messages"), run.scratch(spark, "rejects-state"), run.scratch(spark, "rejects-out")
+    spark.streams.addListener(told)
+    try:
+        once = lambda stream: run.run_to_parquet(rejects.parse_counted(_messages(stream), _MESSAGE, "messages")[0], "rejects", checkpoint=state, out=out)
+        run.feed(in_parts(events(spark, sf_dir).select("event_id", "user_id", "value", "ts")), "part", 4, "rejects-in", once)
+        return _reasons(spark, told.totals())
+    finally:
+        spark.streams.removeListener(told)
+
+
+@query("SELECT user_id, round(avg(value), 6) AS mean_of_largest FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC) AS n FROM events WHERE value IS NOT NULL) WHERE n <= 5 GROUP BY 1")
+def accumulated(spark, sf_dir):
+    """An accumulator without a built-in twin: the mean of a user's five largest values."""
+    out = accumulators.accumulate(events(spark, sf_dir), "user_id", "value", accumulators.LargestMean(5), "mean_of_largest")
+    return out.filter("mean_of_largest IS NOT NULL").select("user_id", F.round("mean_of_largest", 6).alias("mean_of_largest"))
+
+
+_EIGHTHS = "SELECT *, least(7, CAST(8 * (epoch_us(ts) // 1000 - lo) // (hi - lo + 1) AS BIGINT)) AS part FROM events, (SELECT min(epoch_us(ts) // 1000) AS lo, max(epoch_us(ts) // 1000) AS hi FROM events)"
+
+
+@query(f"""SELECT b AS batch_id, max(epoch_us(ts) // 1000) FILTER (event_type = 'purchase' AND part <= b) AS trades, max(epoch_us(ts) // 1000) FILTER (event_type = 'view' AND part <= 2 * b + 1) AS quotes,
+      abs(max(epoch_us(ts) // 1000) FILTER (event_type = 'purchase' AND part <= b) - max(epoch_us(ts) // 1000) FILTER (event_type = 'view' AND part <= 2 * b + 1)) AS drift_ms FROM range(8) r(b), ({_EIGHTHS}) GROUP BY b""")
+def admission_drift(spark, sf_dir):
+    """Two sources of eight files each, of which one admits a file a trigger and the other two: how far they drift apart."""
+    rows = in_parts(events(spark, sf_dir).select("event_type", "ts"), count=8)
+    sources = {}
+    for name, kind, files in (("trades", "purchase", 1), ("quotes", "view", 2)):
+        folder, own = run.scratch(spark, name), rows.filter(F.col("event_type") == kind).select("ts", "part")
+        for k in range(8):
+            own.filter(F.col("part") == k).select("ts").coalesce(1).write.parquet(f"{folder}/{k}")
+        sources[name] = spark.readStream.schema("ts timestamp").option("maxFilesPerTrigger", files).parquet(f"{folder}/*").select("ts", F.lit(name).alias("source"))
+    out = run.scratch(spark, "admitted")
+    run.run_batches(sources["trades"].unionByName(sources["quotes"]), lambda batch, i: io.write_once(batch, i, out), "admitted")
+    return run.admitted(spark.read.parquet(out).withColumn("batch_id", F.col("batch_id").cast("bigint")), "source", "ts").select("batch_id", "trades", "quotes", "drift_ms")
+
+
 # keyed tables
 
 
@@ -787,6 +851,20 @@ def tier_copy_job(spark, sf_dir):
     return ntz(tier.bucket_report(spark.read.parquet(cold)), "min_timestamp", "max_timestamp")
 
 
+@query(f"SELECT CAST(user_id % 4 AS INT) AS __bucket, count(*) AS n, CAST(0 AS BIGINT) AS min_offset, count(*) - 1 AS max_offset, count(DISTINCT event_id) AS events, count(DISTINCT part) AS runs FROM ({_PARTS}) GROUP BY 1")
+def tier_stream_copy(spark, sf_dir):
+    """Tiering as a stream, run four times; a tenth of the events reaches the hot log late. Offsets are dense."""
+    cold, runs = run.scratch(spark, "tiering"), []
+
+    def once(stream: DataFrame) -> None:
+        tier.tiering(stream, cold, F.col("user_id") % 4, ["event_id"], F.lit(f"2024-02-0{len(runs) + 1}").cast("timestamp"))
+        runs.append(1)
+
+    run.feed(in_parts(events(spark, sf_dir).select("event_id", "user_id", "ts"), F.col("event_id") % 10 == 3), "part", 4, "tiering-in", once)
+    log = tier.cold_tier(spark, cold).groupBy("__bucket")
+    return log.agg(F.count(F.lit(1)).alias("n"), F.min("__offset").alias("min_offset"), F.max("__offset").alias("max_offset"), F.countDistinct("event_id").alias("events"), F.countDistinct("__timestamp").alias("runs"))
+
+
 @query("SELECT user_id, max(event_id) AS event_id, max_by(value, event_id) AS value FROM events GROUP BY 1")
 def tier_keyed(spark, sf_dir):
     rows = events(spark, sf_dir).select("user_id", "event_id", "value")

@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
@@ -48,6 +48,17 @@ def settings(spark: SparkSession, policy: str | None = None) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def admitted(batches: DataFrame, source: str, ts: str) -> DataFrame:
+    """batch_id, a column for each source with its largest time (epoch milliseconds) so far, and drift_ms: how far the sources
+    are apart, from rows with batch_id, source and time. A source that has admitted nothing is null and has no drift."""
+    tops = batches.groupBy("batch_id", source).agg(F.max(F.unix_millis(ts)).alias("top"))
+    names = sorted(r[0] for r in tops.select(source).distinct().collect())
+    wide = tops.groupBy("batch_id").pivot(source, names).agg(F.first("top"))
+    so_far = Window.orderBy("batch_id")  # one row for each micro-batch
+    wide = wide.select("batch_id", *(F.max(n).over(so_far).alias(n) for n in names))
+    return wide.withColumn("drift_ms", (F.greatest(*names) - F.least(*names)) if len(names) > 1 else F.lit(0))
+
+
 def start(writer: DataStreamWriter, spark: SparkSession, policy: str | None = None) -> StreamingQuery:
     with settings(spark, policy):
         return writer.start()
