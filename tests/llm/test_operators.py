@@ -483,6 +483,20 @@ def test_chat_round_trip(spark, sf_dir):
     assert len(found) == len(expected) and -1 in expected
 
 
+def test_chat_pieces_of_long_conversations(spark, monkeypatch):
+    """Conversations of many pieces give what they give as one, next to short ones and null ids."""
+    rows = [(c, t, "user" if t % 2 else "assistant", f"[INST] turn {t} of {c} </s>" * (1 + t % 3)) for c in (1, 2, None, 5) for t in range(3 if c == 2 else 200)]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(3)
+    whole = chat_format.format_conversations(turns)
+    assert whole.count() == 4
+    expected = sorted(map(tuple, chat_format.digests(whole).collect()), key=str)
+    monkeypatch.setattr(chat_format, "PIECE_BYTES", 2000)
+    monkeypatch.setattr(chat_format, "SLICE_BYTES", 700)
+    pieces = chat_format.format_conversations(turns)
+    assert pieces.filter("piece > 2").count() > 0 and pieces.filter("piece = 0").count() == 4
+    assert sorted(map(tuple, chat_format.digests(pieces).collect()), key=str) == expected
+
+
 def test_chat_long_texts_and_clashing_columns(spark):
     """Long texts and many turns in one conversation, with columns of other meaning beside them."""
     long = "<s>é" * 700_000

@@ -8,8 +8,8 @@ the byte span of each assistant text.
 
 Defined cases: a null text or role counts as empty; turns that tie are ordered by role and text; rows that repeat are
 turns that repeat; a null conv_id is one conversation; an empty table gives an empty result; other columns don't matter.
-A conversation is one cell, so its own turns are held together by the task that writes it, whatever else is there; one of
-more than 2 GiB is an error.
+A conversation is one row, or several pieces in order where it is longer than PIECE_BYTES, cut between turns; so a task
+holds a piece, whatever a conversation's length. Digests pass over the pieces one after the other.
 """
 
 from __future__ import annotations
@@ -24,12 +24,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_arrow, map_batches, slices
+from tidemark.llm.common import map_batches, slices
 
 #: Control strings of the template and of its family, without their first character.
 CONTROL = r"/?s>|/?INST\]|<SYS>>|</SYS>>"
 #: Bytes that scatter indices are made for at once (eight bytes each), text that is assembled at once, and what a cell can hold.
 INDEXED, SLICE_BYTES, MOST_BYTES = 1 << 20, 4_000_000, (1 << 31) - 1
+#: Bytes of roles and texts of one conversation that are gathered before they are written as a piece.
+PIECE_BYTES = 32_000_000
 _ESCAPE = r"([<\[])(\\*)(" + CONTROL + ")"
 _UNESCAPE = re.compile(rb"([<\[])\\(\\*)(" + CONTROL.encode() + rb")")
 _HEAD, _AFTER_ROLE, _FOOT = b"<s>[INST]", b"[/INST]", b"</s>"
@@ -95,35 +97,47 @@ def assemble(conv: np.ndarray, roles: pa.Array, texts: pa.Array) -> tuple[pa.Arr
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
-    """conv_id, n_turns, formatted (binary), loss_begin, loss_end (byte spans, array<bigint>) of every conversation."""
+    """conv_id, piece, n_turns, formatted (binary), loss_begin, loss_end (byte spans, array<bigint>) of every conversation.
+    Pieces of a conversation, if it has more than piece 0, are next to each other in the order of its turns."""
     kind = turns.schema["conv_id"].dataType.simpleString()
 
-    def ready(rows: pa.Table) -> pa.RecordBatch:
+    def ready(rows: pa.Table, first_piece: int) -> pa.RecordBatch:
         ids = rows.column("conv_id").combine_chunks()
         codes = ids.dictionary_encode(null_encoding="encode").indices.to_numpy()
         formatted, begin, end = assemble(codes, rows.column("role").combine_chunks(), rows.column("text").combine_chunks())
         first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(first)), pa.array(np.diff(np.r_[first, len(codes)])), formatted, begin, end], names=["conv_id", "n_turns", "formatted", "loss_begin", "loss_end"])
+        piece = np.where(np.arange(len(first)) == 0, first_piece, 0)
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(first)), pa.array(piece), pa.array(np.diff(np.r_[first, len(codes)])), formatted, begin, end], names=["conv_id", "piece", "n_turns", "formatted", "loss_begin", "loss_end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # turns of the conversation that goes on
+        size, given, pieces = 0, None, 0  # bytes held; the conversation of which pieces are given, and how many
+
+        def give(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+            whole = pa.Table.from_batches(rows)
+            return ready(whole, pieces if pieces and whole.column("conv_id")[0].as_py() == given else 0)
+
         for whole in batches:
             for batch in slices(whole, SLICE_BYTES, ("role", "text")):
                 ids = batch.column("conv_id").to_pylist()
                 cut = next((i for i in range(len(ids) - 1, 0, -1) if ids[i] != ids[i - 1]), 0)
-                if held and ids[0] != held[-1].column("conv_id")[-1].as_py():
-                    yield ready(pa.Table.from_batches([*held, batch.slice(0, cut)]) if cut else pa.Table.from_batches(held))
-                    held = [batch.slice(cut)]
-                elif cut:
-                    yield ready(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                    held = [batch.slice(cut)]
-                else:
-                    held.append(batch)
+                if cut or (held and ids[0] != held[-1].column("conv_id")[-1].as_py()):
+                    if held and ids[0] != held[-1].column("conv_id")[-1].as_py() and not cut:
+                        yield give(held)
+                    else:
+                        yield give([*held, batch.slice(0, cut)])
+                    held, size, given, pieces = [], 0, None, 0
+                held.append(batch.slice(cut))
+                size += held[-1].nbytes
+                if size > PIECE_BYTES:
+                    yield give(held)
+                    pieces = pieces + 1 if pieces and ids[-1] == given else 1
+                    held, size, given = [], 0, ids[-1]
         if held:
-            yield ready(pa.Table.from_batches(held))
+            yield give(held)
 
     rows = turns.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return map_batches(rows.select("conv_id", "role", "text"), run, f"conv_id {kind}, n_turns bigint, formatted binary, loss_begin array<bigint>, loss_end array<bigint>")
+    return map_batches(rows.select("conv_id", "role", "text"), run, f"conv_id {kind}, piece bigint, n_turns bigint, formatted binary, loss_begin array<bigint>, loss_end array<bigint>")
 
 
 def parse(formatted: bytes) -> list[tuple[bytes, bytes]]:
@@ -132,20 +146,38 @@ def parse(formatted: bytes) -> list[tuple[bytes, bytes]]:
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, from the formatted text alone."""
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, from the formatted text alone. Pieces of a
+    conversation are to be next to each other, in order, as format_conversations() gives them."""
     kind = formatted.schema["conv_id"].dataType.simpleString()
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[tuple] = []
-        for text, begin, end in zip(*(batch.column(c).to_pylist() for c in ("formatted", "loss_begin", "loss_end")), strict=True):
-            turns = parse(text)
-            learnt = b"".join(unescape(text[b:e]) for b, e in zip(begin, end, strict=True))
-            out.append((len(turns), hashlib.sha256(b"".join(r + b"\n" + t + b"\n" for r, t in turns)).hexdigest(), len(learnt.decode()), hashlib.sha256(learnt).hexdigest(), len(text.decode())))
-        cols = list(zip(*out, strict=True))
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-        return pa.RecordBatch.from_arrays([batch.column("conv_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-
-    return map_arrow(formatted.select("conv_id", "formatted", "loss_begin", "loss_end"), f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint", run)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: list | None = None
+        for batch in (part for whole in batches for part in slices(whole, SLICE_BYTES, ("formatted",))):
+            out = []
+            for conv, piece, text, begin, end in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "piece", "formatted", "loss_begin", "loss_end")), strict=True):
+                if piece == 0:
+                    if own is not None:
+                        out.append(own)
+                    own = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                for role, said in parse(text):
+                    own[1] += 1
+                    own[2].update(role + b"\n" + said + b"\n")
+                learnt = b"".join(unescape(text[b:e]) for b, e in zip(begin, end, strict=True))
+                own[3] += len(learnt.decode())
+                own[4].update(learnt)
+                own[5] += len(text.decode())
+            if out:
+                yield told(out, batch.column("conv_id").type)
+        if own is not None:
+            yield told([own], batch.column("conv_id").type)
+
+    def told(rows: list[list], id_type: pa.DataType) -> pa.RecordBatch:
+        kinds = [id_type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        plain = [[x.hexdigest() if hasattr(x, "hexdigest") else x for x in r] for r in rows]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*plain, strict=True), kinds, strict=True)], names=names)
+
+    return map_batches(formatted.select("conv_id", "piece", "formatted", "loss_begin", "loss_end"), run, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
 def with_control_case(turns: DataFrame) -> DataFrame:
