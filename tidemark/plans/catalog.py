@@ -60,6 +60,8 @@ def ntz(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in cols})
 
 
+_HOUR = 3_600_000
+
 # windows
 
 _CLOSED = "window_end <= (SELECT max(ts) - INTERVAL 5 SECOND FROM events)"
@@ -99,21 +101,42 @@ def in_parts(rows: DataFrame, late: Column | None = None, every: DataFrame | Non
     return rows.withColumn("part", own if late is None else F.least(F.lit(count - 1), own + F.when(late, 1).otherwise(0)))
 
 
+def in_batches(spark, sf_dir, name: str, plan: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a streaming plan over events gives when they come in four parts by time, each a restart from the checkpoint: state
+    goes on from batch to batch."""
+    state, out = run.scratch(spark, f"{name}-state"), run.scratch(spark, f"{name}-out")
+    run.feed(in_parts(events(spark, sf_dir)), "part", 4, f"{name}-in", lambda stream: run.run_to_parquet(plan(stream), name, checkpoint=state, out=out))
+    return spark.read.parquet(out)
+
+
 @query(f"SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, count(*) AS n, count(DISTINCT part) AS revisions FROM ({_PARTS}) GROUP BY ALL")
 def late_revisions(spark, sf_dir):
     """A tenth of the events arrives a part late, within the allowed lateness: counts are revised, and how often is counted."""
+    return _revisions(spark, sf_dir, "400 days")
+
+
+def _revisions(spark, sf_dir, lateness: str) -> DataFrame:
     schema = "user_id bigint, window_start timestamp, window_end timestamp, n bigint, revisions bigint"
     out = keyed.KeyedTable(spark, run.scratch(spark, "revisions"), spark.createDataFrame([], schema).schema, ["user_id", "window_start", "window_end"], "aggregate", buckets=4, rules={"n": "max", "revisions": "sum"})
     state = run.scratch(spark, "revisions-state")
 
     def once(stream: DataFrame) -> None:
-        plan = windows.tumbling(stream, ["user_id"], "ts", "1 hour", [F.count(F.lit(1)).alias("n")], "400 days")
+        plan = windows.tumbling(stream, ["user_id"], "ts", "1 hour", [F.count(F.lit(1)).alias("n")], lateness)
         run.run_batches(plan, lambda batch, i: out.merge(batch.withColumn("revisions", F.lit(1).cast("bigint")), i), "revisions", "update", state)
 
     run.feed(in_parts(events(spark, sf_dir).select("event_id", "user_id", "ts"), F.col("event_id") % 10 == 3).drop("event_id"), "part", 4, "revisions-in", once)
     return ntz(out.read(), "window_start", "window_end")
 
 
+@query(f"""WITH p AS ({_PARTS}), m AS (SELECT b, (SELECT max(ts) FROM p WHERE part < b) - INTERVAL 3 DAY AS mark FROM range(4) r(b))
+      SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, count(*) AS n, count(DISTINCT part) AS revisions
+      FROM p JOIN m ON b = part WHERE mark IS NULL OR time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR > date_trunc('millisecond', mark) GROUP BY ALL""")
+def late_revisions_bounded(spark, sf_dir):
+    """The same with a lateness of three days: windows that the watermark has passed end, and rows that come later are too
+    late to revise them."""
+    return _revisions(spark, sf_dir, "3 days")
+
+
 @query("WITH s AS (SELECT * FROM events WHERE event_type = 'purchase' OR event_type = 'signup' AND ts <= (SELECT min(ts) + INTERVAL 1 DAY FROM events)), w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, count(*) AS n FROM s GROUP BY ALL) SELECT * FROM w WHERE window_end <= (SELECT max(ts) - INTERVAL 5 SECOND FROM events WHERE event_type = 'purchase')")
 def idle_source_counts(spark, sf_dir):
     """Two sources with watermarks of their own, one of which falls idle after a day: the other one closes the windows."""
@@ -154,8 +177,8 @@ def running_count(spark, sf_dir):
 
 @query("SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events")
 def running_count_stream(spark, sf_dir):
-    plan = stateful.running_count_stream(event_stream(spark, sf_dir).select("event_id", "user_id", "ts"), "user_id", "ts")
-    return run.run_to_parquet(plan, "running").select("event_id", "user_id", "n")
+    plan = lambda stream: stateful.running_count_stream(stream.select("event_id", "user_id", "ts"), "user_id", "ts")
+    return in_batches(spark, sf_dir, "running", plan).select("event_id", "user_id", "n")
 
 
 @query("SELECT user_id, count(*) AS n FROM events GROUP BY 1")
@@ -203,9 +226,11 @@ def interval_join_batch(spark, sf_dir):
 
 @query(_LAG + _PAIRS.format(1, 1))
 def interval_join_stream(spark, sf_dir):
-    trades, quotes = _trades_quotes(event_stream(spark, sf_dir))
-    trades, quotes = trades.withWatermark("trade_ts", "5 seconds"), quotes.withWatermark("quote_ts", "5 seconds")
-    return _lag(run.run_to_parquet(joins.interval_join(trades, quotes, ["user_id"], "trade_ts", "quote_ts", "-1 hours", "1 hours"), "interval"))
+    def plan(stream: DataFrame) -> DataFrame:
+        trades, quotes = _trades_quotes(stream)
+        return joins.interval_join(trades.withWatermark("trade_ts", "5 seconds"), quotes.withWatermark("quote_ts", "5 seconds"), ["user_id"], "trade_ts", "quote_ts", "-1 hours", "1 hours")
+
+    return _lag(in_batches(spark, sf_dir, "interval", plan))
 
 
 @query("SELECT a.event_id AS trade_id, max_by(b.event_id, (b.ts, b.event_id)) AS quote_id, round(max_by(b.value, (b.ts, b.event_id)), 4) AS quote " + _PAIRS.format(1, 0) + " GROUP BY a.event_id")
@@ -247,13 +272,11 @@ def asof_rate_retained(spark, sf_dir):
 @query("SELECT t.event_id AS trade_id, t.user_id, round(v.value, 4) AS rate " + _ASOF + " WHERE t.ts <= (SELECT max(ts) - INTERVAL 5 SECOND FROM events)")
 def asof_rate_stream(spark, sf_dir):
     """As-of join with state: trades that the watermark has passed."""
-    stream = event_stream(spark, sf_dir)
-    trades = stream.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
-    plan = stateful.asof_stream(trades, stream.filter("event_type = 'view'"), "user_id", "ts", "value", 3_600_000, "5 seconds")
-    return run.run_to_parquet(plan, "asof").select(F.get_json_object("row", "$.event_id").cast("bigint").alias("trade_id"), F.col("key").alias("user_id"), F.round("value", 4).alias("rate"))
-
+    def plan(stream: DataFrame) -> DataFrame:
+        trades = stream.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
+        return stateful.asof_stream(trades, stream.filter("event_type = 'view'"), "user_id", "ts", "value", _HOUR, "5 seconds")
 
-_HOUR = 3_600_000
+    return in_batches(spark, sf_dir, "asof", plan).select(F.get_json_object("row", "$.event_id").cast("bigint").alias("trade_id"), F.col("key").alias("user_id"), F.round("value", 4).alias("rate"))
 
 
 @query(f"""WITH e AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) // 1000 AS ms, part FROM ({_PARTS}) WHERE event_type IN ('purchase', 'view')),
@@ -381,9 +404,8 @@ def multiway_stream(spark, sf_dir):
       FROM k, m WHERE join_kind = 'INNER' OR least(coalesce(lt, rt), coalesce(rt, lt)) + INTERVAL 1 HOUR <= mark""")
 def orphan_deadline_stream(spark, sf_dir):
     """One row a key: the first purchase met by the first sign-up, or an orphan an hour later."""
-    stream = event_stream(spark, sf_dir)
-    plan = stateful.match_or_orphan_stream(stream.filter("event_type = 'purchase'"), stream.filter("event_type = 'signup'"), "user_id", "ts", "event_id", 3_600_000, 40 * 86_400_000, "5 seconds")
-    return run.run_to_parquet(plan, "orphans")
+    plan = lambda stream: stateful.match_or_orphan_stream(stream.filter("event_type = 'purchase'"), stream.filter("event_type = 'signup'"), "user_id", "ts", "event_id", _HOUR, 40 * 24 * _HOUR, "5 seconds")
+    return in_batches(spark, sf_dir, "orphans", plan)
 
 
 _LOOKUP = "SELECT l_orderkey, l_linenumber, p_brand, s_name, round(l_quantity * p_retailprice, 2) AS notional FROM lineitem {0} JOIN (SELECT * FROM part WHERE p_partkey % 10 <> 0) p ON l_partkey = p_partkey {0} JOIN supplier ON l_suppkey = s_suppkey"
@@ -589,9 +611,8 @@ def dedup_first(spark, sf_dir):
       SELECT o.event_id, o.user_id FROM p JOIN o ON o.user_id = p.user_id AND o.ms = p.ms""")
 def dedup_ttl_stream(spark, sf_dir):
     """A user's first event, and the first after each day that has passed since the one before."""
-    stream = event_stream(spark, sf_dir).select("event_id", "user_id", "ts", F.unix_millis("ts").alias("ms"))
-    plan = stateful.dedup_stream(stream, "user_id", "ms", "ts", 86_400_000, "5 seconds")
-    return run.run_to_parquet(plan, "dedup").select("event_id", "user_id")
+    plan = lambda stream: stateful.dedup_stream(stream.select("event_id", "user_id", "ts", F.unix_millis("ts").alias("ms")), "user_id", "ms", "ts", 24 * _HOUR, "5 seconds")
+    return in_batches(spark, sf_dir, "dedup", plan).select("event_id", "user_id")
 
 
 _BY_HOUR = "SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS n FROM {0} GROUP BY ALL"
