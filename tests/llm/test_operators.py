@@ -335,9 +335,11 @@ def test_regularised_leader_equals_plain_steps():
 
 def test_held_out_labels_do_not_train(spark):
     held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
-    docs = spark.createDataFrame([(i, "You utter moron!" if i % 4 == 0 else "You fine friend!") for i in range(60)], "doc_id bigint, text string").coalesce(1)
-    fits = [toxicity.fit(docs, spark.createDataFrame([(i, flip if held(i) else int(i % 4 == 0)) for i in range(60)], "doc_id bigint, toxic int").coalesce(1), (3, 9)) for flip in (0, 1)]
+    docs = spark.createDataFrame([(i, "You utter moron!" if i % 4 == 0 else "You fine friend!") for i in range(60)], "doc_id bigint, text string").repartition(3)
+    fits = [toxicity.fit(docs, spark.createDataFrame([(i, flip if held(i) else int(i % 4 == 0)) for i in range(60)], "doc_id bigint, toxic int").repartition(1 + flip), (3, 9)) for flip in (0, 1)]
     assert fits[0].weights and fits[0] == fits[1]
+    again = toxicity.fit(docs.repartition(5), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(59, -1, -1)], "doc_id bigint, toxic int"), (3, 9))
+    assert again == fits[0]
 
 
 def test_forest_walk_equals_plain_walk(spark):
@@ -361,6 +363,41 @@ def test_forest_walk_equals_plain_walk(spark):
     assert ((forest.logits(x) > 0) == (x[:, 0] + x[:, 3] ** 2 > 0.5)).mean() > 0.95
 
 
+def test_splits_equal_plain_search():
+    """Every split of the first trees has the greatest gain that trying all cuts of all features finds."""
+    rng = np.random.default_rng(11)
+    x = np.round(rng.normal(size=(300, 6)), 1)
+    y = ((x[:, 1] > 0.3) ^ (x[:, 4] > 0)).astype(float)
+    forest = quality.boost(x, y)
+    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, quality.BINS + 1)[1:-1])) for j in range(6)]
+    score = lambda g, h: g.sum() ** 2 / (h.sum() + quality.RIDGE)
+    f, splits = np.full(300, forest.base), 0
+    for t in range(5):
+        p = 1 / (1 + np.exp(-f))
+        g, h = p - y, p * (1 - p)
+        todo = [(0, np.arange(300))]
+        while todo:
+            i, rows = todo.pop()
+            k = t * forest.nodes + i
+            assert np.isclose(forest.value[k], -quality.RATE * g[rows].sum() / (h[rows].sum() + quality.RIDGE))
+            gains = {}
+            for j in range(6):
+                for c in cuts[j]:
+                    left, right = rows[x[rows, j] <= c], rows[x[rows, j] > c]
+                    if min(h[left].sum(), h[right].sum()) >= quality.LEAST_WEIGHT:
+                        gains[j, c] = score(g[left], h[left]) + score(g[right], h[right]) - score(g[rows], h[rows])
+            best = max(gains.values(), default=0)
+            if forest.leaf[k]:
+                assert i >= 2**quality.DEPTH - 1 or best <= 1e-6 + 1e-9
+                f[rows] += forest.value[k]
+                continue
+            j, c = forest.feature[k], forest.threshold[k]
+            assert np.isclose(gains[j, c], best)
+            splits += 1
+            todo += [(2 * i + 1, rows[x[rows, j] <= c]), (2 * i + 2, rows[x[rows, j] > c])]
+    assert splits > 10
+
+
 # licences
 
 

@@ -11,6 +11,7 @@ alike; without labels every score is 0.0; an empty table gives an empty result;
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -140,12 +141,13 @@ def _instances(sample: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = SAMPLE) -> ToxicityModel:
-    """Learn from at most so many documents of each label; weights restore the labels' shares, outside the held-out part."""
+    """Learn from at most so many documents of each label; weights restore the labels' shares, outside the held-out part.
+    Rows are put in an order of their own, so the model doesn't depend on how they lie in tables and tasks."""
     sizes = {r[0]: r[1] for r in learnable(labels, "toxic").groupBy("toxic").count().collect()}
     sample = labelled_sample(docs, labels, "toxic", {1: rows[0], 0: rows[1]})
     got = [(r[0], bytes(r[1])) for r in _instances(sample).collect()]
     taken = Counter(y for y, _ in got)
-    return train([(y, sizes[int(y)] / taken[y], t) for y, t in sorted(got, key=lambda x: -x[0])])
+    return train([(y, sizes[int(y)] / taken[y], t) for y, t in sorted(got, key=lambda x: (-x[0], zlib.crc32(x[1]), x[1]))])
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
