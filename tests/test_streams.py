@@ -1,14 +1,17 @@
 """Streams over several batches: fresh dimensions, as-of history, windows of arrival, revised joins; and odd names in keyed tables."""
 
 import datetime as dt
+import sys
+import time
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.operators import joins
-from tidemark.sources import keyed
-from tidemark.streaming import refresh, revise, run, stateful
+from tidemark.operators import accumulators, joins
+from tidemark.sources import keyed, tier
+from tidemark.streaming import refresh, rejects, revise, run, stateful
 from tidemark.workdir import scratch
 
 
@@ -176,6 +179,72 @@ def test_waits_end_by_the_clock(spark, tmp_path):
     assert rows(spark.read.parquet(f"{tmp_path}/out").select("key", "value"), "key") == [("a", 1.5), ("b", None)]
 
 
+def test_store_forgets_after_its_ttl(spark, tmp_path):
+    """A repeat within the store's TTL goes, one after it is passed, and the store holds no more rows than live keys."""
+    schema = "k bigint, t bigint"
+    put = lambda name, *data: spark.createDataFrame(data, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+    put("a", (1, 1), (1, 0), (2, 1), (3, 1))
+    once = lambda rows, until=None: run.run_for(stateful.dedup_store_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*"), "k", "t", 8000), "store", rows, f"{tmp_path}/out", f"{tmp_path}/state", until, 90)
+    passed = lambda: rows(spark.read.parquet(f"{tmp_path}/out"), "k", "t")
+    held = once(4, lambda done: done.count() == 3)[-1]["stateOperators"][0]["numRowsTotal"]
+    assert passed() == [(1, 0), (2, 1), (3, 1)]
+    time.sleep(9)
+    put("b", (1, 7), (1, 8))
+    after = once(2, lambda done: done.count() == 4)[-1]["stateOperators"][0]["numRowsTotal"]
+    assert passed() == [(1, 0), (1, 7), (2, 1), (3, 1)] and after < held
+
+
+class Plain:
+    """An accumulator of sums, to compare with a built-in one."""
+
+    def create(self):
+        return 0.0
+
+    def add(self, state, values):
+        return state + float(values.sum())
+
+    def merge(self, a, b):
+        return a + b
+
+    def result(self, state):
+        return state
+
+
+def test_accumulators_merge_before_the_shuffle(spark, monkeypatch):
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    data = spark.range(20_000).select((F.col("id") % 7 * (F.col("id") % 3 > 0).cast("int")).alias("k"), F.when(F.col("id") % 11 > 0, F.col("id") * 1.0).alias("v")).unionByName(spark.createDataFrame([(None, 2.0), (None, None), (99, None)], "k bigint, v double")).repartition(5)
+    out = accumulators.accumulate(data, "k", "v", Plain(), "s")
+    assert rows(out, "k") == rows(data.groupBy("k").agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("s")), "k")
+    largest = {r.k: r.m for r in accumulators.accumulate(data, "k", "v", accumulators.LargestMean(3), "m").collect()}
+    by_key = {}
+    for k, v in data.collect():
+        by_key.setdefault(k, []).extend([] if v is None else [v])
+    assert largest == {k: (sum(sorted(v)[-3:]) / len(sorted(v)[-3:]) if v else None) for k, v in by_key.items()}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and plan.index("MapInArrow") < plan.index("Exchange") < plan.rindex("MapInArrow")
+
+
+def test_rejects_by_reason(spark):
+    schema = StructType.fromDDL("event_id bigint, value double")
+    texts = ['{"eventId": 1, "value": 2.5}', '{"event_id": 2}', None, "", "  ", "{", "[]", '{"eventId": "x"}', '{"value": 1}', "{}"]
+    raw = spark.createDataFrame([(t,) for t in texts], "value string")
+    good, seen = rejects.parse_counted(raw, schema, "m")
+    assert sorted(tuple(r) for r in good.collect()) == [(1, 2.5), (2, None)]
+    assert seen.get["empty"] == 3 and seen.get["good"] == 2 and seen.get["malformed"] + seen.get["no_key"] == 5
+
+
+def test_replayed_tiering_copies_nothing_twice(spark):
+    """A batch that broke off between its rows and its offsets, or after both, gives the same rows when it runs again."""
+    cold, now = scratch(spark, "cold"), F.lit("2024-01-01").cast("timestamp")
+    batches = [spark.createDataFrame([(i, i % 2) for i in range(a, b)], "id bigint, b int") for a, b in ((0, 10), (10, 10), (10, 25))]
+    for i, batch in enumerate(batches):
+        tier.copy_batch(batch, i, cold, F.col("b"), ["id"], now)
+    before = rows(tier.cold_tier(spark, cold), "__bucket", "__offset")
+    tier.copy_batch(batches[2], 2, cold, F.col("b"), ["id"], now)
+    assert rows(tier.cold_tier(spark, cold), "__bucket", "__offset") == before
+    assert [r[4] for r in before] == [*range(13), *range(12)]
+
+
 # dimensions
 
 

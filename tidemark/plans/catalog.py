@@ -818,9 +818,10 @@ def snapshot_list(spark, sf_dir):
     return _keyed(spark, "list", _writes(spark, sf_dir)).snapshots().drop("commit_time")
 
 
-@query("SELECT user_id, max(event_id) AS seq, max_by(event_type, event_id) AS event_type, max_by(value, event_id) AS value FROM events WHERE user_id % 10 = 3 GROUP BY 1")
+@query("SELECT user_id, max(event_id) AS seq, max_by(event_type, event_id) AS event_type, max_by(value, event_id) AS value FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'signup') GROUP BY 1")
 def keyed_lookup(spark, sf_dir):
-    keys = events(spark, sf_dir).filter("user_id % 10 = 3").select("user_id")
+    """All users who have signed up, looked up by key."""
+    keys = events(spark, sf_dir, "signup").select("user_id")
     return _keyed(spark, "lookup", _writes(spark, sf_dir)).lookup(keys)
 
 

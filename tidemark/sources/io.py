@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,10 +77,10 @@ def insert_jdbc(df: DataFrame, url: str, table: str, driver: str | None = None,
 
 
 def upsert_jdbc(df: DataFrame, url: str, table: str, keys: list[str], order: list[str], driver: str | None = None) -> None:
-    """Idempotent write by key: the batch's latest rows go to a staging table in parallel, then one set-based MERGE."""
-    spark, staging = df.sparkSession, f"{table}_STAGING"
+    """Idempotent write by key: the batch's latest rows go to a staging table of its own in parallel, then one set-based
+    MERGE takes them over, and the staging table goes, whether that succeeds or not."""
+    spark, staging = df.sparkSession, f"{table}_{uuid.uuid4().hex[:12]}".upper()
     last = latest_by_key(df, keys, order)
-    _jdbc_writer(last, keys, driver).jdbc(url, staging, mode="overwrite")
     other = [c for c in last.columns if c not in keys]
     q = lambda c: f'"{c}"'
     sql = (
@@ -92,8 +93,11 @@ def upsert_jdbc(df: DataFrame, url: str, table: str, keys: list[str], order: lis
         jvm.java.lang.Class.forName(driver)
     connection = jvm.java.sql.DriverManager.getConnection(url)
     try:
+        _jdbc_writer(last, keys, driver).jdbc(url, staging, mode="overwrite")
         connection.createStatement().executeUpdate(sql)
     finally:
+        if connection.getMetaData().getTables(None, None, staging, None).next():
+            connection.createStatement().executeUpdate(f"DROP TABLE {staging}")
         connection.close()
 
 

@@ -41,7 +41,8 @@ def _counts() -> list[Column]:
 
 def parse_counted(raw: DataFrame, schema: StructType, name: str) -> tuple[DataFrame, Observation | None]:
     """Good rows alone; rejects are counted on the way, without another pass. A batch's counts are in the observation once
-    an action has run; a stream's come to a RejectCounts listener under `name`."""
+    an action has run; a stream's come to a RejectCounts listener under `name`. Write the good rows as they come: what evaluates the plan twice in one action,
+    as a sort does to find its ranges, counts twice."""
     rows = with_reason(raw, schema)
     seen = None if raw.isStreaming else Observation(name)
     observed = rows.observe(name if seen is None else seen, *_counts())

@@ -80,9 +80,9 @@ def run_batches(plan: DataFrame, each: Callable[[DataFrame, int], None], name: s
     start(writer, plan.sparkSession, policy).awaitTermination()
 
 
-def run_for(plan: DataFrame, name: str, rows: int, out: str, checkpoint: str, until: Callable[[DataFrame], bool] | None = None, most_s: float = 300) -> None:
+def run_for(plan: DataFrame, name: str, rows: int, out: str, checkpoint: str, until: Callable[[DataFrame], bool] | None = None, most_s: float = 300) -> list:
     """Run a stream that goes by the clock, and so doesn't end by itself, into parquet until it has taken in so many rows
-    and its results satisfy `until`."""
+    and its results satisfy `until`; gives the progress of its last batches."""
     spark, met, seen, began = plan.sparkSession, 0, -1, time.monotonic()
     writer = plan.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint).trigger(processingTime="200 milliseconds")
     query = start(writer, spark)
@@ -96,7 +96,7 @@ def run_for(plan: DataFrame, name: str, rows: int, out: str, checkpoint: str, un
                     met, seen = met + p["numInputRows"], p["batchId"]
     finally:
         query.stop()
-        query.awaitTermination()
+    return query.recentProgress
 
 
 def feed(rows: DataFrame, part: str, parts: int, name: str, run_once: Callable[[DataFrame], None]) -> None:

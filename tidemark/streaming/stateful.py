@@ -57,6 +57,25 @@ class FirstWithinTtl(StatefulProcessor):
         pass
 
 
+class FirstOfStore(StatefulProcessor):
+    """Passes a key's first row; repeats go as long as the state store holds the key, which it forgets ttl_ms of processing
+    time after it was met first. Repeats don't prolong that, and no timer of one's own is kept."""
+
+    def __init__(self, time: str, ttl_ms: int):
+        self.time, self.ttl_ms = time, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.met = handle.getValueState("met", "there boolean", ttlDurationMs=self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        if not self.met.exists():
+            self.met.update((True,))
+            yield min(rows, key=lambda r: (r[self.time] is None, r[self.time]))
+
+    def close(self) -> None:
+        pass
+
+
 class RunningCount(StatefulProcessor):
     """Adds the number of the key's rows so far."""
 
@@ -333,6 +352,12 @@ def dedup_stream(stream: DataFrame, key: str, time_ms: str, ts: str, ttl_ms: int
     return watermarked.groupBy(key).transformWithState(FirstWithinTtl(time_ms, ttl_ms), stream.schema, "Append", "EventTime")
 
 
+def dedup_store_stream(stream: DataFrame, key: str, time: str, ttl_ms: int) -> DataFrame:
+    """First rows of each key, which the state store remembers for so long by the clock; for sources whose rows have no time to
+    go by. The stream ends only when it is stopped."""
+    return stream.groupBy(key).transformWithState(FirstOfStore(time, ttl_ms), stream.schema, "Append", "ProcessingTime")
+
+
 def running_count_stream(stream: DataFrame, key: str, time: str) -> DataFrame:
     schema = StructType(list(stream.schema)).add("n", LongType())
     return stream.groupBy(key).transformWithState(RunningCount(time), schema, "Append", "None")
