@@ -325,3 +325,28 @@ def test_keyed_table_keyed_by_bucket_and_of_keys_alone(spark):
     assert rows(run.run_to_parquet(alone.change_stream(), "alone"), "bucket") == [("+I", "a", 1, 0), ("+I", "b", 2, 0)]
     with pytest.raises(ValueError):
         keyed.KeyedTable(spark, "x", StructType.fromDDL("k int, __value int"), ["k"])
+
+
+def scanned(df):
+    """Rows that the scans of a plan have given."""
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_lookup_reads_what_its_keys_ask_for(spark):
+    """Rows scanned follow the number of keys, not the table; more keys than are pushed, and null keys, give the same rows."""
+    data = spark.range(300_000).select((F.col("id") * 3).alias("k"), F.concat(F.lit("v"), F.col("id")).alias("v"), F.lit(1).alias("seq")).unionByName(spark.createDataFrame([(None, "none", 1)], "k bigint, v string, seq int"))
+    table = keyed.KeyedTable(spark, scratch(spark, "pushed"), data.schema, ["k"], buckets=1)
+    table.merge(data, 0)
+    wanted = spark.createDataFrame([(30,), (300_000,), (31,), (None,)], "k bigint")
+    assert rows(table.lookup(wanted).select("k", "v"), "k") == [(None, "none"), (30, "v10"), (300_000, "v100000")]
+    many = spark.range(0, 900, 3).select(F.col("id").alias("k"))
+    assert table.lookup(many).count() == 300 > keyed.PUSHED
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        one, all_ = scanned(keyed.pushed_keys(table.read(), wanted.limit(1), ["k"])), scanned(table.read())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert all_ == 300_001 and one <= 20_000

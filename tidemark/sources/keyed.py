@@ -73,6 +73,17 @@ def join_keys(a: DataFrame, b: DataFrame, keys: list[str], how: str) -> DataFram
     return a.join(other, reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"__other_{k}")) for k in keys)), how)
 
 
+def pushed_keys(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """rows filtered by the wanted keys' values where these are of one column and few; all rows otherwise."""
+    if len(keys) > 1:
+        return rows
+    values = [r[0] for r in wanted.select(*keys).limit(PUSHED + 1).collect()]
+    if len(values) > PUSHED:
+        return rows
+    known = F.col(keys[0]).isin([v for v in values if v is not None])
+    return rows.filter(known | F.col(keys[0]).isNull() if None in values else known)
+
+
 def _with(ranges: list[list[int]], number: int) -> list[list[int]]:
     """Ranges of applied batch ids with one more."""
     out: list[list[int]] = []
@@ -84,6 +95,8 @@ def _with(ranges: list[list[int]], number: int) -> list[list[int]]:
     return out
 
 
+#: Keys of a lookup that are handed to the scan as values.
+PUSHED = 100
 #: Rows of a bucket that one task writes, into one file.
 ROWS_A_FILE = 2_000_000
 
@@ -158,9 +171,11 @@ class KeyedTable:
         return self._files(self._at(snapshot, as_of_ms))
 
     def lookup(self, keys: DataFrame) -> DataFrame:
-        """Rows of the given keys; only buckets that hold one of them are read."""
-        wanted = {r[0] for r in keys.select(key_bucket(self._key(), self.buckets).alias("b")).distinct().collect()}
-        return join_keys(self._files(self.last(), wanted), keys.select(*self.keys).distinct(), self.keys, "left_semi")
+        """Rows of the given keys; only buckets that hold one of them are read. Up to PUSHED keys of one column reach the scan
+        too: files are sorted by key, so it skips row groups and pages, and what is read follows the number of keys."""
+        own = keys.select(*self.keys).distinct()
+        wanted = {r[0] for r in own.select(key_bucket(self._key(), self.buckets).alias("b")).distinct().collect()}
+        return join_keys(pushed_keys(self._files(self.last(), wanted), own, self.keys), own, self.keys, "left_semi")
 
     def _key(self) -> Column:
         return F.struct(*self.keys) if len(self.keys) > 1 else F.col(self.keys[0])

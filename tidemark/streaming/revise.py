@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tidemark.functions.expressions import key_bucket
-from tidemark.sources.keyed import KeyedTable, join_keys
+from tidemark.sources.keyed import KeyedTable, join_keys, pushed_keys
 from tidemark.streaming.run import run_batches
 
 
@@ -18,7 +18,8 @@ class RevisedJoin:
     """Inner join of facts with the present rows of a keyed table, as a log of changes in path/results/batch_id=N.
 
     A micro-batch holds new facts, change rows of the table, or both. New facts meet the table as it is after the batch
-    (+I). Earlier facts of changed keys are read again, only from the buckets of those keys: their old results are taken
+    (+I). Earlier facts of changed keys are read again, only from the buckets of those keys (and of few keys only the
+    pages that hold them): their old results are taken
     back (-U) and given anew (+U), or given for the first time where the key is new (+I). What the join needs of the table
     is a keyed table of its own, so a batch sees the changes that have come to it, no more; that table is merged as the
     batch's last step, and a batch that runs again reads the snapshot before its own. So a replay gives the same rows.
@@ -57,7 +58,7 @@ class RevisedJoin:
         kept = batch.persist()
         try:
             fresh = kept.filter("fact IS NOT NULL").select("fact.*")
-            fresh.withColumn("__bucket", bucket).write.mode("overwrite").partitionBy("__bucket").parquet(f"{self.path}/facts/batch_id={batch_id}")
+            fresh.withColumn("__bucket", bucket).sortWithinPartitions("__bucket", *self.keys).write.mode("overwrite").partitionBy("__bucket").parquet(f"{self.path}/facts/batch_id={batch_id}")
             changed = kept.filter("op IN ('+I', '+U')").select("row.*", "version").groupBy(*self.keys)
             changed = changed.agg(F.max_by(F.struct(*names), "version").alias("__row")).select("__row.*").persist()
             touched = sorted(r[0] for r in changed.select(bucket.alias("b")).distinct().collect())
@@ -69,7 +70,7 @@ class RevisedJoin:
                 history = self.spark.read.schema(schema).parquet(f"{self.path}/facts").filter((F.col("batch_id") < batch_id) & F.col("__bucket").isin(touched)).select(*self.facts.names)
                 old = before.select(*self.keys, F.struct(*names).alias("__old"))
                 new = changed.select(*self.keys, F.struct(*names).alias("__new")).join(old, self.keys, "left").filter("__old IS NULL OR NOT (__old <=> __new)")
-                revised = history.join(new, self.keys).drop(*self.keys)
+                revised = pushed_keys(history, changed, self.keys).join(new, self.keys).drop(*self.keys)
                 again = F.when(F.col("__old").isNotNull(), F.array(F.struct(F.lit("-U").alias("op"), F.col("__old").alias("v")), F.struct(F.lit("+U").alias("op"), F.col("__new").alias("v"))))
                 again = again.otherwise(F.array(F.struct(F.lit("+I").alias("op"), F.col("__new").alias("v"))))
                 revised = revised.withColumn("__change", F.explode(again)).select("*", "__change.op", "__change.v.*")
