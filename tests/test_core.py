@@ -374,7 +374,7 @@ def test_many_files_a_bucket_and_applied_ids(spark, tmp_path, monkeypatch):
     t = keyed_table(spark, tmp_path, "id bigint, seq bigint", "id", "last")
     for i in (0, 1, 3):
         t.merge(spark.range(1000).selectExpr("id", f"{i}L seq"), i)
-    assert t.last()["applied"] == [[0, 1], [3, 3]] and sum(t.last()["rows"].values()) == 1000
+    assert t.last()["applied"] == [[0, 1], [3, 3]] and sum(n for files in t.last()["files"].values() for n in files.values()) == 1000
     assert len(t.read().inputFiles()) > 2 and not t.merge(spark.range(1).selectExpr("id", "9L seq"), 1)
 
 

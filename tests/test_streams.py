@@ -350,3 +350,50 @@ def test_lookup_reads_what_its_keys_ask_for(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
     assert all_ == 300_001 and one <= 20_000
+
+
+def files_of(table):
+    return {p for files in table.last()["files"].values() for p in files}
+
+
+def test_merges_rewrite_files_that_hold_their_keys(spark, monkeypatch):
+    """One key's merge rewrites one file, new keys rewrite none, small files are joined up once they are many."""
+    monkeypatch.setattr(keyed, "ROWS_A_FILE", 200)
+    table = keyed.KeyedTable(spark, scratch(spark, "by_file"), StructType.fromDDL("k bigint, v string, seq bigint"), ["k"], buckets=1)
+    table.merge(spark.range(1000).selectExpr("id k", "concat('v', id) v", "0L seq"), 0)
+    before = files_of(table)
+    table.merge(spark.range(7, 8).selectExpr("id k", "'new' v", "1L seq"), 1)
+    after = files_of(table)
+    assert len(before) >= 5 and len(before - after) == len(after - before) == 1
+    for i in range(keyed.SMALL_FILES + 2):
+        table.merge(spark.range(2000 + i, 2001 + i).selectExpr("id k", "'late' v", "1L seq"), 2 + i)
+        assert before - {*(before - after)} <= files_of(table)
+    assert len(files_of(table) - after) <= 2  # the small ones in one, and the one since
+    got = {r.k: r.v for r in table.read().collect()}
+    assert got == {**{i: f"v{i}" for i in range(1000)}, 7: "new", **{2000 + i: "late" for i in range(keyed.SMALL_FILES + 2)}}
+    assert table.snapshots().orderBy("snapshot_id").collect()[-1].total_record_count == len(got) == table.read().count()
+
+
+@pytest.mark.parametrize("engine", ["last", "first", "versioned", "aggregate", "partial"])
+def test_merges_in_parts_equal_one_merge(spark, monkeypatch, engine):
+    """Batches over many files, of two key columns with nulls among them; the feed folds to the table."""
+    monkeypatch.setattr(keyed, "ROWS_A_FILE", 40)
+    monkeypatch.setattr(keyed, "SMALL_FILES", 2)
+    every = spark.range(400).selectExpr("nullif(pmod(hash(id), 61), 5) a", "nullif(concat('s', pmod(hash(id, 1), 3)), 's1') b", "id seq", "pmod(hash(id, 2), 50) version", "id * 3 v")
+    table = keyed.KeyedTable(spark, scratch(spark, engine), every.schema, ["a", "b"], engine, buckets=2, rules={"seq": "max", "version": "min", "v": "sum"}, feed=True)
+    listed = ["seq", "version", "v"]
+    for i, (low, high) in enumerate([(0, 200), (200, 201), (201, 330), (330, 332), (332, 400)]):
+        table.merge(every.filter(f"seq >= {low} AND seq < {high}"), i, listed)
+    if engine == "partial":
+        expected = keyed.merge_last(every, ["a", "b"], "seq")
+    else:
+        plain = {"last": lambda: keyed.merge_last(every, ["a", "b"], "seq"), "first": lambda: keyed.merge_first(every, ["a", "b"], "seq")}
+        plain |= {"versioned": lambda: keyed.merge_versioned(every, ["a", "b"], "seq", "version"), "aggregate": lambda: keyed.merge_aggregate(every, ["a", "b"], table.rules)}
+        expected = plain[engine]()
+    out = lambda df: sorted(map(tuple, df.select(*every.columns).collect()), key=str)
+    assert out(table.read()) == out(expected)
+    wanted = spark.createDataFrame([(None, "s2"), (3, None), (99, "s0")], "a int, b string")
+    assert out(table.lookup(wanted)) == [r for r in out(expected) if r[:2] in {(None, "s2"), (3, None)}]
+    log = spark.read.parquet(f"{table.path}/changes")
+    net = log.groupBy(*every.columns).agg(F.sum(F.when(F.col("op").startswith("+"), 1).otherwise(-1)).alias("n")).filter("n <> 0")
+    assert out(net) == out(expected) and {r.n for r in net.collect()} == {1}

@@ -1,9 +1,10 @@
 """Keyed tables on parquet with merge rules, snapshots, a change feed and point lookups.
 
-A table is a folder of bucket folders, one for each snapshot that rewrote the bucket, and of small manifests. A merge
-reads and rewrites the buckets that its batch touches, then publishes one manifest as its last step, so readers see all
-of a batch or nothing. The ids of applied batches are in the last manifest: a batch that was applied already is skipped,
-whatever the merge rule, so replays change nothing.
+A table is a folder of files, dealt to buckets by key and sorted by it, and of small manifests. A merge looks for its
+batch's keys in the buckets that they fall into, reading key columns only, and rewrites the files that hold one of them;
+new keys go into files of their own, and a bucket's small files are joined up once they are many. Publishing one manifest is
+its last step, so readers see all of a batch or nothing. The ids of applied batches are in the last manifest: a batch that
+was applied already is skipped, whatever the merge rule, so replays change nothing.
 
 Defined cases, for all merge rules: a null key is a key of its own; a row whose order is null counts as the earliest;
 rows that tie in their order are decided by their other columns, the greatest winning (the least where the first row
@@ -19,7 +20,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import AtomicType, DateType, IntegerType, LongType, StringType, StructField, StructType
 
 from tidemark.functions.expressions import key_bucket
 
@@ -74,14 +75,16 @@ def join_keys(a: DataFrame, b: DataFrame, keys: list[str], how: str) -> DataFram
 
 
 def pushed_keys(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
-    """rows filtered by the wanted keys' values where these are of one column and few; all rows otherwise."""
-    if len(keys) > 1:
+    """rows filtered by the wanted keys' values, column by column, where the keys are few; all rows otherwise."""
+    simple = [k for k in keys if isinstance(rows.schema[k].dataType, AtomicType)]
+    found = wanted.select(*simple).limit(PUSHED + 1).collect()
+    if len(found) > PUSHED:
         return rows
-    values = [r[0] for r in wanted.select(*keys).limit(PUSHED + 1).collect()]
-    if len(values) > PUSHED:
-        return rows
-    known = F.col(keys[0]).isin([v for v in values if v is not None])
-    return rows.filter(known | F.col(keys[0]).isNull() if None in values else known)
+    for i, key in enumerate(simple):
+        values = {r[i] for r in found}
+        known = F.col(key).isin(list(values - {None}))
+        rows = rows.filter(known | F.col(key).isNull() if None in values else known)
+    return rows
 
 
 def _with(ranges: list[list[int]], number: int) -> list[list[int]]:
@@ -99,6 +102,8 @@ def _with(ranges: list[list[int]], number: int) -> list[list[int]]:
 PUSHED = 100
 #: Rows of a bucket that one task writes, into one file.
 ROWS_A_FILE = 2_000_000
+#: Files of less than an eighth of that which a bucket may have before a merge that touches it joins them up.
+SMALL_FILES = 8
 
 
 @dataclass
@@ -151,14 +156,25 @@ class KeyedTable:
 
     def snapshots(self) -> DataFrame:
         """snapshot_id, batch_id, commit_time (epoch ms), total_record_count."""
-        rows = [(m["snapshot_id"], m["batch_id"], m["commit_time"], sum(m["rows"].values())) for m in self.manifests()]
+        rows = [(m["snapshot_id"], m["batch_id"], m["commit_time"], sum(n for files in m["files"].values() for n in files.values())) for m in self.manifests()]
         return self.spark.createDataFrame(rows, "snapshot_id bigint, batch_id bigint, commit_time bigint, total_record_count bigint")
 
     def _files(self, manifest: dict | None, buckets: set[int] | None = None) -> DataFrame:
-        paths = [p for b, p in (manifest or {"buckets": {}})["buckets"].items() if buckets is None or int(b) in buckets]
-        if not paths:
+        held = (manifest or {"files": {}})["files"]
+        return self._rows([p for b, files in held.items() if buckets is None or int(b) in buckets for p in files])
+
+    def _rows(self, files: list[str]) -> DataFrame:
+        if not files:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*(f"{self.path}/{p}" for p in paths))
+        return self.spark.read.schema(self.schema).parquet(*(f"{self.path}/{p}" for p in files))
+
+    def _holding(self, files: list[str], keys: DataFrame) -> set[str]:
+        """Those of these files that hold one of the keys."""
+        if not files:
+            return set()
+        place = F.regexp_extract(F.input_file_name(), f"data/[0-9]+/{BUCKET}=[^/]+/[^/]+$", 0)
+        held = pushed_keys(self._rows(files), keys, self.keys).select(*self.keys, place.alias(BUCKET))
+        return {r[0] for r in join_keys(held, keys, self.keys, "left_semi").select(BUCKET).distinct().collect()}
 
     def _at(self, snapshot: int | None = None, as_of_ms: int | None = None) -> dict | None:
         if snapshot is None and as_of_ms is None:
@@ -171,8 +187,8 @@ class KeyedTable:
         return self._files(self._at(snapshot, as_of_ms))
 
     def lookup(self, keys: DataFrame) -> DataFrame:
-        """Rows of the given keys; only buckets that hold one of them are read. Up to PUSHED keys of one column reach the scan
-        too: files are sorted by key, so it skips row groups and pages, and what is read follows the number of keys."""
+        """Rows of the given keys; only buckets that hold one of them are read. Up to PUSHED keys reach the scan too: files are
+        sorted by key and have Bloom filters of it, so it skips row groups and pages, and what is read follows the number of keys."""
         own = keys.select(*self.keys).distinct()
         wanted = {r[0] for r in own.select(key_bucket(self._key(), self.buckets).alias("b")).distinct().collect()}
         return join_keys(pushed_keys(self._files(self.last(), wanted), own, self.keys), own, self.keys, "left_semi")
@@ -199,33 +215,42 @@ class KeyedTable:
 
     def merge(self, batch: DataFrame, batch_id: int, columns: list[str] | None = None, commit_time: int | None = None) -> bool:
         """Apply a batch; False if it was applied before. For partial updates, `columns` are those that the batch writes.
-        A bucket's rows are dealt to as many tasks, and files, as their number asks for."""
+        Only files that hold one of its keys are rewritten; rows are dealt to as many tasks, and files, as their number asks for."""
         last = self.last()
         applied = (last or {}).get("applied", [])
         if any(low <= batch_id <= high for low, high in applied):
             self._show_changes(batch_id)
             return False
         number = 1 + (last["snapshot_id"] if last else 0)
-        names = self.schema.names
+        names, held = self.schema.names, (last or {"files": {}})["files"]
         new = batch.select(*names).withColumn(BUCKET, key_bucket(self._key(), self.buckets)).persist()
         try:
             sizes = {str(r[0]): r[1] for r in new.groupBy(BUCKET).count().collect()}
-            held = (last or {}).get("rows", {})
-            share = max([1, *(1 + (n + held.get(b, 0)) // ROWS_A_FILE for b, n in sizes.items())])
-            out = self._merged(self._files(last, set(map(int, sizes))), new.select(*names), columns or [])
-            folder = f"data/{number:012d}"
+            touched = new.select(*self.keys).distinct()
+            old = self._holding([p for b in sizes for p in held.get(b, {})], touched)
+            for b in sizes:
+                small = {p for p, n in held.get(b, {}).items() if n < ROWS_A_FILE // 8}
+                old |= small if len(small) > SMALL_FILES else set()
+            current = self._rows(sorted(old))
+            most = max([0, *(n + sum(m for p, m in held.get(b, {}).items() if p in old) for b, n in sizes.items())])
+            share, folder = 1 + most // ROWS_A_FILE, f"data/{number:012d}"
+            out = self._merged(current, new.select(*names), columns or [])
             dealt = out.select(*names).withColumn(BUCKET, key_bucket(self._key(), self.buckets)).repartition(max(1, len(sizes) * share), BUCKET, F.pmod(F.xxhash64(F.lit(7), *self.keys), F.lit(share)))
-            dealt.sortWithinPartitions(BUCKET, *self.keys).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.path}/{folder}")
+            writer = dealt.sortWithinPartitions(BUCKET, *self.keys).write.mode("overwrite").partitionBy(BUCKET)
+            for key in (k for k in self.keys if isinstance(self.schema[k].dataType, (IntegerType, LongType, StringType, DateType))):
+                writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true").option(f"parquet.bloom.filter.expected.ndv#{key}", str(max(1, most // share)))
+            writer.parquet(f"{self.path}/{folder}")
             if self.feed and sizes:  # only rows of the batch's keys are compared
-                after, touched = self.spark.read.schema(self.schema).parquet(f"{self.path}/{folder}").select(*names), new.select(*self.keys).distinct()
+                after = self.spark.read.schema(self.schema).parquet(f"{self.path}/{folder}").select(*names)
                 own = lambda rows: join_keys(rows, touched, self.keys, "left_semi")
-                changelog(own(self._files(last, set(map(int, sizes)))), own(after), self.keys).write.mode("overwrite").parquet(f"{self.path}/staged/batch_id={batch_id}")
+                changelog(own(current), own(after), self.keys).write.mode("overwrite").parquet(f"{self.path}/staged/batch_id={batch_id}")
         finally:
             new.unpersist()
-        buckets = {**(last["buckets"] if last else {}), **{b: f"{folder}/{BUCKET}={b}" for b in sorted(sizes)}}
-        written = self._counts(folder) if sizes else {}
+        files = {b: {p: n for p, n in own.items() if p not in old} for b, own in held.items()}
+        for b, written in (self._written(folder) if sizes else {}).items():
+            files[b] = {**files.get(b, {}), **written}
         now = commit_time if commit_time is not None else self.spark.sql("SELECT unix_millis(current_timestamp())").first()[0]
-        manifest = {"snapshot_id": number, "batch_id": batch_id, "commit_time": now, "buckets": buckets, "rows": {**held, **written}, "applied": _with(applied, batch_id)}
+        manifest = {"snapshot_id": number, "batch_id": batch_id, "commit_time": now, "files": files, "applied": _with(applied, batch_id)}
         self._publish(f"manifests/{number:012d}.json", json.dumps(manifest))
         self._show_changes(batch_id)
         return True
@@ -245,9 +270,13 @@ class KeyedTable:
         schema = StructType([StructField("op", StringType()), *self.schema, StructField("batch_id", LongType())])
         return self.spark.readStream.schema(schema).parquet(f"{self.path}/changes")
 
-    def _counts(self, folder: str) -> dict[str, int]:
-        """Rows of each bucket that a snapshot has written."""
-        return {str(r[0]): r[1] for r in self.spark.read.parquet(f"{self.path}/{folder}").groupBy(BUCKET).count().collect()}
+    def _written(self, folder: str) -> dict[str, dict[str, int]]:
+        """Rows of each file that a snapshot has written, by bucket."""
+        out: dict[str, dict[str, int]] = {}
+        rows = self.spark.read.parquet(f"{self.path}/{folder}").groupBy(BUCKET, F.input_file_name().alias(VALUE)).count()
+        for bucket, name, n in rows.collect():
+            out.setdefault(str(bucket), {})[f"{folder}/{BUCKET}={bucket}/{name.rsplit('/', 1)[1]}"] = n
+        return out
 
     def _publish(self, name: str, text: str) -> None:
         """Write aside, then rename: the manifest is there whole or not at all."""
@@ -264,10 +293,11 @@ class KeyedTable:
         all applied batches stay known."""
         all_, fs = self.manifests(), self._fs()
         gone = [m for m in all_[: len(all_) - keep] if m["commit_time"] < older_than_ms]
-        held = {p for m in all_ if m not in gone for p in m["buckets"].values()}
+        of = lambda m: {p for files in m["files"].values() for p in files}
+        held = {p for m in all_ if m not in gone for p in of(m)}
         for m in gone:
             fs.delete(self._path(f"manifests/{m['snapshot_id']:012d}.json"), False)
-        for path in {p for m in gone for p in m["buckets"].values()} - held:
+        for path in {p for m in gone for p in of(m)} - held:
             fs.delete(self._path(path), True)
         return len(gone)
 
