@@ -575,13 +575,24 @@ def quote_spread(spark, sf_dir):
     return events(spark, sf_dir, "view").select("event_id", X.half_up(F.col("value"), 2).alias("mid"), bid.alias("bid"), ask.alias("ask"), F.when(F.col("value") > 50, "HIGH").otherwise("LOW").alias("band"))
 
 
-@query("""WITH c AS (SELECT c_custkey, c_name, list_reduce(list_prepend(CAST(0 AS HUGEINT), list_transform(string_split(c_name, ''), lambda x: CAST(ascii(x) AS HUGEINT))), lambda a, x: (a * 31 + x) % 4294967296) AS h FROM customer),
+_CURRENCY = """WITH c AS (SELECT c_custkey, c_name, list_reduce(list_prepend(CAST(0 AS HUGEINT), list_transform(string_split(c_name, ''), lambda x: CAST(ascii(x) AS HUGEINT))), lambda a, x: (a * 31 + x) % 4294967296) AS h FROM customer),
       s AS (SELECT c_custkey, CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END AS h FROM c)
-      SELECT c_custkey, CAST(h AS BIGINT) AS hash, (['USD', 'EUR', 'JPY', 'GBP'])[CAST(((h % 4) + 4) % 4 AS INT) + 1] AS currency FROM s""")
+      SELECT c_custkey, CAST(h AS BIGINT) AS hash, (['USD', 'EUR', 'JPY', 'GBP'])[CAST(((h % 4) + 4) % 4 AS INT) + 1] AS currency FROM s"""
+
+
+@query(_CURRENCY)
 def account_currency(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", X.string_hash(F.col("c_name")).alias("hash"), X.currency_of(F.col("c_name")).alias("currency"))
 
 
+@query(f"SELECT c_custkey AS account_id, currency FROM ({_CURRENCY})")
+def currency_function(spark, sf_dir):
+    """The currency as a SQL function, over names in camel case that come out in snake case."""
+    X.register_sql_functions(spark)
+    accounts = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("accountId"), F.col("c_name").alias("accountName"))
+    return spark.sql("SELECT account_id, currency_of(account_name) AS currency FROM {accounts}", accounts=X.snake_columns(accounts))
+
+
 # duplicates and quality
 
 _DUP = "(SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_id % 10 = 0 AND event_id > 0)"
@@ -615,6 +626,63 @@ def dedup_ttl_stream(spark, sf_dir):
     return in_batches(spark, sf_dir, "dedup", plan).select("event_id", "user_id")
 
 
+@query("SELECT min(event_id) AS event_id, user_id FROM events GROUP BY user_id")
+def dedup_store_stream(spark, sf_dir):
+    """A user's first event, over four parts that arrive in the order of ids, each a restart; the state store remembers a user for a
+    day by the clock, so no repeat passes in this run."""
+    rows = events(spark, sf_dir).select("event_id", "user_id")
+    top = rows.agg(F.max("event_id")).first()[0] or 0
+    rows = rows.withColumn("part", F.floor(F.col("event_id") * 4 / (top + 1)))
+    sizes = {r[0]: r[1] for r in rows.groupBy("part").count().collect()}
+    left, state, out = [sizes.get(k, 0) for k in range(4)], run.scratch(spark, "store-state"), run.scratch(spark, "store-out")
+    once = lambda stream: run.run_for(stateful.dedup_store_stream(stream, "user_id", "event_id", 24 * _HOUR), "store", left.pop(0), out, state)
+    run.feed(rows, "part", 4, "store-in", once)
+    return spark.read.parquet(out).select("event_id", "user_id")
+
+
+@query("SELECT user_id, count(*) AS committed, count(*) AS upserted, 2 * count(*) AS appended FROM events GROUP BY user_id")
+def replayed_sinks(spark, sf_dir):
+    """Events arrive in four parts, each a restart, and then all come once more from the beginning, under a fresh checkpoint. A
+    plain append repeats them, an upsert by key doesn't; the file sink's own commits keep restarts from repeating any."""
+    data, folder = in_parts(events(spark, sf_dir).select("event_id", "user_id", "event_type", "ts")), run.scratch(spark, "replayed")
+    table_ = keyed.KeyedTable(spark, f"{folder}/upserted", data.drop("part").schema, ["event_id"], buckets=4, order="ts")
+    streams: list[DataFrame] = []
+
+    def sink(first: int) -> Callable[[DataFrame, int], None]:
+        def each(batch: DataFrame, batch_id: int) -> None:
+            io.append_log(batch, f"{folder}/appended", "event_type")
+            table_.merge(batch, first + batch_id)
+
+        return each
+
+    def once(stream: DataFrame) -> None:
+        streams.append(stream)
+        run.run_batches(stream, sink(0), "replayed", checkpoint=f"{folder}/state")
+        run.run_to_parquet(stream, "committed", checkpoint=f"{folder}/committed-state", out=f"{folder}/committed")
+
+    run.feed(data, "part", 4, "replayed-in", once)
+    run.run_batches(streams[-1], sink(1000), "replayed-again")
+    count = lambda df, name: df.select("user_id", *(F.lit(int(name == c)).alias(c) for c in ("committed", "upserted", "appended")))
+    sinks = {"committed": spark.read.parquet(f"{folder}/committed"), "upserted": table_.read(), "appended": spark.read.parquet(f"{folder}/appended")}
+    every = reduce(DataFrame.unionByName, (count(df, name) for name, df in sinks.items()))
+    return every.groupBy("user_id").agg(*(F.sum(c).cast("bigint").alias(c) for c in sinks))
+
+
+_PURCHASES = "SELECT '{0}' AS mode, CAST(ts AS DATE) AS day, count(*) AS n, sum(CAST(round(value * 100) AS BIGINT)) AS cents FROM events WHERE event_type = 'purchase' GROUP BY ALL"
+
+
+@query(" UNION ALL ".join(map(_PURCHASES.format, ("batch", "stream"))))
+def log_scan_modes(spark, sf_dir):
+    """A log table by day, appended to twice, read whole and as a stream by one plan."""
+    path, rows = run.scratch(spark, "log"), events(spark, sf_dir).withColumn("day", F.to_date("ts"))
+    for k in range(2):
+        io.append_log(rows.filter(F.col("event_id") % 2 == k), path, "day")
+    plan = lambda log: log.filter("event_type = 'purchase'").select("day", F.round(F.col("value") * 100).cast("bigint").alias("cents"))
+    modes = {"batch": plan(spark.read.schema(rows.schema).parquet(path)), "stream": run.run_to_parquet(plan(spark.readStream.schema(rows.schema).parquet(path)), "log")}
+    every = reduce(DataFrame.unionByName, (df.withColumn("mode", F.lit(name)) for name, df in modes.items()))
+    return every.groupBy("mode", "day").agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents"))
+
+
 _BY_HOUR = "SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS n FROM {0} GROUP BY ALL"
 
 
