@@ -54,7 +54,7 @@ def test_documents(spark, sf_dir, threshold, percent, top):
 
 
 def test_repetitions_and_langs(spark, monkeypatch):
-    for name, value in (("PARTITION_CHARS", 20_000), ("GATHERED", 50), ("WORDS", 5), ("COUNTED", 3)):
+    for name, value in (("PARTITION_CHARS", 20_000), ("GATHERED", 50), ("WORDS", 5), ("COUNTED", 3), ("CELLS_HELD", 4)):
         monkeypatch.setattr(C, name, value)
     rng = random.Random(4)
     texts = ["a a a a a a, b a", "New York\tCity is new york. City!", "", None, "x y\nx y\rx y", "Ä ä Ä ä", "a-b_c 'q' 'q' 'q'", "w" * 5000 + " z " + "w" * 5000 + " z"]
@@ -105,3 +105,22 @@ def test_equal_hashes_are_told_apart():
     for lang, phrase, n in C._exact(words, at, np.zeros(3, np.uint64), 2):
         got[lang, phrase] += n
     assert got == {("en", b"a b"): 2, ("en", b"a c"): 1}
+
+
+@pytest.mark.parametrize("slice_cells, partitions", [(1 << 16, 16), (64, 16), (1 << 16, 1 << 10)])
+def test_cells_below_the_threshold_go(spark, monkeypatch, slice_cells, partitions):
+    monkeypatch.setattr(C, "SLICE_CELLS", slice_cells)
+    cells, rng = 1 << 16, np.random.default_rng(8)
+    keys = rng.integers(0, 2**63, 4000).astype(np.uint64) * np.uint64(2)
+    drawn = keys[np.minimum(rng.zipf(1.3, 50_000) - 1, 3999)]
+    rows, masses = [], C.Masses(cells)
+    for task in np.array_split(drawn, 6):
+        for part in np.array_split(task, 3):
+            masses.add(part)
+        rows += [[*r] for r in masses.rows()]
+        assert not len(masses.cells)
+    bits, mass = C.frequent_cells(spark.createDataFrame(rows, "part int, keys binary, counts binary").repartition(3), 30, cells, partitions)
+    true = np.bincount(C.partition_of(drawn, cells), minlength=cells)
+    assert (np.unpackbits(bits).astype(bool) == (true >= 30)).all() and 0 < (true >= 30).sum() < (true > 0).sum()
+    assert (mass == np.where(true >= 30, true, 0).reshape(partitions, -1).sum(axis=1)).all()
+    assert (C.in_cells(bits, keys) == (true[C.partition_of(keys, cells)] >= 30)).all()

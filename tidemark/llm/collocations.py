@@ -1,15 +1,17 @@
 """Phrase collocations: phrases that occur often, scored by how much more often than their parts would meet by chance.
 
-Frequent n-grams are found by mergeable Misra-Gries summaries. N-grams fall into hash partitions; a first pass counts how
-many occurrences (mass) each partition has, so its summary's capacity can exceed mass / threshold. A task sums up its own
-texts; over capacity, a summary takes its largest count that must go off all counts and remembers it as its error.
+Frequent n-grams are found by mergeable Misra-Gries summaries. N-grams fall into hash partitions, and these into cells. A
+first pass counts how many occurrences (mass) each cell has. A cell of less than the threshold needs no capacity: nothing
+in it is frequent. The mass of a partition's other cells tells how large its summary must be: its capacity exceeds
+mass / threshold. A task sums up its own texts; over capacity, a summary takes its largest count that must go off all counts and remembers it as its error.
 Summaries of one partition are merged in one task by the same rule. What is taken off in all is less than the threshold,
 so each n-gram of the threshold or more survives, with count and error still reaching it. A last pass counts survivors
 exactly: a Bloom filter picks their places, and words themselves, not hashes, are counted.
 
 One and two words are summed up first; longer n-grams count only where all shorter ones inside them survived, which a
-frequent n-gram's do. Filters and capacities are broadcast: a filter has 64 MB at most and capacities 10 MB; a fuller
-filter lets more n-grams through and changes no result.
+frequent n-gram's do. The pass that sums up short ones counts the cells of longer ones, too. Masses travel as gaps between
+the cells that a task met. Filters and capacities are broadcast: a filter, and the bits of all cells, have 64 MB each at
+most and capacities 10 MB; a fuller filter, or fuller cells, let more n-grams through and change no result.
 
 A phrase's parts are frequent too, so all counts that scores need are among the frequent ones. Scores are made in whole
 decimal numbers of 38 digits. A phrase that is inside a longer candidate as often is inside one that is a word longer as
@@ -32,10 +34,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import build_filter, checkpoint, filter_bits, map_batches, may_hold, slices, sliced, summed, texts_of
+from tidemark.llm.common import build_filter, checkpoint, filter_bits, map_batches, may_hold, slices, texts_of
 
 #: Characters of text for each hash partition, and the least and the largest number of partitions.
 PARTITION_CHARS, LEAST_PARTITIONS, MOST_PARTITIONS = 1 << 22, 16, 1 << 18
+#: Cells for each character of text, times the threshold: a cell's mean mass is some fifteenth of it. Cells that are added
+#: up together, cells at most, and cells that a task holds before it gives their masses.
+CELLS, SLICE_CELLS, MOST_CELLS, CELLS_HELD = 5, 1 << 16, 1 << 29, 1 << 22
 #: Words that a task remembers, and n-grams that it gathers, before it goes on without them.
 WORDS, GATHERED = 500_000, 1 << 21
 #: Phrases that a task counts before it gives their counts.
@@ -44,6 +49,10 @@ _TABLE = bytes(c + 32 if 65 <= c < 91 else 10 if c in b".,;:!?\n\x0b\x0c\r" else
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: By length of n-grams: a Bloom filter of their hashes (False) or the bits of their cells (True).
+Among = dict[int, tuple[np.ndarray, bool]]
+
+
 class Lexicon(dict):
     """Numbers of words, in the order in which a task meets them."""
 
@@ -72,9 +81,9 @@ class Words:
     lang: np.ndarray
     left: np.ndarray
 
-    def ngrams(self, longest: int, among: np.ndarray | None = None, known: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each length up to `longest`: where such an n-gram begins, and its hash with its lang. Those of up to `known`
-        words, and all inside longer ones, are in the filter `among`."""
+    def ngrams(self, longest: int, among: Among) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each length up to `longest`: where such an n-gram begins, and its hash with its lang. It, and all inside it,
+        pass what `among` has for their length."""
         seeds = np.fromiter((xxhash.xxh64_intdigest(x.encode()) for x in self.langs), np.uint64, len(self.langs))
         h = self.lexicon.hashed()[self.ids]
         at, state, before = np.arange(len(h)), seeds[self.lang], None
@@ -86,8 +95,9 @@ class Words:
             state = ((state ^ (state >> np.uint64(29))) * _MULTIPLIER) + h[at + length - 1]
             mixed = (state ^ (state >> np.uint64(32))) * _MULTIPLIER
             mixed ^= mixed >> np.uint64(29)
-            if among is not None and length <= known and len(at):
-                kept = may_hold(among, mixed.view(np.int64))
+            if length in among and len(at):
+                bits, cells = among[length]
+                kept = in_cells(bits, mixed) if cells else may_hold(bits, mixed.view(np.int64))
                 at, state, mixed = at[kept], state[kept], mixed[kept]
             yield at, mixed
             before = np.zeros(len(h), bool)
@@ -117,24 +127,82 @@ def _all_words(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
             yield words_of(texts_of(part), part.column("lang").to_pylist(), lexicon)
 
 
-def masses(docs: DataFrame, longest: int, partitions: int) -> np.ndarray:
-    """Occurrences of n-grams by length and hash partition."""
+def partition_of(h: np.ndarray, partitions: int) -> np.ndarray:
+    """The first bits of a hash, so sorted hashes are sorted by partition."""
+    return (h >> np.uint64(64 - (partitions.bit_length() - 1))).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((longest, partitions), np.int64)
-        for words in _all_words(batches):
-            for k, (_, h) in enumerate(words.ngrams(longest)):
-                counts[k] += np.bincount(partition_of(h, partitions), minlength=partitions)
-        if counts.any():
-            parts = sliced(counts.ravel())
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "counts"])
 
-    return summed(map_batches(docs, run, "slice int, counts binary"), longest * partitions).reshape(longest, partitions)
+def in_cells(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes are in cells whose bit is set."""
+    cell = partition_of(h, len(bits) * 8)
+    return ((bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1).astype(bool)
 
 
-def partition_of(h: np.ndarray, partitions: int) -> np.ndarray:
-    """The first bits of a hash, so sorted hashes are sorted by partition."""
-    return (h >> np.uint64(64 - (partitions.bit_length() - 1))).astype(np.int64)
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32, compressed: all their lowest bytes, then the next ones."""
+    return zlib.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+class Masses:
+    """Occurrences by cell, of the cells that were met, in order."""
+
+    def __init__(self, cells: int):
+        self.total = cells
+        self.clear()
+
+    def clear(self) -> None:
+        self.cells, self.counts, self.fresh, self.waiting = np.empty(0, np.uint32), np.empty(0, np.int64), [], 0
+
+    def add(self, h: np.ndarray) -> None:
+        self.fresh.append(partition_of(h, self.total).astype(np.uint32))
+        self.waiting += len(h)
+        if self.waiting > max(GATHERED, len(self.cells)):
+            self.fold()
+
+    def fold(self) -> None:
+        fresh, n = np.unique(np.concatenate([np.empty(0, np.uint32), *self.fresh]), return_counts=True)
+        every = np.concatenate([self.cells, fresh])
+        order = np.argsort(every, kind="stable")
+        every, n = every[order], np.concatenate([self.counts, n])[order]
+        first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.empty(0, np.int64)
+        self.cells, self.counts = every[first], np.add.reduceat(n, first) if len(first) else n
+        self.fresh, self.waiting = [], 0
+
+    def rows(self) -> Iterator[list]:
+        """slice, gaps between its cells, their counts; afterwards nothing is held."""
+        self.fold()
+        own = self.cells // SLICE_CELLS
+        cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1], True]) if len(own) else own
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            yield [int(own[low]), _packed(np.diff(self.cells[low:high] % SLICE_CELLS, prepend=np.uint32(0))), _packed(self.counts[low:high])]
+        self.clear()
+
+
+def frequent_cells(masses: DataFrame, threshold: int, cells: int, partitions: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of the cells that have `threshold` occurrences or more, and how many those of each partition have."""
+    width = max(1, partitions * SLICE_CELLS // cells)  # partitions of a slice
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for s, gaps, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                own = total.setdefault(s, np.zeros(SLICE_CELLS, np.int64))
+                own[np.cumsum(_unpacked(gaps), dtype=np.int64)] += _unpacked(counts)
+        for s, own in total.items():
+            own[own < threshold] = 0
+            row = [[s], [zlib.compress(np.packbits(own > 0).tobytes(), 1)], [own.reshape(width, -1).sum(axis=1).tobytes()]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["part", "bits", "mass"])
+
+    bits, mass = np.zeros(cells // 8, np.uint8), np.zeros(cells // SLICE_CELLS * width, np.int64)
+    parts = masses.select("part", "keys", "counts").repartition(min(cells // SLICE_CELLS, 64), "part")
+    for s, own, counts in map_batches(parts, run, "part int, bits binary, mass binary").collect():
+        bits[s * SLICE_CELLS // 8 : (s + 1) * SLICE_CELLS // 8] = np.frombuffer(zlib.decompress(own), np.uint8)
+        mass[s * width : (s + 1) * width] = np.frombuffer(counts, np.int64)
+    return bits, mass.reshape(partitions, -1).sum(axis=1)
 
 
 class Summary:
@@ -165,30 +233,47 @@ class Summary:
             self.keys, self.counts = self.keys[kept], self.counts[kept]
 
 
-def survivors(docs: DataFrame, lengths: range, threshold: int, mass: np.ndarray, among: np.ndarray | None) -> DataFrame:
-    """h: hashes of n-grams of these lengths that may occur `threshold` times or more; all that do are there."""
-    partitions, known = mass.shape[1], lengths.start - 1
-    capacity = mass[known : lengths.stop - 1].sum(axis=0) // threshold + 1
+def scanned(docs: DataFrame, among: Among, short: range, capacity: np.ndarray, long: range, cells: int) -> DataFrame:
+    """part, keys, counts, error: each task's summaries of the n-grams of lengths `short`; and, where the error is null, masses
+    of the cells of those of lengths `long` (slice, gaps, counts)."""
+    partitions, names = len(capacity), ["part", "keys", "counts", "error"]
     shared = docs.sparkSession.sparkContext.broadcast((capacity, among))
 
-    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batch(rows: list[list]) -> pa.RecordBatch:
+        cols = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int32(), pa.binary(), pa.binary(), pa.int64()), strict=True)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         capacity, among = shared.value
-        own, fresh, held = Summary(capacity, partitions), [], 0
+        own, fresh, held, met = Summary(capacity, partitions), [], 0, Masses(cells)
         for words in _all_words(batches):
-            for k, (_, h) in enumerate(words.ngrams(lengths.stop - 1, among, known)):
-                if k + 1 in lengths:
+            for k, (_, h) in enumerate(words.ngrams(max([*short, *long]), among)):
+                if k + 1 in short:
                     fresh.append(h)
                     held += len(h)
+                elif k + 1 in long:
+                    met.add(h)
             if held > max(GATHERED, len(own.keys)):  # so each n-gram is sorted a few times at most
                 own.add(*np.unique(np.concatenate(fresh), return_counts=True))
                 fresh, held = [], 0
+            if len(met.cells) > CELLS_HELD and (rows := [[*r, None] for r in met.rows()]):
+                yield batch(rows)
+        if rows := [[*r, None] for r in met.rows()]:
+            yield batch(rows)
         if held:
             own.add(*np.unique(np.concatenate(fresh), return_counts=True))
         cuts = np.searchsorted(partition_of(own.keys, partitions), np.arange(partitions + 1))
         for p in np.flatnonzero((np.diff(cuts) > 0) | (own.error > 0)):
             cut = slice(cuts[p], cuts[p + 1])
-            row = [[int(p)], [own.keys[cut].tobytes()], [zlib.compress(own.counts[cut].tobytes(), 1)], [int(own.error[p])]]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["part", "keys", "counts", "error"])
+            yield batch([[int(p), own.keys[cut].tobytes(), zlib.compress(own.counts[cut].tobytes(), 1), int(own.error[p])]])
+
+    return checkpoint(map_batches(docs, run, "part int, keys binary, counts binary, error bigint"))
+
+
+def survivors(parts: DataFrame, threshold: int, capacity: np.ndarray) -> DataFrame:
+    """h: hashes that may occur `threshold` times or more by their tasks' summaries; all that do are there."""
+    partitions = len(capacity)
+    shared = parts.sparkSession.sparkContext.broadcast(capacity)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Summary | None = None
@@ -197,13 +282,12 @@ def survivors(docs: DataFrame, lengths: range, threshold: int, mass: np.ndarray,
                 if own is None or own.low != part:
                     if own is not None:
                         yield _reaching(own, threshold)
-                    own = Summary(shared.value[0][part : part + 1], partitions, part)
+                    own = Summary(shared.value[part : part + 1], partitions, part)
                 own.add(np.frombuffer(keys, np.uint64), np.frombuffer(zlib.decompress(counts), np.int64))
                 own.error[0] += error
         if own is not None:
             yield _reaching(own, threshold)
 
-    parts = map_batches(docs, summarise, "part int, keys binary, counts binary, error bigint")
     return map_batches(parts.repartition(min(partitions, 2048), "part").sortWithinPartitions("part"), merge, "h bigint")
 
 
@@ -226,7 +310,7 @@ def counted(docs: DataFrame, longest: int, among: np.ndarray) -> DataFrame:
             for k, n in zip(*np.unique(words.lang, return_counts=True), strict=True):
                 key = (words.langs[k], None)
                 found[key] = found.get(key, 0) + int(n)
-            for k, (at, h) in enumerate(words.ngrams(longest, shared.value, longest)):
+            for k, (at, h) in enumerate(words.ngrams(longest, dict.fromkeys(range(1, longest + 1), (shared.value, False)))):
                 for lang, phrase, n in _exact(words, at, h, k + 1):
                     found[lang, phrase] = found.get((lang, phrase), 0) + n
             if len(found) > COUNTED:
@@ -261,12 +345,21 @@ def frequent_phrases(docs: DataFrame, threshold: int = 100, longest: int = 5) ->
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").filter("text IS NOT NULL")
     chars = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     partitions = 1 << (max(LEAST_PARTITIONS, min(MOST_PARTITIONS, chars // PARTITION_CHARS)).bit_length() - 1)
-    mass = masses(texts, longest, partitions)
-    short = checkpoint(survivors(texts, range(1, min(2, longest) + 1), threshold, mass, None))
+    cells = max(SLICE_CELLS, partitions, min(MOST_CELLS, 1 << (CELLS * chars // threshold).bit_length()))
+    none, short, long = np.zeros(partitions, np.int64), range(1, min(2, longest) + 1), range(3, longest + 1)
     bloom = lambda h: build_filter(h, filter_bits(h.count()), False)
-    every = short
-    if longest > 2:
-        every = checkpoint(short.unionByName(survivors(texts, range(3, longest + 1), threshold, mass, bloom(short))))
+
+    def among(parts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        bits, mass = frequent_cells(parts.filter("error IS NULL"), threshold, cells, partitions)
+        return bits, mass // threshold + 1
+
+    bits, capacity = among(scanned(texts, {}, range(0), none, short, cells))
+    parts = scanned(texts, dict.fromkeys(short, (bits, True)), short, capacity, long, cells)
+    every = met = checkpoint(survivors(parts.filter("error IS NOT NULL"), threshold, capacity))
+    if long:
+        bits, capacity = among(parts)
+        longer = scanned(texts, dict.fromkeys(short, (bloom(met), False)) | dict.fromkeys(long, (bits, True)), long, capacity, range(0), cells)
+        every = checkpoint(met.unionByName(survivors(longer, threshold, capacity)))
     sums = counted(texts, longest, bloom(every)).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     return sums.filter(F.col("phrase").isNull() | (F.col("n") >= threshold))
 
