@@ -124,3 +124,19 @@ def test_cells_below_the_threshold_go(spark, monkeypatch, slice_cells, partition
     assert (np.unpackbits(bits).astype(bool) == (true >= 30)).all() and 0 < (true >= 30).sum() < (true > 0).sum()
     assert (mass == np.where(true >= 30, true, 0).reshape(partitions, -1).sum(axis=1)).all()
     assert (C.in_cells(bits, keys) == (true[C.partition_of(keys, cells)] >= 30)).all()
+
+
+@pytest.mark.parametrize("block", [3, 1 << 18])
+def test_words_and_what_follows(monkeypatch, block):
+    monkeypatch.setattr(C, "SLICE_BYTES", 5)
+    monkeypatch.setattr(C, "BLOCK", block)
+    C._powers.cache_clear()
+    texts = ["", "..", "Ab\tcd ef. gh", "a" * 30 + " b  c\x0bd?", "x y z Ä ba ab", " ", "one.two b", "cd AB " + "a" * 30 + "!x"]
+    got = C.words_of([t.encode() for t in texts], list("pqpqprpq"), C.Lexicon())
+    pieces = [(lang, re.findall(r"[^\x20\x09]+", piece)) for lang, t in zip("pqpqprpq", texts, strict=True) for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower(t))]
+    expected = [(lang, words[i].encode(), len(words) - i) for lang, words in pieces for i in range(len(words))]
+    assert [(got.langs[a], got.lexicon.words[b], c) for a, b, c in zip(got.lang, got.ids, got.left, strict=True)] == expected
+    of = dict(zip(got.ids.tolist(), got.hashes.tolist(), strict=True))
+    assert [of[i] for i in got.ids.tolist()] == got.hashes.tolist() and len(set(of.values())) == len({x[1] for x in expected})
+    assert not len(C.words_of([], [], C.Lexicon()).ids)
+    C._powers.cache_clear()

@@ -27,6 +27,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import build_filter, checkpoint, filter_bits, map_batches, may_hold, slices, texts_of
+from tidemark.llm.common import SLICE_BYTES, build_filter, checkpoint, filter_bits, map_batches, may_hold, slices, texts_of
 
 #: Characters of text for each hash partition, and the least and the largest number of partitions.
 PARTITION_CHARS, LEAST_PARTITIONS, MOST_PARTITIONS = 1 << 22, 16, 1 << 18
@@ -43,9 +44,12 @@ PARTITION_CHARS, LEAST_PARTITIONS, MOST_PARTITIONS = 1 << 22, 16, 1 << 18
 CELLS, SLICE_CELLS, MOST_CELLS, CELLS_HELD = 5, 1 << 16, 1 << 29, 1 << 22
 #: Words that a task remembers, and n-grams that it gathers, before it goes on without them.
 WORDS, GATHERED = 500_000, 1 << 21
+#: Bytes that are hashed at once.
+BLOCK = 1 << 18
 #: Phrases that a task counts before it gives their counts.
 COUNTED = 200_000
-_TABLE = bytes(c + 32 if 65 <= c < 91 else 10 if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
+#: A-Z as a-z, all ends of pieces as one, tabs as spaces.
+_TABLE = bytes(c + 32 if 65 <= c < 91 else 46 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -58,34 +62,30 @@ class Lexicon(dict):
 
     def __init__(self) -> None:
         self.words: list[bytes] = []
-        self.hashes = np.empty(0, np.uint64)
 
     def __missing__(self, word: bytes) -> int:
         self[word] = number = len(self.words)
         self.words.append(word)
         return number
 
-    def hashed(self) -> np.ndarray:
-        new = self.words[len(self.hashes) :]
-        self.hashes = np.concatenate([self.hashes, np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))])
-        return self.hashes
-
 
 @dataclass
 class Words:
-    """The words of some texts: number, lang's number, and how many words follow in the piece, itself included."""
+    """The words of some texts: hash, lang's number, how many words follow in the piece, itself included, and, with a
+    lexicon, number."""
 
-    lexicon: Lexicon
     langs: list[str]
-    ids: np.ndarray
+    hashes: np.ndarray
     lang: np.ndarray
     left: np.ndarray
+    lexicon: Lexicon | None
+    ids: np.ndarray | None
 
     def ngrams(self, longest: int, among: Among) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each length up to `longest`: where such an n-gram begins, and its hash with its lang. It, and all inside it,
         pass what `among` has for their length."""
         seeds = np.fromiter((xxhash.xxh64_intdigest(x.encode()) for x in self.langs), np.uint64, len(self.langs))
-        h = self.lexicon.hashed()[self.ids]
+        h = self.hashes
         at, state, before = np.arange(len(h)), seeds[self.lang], None
         for length in range(1, longest + 1):
             if length > 1:  # an n-gram goes on where the one that starts a word later is there, too
@@ -104,25 +104,69 @@ class Words:
             before[at] = True
 
 
-def words_of(texts: list[bytes], langs: list[str], lexicon: Lexicon) -> Words:
-    ids, lengths, owner, names = [], [], [], {}
-    for text, lang in zip(texts, langs, strict=True):
-        number = names.setdefault(lang, len(names))
-        for piece in text.translate(_TABLE).split(b"\n"):
-            if words := piece.split():
-                ids += map(lexicon.__getitem__, words)
-                lengths.append(len(words))
-                owner.append(number)
-    n = np.array(lengths, np.int64)
-    ends = np.repeat(np.cumsum(n), n)
-    return Words(lexicon, list(names), np.array(ids, np.int64), np.repeat(np.array(owner, np.int64), n), ends - np.arange(len(ids)))
-
+class _Powers:
+    """Fixed random numbers for bytes, and the powers of an odd number and its inverse (all modulo 2^64) for a block."""
 
-def _all_words(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
-    lexicon = Lexicon()
+    def __init__(self) -> None:
+        base = 0x9E3779B97F4A7C15
+        self.of_byte = np.random.default_rng(13).integers(0, 2**63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        self.up, self.down = (np.cumprod(np.r_[np.uint64(1), np.full(BLOCK, x % 2**64, np.uint64)]) for x in (base, pow(base, -1, 2**64)))
+
+
+_powers = cache(_Powers)
+
+
+def hashed(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each word of a translated text, which ends with a dot, begins; how many dots are before it; its hash.
+
+    A word's hash is a polynomial of its bytes, so prefix sums give those of all words at once. Sums go on from block to
+    block, so words of any length take no more memory than others."""
+    powers, found = _powers(), []
+    total, dots, inside = np.uint64(0), 0, False
+    up = down = np.uint64(1)
+    for low in range(0, len(text), BLOCK):
+        block = np.frombuffer(text, np.uint8, min(BLOCK, len(text) - low), low)
+        dot = block == 46
+        flips = np.flatnonzero(np.diff(~(dot | (block == 32)), prepend=inside))  # beginnings and ends by turns
+        sums = np.r_[np.uint64(0), np.cumsum(powers.of_byte[block] * powers.up[: len(block)])] * up + total
+        found.append((flips + low, sums[flips], powers.down[flips] * down, np.cumsum(dot)[flips] + dots))
+        inside ^= bool(len(flips) % 2)
+        total, dots = sums[-1], dots + int(dot.sum())
+        up, down = np.multiply(up, powers.up[BLOCK]), np.multiply(down, powers.down[BLOCK])
+    at, sums, scale, before = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64), *[np.empty(0, np.uint64)] * 2, np.empty(0, np.int64))
+    h = (sums[1::2] - sums[::2]) * scale[::2]
+    return at[::2], before[::2], (h ^ (h >> np.uint64(31))) * _MULTIPLIER
+
+
+def words_of(texts: list[bytes], langs: list[str], lexicon: Lexicon | None = None) -> Words:
+    """Words and their hashes; with a lexicon, their numbers, too."""
+    names: dict[str, int] = {}
+    owner = np.array([names.setdefault(x, len(names)) for x in langs], np.int64)
+    texts = [t.translate(_TABLE) + b"." for t in texts]
+    at, piece, h = hashed(b"".join(texts))
+    ends = np.flatnonzero(np.r_[piece[1:] != piece[:-1], True]) if len(piece) else piece
+    left = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(len(piece)) + 1
+    lang = owner[np.searchsorted(np.cumsum([len(t) for t in texts]), at, "right")]
+    ids = None if lexicon is None else np.concatenate([np.empty(0, np.int64), *(_numbers(t, lexicon) for t in texts)])
+    return Words(list(names), h, lang, left, lexicon, ids)
+
+
+def _numbers(text: bytes, lexicon: Lexicon) -> np.ndarray:
+    """Long texts are cut between words, so a few words are held as objects at once."""
+    text, low, numbers = text.replace(b".", b" "), 0, []
+    while low < len(text):
+        cut = text.find(b" ", low + SLICE_BYTES) + 1 or len(text)
+        words = text[low:cut].split()
+        numbers.append(np.fromiter(map(lexicon.__getitem__, words), np.int64, len(words)))
+        low = cut
+    return np.concatenate(numbers)
+
+
+def _all_words(batches: Iterator[pa.RecordBatch], numbered: bool = False) -> Iterator[Words]:
+    lexicon = Lexicon() if numbered else None
     for batch in batches:
         for part in slices(batch):
-            if len(lexicon.words) > WORDS:
+            if numbered and len(lexicon.words) > WORDS:
                 lexicon = Lexicon()
             yield words_of(texts_of(part), part.column("lang").to_pylist(), lexicon)
 
@@ -306,7 +350,7 @@ def counted(docs: DataFrame, longest: int, among: np.ndarray) -> DataFrame:
             cols = [[k[0] for k in found], [k[1] for k in found], list(found.values())]
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary()).cast(pa.string()), pa.array(cols[2], pa.int64())], names=["lang", "phrase", "n"])
 
-        for words in _all_words(batches):
+        for words in _all_words(batches, True):
             for k, n in zip(*np.unique(words.lang, return_counts=True), strict=True):
                 key = (words.langs[k], None)
                 found[key] = found.get(key, 0) + int(n)
