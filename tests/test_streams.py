@@ -135,6 +135,13 @@ def test_asof_history_keeps_the_youngest_before_its_horizon():
     assert asof(p, held, ("left", 500, None), ("left", 17, None)) == [("17", None, None), ("500", 18, 3.0)]
 
 
+def test_asof_history_late_value_behind_a_younger_one_that_left_the_horizon():
+    held, p = processor(stateful.AsOfHistory, delay_ms=0, retain_ms=100, wait_ms=20, bucket_ms=10)
+    asof(p, held, ("right", 18, 3.0))
+    asof(p, held, ("right", 1000, 4.0))
+    assert asof(p, held, ("right", 5, 1.0), ("left", 7, None), ("left", 17, None), ("left", 500, None)) == [("7", 5, 1.0), ("17", 5, 1.0), ("500", 18, 3.0)]
+
+
 def test_asof_history_longest_wait_by_the_clock():
     held, p = processor(stateful.AsOfHistory, delay_ms=10, retain_ms=100, wait_ms=1000, bucket_ms=10, wait_clock_ms=500)
     held.now = 10_000
