@@ -6,6 +6,7 @@ import time
 
 import pytest
 from pyspark import cloudpickle
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -142,6 +143,60 @@ def test_asof_history_late_value_behind_a_younger_one_that_left_the_horizon():
     assert asof(p, held, ("right", 5, 1.0), ("left", 7, None), ("left", 17, None), ("left", 500, None)) == [("7", 5, 1.0), ("17", 5, 1.0), ("500", 18, 3.0)]
 
 
+class Counted(Held):
+    """A handle of the store that counts what is asked of it."""
+
+    calls = 0
+
+    def getValueState(self, name, schema):
+        state = Value()
+        for call in ("exists", "get", "update", "clear"):
+            setattr(state, call, self.counted(getattr(state, call)))
+        return state
+
+    def counted(self, call):
+        def ask(*args):
+            self.calls += 1
+            return call(*args)
+
+        return ask
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+
+def test_keys_of_a_bucket_share_one_value_of_the_store():
+    """Each of 500 keys (null, text and numbers) gets what it gets by itself, for as many messages as one key needs."""
+    keys = [None, "a", 1.5, float("nan"), 0.0, *range(495)]
+    events = [[("right", 10 + i % 7, float(i)) for i in range(k % 4)] + [("left", 5 + k % 13, None), ("left", 30, None)] for k in range(len(keys))]
+    held, p = Counted(), stateful.ManyKeys(stateful.AsOf(10), "key", "EventTime")
+    p.init(held)
+    record = lambda k, n, e: Row("bucket", "key", "side", "ms", "row", "value")(0, k, e[0], e[1], f"{n}" if e[0] == "left" else None, e[2])
+    rows_ = [record(k, n, e) for n, k in enumerate(keys) for e in events[n]]
+    assert list(p.handleInputRows((0,), iter(sorted(rows_, key=lambda r: r.ms)), held)) == [] and held.calls == 2 and held.timers == {5}
+    got = held.fire(p, (0,), 25)
+    assert held.calls == 4 and held.timers == {30}
+    got += held.fire(p, (0,), 100)
+    assert not held.timers and held.calls == 6
+    for n, k in enumerate(keys):
+        alone, one = processor(stateful.AsOf, 10)
+        one.handleInputRows((k,), iter([record(k, n, e) for e in events[n]]), alone)
+        assert [(r["ms"], r["value"]) for r in got if r["row"] == str(n)] == [(r["ms"], r["value"]) for r in alone.fire(one, (k,), 100)]
+    assert sum(r["key"] is None for r in got) == 2 and sum(r["key"] != r["key"] for r in got) == 2
+
+
+def test_a_key_that_holds_nothing_goes_from_its_bucket():
+    held, p = Counted(), stateful.ManyKeys(stateful.FirstWithinTtl("ms", 10), "k", "EventTime")
+    p.init(held)
+    rows_ = [Row("bucket", "k", "ms")(0, k, k) for k in range(3)]
+    assert [tuple(r) for r in p.handleInputRows((0,), iter(rows_), held)] == [(0, 0), (1, 1), (2, 2)] and held.timers == {10}
+    assert [tuple(r) for r in p.handleInputRows((0,), iter([Row("bucket", "k", "ms")(0, 0, 10)]), held)] == [(0, 10)] and held.timers == {11}
+    held.fire(p, (0,), 19)
+    assert list(p._read()[1]) == [0] and held.timers == {20}
+    held.fire(p, (0,), 20)
+    assert p._read() == (None, {}) and not held.timers
+
+
 def test_asof_history_longest_wait_by_the_clock():
     held, p = processor(stateful.AsOfHistory, delay_ms=10, retain_ms=100, wait_ms=1000, bucket_ms=10, wait_clock_ms=500)
     held.now = 10_000
