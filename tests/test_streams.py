@@ -286,6 +286,19 @@ def test_accumulators_merge_before_the_shuffle(spark, monkeypatch):
     assert plan.count("MapInArrow") == 2 and plan.index("MapInArrow") < plan.index("Exchange") < plan.rindex("MapInArrow")
 
 
+class Adds(Plain):
+    """Counts the calls of add."""
+
+    def add(self, state, values):
+        return state + 1
+
+
+def test_accumulators_add_many_arrow_batches_at_once(spark):
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    data = spark.range(0, 100_000, 1, 1).select((F.col("id") % 9).alias("k"), F.col("id").alias("v"))
+    assert {r.s for r in accumulators.accumulate(data, "k", "v", Adds(), "s").collect()} == {1.0}
+
+
 def test_rejects_by_reason(spark):
     schema = StructType.fromDDL("event_id bigint, value double")
     texts = ['{"eventId": 1, "value": 2.5}', '{"event_id": 2}', None, "", "  ", "{", "[]", '{"eventId": "x"}', '{"value": 1}', "{}"]

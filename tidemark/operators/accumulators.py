@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import pickle
+import sys
 from collections.abc import Iterator
 from typing import Any, Protocol
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Accumulators travel with their code, so Python workers needn't be able to import this package.
+register_pickle_by_value(sys.modules[__name__])
+
+#: Rows that a task sorts by key at once, so that a key's values are added in few calls.
+SORTED = 262_144
 #: Keys that a task holds states of before it gives them on; a key may then have several states of one task.
 HELD = 100_000
 
@@ -51,8 +57,8 @@ class LargestMean:
 def accumulate(df: DataFrame, key: str, value: str, own: Accumulator, name: str) -> DataFrame:
     """key and the accumulator's result (double) over its values.
 
-    Each task adds up its Arrow batches by key, so of a hot key one state a task is shuffled, not its rows; the states
-    of a key are merged one by one. Null keys are one key; a key without values has the result of an empty state.
+    Each task adds up its rows by key, many Arrow batches at once, so of a hot key one state a task is shuffled, not its
+    rows; the states of a key are merged one by one. Null keys are one key; a key without values has the result of an empty state.
     """
     kind = df.schema[key].dataType.simpleString()
 
@@ -63,16 +69,29 @@ def accumulate(df: DataFrame, key: str, value: str, own: Accumulator, name: str)
         def give() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(held), id_type), pa.array([pickle.dumps(s) for s in held.values()], pa.binary())], names=["key", "state"])
 
+        def add(parts: list[pa.RecordBatch]) -> None:
+            table = pa.Table.from_batches(parts)
+            keys = table.column(0).combine_chunks().dictionary_encode(null_encoding="encode")
+            values, codes = table.column(1).to_numpy(), keys.indices.to_numpy(zero_copy_only=False)
+            there = ~np.isnan(values)
+            values, codes = values[there], codes[there]
+            order = np.argsort(codes, kind="stable")
+            values, at = values[order], np.searchsorted(codes[order], np.arange(len(keys.dictionary) + 1)).tolist()
+            for code, k in enumerate(keys.dictionary.to_pylist()):
+                held[k] = own.add(held[k] if k in held else own.create(), values[at[code] : at[code + 1]])
+
+        parts: list[pa.RecordBatch] = []
         for batch in batches:
             id_type = batch.column(0).type
-            keys = batch.column(0).dictionary_encode(null_encoding="encode")
-            values = pd.Series(batch.column(1).to_numpy(zero_copy_only=False))
-            for code, own_values in values.groupby(keys.indices.to_numpy(zero_copy_only=False)):
-                k = keys.dictionary[int(code)].as_py()
-                held[k] = own.add(held[k] if k in held else own.create(), own_values.dropna().to_numpy())
-            if len(held) > HELD:
-                yield give()
-                held = {}
+            parts.append(batch)
+            if sum(p.num_rows for p in parts) >= SORTED:
+                add(parts)
+                parts = []
+                if len(held) > HELD:
+                    yield give()
+                    held.clear()
+        if parts:
+            add(parts)
         if held:
             yield give()
 
