@@ -299,6 +299,28 @@ def test_accumulators_add_many_arrow_batches_at_once(spark):
     assert {r.s for r in accumulators.accumulate(data, "k", "v", Adds(), "s").collect()} == {1.0}
 
 
+def test_joins_of_streams_keep_one_store_and_old_checkpoints_go_on(spark, tmp_path):
+    """A join begun by run_to_parquet keeps its state in format 3; one begun with four stores goes on with them."""
+    one = lambda k: spark.createDataFrame([(k, at(10 * k), "a"), (k - 1, at(10 * k), "b")], "k int, ts timestamp, side string").write.parquet(f"{tmp_path}/in/{k}")
+    stream = lambda: spark.readStream.schema("k int, ts timestamp, side string").parquet(f"{tmp_path}/in/*").withWatermark("ts", "1 hour")
+    side = lambda name: stream().filter(F.col("side") == name).select("k", F.col("ts").alias(f"t{name}"))
+    plan = lambda: joins.interval_join(side("a"), side("b"), ["k"], "ta", "tb", "-1 hours", "1 hours")
+    begun = lambda folder: next(tmp_path.glob(f"{folder}/offsets/0")).read_text()
+    one(1)
+    spark.conf.set(run.PROVIDER, run.ROCKS)
+    try:
+        plan().writeStream.format("parquet").option("path", f"{tmp_path}/old-out").option("checkpointLocation", f"{tmp_path}/old").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(run.PROVIDER)
+    run.run_to_parquet(plan(), "new", checkpoint=f"{tmp_path}/new", out=f"{tmp_path}/new-out")
+    assert '"spark.sql.streaming.join.stateFormatVersion":"3"' in begun("new") and '"spark.sql.streaming.join.stateFormatVersion":"3"' not in begun("old")
+    assert all(spark.conf.get(k, None) != v for k, v in run.ROCKS_SETTINGS.items())
+    one(2)
+    for name in ("old", "new"):
+        out = run.run_to_parquet(plan(), name, checkpoint=f"{tmp_path}/{name}", out=f"{tmp_path}/{name}-out")
+        assert [r.k for r in out.collect()] == [1]
+
+
 def test_rejects_by_reason(spark):
     schema = StructType.fromDDL("event_id bigint, value double")
     texts = ['{"eventId": 1, "value": 2.5}', '{"event_id": 2}', None, "", "  ", "{", "[]", '{"eventId": "x"}', '{"value": 1}', "{}"]
