@@ -685,6 +685,29 @@ def test_sentencepiece(spark, sf_dir):
     assert codec.decode(stray) == library.decode(stray)
 
 
+def test_sentencepiece_codes_short_words_whole(monkeypatch):
+    """Only longer words are looked through for seams, and few answers of pair tests are held at once; ids stay the same."""
+    import sentencepiece
+
+    from tidemark.llm import sentencepiece_codec as module
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    library, looked, seams = sentencepiece.SentencePieceProcessor(model_file=path), [], module.PieceModel.seams
+    monkeypatch.setattr(module.PieceModel, "seams", lambda self, text: looked.append(len(text)) or seams(self, text))
+    monkeypatch.setattr(module, "PAIRS", 50)
+    with open(path, "rb") as f:
+        codec = Codec(f.read())
+    r = random.Random(2)
+    texts = [" ".join("".join(r.choice(("th", "hn", "qx", "wh", "ü", "e", "on", "日", "Ā", "\x01")) for _ in range(r.randint(1, 20))) for _ in range(8)) for _ in range(300)]
+    for t in texts:
+        ids = library.encode(t)
+        assert codec.encode(t) == ids and codec.decode(ids) == library.decode(ids), t
+        assert codec.model.tested <= 50 and sum(len(f) for _, _, f in codec.model.automaton.values()) == codec.model.tested
+        if len(looked) > 20:
+            break
+    assert looked and min(looked) > 24
+
+
 # empty tables
 
 

@@ -19,6 +19,8 @@ import hashlib
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import pairwise
+from operator import add
 
 import ahocorasick
 import pyarrow as pa
@@ -32,6 +34,8 @@ SPACE = "▁"
 MEMORY = 100_000
 #: Pairs of pieces whose test a worker remembers.
 PAIRS = 150_000
+#: Characters up to which a word is coded whole: looking for seams costs more than the table of a few more prefixes.
+SHORT = 24
 #: Text that is coded at once.
 SLICE_BYTES = 1_000_000
 
@@ -61,12 +65,14 @@ class PieceModel:
         self.score = {p.piece: p.score for p in proto.pieces if p.type == 1}
         self.run = max((len(p) for p in self.ids if not p.strip(SPACE)), default=1)
         self._split: dict[str, tuple[str, str] | None] = {}
-        self._pairs: dict[tuple[str, str], bool] = {}
+        self.tested = 0
         self.automaton = ahocorasick.Automaton()
         for piece in self.ids:
             if len(piece) > 1 and piece.strip(SPACE) and self.reachable(piece):  # a single character is what remains
-                self.automaton.add_word(piece, piece)
+                self.automaton.add_word(piece, (piece, len(piece), _Follows(self, piece)))
         self.automaton.make_automaton()
+        #: Ids as they are joined.
+        self.written = {p: str(i) for p, i in self.ids.items()}
         #: Neighbouring characters inside pieces; no merge crosses any other seam.
         self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         #: ASCII marks that stand beside none but marks and spaces in pieces: a text is cut around their runs.
@@ -102,9 +108,6 @@ class PieceModel:
 
     def fits(self, left: str, right: str) -> bool:
         """May the two follow each other? No merge across the seam may come before the merges that built both sides."""
-        key = (left, right)
-        if (known := self._pairs.get(key)) is not None:
-            return known
         limit, seam_first, a, b, fit = float("-inf"), False, left, right, True
         while True:
             joined = self.score.get(a + b)
@@ -120,48 +123,37 @@ class PieceModel:
                 limit, seam_first, a = self.score[a], False, undo_a[1]
             else:
                 limit, seam_first, b = self.score[b], True, undo_b[0]
-        if len(self._pairs) > PAIRS:
-            self._pairs.clear()
-        self._pairs[key] = fit
         return fit
 
     def word(self, text: str) -> list[int]:
         """Ids of one word: space marks, then other characters."""
-        bare = text.lstrip(SPACE)
-        marks = len(text) - len(bare)
-        if bare and marks:
-            text, marks = SPACE + bare, marks - 1
-            last = self._table(text)
-            if last is not None and last[0] == SPACE:  # the mark stays apart and joins the run before it
-                last, marks = last[1:], marks + 1
-        else:
-            last = self._table(bare) if bare else []
         out, ids = [], self.ids
-        while marks:
-            n = min(marks, self.run)
-            out.append(ids[SPACE * n])
-            marks -= n
-        for piece in last:
+        for piece in self.pieces_of(text):
             if (i := ids.get(piece)) is not None:
                 out.append(i)
             else:
                 out.extend(self.byte_ids[b] for b in piece.encode()) if self.byte_ids else out.append(self.unknown)
         return out
 
+    def pieces_of(self, text: str) -> list[str]:
+        """Pieces of one word, and characters that are none."""
+        if text[0] != SPACE:
+            return self._table(text)
+        bare = text.lstrip(SPACE)
+        marks, last = len(text) - len(bare), []
+        if bare:
+            last, marks = self._table(SPACE + bare), marks - 1
+            if last[0] == SPACE:  # the mark stays apart and joins the run before it
+                last, marks = last[1:], marks + 1
+        runs, rest = divmod(marks, self.run)
+        return [SPACE * self.run] * runs + [SPACE * rest] * (rest > 0) + last
+
     def _table(self, text: str) -> list[str]:
         """Pieces of a text: the last piece of every prefix, longest candidate first, followed backwards from the end."""
-        last, settled, pairs = list(text), -1, self._pairs
-        for end, piece in self.automaton.iter(text):  # at each end from the longest to the shortest
-            if end == settled:
-                continue
-            before = end - len(piece)
-            if before >= 0:
-                left = last[before]
-                if (fit := pairs.get((left, piece))) is None:
-                    fit = self.fits(left, piece)
-                if not fit:
-                    continue
-            last[end], settled = piece, end
+        last, settled = list(text), -1
+        for end, (piece, length, follows) in self.automaton.iter(text):  # at each end from the longest to the shortest
+            if end != settled and (end < length or follows[last[end - length]]):
+                last[end], settled = piece, end
         out, at = [], len(text) - 1
         while at >= 0:
             out.append(piece := last[at])
@@ -171,13 +163,31 @@ class PieceModel:
 
     def seams(self, text: str) -> list[str]:
         """The text cut where no merge crosses."""
-        inside, out, at = self.inside, [], 0
-        for i in range(1, len(text)):
-            if text[i - 1 : i + 1] not in inside:
-                out.append(text[at:i])
-                at = i
-        out.append(text[at:])
-        return out
+        whole = list(map(self.inside.__contains__, map(add, text, text[1:])))
+        if all(whole):
+            return [text]
+        cuts = [0, *(i for i, one in enumerate(whole, 1) if not one), len(text)]
+        return [text[a:b] for a, b in pairwise(cuts)]
+
+
+class _Follows(dict):
+    """By the piece before: may this piece follow it? What isn't known yet is tested; all of a model's pieces remember PAIRS
+    answers together."""
+
+    __slots__ = ("model", "piece")
+
+    def __init__(self, model: PieceModel, piece: str):
+        self.model, self.piece = model, piece
+
+    def __missing__(self, left: str) -> bool:
+        model = self.model
+        if model.tested >= PAIRS:
+            for _, _, follows in model.automaton.values():
+                follows.clear()
+            model.tested = 0
+        model.tested += 1
+        self[left] = fit = model.fits(left, self.piece)
+        return fit
 
 
 class Codec:
@@ -196,16 +206,29 @@ class Codec:
     def _entry(self, word: str) -> str | tuple[str, str]:
         """Ids of a word, with their text where it isn't the word."""
         if (known := self.older.get(word)) is None:
-            parts = self.model.seams(word)
+            parts = [word] if len(word) <= SHORT else self.model.seams(word)
             if len(parts) > 1:
-                known = self.join(parts, [self.memory.get(p) or self._entry(p) for p in parts])
+                get, older = self.memory.get, self.older.get
+                known = self.join(parts, [get(p) or older(p) or self._coded(p) for p in parts])
                 if len(parts) > 2:  # as good as never seen again
                     return known
             else:
-                ids = self.model.word(word)
-                known, surface = ",".join(map(str, ids)), self.surface(ids)
-                if surface != word.replace(SPACE, " "):
-                    known = known, surface
+                return self._coded(word)
+        return self._keep(word, known)
+
+    def _coded(self, word: str) -> str | tuple[str, str]:
+        """The same of a word without seams that isn't remembered."""
+        model = self.model
+        try:  # pieces alone are the word itself
+            known = ",".join([model.written[p] for p in model.pieces_of(word)])
+        except KeyError:
+            ids = model.word(word)
+            known, surface = ",".join(map(str, ids)), self.surface(ids)
+            if surface != word.replace(SPACE, " "):
+                known = known, surface
+        return self._keep(word, known)
+
+    def _keep(self, word: str, known: str | tuple[str, str]) -> str | tuple[str, str]:
         if len(self.memory) >= MEMORY:
             self.memory, self.older = {}, self.memory
         self.memory[word] = known
@@ -216,7 +239,7 @@ class Codec:
         if not text:
             return ""
         text = (self.model.prefix if prefix is None else prefix) + text.replace(" ", SPACE)
-        words = self.model.words.findall(text)
+        words = [text] if text.lstrip(SPACE).isalnum() else self.model.words.findall(text)
         if len(words) == 1:
             return self.memory.get(words[0]) or self._entry(words[0])
         make, out = self._entry, []
