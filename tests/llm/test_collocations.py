@@ -107,6 +107,18 @@ def test_equal_hashes_are_told_apart():
     assert got == {("en", b"a b"): 2, ("en", b"a c"): 1}
 
 
+def test_exact_counts_travel_packed(spark):
+    """Rows of the exact count go with tasks, langs and partitions, not with phrases; sums stay those of the words."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice("abcdefghij") + rng.choice("klmnopqrst") for _ in range(200)), rng.choice(["x", "y\n"])) for i in range(60)]
+    docs = spark.createDataFrame([*rows, (60, None, "z"), (61, "", "z")], "id int, text string, lang string").filter("text IS NOT NULL").select("lang", "text").repartition(3)
+    true = collections.Counter((lang, p) for _, text, lang in rows for k in (1, 2) for p in [" ".join(w) for w in zip(*(text.split()[j:] for j in range(k)), strict=False)])
+    parts = C.counted(docs, 2, np.full(1 << 14, 255, np.uint8), 4)
+    assert parts.count() <= 3 * 2 * (4 + 1) < len(true)
+    got = {(r.lang, r.phrase): r.n for r in C.summed(parts, 3, 4).collect()}
+    assert got == {k: n for k, n in true.items() if n >= 3} | {(lang, None): 200 * sum(r[2] == lang for r in rows) for lang in ("x", "y\n")}
+
+
 @pytest.mark.parametrize("slice_cells, partitions", [(1 << 16, 16), (64, 16), (1 << 16, 1 << 10)])
 def test_cells_below_the_threshold_go(spark, monkeypatch, slice_cells, partitions):
     monkeypatch.setattr(C, "SLICE_CELLS", slice_cells)

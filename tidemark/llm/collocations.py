@@ -6,7 +6,8 @@ in it is frequent. The mass of a partition's other cells tells how large its sum
 mass / threshold. A task sums up its own texts; over capacity, a summary takes its largest count that must go off all counts and remembers it as its error.
 Summaries of one partition are merged in one task by the same rule. What is taken off in all is less than the threshold,
 so each n-gram of the threshold or more survives, with count and error still reaching it. A last pass counts survivors
-exactly: a Bloom filter picks their places, and words themselves, not hashes, are counted.
+exactly: a Bloom filter picks their places, and words themselves, not hashes, are counted. A task's counts travel packed
+by hash partition.
 
 One and two words are summed up first; longer n-grams count only where all shorter ones inside them survived, which a
 frequent n-gram's do. The pass that sums up short ones counts the cells of longer ones, too. Masses travel as gaps between
@@ -46,8 +47,10 @@ CELLS, SLICE_CELLS, MOST_CELLS, CELLS_HELD = 5, 1 << 16, 1 << 29, 1 << 22
 WORDS, GATHERED = 500_000, 1 << 21
 #: Bytes that are hashed at once.
 BLOCK = 1 << 18
-#: Phrases that a task counts before it gives their counts.
-COUNTED = 200_000
+#: Phrases that a task counts, and words that it meets, before it gives their counts.
+COUNTED, MET = 200_000, 1 << 31
+#: Partitions of the exact count at most, so that a task's rows don't grow with the corpus.
+MOST_COUNTED = 512
 #: A-Z as a-z, all ends of pieces as one, tabs as spaces.
 _TABLE = bytes(c + 32 if 65 <= c < 91 else 46 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -339,31 +342,69 @@ def _reaching(own: Summary, threshold: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(own.keys[own.counts + own.error[0] >= threshold].view(np.int64))], names=["h"])
 
 
-def counted(docs: DataFrame, longest: int, among: np.ndarray) -> DataFrame:
-    """lang, phrase, n, from each task: the places of n-grams that the filter holds; a null phrase has all words of the lang."""
+def counted(docs: DataFrame, longest: int, among: np.ndarray, partitions: int) -> DataFrame:
+    """part, lang, phrases, counts, from each task: the places of n-grams that the filter holds. A row has all phrases of a lang
+    whose hash falls into one partition, in order and packed, so rows go with tasks and partitions, not with phrases; null
+    phrases have all words of the lang."""
     shared = docs.sparkSession.sparkContext.broadcast(among)
 
+    def packed(found: dict[tuple[str, bytes | None], int]) -> pa.RecordBatch:
+        rows: dict[tuple[int, str, bool], list[bytes | None]] = {}
+        for lang, phrase in found:
+            part = 0 if phrase is None else zlib.crc32(phrase) % partitions
+            rows.setdefault((part, lang, phrase is None), []).append(phrase)
+        cols = [[k[0] for k in rows], [k[1] for k in rows], [], []]
+        for (_, lang, every), phrases in rows.items():
+            if not every:
+                phrases.sort()
+            cols[2].append(None if every else zlib.compress(b"\n".join(phrases), 1))  # a line's end is in no phrase
+            cols[3].append(_packed(np.array([found[lang, x] for x in phrases])))
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int32(), pa.string(), pa.binary(), pa.binary()), strict=True)], names=["part", "lang", "phrases", "counts"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[str, bytes | None], int] = {}
-
-        def give() -> pa.RecordBatch:
-            cols = [[k[0] for k in found], [k[1] for k in found], list(found.values())]
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary()).cast(pa.string()), pa.array(cols[2], pa.int64())], names=["lang", "phrase", "n"])
-
+        met = 0
         for words in _all_words(batches, True):
+            met += len(words.lang)
             for k, n in zip(*np.unique(words.lang, return_counts=True), strict=True):
                 key = (words.langs[k], None)
                 found[key] = found.get(key, 0) + int(n)
             for k, (at, h) in enumerate(words.ngrams(longest, dict.fromkeys(range(1, longest + 1), (shared.value, False)))):
                 for lang, phrase, n in _exact(words, at, h, k + 1):
                     found[lang, phrase] = found.get((lang, phrase), 0) + n
-            if len(found) > COUNTED:
-                yield give()
-                found = {}
+            if len(found) > COUNTED or met > MET:
+                yield packed(found)
+                found, met = {}, 0
+        if found:
+            yield packed(found)
+
+    return map_batches(docs, run, "part int, lang string, phrases binary, counts binary")
+
+
+def summed(parts: DataFrame, threshold: int, partitions: int) -> DataFrame:
+    """lang, phrase, n of the phrases that all tasks together have `threshold` times or more; a null phrase has all words of the
+    lang. A partition's phrases meet in one task, as words."""
+
+    def rows(found: dict[tuple[str, bytes | None], int]) -> pa.RecordBatch:
+        kept = [(lang, phrase, n) for (lang, phrase), n in found.items() if phrase is None or n >= threshold]
+        cols = list(zip(*kept, strict=True)) or [[], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary()).cast(pa.string()), pa.array(cols[2], pa.int64())], names=["lang", "phrase", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[str, bytes | None], int] = {}
+        own = None
+        for batch in batches:
+            for part, lang, phrases, counts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if part != own and found:
+                    yield rows(found)
+                    found = {}
+                own = part
+                for phrase, n in zip([None] if phrases is None else zlib.decompress(phrases).split(b"\n"), _unpacked(counts).tolist(), strict=True):
+                    found[lang, phrase] = found.get((lang, phrase), 0) + n
         if found:
-            yield give()
+            yield rows(found)
 
-    return map_batches(docs, run, "lang string, phrase string, n bigint")
+    return map_batches(parts.repartition(partitions, "part").sortWithinPartitions("part"), run, "lang string, phrase string, n bigint")
 
 
 def _exact(words: Words, at: np.ndarray, h: np.ndarray, length: int) -> Iterator[tuple[str, bytes, int]]:
@@ -404,8 +445,8 @@ def frequent_phrases(docs: DataFrame, threshold: int = 100, longest: int = 5) ->
         bits, capacity = among(parts)
         longer = scanned(texts, dict.fromkeys(short, (bloom(met), False)) | dict.fromkeys(long, (bits, True)), long, capacity, range(0), cells)
         every = checkpoint(met.unionByName(survivors(longer, threshold, capacity)))
-    sums = counted(texts, longest, bloom(every)).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-    return sums.filter(F.col("phrase").isNull() | (F.col("n") >= threshold))
+    parts = min(partitions, MOST_COUNTED)
+    return summed(counted(texts, longest, bloom(every), parts), threshold, parts)
 
 
 def collocations(docs: DataFrame, threshold: int = 100, longest: int = 5, percent: int = 100, top: int = 2000) -> DataFrame:
