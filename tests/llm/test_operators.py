@@ -7,10 +7,13 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, common, decontamination, language_id, license_scan, line_dedup, ngram_join, quality, toxicity
+from tidemark.llm import chat_format, common, decontamination, language_id, license_scan, line_dedup, ngram_join, quality, sentencepiece_codec, toxicity
+from tidemark.llm.common import map_batches
 from tidemark.llm.exact_dedup import drop_exact_copies, exact_groups
 from tidemark.llm.queries import queries, tokenizer_path
 from tidemark.llm.sentencepiece_codec import Codec, digest_documents, encode_documents
@@ -716,3 +719,28 @@ def test_empty_tables(spark, tmp_path, name):
     for t, schema in {"documents": "doc_id bigint, text string, lang string, source string, n_chars bigint", "labels": "doc_id bigint, quality int, toxic int", "benchmark": "item_id bigint, text string", "conversations": "conv_id bigint, turn bigint, role string, text string"}.items():
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{t}.parquet")
     assert queries()[name](spark, str(tmp_path)).count() == (name == "op5_chat_format")
+
+
+def test_arrow_batches_are_bounded_by_bytes(spark):
+    rows = spark.range(0, 40, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat('word ', 100000)").alias("text"))
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches)
+    found = [r.n for r in map_batches(rows, sizes, "n bigint").collect()]
+    assert sum(found) > 20_000_000 and max(found) < 5_000_000
+
+
+def test_sentencepiece_words_of_a_column_are_remembered_as_arrays(monkeypatch):
+    monkeypatch.setattr(sentencepiece_codec, "MEMORY", 20)
+    library = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    with open(tokenizer_path("piece_bpe_32k.model"), "rb") as f:
+        codec = sentencepiece_codec.Codec(f.read())
+    long = "long" * 40
+    for k in range(12):
+        texts = [f"the word {k} and n{k}x {long} \u2603{k} the", None, "", f" two  spaces {k}", "\U0001f980 \x00 a\u2581b", *(f"w{k}q{i}" for i in range(15))]
+        counts, ids, decoded = codec.columns(pa.array(texts, pa.string()))
+        for t, n, i, d in zip(texts, counts.to_pylist(), ids.to_pylist(), decoded.to_pylist(), strict=True):
+            own = library.encode(t or "")
+            assert (n, i, d) == (len(own), ",".join(map(str, own)), library.decode(own)), t
+        assert len(codec.known[0]) <= 3 * 20 + len(texts) and long not in codec.known[0].to_pylist()
+        assert "the" in codec.known[0].to_pylist()
+    codec.forget()
+    assert not len(codec.known[0])

@@ -23,6 +23,7 @@ from itertools import pairwise
 from operator import add
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -30,8 +31,12 @@ from pyspark.sql import DataFrame
 from tidemark.llm.common import map_batches, slices
 
 SPACE = "▁"
-#: Words remembered by a task, twice: when as many new ones have come, those not met since are forgotten.
-MEMORY = 100_000
+#: Words of a column remembered by a task: when as many new ones have come, those not met since are forgotten.
+MEMORY = 50_000
+#: Bytes up to which such a word is remembered.
+LONG = 64
+#: Parts of words that a task remembers, twice, in the same way.
+PARTS = 25_000
 #: Pairs of pieces whose test a worker remembers.
 PAIRS = 150_000
 #: Characters up to which a word is coded whole: looking for seams costs more than the table of a few more prefixes.
@@ -192,7 +197,8 @@ class _Follows(dict):
 
 class Codec:
     """Encoder and decoder with a bounded memory of words: a word's ids joined by commas, and what they decode to (with the
-    leading space still there) only where that isn't the word itself."""
+    leading space still there) only where that isn't the word itself. Words of columns are held as Arrow arrays, which take a
+    sixth of the room of Python's strings and are looked up all at once; a dictionary holds the parts that words share."""
 
     def __init__(self, model: bytes):
         self.model = PieceModel(model)
@@ -202,6 +208,8 @@ class Codec:
         """Drop what was remembered of the texts."""
         self.memory: dict[str, str | tuple[str, str]] = {}
         self.older: dict[str, str | tuple[str, str]] = {}
+        self.known = tuple(pa.array([], pa.string()) for _ in range(3))
+        self.met, self.fresh = np.empty(0, bool), 0
 
     def _entry(self, word: str) -> str | tuple[str, str]:
         """Ids of a word, with their text where it isn't the word."""
@@ -229,7 +237,7 @@ class Codec:
         return self._keep(word, known)
 
     def _keep(self, word: str, known: str | tuple[str, str]) -> str | tuple[str, str]:
-        if len(self.memory) >= MEMORY:
+        if len(self.memory) >= PARTS:
             self.memory, self.older = {}, self.memory
         self.memory[word] = known
         return known
@@ -295,6 +303,30 @@ class Codec:
     def _strip(self, surface: str) -> str:
         return surface[1:] if self.model.prefix and surface.startswith(" ") else surface
 
+    def _words(self, words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Ids, and what they decode to, of distinct words, each with a space before it."""
+        at = pc.index_in(words, value_set=self.known[0])
+        unknown = at.is_null().to_numpy(zero_copy_only=False)
+        at, new = at.fill_null(0).to_numpy().astype(np.int64), words.filter(pa.array(unknown))
+        memory, older = self.memory, self.older
+        found = [memory.get(w) or older.get(w) or self.entry(w, "") for w in [SPACE + t for t in new.to_pylist()]]
+        at[unknown] = len(self.known[0]) + np.arange(len(found))
+        new = new, pa.array([f if type(f) is str else f[0] for f in found], pa.string()), pa.array([None if type(f) is str else f[1] for f in found], pa.string())
+        _, ids, surfaces = (pa.concat_arrays([a, b]).take(pa.array(at)) for a, b in zip(self.known, new, strict=True))
+        self._remember(at[~unknown], new)
+        return ids, pc.coalesce(surfaces, pc.binary_join_element_wise("", words, " "))
+
+    def _remember(self, met: np.ndarray, new: tuple[pa.Array, ...]) -> None:
+        self.met[met] = True
+        short = pc.less_equal(pc.binary_length(new[0]), LONG)
+        self.known = tuple(pa.concat_arrays([a, b.filter(short)]) for a, b in zip(self.known, new, strict=True))
+        added = len(self.known[0]) - len(self.met)
+        self.met, self.fresh = np.r_[self.met, np.ones(added, bool)], self.fresh + added
+        if self.fresh >= MEMORY:
+            stay = pa.array(np.flatnonzero(self.met)[-2 * MEMORY :])
+            self.known = tuple(a.take(stay) for a in self.known)
+            self.met, self.fresh = np.zeros(len(stay), bool), 0
+
     def columns(self, texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
         """Numbers of ids, ids joined by commas, and decoded texts of a column.
 
@@ -305,13 +337,10 @@ class Codec:
         odd = pc.match_substring_regex(texts, f"^( |$)|  |{SPACE}") if self.model.prefix else pa.array([True] * len(texts), pa.bool_())
         plain = pc.split_pattern(pc.if_else(odd, "", texts), " ")
         words = plain.values.dictionary_encode()
-        own = words.dictionary.to_pylist()
-        memory, older = self.memory, self.older
-        found = [memory.get(w) or older.get(w) or self.entry(w, "") for w in [SPACE + t for t in own]]
-        surfaces = [" " + t if type(f) is str else f[1] for t, f in zip(own, found, strict=True)]
-        together = lambda values, sep: pc.binary_join(pa.ListArray.from_arrays(plain.offsets, pa.array(values, pa.string()).take(words.indices)), sep)
-        ids = together([f if type(f) is str else f[0] for f in found], ",")
-        decoded = pc.utf8_slice_codeunits(together(surfaces, ""), 1)  # without the first space
+        own_ids, own_surfaces = self._words(words.dictionary)
+        together = lambda values, sep: pc.binary_join(pa.ListArray.from_arrays(plain.offsets, values.take(words.indices)), sep)
+        ids = together(own_ids, ",")
+        decoded = pc.utf8_slice_codeunits(together(own_surfaces, ""), 1)  # without the first space
         if pc.any(odd).as_py():
             rest = texts.filter(odd).to_pylist()
             found = [self.entry(t) for t in rest]
@@ -340,6 +369,7 @@ def _coded(docs: DataFrame, model_path: str, keep: list[str], schema: str, to_co
         for part in (p for b in batches for p in slices(b, SLICE_BYTES)):
             counts, ids, decoded = codec.columns(part.column("text"))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), counts, *to_columns(ids, decoded)], names=[*keep, "n_tokens", *names])
+            pa.default_memory_pool().release_unused()
         codec.forget()
 
     return map_batches(docs.select(*keep, *(["text"] if "text" not in keep else [])), run, schema)
