@@ -218,6 +218,29 @@ def test_arrivals_of_one_window_are_one_row():
     assert [tuple(r) for r in held.fire(p, ("k",), 9000)] == [("k", 8000, 9000, 4)] and not held.timers
 
 
+def test_arrivals_are_counted_before_they_reach_the_state(spark, monkeypatch):
+    df = spark.range(0, 60_000, 1, 3).select(F.when(F.col("id") % 7 > 0, F.col("id") % 1000).alias("key"))
+    for most in (stateful.HELD_ROWS, 300):
+        monkeypatch.setattr(stateful, "HELD_ROWS", most)
+        packed = [(r[0], stateful._unpacked(r[1])) for r in stateful.counted_by_bucket(df).collect()]
+        assert most == 300 or len(packed) == 3 * len({b for b, _ in packed})
+        total = stateful._summed([t for _, t in packed], ["key"])
+        assert dict(zip(total["key"].to_pylist(), total["n"].to_pylist(), strict=True)) == {r[0]: r[1] for r in df.groupBy("key").count().collect()}
+
+
+def test_arrivals_of_a_bucket_are_windows_of_all_its_keys(spark, tmp_path):
+    for kind in ("bigint", "string", "double"):
+        spark.range(0, 5000, 1, 4).select(F.when(F.col("id") % 9 > 0, F.col("id") % 700).cast(kind).alias("k")).write.parquet(f"{tmp_path}/{kind}/in")
+        stream = spark.readStream.schema(f"k {kind}").parquet(f"{tmp_path}/{kind}/in")
+        plan = stateful.arrival_count_stream(stream, "k", 500)
+        run.run_for(plan, "arrivals", 5000, f"{tmp_path}/{kind}/out", f"{tmp_path}/{kind}/state", lambda done: (done.agg(F.sum("n")).first()[0] or 0) == 5000, 90)
+        found = spark.read.parquet(f"{tmp_path}/{kind}/out")
+        assert found.schema.simpleString() == f"struct<key:{kind},start_ms:bigint,end_ms:bigint,n:bigint>"
+        assert not found.filter("end_ms - start_ms <> 500 OR start_ms % 500 <> 0").count() and found.select("key", "start_ms").distinct().count() == found.count()
+        own = spark.read.parquet(f"{tmp_path}/{kind}/in").groupBy("k").count()
+        assert rows(found.groupBy("key").agg(F.sum("n").alias("n")), "key", "n") == rows(own, "k", "count")
+
+
 def test_replay_splits_by_arrival_otherwise_than_by_event_time(spark):
     """Rows of one event-time window that arrive in two windows of the clock are two rows; by event time always one."""
     events = [(1, at(0)), (1, at(1)), (1, at(2))]
