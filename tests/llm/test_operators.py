@@ -744,3 +744,30 @@ def test_sentencepiece_words_of_a_column_are_remembered_as_arrays(monkeypatch):
         assert "the" in codec.known[0].to_pylist()
     codec.forget()
     assert not len(codec.known[0])
+
+
+def test_sentencepiece_dropped_tables_are_freed():
+    import gc
+    import weakref
+
+    with open(tokenizer_path("piece_bpe_32k.model"), "rb") as f:
+        codec = Codec(f.read())
+    codec.encode("words that follow each other")
+    model = weakref.ref(codec.model)
+    del codec
+    gc.collect()
+    assert model() is None
+
+
+def test_sentencepiece_tasks_of_a_worker_share_their_tables(spark):
+    docs = spark.range(0, 16, 1, 16).select(F.col("id").alias("doc_id"), F.lit("the same words").alias("text"))
+    assert encode_documents(docs, tokenizer_path("piece_bpe_32k.model")).select("n_tokens").distinct().count() == 1
+
+    def held(batches):
+        from tidemark.llm import sentencepiece_codec as module
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(module._codecs)] * batch.num_rows)], names=["n"])
+
+    # The tasks above went round the workers that these get again.
+    assert max(r.n for r in spark.range(0, 64, 1, 64).mapInArrow(held, "n bigint").collect()) == 1

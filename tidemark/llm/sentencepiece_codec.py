@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import weakref
 import zlib
 from collections.abc import Callable, Iterator
 from itertools import pairwise
@@ -177,15 +178,16 @@ class PieceModel:
 
 class _Follows(dict):
     """By the piece before: may this piece follow it? What isn't known yet is tested; all of a model's pieces remember PAIRS
-    answers together."""
+    answers together. The model is held weakly: Python's garbage collector doesn't see into the automaton, so a model
+    that its own automaton led back to would never be freed."""
 
     __slots__ = ("model", "piece")
 
     def __init__(self, model: PieceModel, piece: str):
-        self.model, self.piece = model, piece
+        self.model, self.piece = weakref.ref(model), piece
 
     def __missing__(self, left: str) -> bool:
-        model = self.model
+        model = self.model()
         if model.tested >= PAIRS:
             for _, _, follows in model.automaton.values():
                 follows.clear()
@@ -354,6 +356,16 @@ class Codec:
 _codecs: dict[int, Codec] = {}
 
 
+def _worker_codec(model: bytes) -> Codec:
+    """The one codec of a worker. Tasks must get it by this function, which they find by name: a global that a task's own
+    code names travels with the task, so each would start from an empty dictionary and build the tables anew."""
+    key = zlib.crc32(model)
+    if key not in _codecs:
+        _codecs.clear()
+        _codecs[key] = Codec(model)
+    return _codecs[key]
+
+
 def _coded(docs: DataFrame, model_path: str, keep: list[str], schema: str, to_columns: Callable[[pa.Array, pa.Array], list[pa.Array]], names: list[str]) -> DataFrame:
     """mapInArrow over slices: kept columns, numbers of ids, and what to_columns makes of ids and decoded texts. The model's
     bytes are broadcast; a worker builds its tables once, and a task forgets its words at its end."""
@@ -361,11 +373,7 @@ def _coded(docs: DataFrame, model_path: str, keep: list[str], schema: str, to_co
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = zlib.crc32(shared.value)
-        if key not in _codecs:
-            _codecs.clear()
-            _codecs[key] = Codec(shared.value)
-        codec = _codecs[key]
+        codec = _worker_codec(shared.value)
         for part in (p for b in batches for p in slices(b, SLICE_BYTES)):
             counts, ids, decoded = codec.columns(part.column("text"))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), counts, *to_columns(ids, decoded)], names=[*keep, "n_tokens", *names])
